@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .quality import OP10_SQL, op10_quality_cascade
 from .simhash import op6_simhash_pigeonring
 
 
 def queries():
-    return {f.__name__: f for f in (op6_simhash_pigeonring,)}
+    return {f.__name__: f for f in (op6_simhash_pigeonring, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_quality_cascade": OP10_SQL}
