@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .quality import OP10_SQL, op10_quality_cascade
 from .simhash import op6_simhash_pigeonring
+from .tokens import op5_token_records
 
 
 def queries():
-    return {f.__name__: f for f in (op6_simhash_pigeonring, op10_quality_cascade)}
+    return {f.__name__: f for f in (op5_token_records, op6_simhash_pigeonring, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
