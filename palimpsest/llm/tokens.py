@@ -140,7 +140,8 @@ def encoder(path: str) -> Encoder:
 # The file format. A file has records one after another:
 #   length  unsigned 64-bit, little endian: bytes of the data
 #   check   unsigned 32-bit: masked CRC-32 of the eight length bytes
-#   data    8-byte signed document number, 1 byte width of an id (2 or 4), then the ids, little endian and unsigned
+#   data    8-byte signed document number, 1 byte width of an id (2 or 4; plus 128 if the document has no number), then
+#           the ids, little endian and unsigned
 #   check   unsigned 32-bit: masked CRC-32 of the data
 # Beside it lies an index of fixed-size entries (document, offset of the record, ids in it), for reads in any order.
 # A masked check is the CRC rotated right by 15 bits plus a constant, so that a CRC of data with CRCs stays sound.
@@ -154,14 +155,14 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
 
-def frame(doc: int, ids: bytes, width: int) -> bytes:
+def frame(doc: int | None, ids: bytes, width: int) -> bytes:
     """A record; ``ids`` are 32-bit, written in ``width`` bytes each."""
-    data = HEAD.pack(doc, width) + (np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
+    data = HEAD.pack(doc or 0, width if doc is not None else width | 128) + (np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
     length = LENGTH.pack(len(data))
     return b"".join((length, CHECK.pack(masked(length)), data, CHECK.pack(masked(data))))
 
 
-def unframe(buffer: memoryview | bytes, at: int = 0) -> tuple[int, bytes, int]:
+def unframe(buffer: memoryview | bytes, at: int = 0) -> tuple[int | None, bytes, int]:
     """(document, 32-bit ids, offset of the next record); ValueError if a check fails."""
     view = memoryview(buffer)
     if len(view) < at + 12:
@@ -178,7 +179,8 @@ def unframe(buffer: memoryview | bytes, at: int = 0) -> tuple[int, bytes, int]:
         raise ValueError(f"the record at {at} is damaged")
     doc, width = HEAD.unpack_from(data)
     ids = data[HEAD.size :]
-    if width == 2:
+    doc = None if width & 128 else doc
+    if width & 127 == 2:
         ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
     return doc, ids, end + 4
 
@@ -204,7 +206,8 @@ def write_token_files(
 
     Rows are dealt by ranges of the key, a file each; rows of equal key are ordered by a hash of their text. A file is
     written under a name of its own and renamed when whole, so a task that runs again or twice does no harm. ``width`` is
-    the bytes of an id; an id that doesn't fit raises an error.
+    the bytes of an id; an id that doesn't fit raises an error. Null texts count as empty; null keys come first; rows that
+    repeat are written as often as they occur; other columns are ignored; an empty table gives empty files.
     """
     path = path or vocabulary()
     spark = docs.sparkSession
@@ -227,7 +230,7 @@ def write_token_files(
                         raise ValueError("an id doesn't fit in two bytes")
                     record = frame(doc, ids, width)
                     file.write(record)
-                    entries.append((doc, at, len(ids) // 4))
+                    entries.append((doc or 0, at, len(ids) // 4))
                     at, records, total = at + len(record), records + 1, total + len(ids) // 4
         with store.open_output_stream(own + ".idx") as file:
             file.write(np.array(entries, dtype=ENTRY).tobytes())
@@ -272,7 +275,7 @@ def read_token_files(manifest: DataFrame, folder: str, step: int = 8 << 20) -> D
                         out = []
                         for k in range(i, j):
                             doc, ids, _ = unframe(buffer, int(bounds[k] - bounds[i]))
-                            if doc != index["doc"][k] or len(ids) // 4 != index["ids"][k]:
+                            if (doc or 0) != index["doc"][k] or len(ids) // 4 != index["ids"][k]:
                                 raise ValueError(f"the index of {name} doesn't match record {k}")
                             out.append((doc, start, len(ids) // 4, zlib.crc32(ids), ids))
                             start += len(ids) // 4
@@ -289,5 +292,5 @@ def read_token_files(manifest: DataFrame, folder: str, step: int = 8 << 20) -> D
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
-    manifest = write_token_files(table(spark, sf_dir, "documents").where("doc_id is not null"), folder)
+    manifest = write_token_files(table(spark, sf_dir, "documents"), folder)
     return read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
