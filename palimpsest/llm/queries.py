@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embeddings import op1_subspace_pigeonhole
 from .packing import op4_bm25_packing
 from .quality import OP10_SQL, op10_quality_cascade
 from .simhash import op6_simhash_pigeonring
@@ -9,7 +10,7 @@ from .tokens import op5_token_records
 
 
 def queries():
-    return {f.__name__: f for f in (op4_bm25_packing, op5_token_records, op6_simhash_pigeonring, op10_quality_cascade)}
+    return {f.__name__: f for f in (op1_subspace_pigeonhole, op4_bm25_packing, op5_token_records, op6_simhash_pigeonring, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
