@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from .embeddings import op1_subspace_pigeonhole
 from .packing import op4_bm25_packing
+from .pii import op3_bootstrapped_pii
 from .quality import OP10_SQL, op10_quality_cascade
 from .simhash import op6_simhash_pigeonring
 from .tokens import op5_token_records
+from .toxicity import op8_naive_bayes_toxicity
 
 
 def queries():
-    return {f.__name__: f for f in (op1_subspace_pigeonhole, op4_bm25_packing, op5_token_records, op6_simhash_pigeonring, op10_quality_cascade)}
+    found = (
+        op1_subspace_pigeonhole,
+        op3_bootstrapped_pii,
+        op4_bm25_packing,
+        op5_token_records,
+        op6_simhash_pigeonring,
+        op8_naive_bayes_toxicity,
+        op10_quality_cascade,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
