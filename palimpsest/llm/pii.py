@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .lines import constant_array
 from .quality import let, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -142,18 +143,17 @@ def with_context(text: Column, spans: Column) -> Column:
 def corpus_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
     """(cue, total): how often each of ``cues`` (distinct) occurs in all texts (column ``t``), whatever follows."""
     cells = [r[0] for r in cues.select(F.pmod(F.xxhash64("cue"), F.lit(CUES)).cast("int").alias("c")).distinct().collect()]
-    marked = ["0"] * CUES
+    marked = [0] * CUES
     for c in cells:
-        marked[c] = "1"
+        marked[c] = 1
     # A fixed map of CUES cells drops most words before they are counted; the join is exact.
-    spark = texts.sparkSession
-    bits = spark.range(1).select(F.split(F.lit("".join(marked)), "").alias("bits"))
-    asked = lambda c, bits: F.get(bits, F.pmod(F.xxhash64(c), F.lit(CUES)).cast("int")) == "1"
-    lowered = texts.select(words_of(F.lower(F.col("t"))).alias("w")).join(F.broadcast(bits))
-    one = F.filter("w", lambda c: asked(c, F.col("bits")))
+    bits = constant_array(marked)
+    asked = lambda c: F.get(bits, F.pmod(F.xxhash64(c), F.lit(CUES)).cast("int")) == 1
+    lowered = texts.select(words_of(F.lower(F.col("t"))).alias("w"))
+    one = F.filter("w", asked)
     two = F.filter(
         F.transform("w", lambda c, i: F.when(i > 0, F.concat_ws(" ", F.get("w", i - 1), c))),
-        lambda c: c.isNotNull() & asked(c, F.col("bits")),
+        lambda c: c.isNotNull() & asked(c),
     )
     said = lowered.select(F.explode(F.concat(one, two)).alias("cue")).groupBy("cue").agg(F.count("*").alias("total"))
     return cues.join(said, "cue")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embeddings import op1_subspace_pigeonhole
+from .lines import OP7_SQL, op7_line_similarity
 from .packing import op4_bm25_packing
 from .pii import op3_bootstrapped_pii
 from .quality import OP10_SQL, op10_quality_cascade
@@ -18,6 +19,7 @@ def queries():
         op4_bm25_packing,
         op5_token_records,
         op6_simhash_pigeonring,
+        op7_line_similarity,
         op8_naive_bayes_toxicity,
         op10_quality_cascade,
     )
@@ -25,4 +27,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_cascade": OP10_SQL}
+    return {"op7_line_similarity": OP7_SQL, "op10_quality_cascade": OP10_SQL}
