@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_snapshot_collapse
 from .embeddings import op1_subspace_pigeonhole
 from .lines import OP7_SQL, op7_line_similarity
+from .mixing import op9_hierarchical_mixing
 from .packing import op4_bm25_packing
 from .pii import op3_bootstrapped_pii
 from .quality import OP10_SQL, op10_quality_cascade
@@ -15,16 +17,18 @@ from .toxicity import op8_naive_bayes_toxicity
 def queries():
     found = (
         op1_subspace_pigeonhole,
+        op2_snapshot_collapse,
         op3_bootstrapped_pii,
         op4_bm25_packing,
         op5_token_records,
         op6_simhash_pigeonring,
         op7_line_similarity,
         op8_naive_bayes_toxicity,
+        op9_hierarchical_mixing,
         op10_quality_cascade,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_similarity": OP7_SQL, "op10_quality_cascade": OP10_SQL}
+    return {"op2_snapshot_collapse": OP2_SQL, "op7_line_similarity": OP7_SQL, "op10_quality_cascade": OP10_SQL}
