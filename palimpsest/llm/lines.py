@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import SPACE_CHARS, cut, table
 from .quality import let, words_of
 
 #: Cells that words are counted in; a word's rarity is its cell's count.
@@ -69,9 +69,12 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rarity = rarities(texts)
     lines = texts.select(
         "doc_id", F.xxhash64("t").alias("body"), F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line")
-    ).select("doc_id", "body", "line_no", word_sets(F.col("line"), rarity).alias("words"))
+    )
+    lines = lines.where(F.translate("line", SPACE_CHARS, "") != "").select(
+        "doc_id", "body", "line_no", word_sets(F.col("line"), rarity).alias("words")
+    )
     return cut(
-        lines.where(F.size("words") > 0).withColumn("k1", F.xxhash64("words")).withColumn("k2", F.hash("words")), "lines"
+        lines.withColumn("k1", F.xxhash64("words")).withColumn("k2", F.hash("words")), "lines"
     )
 
 

@@ -92,16 +92,12 @@ class Rule:
     rejects: Column
 
 
-def prepare(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_t`` (the text, null as empty), ``_w`` (hashes of its words); docs must have neither."""
-    bare = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return bare.withColumn("_w", F.transform(words_of(F.col("_t")), lambda w: F.xxhash64(w)))
+def hashed_words(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-
-def measures() -> dict[str, Column]:
-    """The base measures, over the columns of :func:`prepare`."""
-    t, w = F.col("_t"), F.col("_w")
+def measures(t: Column, w: Column) -> dict[str, Column]:
+    """The base measures of a text ``t`` whose words have the hashes ``w``."""
     return {
         "n_words": F.size(w).cast("long"),
         "word_chars": without(t, SPACE_CHARS).cast("long"),
@@ -118,9 +114,8 @@ def base_rules(m: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def more_rules(m: dict[str, Column]) -> list[Rule]:
+def more_rules(m: dict[str, Column], t: Column, w: Column) -> list[Rule]:
     """Rules beyond the base ones. Their limits lie far from ordinary prose, so clean documents pass."""
-    t, w = F.col("_t"), F.col("_w")
     capitals = F.length(t) - without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     small = F.length(t) - without(t, "abcdefghijklmnopqrstuvwxyz")
     return [
@@ -132,29 +127,38 @@ def more_rules(m: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
-    """``rules`` by rejections per second, highest first, as measured on a sample of about ``sample_rows`` documents.
+def all_rules(t: Column, w: Column) -> list[Rule]:
+    m = measures(t, w)
+    return base_rules(m) + more_rules(m, t, w)
+
 
-    The order decides what is computed, never which rows are rejected. An empty sample leaves the order as it is.
+def rules_by_cost(
+    docs: DataFrame, rules: Callable[[Column, Column], list[Rule]] = all_rules, sample_rows: int = SAMPLE_ROWS, text: str = "text"
+) -> list[str]:
+    """Names of ``rules`` by rejections per second, highest first, as measured on about ``sample_rows`` documents.
+
+    The order decides what is computed, never which rows are rejected. An empty table leaves the order as it is.
     """
+    t, w = F.col("t"), F.col("w")
     total = docs.count()
     if not total:
-        return list(rules)
-    sample = docs.select(text).sample(min(1.0, sample_rows / total), seed=7)
-    sample = cut(prepare(sample, text).select("_t", "_w").repartition(1), "sample")
+        return [r.name for r in rules(t, w)]
+    sample = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    sample = sample.sample(min(1.0, sample_rows / total), seed=7).repartition(1)
+    sample = cut(sample.select("t", hashed_words(t).alias("w")), "sample")
 
     def run(condition: Column) -> tuple[float, int]:
         began = time.monotonic()
-        hits = sample.agg(F.count(F.when(condition, 1)).alias("n"), F.sum(F.length("_t")), F.sum(F.size("_w"))).first()
+        hits = sample.agg(F.count(F.when(condition, 1)).alias("n"), F.sum(F.length("t")), F.sum(F.size("w"))).first()
         return time.monotonic() - began, hits["n"]
 
     floor = min(run(F.lit(False))[0] for _ in range(2))
     scores = []
-    for i, rule in enumerate(rules):
+    for i, rule in enumerate(rules(t, w)):
         (first, hits), (second, _) = run(rule.rejects), run(rule.rejects)
         cost = max(min(first, second) - floor, 1e-3)
-        scores.append((-hits / cost, cost, i))
-    return [rules[i] for *_, i in sorted(scores)]
+        scores.append((-hits / cost, cost, i, rule.name))
+    return [name for *_, name in sorted(scores)]
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -171,30 +175,39 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows
     Null texts count as empty and fail. Keys may be null or repeated; each row is judged by itself. Columns of docs
     other than these two aren't read. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    base, more = base_rules(measures()), more_rules(measures())
-    ordered = {r.name: i for i, r in enumerate(order_rules(docs, base + more, sample_rows))}
-    names = list(measures())
-    measured = prepare(docs).select("doc_id", "_t", "_w", *[c.alias(n) for n, c in measures().items()])
-    m = {n: F.col(n) for n in names}
-    base, more = base_rules(m), more_rules(m)
+    docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    order = rules_by_cost(docs, sample_rows=sample_rows, text="t")
+    t, w = F.col("t"), F.col("w")
+    found = measures(t, w)
+    measured = docs.select("doc_id", "t", hashed_words(t).alias("w")).select(
+        "doc_id", "t", "w", *[c.alias(n) for n, c in found.items()]
+    )
+    m = {n: F.col(n) for n in found}
     failed = F.lit(False)
-    for rule in base:
+    for rule in base_rules(m):
         failed = failed | rule.rejects
-    rules = sorted(base + more, key=lambda r: ordered[r.name])
+    rules = sorted(base_rules(m) + more_rules(m, t, w), key=lambda r: order.index(r.name))
     return measured.select(
-        F.col("doc_id").alias(key), *names, failed.alias("base_failed"), cascade(rules).isNull().alias("kept")
+        F.col("doc_id").alias(key), *found, failed.alias("base_failed"), cascade(rules).isNull().alias("kept")
     )
 
 
 def keep_clean(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that no rule rejects, with docs' own columns, in the order of rejections per cost."""
+    """The documents that no rule rejects, with docs' own columns; a rule is evaluated only where those before it in the
+    order of rejections per cost have not rejected."""
     names = docs.columns
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     column = f"c{names.index(text)}"
-    m = measures()
-    rules = order_rules(renamed, base_rules(m) + more_rules(m), sample_rows, column)
-    kept = prepare(renamed, column).where(cascade(rules).isNull())
+    order = rules_by_cost(plain, sample_rows=sample_rows, text=column)
+
+    def clean(t: Column) -> Column:
+        return let(
+            hashed_words(t),
+            lambda w: cascade(sorted(all_rules(t, w), key=lambda r: order.index(r.name))).isNull(),
+        )
+
+    # Text and words are bound inside the condition: a filter over a projection would compute them once for each use.
+    kept = plain.where(let(F.coalesce(F.col(column).cast("string"), F.lit("")), clean))
     return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 

@@ -188,15 +188,20 @@ def simhash_groups(docs: DataFrame, most: int = 3, text: str = "text", key: str
     )
 
 
-def keep_one_of_each(docs: DataFrame, most: int = 3) -> DataFrame:
-    """The documents whose doc_id names their component, with docs' own columns; a repeated row of that id stays once.
-
-    A row without doc_id can't be told from others by it and stays.
-    """
-    groups = simhash_groups(docs, most)
-    names = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(names, "doc_id", "left_semi")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+def keep_one_of_each(docs: DataFrame, most: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The document of each component that names it, with docs' own columns. Of rows with one key the first by content
+    stays. A row without a key can't be named by one and stays."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    k, t = f"c{names.index(key)}", f"c{names.index(text)}"
+    groups = simhash_groups(plain, most, t, k)
+    gone = groups.where(F.col(k) != F.col("component_id")).select(F.col(k).alias("gone")).distinct()
+    kept = plain.join(cut(gone, "gone"), F.col(k) == F.col("gone"), "left_anti")
+    again = cut(plain.groupBy(k).agg(F.count("*").alias("n")).where(f"n > 1 and {k} is not null").select(k), "repeated")
+    if not again.isEmpty():
+        once = kept.join(again, k, "left_semi").groupBy(k).agg(F.min(F.struct(*plain.columns)).alias("row"))
+        kept = kept.join(again, k, "left_anti").unionByName(once.select("row.*"))
+    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
