@@ -1 +1,4 @@
+"""Queries by topic; importing this package registers all of them."""
 
+from . import changes, enriched, hierarchy, linked, operational, revisions, texts  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
