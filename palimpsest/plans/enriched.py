@@ -1 +1,177 @@
+"""Translations, labels of columns, maps and exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import enrich, export
+from ..functions.timefmt import standard
+from .registry import query, table
+from .texts import ITEMS, items
+
+
+def shout(texts: list[str]) -> list[str]:
+    """A translator for tests: upper-case ASCII letters."""
+    return [t.translate({c: c - 32 for c in range(97, 123)}) for t in texts]
+
+
+@query(
+    f"""WITH {ITEMS} SELECT doc_id, uk, CASE WHEN en_set THEN uk ELSE translate(uk, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS en, TRUE AS en_set FROM i"""
+)
+def q_translate_batch(spark, sf_dir):
+    """Missing translations: each distinct text is asked for once, and the answers go back to their places."""
+    i = items(spark, sf_dir)
+    asked = i.where(~F.col("item.en_set")).select(F.col("item.uk").alias("text"))
+    return enrich.set_translations(i, "item", enrich.translate(asked, shout)).select("doc_id", "item.*")
+
+
+LABELS = """l AS (SELECT conv_id AS tab, turn AS pos, CASE turn % 5 WHEN 0 THEN 'ID' WHEN 1 THEN 'DATE' WHEN 2 THEN 'DESCRIPTION' WHEN 3 THEN 'ID' ELSE 'note' END AS label FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY tab, label ORDER BY pos) AS nth FROM l)"""
+
+
+def labels(spark, sf_dir):
+    """(table, pos, label): labels as a classifier might give them, some repeated, some unknown."""
+    names = F.get(F.array(*[F.lit(x) for x in ("ID", "DATE", "DESCRIPTION", "ID", "note")]), (F.col("turn") % 5).cast("int"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("table"), F.col("turn").alias("pos"), names.alias("label"))
+
+
+@query(f"WITH {LABELS} SELECT tab, pos, CASE WHEN label IN ('ID', 'DATE', 'DESCRIPTION') AND nth = 1 THEN label ELSE 'OTHER' END AS label FROM r")
+def q_label_normalise(spark, sf_dir):
+    return enrich.normalise_labels(labels(spark, sf_dir)).select(F.col("table").alias("tab"), "pos", "label")
+
+
+@query(
+    f"""WITH {LABELS} SELECT tab, count(DISTINCT label) FILTER (label IN ('ID', 'DATE', 'DESCRIPTION')) = 3 AS usable,
+count(DISTINCT label) FILTER (label IN ('ID', 'DATE', 'DESCRIPTION')) = 3 AND NOT bool_or(label = 'note' OR nth > 1) AS valid FROM r GROUP BY tab"""
+)
+def q_label_verdicts(spark, sf_dir):
+    return enrich.label_verdicts(labels(spark, sf_dir)).select(F.col("table").alias("tab"), "usable", "valid")
+
+
+@query(
+    f"""WITH {LABELS}, n AS (SELECT tab, pos, CASE WHEN label IN ('ID', 'DATE', 'DESCRIPTION') AND nth = 1 THEN label ELSE 'OTHER' END AS label FROM r)
+SELECT tab, label, max(pos) AS index FROM n GROUP BY tab, label"""
+)
+def q_column_map(spark, sf_dir):
+    """Positions by label, the last of repeated ones."""
+    normal = enrich.normalise_labels(labels(spark, sf_dir))
+    return enrich.column_map(normal).select(F.col("table").alias("tab"), "label", "index")
+
+
+@query(
+    """SELECT conv_id, CASE count(*) WHEN 1 THEN 'ID' WHEN 2 THEN 'ID,DESCRIPTION' WHEN 3 THEN 'ID,DESCRIPTION,DATE'
+ELSE 'ID,DESCRIPTION,DATE' || repeat(',OTHER', CAST(count(*) - 3 AS INTEGER)) END AS labels FROM conversations GROUP BY conv_id"""
+)
+def q_label_defaults(spark, sf_dir):
+    sizes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    return sizes.select("conv_id", F.array_join(enrich.default_labels(F.col("n")), ",").alias("labels"))
+
+
+@query(
+    """WITH s AS (SELECT 1 AS tab, 0 AS pos, CAST(p_partkey AS VARCHAR) AS value FROM part UNION ALL SELECT 1, 1, p_name || ' long name' FROM part
+UNION ALL SELECT 1, 2, CAST(1900 + p_size AS VARCHAR) FROM part UNION ALL SELECT 1, 3, p_brand FROM part)
+SELECT DISTINCT pos, CASE pos WHEN 0 THEN 'ID' WHEN 1 THEN 'DESCRIPTION' WHEN 2 THEN 'DATE' ELSE 'OTHER' END AS label FROM s"""
+)
+def q_classify_columns(spark, sf_dir):
+    """Labels of a table's columns by rule."""
+    values = [F.col("p_partkey").cast("string"), F.concat("p_name", F.lit(" long name")), (F.col("p_size") + 1900).cast("string"), F.col("p_brand")]
+    cells = table(spark, sf_dir, "part").select(F.lit(1).alias("table"), F.posexplode(F.array(*values)).alias("pos", "value"))
+    return enrich.classify_columns(cells).select("pos", "label")
+
+
+@query("SELECT quality, count(*) AS n, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM labels GROUP BY quality")
+def q_classifier_success(spark, sf_dir):
+    """Share of valid answers."""
+    ok = F.when(F.col("toxic") == 0, 1.0).otherwise(0.0)
+    return table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(ok), 6).alias("ratio"))
+
+
+@query("SELECT n_regionkey, max(n_nationkey) AS n_nationkey FROM nation GROUP BY n_regionkey")
+def q_invert_map(spark, sf_dir):
+    """A map turned round, the last key of a value winning."""
+    entry = F.map_from_arrays(F.array("n_nationkey"), F.array("n_regionkey"))
+    each = table(spark, sf_dir, "nation").select(F.explode(entry).alias("key", "value"))
+    return each.groupBy(F.col("value").alias("n_regionkey")).agg(F.max("key").alias("n_nationkey"))
+
+
+@query("SELECT event_id, replace(props, 'k', 'key') AS props FROM events")
+def q_nested_replace(spark, sf_dir):
+    """A text replaced in the keys and values of a nested structure."""
+    swap = lambda c: F.replace(c, F.lit("k"), F.lit("key"))
+    parsed = F.from_json("props", "map<string,string>")
+    renamed = F.map_from_entries(F.transform(F.map_entries(parsed), lambda e: F.struct(swap(e["key"]).alias("key"), swap(e["value"]).alias("value"))))
+    shown = F.transform(F.map_entries(renamed), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"]))
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}")).alias("props"))
+
+
+TEMPLATE = [(1, 1, "{title}"), (2, 1, "Part"), (2, 2, "Status"), (3, 1, "{child[0]}"), (3, 2, "{child[1]:link_status}"), (4, 1, "Sum"), (4, 2, "=SUM(__A__)")]
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey AS page, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) - 1 AS nth FROM lineitem),
+n AS (SELECT page, count(*) AS n FROM i GROUP BY page)
+SELECT page, CAST(1 AS INTEGER) AS row, CAST(1 AS INTEGER) AS col, '{title}' AS text FROM n UNION ALL SELECT page, 2, 1, 'Part' FROM n UNION ALL SELECT page, 2, 2, 'Status' FROM n
+UNION ALL SELECT page, CAST(3 + nth AS INTEGER), 1, 'part ' || l_partkey FROM i
+UNION ALL SELECT page, CAST(3 + nth AS INTEGER), 2, CASE WHEN l_suppkey % 3 = 0 THEN 'unlinked' ELSE 'linked' END FROM i
+UNION ALL SELECT page, CAST(3 + n AS INTEGER), 1, 'Sum' FROM n UNION ALL SELECT page, CAST(3 + n AS INTEGER), 2, '=SUM(__A__)' FROM n"""
+)
+def q_export_grid(spark, sf_dir):
+    """An order's sheet: the template's child row once for each line item, the rows below moved down."""
+    template = spark.createDataFrame(TEMPLATE, "row int, col int, text string")
+    first = export.first_child_row(template).first()["first"]
+    order = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+    link = F.when(F.col("l_suppkey") % 3 == 0, "redlink").otherwise("x")
+    name = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
+    children = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("page"),
+        F.struct(*order).alias("ord"),
+        F.array(
+            F.struct(name.alias("text"), F.lit(None).cast("string").alias("link")), F.struct(F.lit("").alias("text"), link.alias("link"))
+        ).alias("cells"),
+    )
+    return export.grid(template, children, first)
+
+
+@query("SELECT l_orderkey, '=SUM(A3:A' || (2 + count(*)) || ')' AS formula FROM lineitem GROUP BY l_orderkey")
+def q_export_formula(spark, sf_dir):
+    sizes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return sizes.select("l_orderkey", export.fill_formula(F.lit("=SUM(__A__)"), F.lit("A"), F.lit(3), F.col("n")).alias("formula"))
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'fond ' || o_custkey WHEN 1 THEN 'opus ' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS sheet,
+'x' || strftime(o_orderdate, '%Y,%m,%d') AS day FROM orders"""
+)
+def q_export_sheetname(spark, sf_dir):
+    from ..functions.timefmt import day
+
+    kind = F.get(F.array(F.lit("archive"), F.lit("fond"), F.lit("opus")), (F.col("o_orderkey") % 3).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        export.sheet_name(kind, F.col("o_custkey").cast("string")).alias("sheet"),
+        F.concat(F.lit("x"), day(standard(F.col("o_orderdate")))).alias("day"),
+    )
+
+
+@query(
+    """SELECT p_partkey, 'child' AS name, CAST(p_size AS VARCHAR) AS index, CASE WHEN p_size % 2 = 0 THEN 'date' ELSE '' END AS modifier FROM part"""
+)
+def q_template_tokens(spark, sf_dir):
+    """Tokens of template cells."""
+    cell = F.concat(F.lit("see {child["), F.col("p_size").cast("string"), F.lit("]"), F.when(F.col("p_size") % 2 == 0, ":date").otherwise(""), F.lit("}."))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(export.tokens(cell)).alias("t")).select("p_partkey", "t.*")
+
+
+@query(
+    """SELECT event_id, last_value(CASE WHEN event_id % 4 = 1 THEN 'l' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id
+ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS link FROM events"""
+)
+def q_prop_last_link(spark, sf_dir):
+    """The last link of a row in all its cells."""
+    from ..operators.ops import last_link
+
+    link = F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("l"), F.col("event_id").cast("string")))
+    cells = table(spark, sf_dir, "events").select(F.col("user_id").alias("row"), F.col("event_id").alias("col"), link.alias("link"))
+    return last_link(cells).select(F.col("col").alias("event_id"), "link")
+
 

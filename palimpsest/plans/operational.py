@@ -1 +1,81 @@
+"""Rates, logs, progress, shared tasks; and streams with their batch twins."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.timefmt import standard
+from ..operators import ops
+from ..session import scratch_folder
+from ..streaming.watch import newest_version, rate_stream, watch_stream
+from .registry import query, table
+
+RATE = """WITH w AS (SELECT date_trunc('hour', ts) + INTERVAL (x * 600) SECOND - INTERVAL 3000 SECOND + INTERVAL (y * 0) SECOND AS start, ts FROM events, (SELECT unnest(range(0, 12)) AS x, 0 AS y) WHERE event_type = 'error'),
+v AS (SELECT start, count(*) AS events FROM w WHERE ts >= start AND ts < start + INTERVAL 3600 SECOND GROUP BY start)"""
+
+
+@query(f"{RATE} SELECT start, events, round(events / 3600.0, 9) AS rate FROM v")
+def q_fetch_rate_sliding(spark, sf_dir):
+    """Events of a sliding hour every ten minutes, and their rate a second."""
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return ops.sliding_rate(errors, "ts", 3600, 600).select("start", "events", F.round("rate", 9).alias("rate"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def q_log_tail(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return ops.tail(log, 100, "ts", "event_id").select("event_id", "event_type")
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 7 = 0")
+def q_sample_every_n(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return ops.every_nth(events, 7, "user_id", "event_id")
+
+
+@query("SELECT conv_id, round(100.0 * count(*) FILTER (role = 'user') / count(*), 1) AS pct FROM conversations GROUP BY conv_id")
+def q_progress_pct(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id")
+    return turns.agg(ops.percent(F.count(F.when(F.col("role") == "user", 1)), F.count("*")).alias("pct"))
+
+
+@query(
+    """SELECT event_type || user_id % 10 AS page, arg_min(event_id, (ts, event_id)) AS task, count(DISTINCT user_id) AS users FROM events GROUP BY 1"""
+)
+def q_task_dedupe(spark, sf_dir):
+    """One task for each page, shared by those who ask for it."""
+    page = F.concat("event_type", (F.col("user_id") % 10).cast("string"))
+    asks = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), page.alias("page"), "ts", F.col("event_id").alias("task"))
+    return ops.shared_tasks(asks)
+
+
+def _stream(spark, sf_dir, name):
+    """A table's file as a stream: a folder of one file."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+
+
+@query(f"{RATE} SELECT start, events FROM v")
+def s_rate_stream(spark, sf_dir):
+    """The sliding rate as a stream, run over what is there."""
+    name = f"rate_{uuid.uuid4().hex}"
+    errors = _stream(spark, sf_dir, "events").where("event_type = 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
+    run = rate_stream(errors, "ts", "1 hour", 3600, 600).writeStream.outputMode("complete").format("memory").queryName(name)
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "events")
+
+
+@query(
+    """SELECT 'u' || user_id AS address, strftime(max(ts), '%Y,%m,%d,%H:%M') AS modified, '2024' AS last_resolved FROM events GROUP BY user_id"""
+)
+def s_watch_stream(spark, sf_dir):
+    """The watch list as a stream of updates; the same rows as its batch twin."""
+    updates = _stream(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("address"), standard(F.col("ts")).alias("modified")
+    )
+    folder = scratch_folder(spark)
+    run = watch_stream(updates, f"{folder}/state", f"{folder}/checkpoint", "2024")
+    run.awaitTermination()
+    return newest_version(spark, f"{folder}/state", run.lastProgress["batchId"] if run.lastProgress else 0)
