@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: ASCII white space as every word pattern here takes it, for Java patterns and for translate().
 SPACE = r"[\x20\x09-\x0D]"
@@ -36,7 +37,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: it is computed once, outlives any executor and starts a new plan."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    # The shuffle files of this one write are of no more use after it.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

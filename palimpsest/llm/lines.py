@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, cut, table
-from .quality import let, words_of
 
 #: Cells that words are counted in; a word's rarity is its cell's count.
-CELLS = 1 << 16
+CELLS = 1 << 18
 #: Least Jaccard similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
+#: Classes with a word beyond which it is settled in rounds, and those rounds; they shape the work, never the result.
+HOT, ROUNDS = 512, 4
 
 
 def constant_array(values: list[int]) -> Column:
@@ -21,35 +22,43 @@ def constant_array(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
+def split_words(text: Column) -> Column:
+    """Words ``[^\\x20\\x09-\\x0D]+``, by a split at single spaces: cheaper than a search by a pattern."""
+    plain = F.when(text.rlike("[\\t\\n\\x0b\\x0c\\r]"), F.translate(text, "\t\n\x0b\x0c\r", "     ")).otherwise(text)
+    return F.array_remove(F.split(plain, " "), "")
+
+
 def rarities(texts: DataFrame) -> list[int]:
     """For each of CELLS cells of words, the count of all words of column ``t`` that fall in it, in eighths of a power of
     two. A fixed number of small integers, whatever the corpus."""
-    words = texts.select(F.explode(F.transform(words_of(F.col("t")), lambda w: F.pmod(F.xxhash64(w), F.lit(CELLS)))).alias("cell"))
-    counts = words.groupBy("cell").agg(F.count("*").alias("n")).collect()
+    words = texts.select(F.explode(split_words(F.col("t"))).alias("w"))
+    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int")
     found = [0] * CELLS
-    for r in counts:
+    for r in words.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect():
         found[r["cell"]] = min(255, int(8 * math.log2(r["n"] + 1)))
     return found
 
 
-def word_sets(line: Column, rarity: list[int]) -> Column:
-    """The distinct words of a line as 32-bit hashes, rarest first. The order is one for all lines: by the rarity of the
-    word's cell and then by its hash."""
+def word_keys(line: Column, rarity: list[int]) -> Column:
+    """The distinct words of a line as 63-bit keys in ascending order, rarest first: the rarity of the word's cell, then 55
+    bits of its hash. The order is one for all lines."""
     cells = constant_array(rarity)
-    ordered = F.sort_array(
-        F.array_distinct(
-            F.transform(
-                words_of(line),
-                lambda w: let(
-                    F.xxhash64(w),
-                    lambda h: F.shiftleft(F.get(cells, F.pmod(h, F.lit(CELLS)).cast("int")).cast("long"), 55).bitwiseOR(
-                        h.bitwiseAND(F.lit((1 << 55) - 1))
-                    ),
-                ),
-            )
-        )
+    hashes = F.transform(split_words(line), lambda w: F.xxhash64(w))
+    # Never null, so that the keys are sorted as primitive numbers.
+    rare = lambda h: F.coalesce(F.get(cells, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0))
+    keys = F.transform(
+        hashes, lambda h: F.shiftleft(rare(h).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1)))
+    )
+    return F.sort_array(F.array_distinct(keys))
+
+
+def parity(keys: Column) -> Column:
+    """64 bits, each flipped by the words that hash to it: sets that differ in d words differ in d bits at most."""
+    return F.aggregate(
+        keys,
+        F.lit(0).cast("long"),
+        lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))),
     )
-    return F.array_distinct(F.transform(ordered, lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("array<int>"))
 
 
 def least_overlap(n: Column, m: Column) -> Column:
@@ -63,74 +72,149 @@ def prefix_length(n: Column) -> Column:
     return (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
 
 
+def bits_apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"bits{a}").bitwiseXOR(F.col(f"bits{b}")))
+
+
+def may_match(a: str, b: str) -> Column:
+    """Length, positional and parity filters on columns n, i and bits with these endings, at a common word."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    return (
+        (DENOMINATOR * n >= NUMERATOR * m)
+        & (DENOMINATOR * m >= NUMERATOR * n)
+        & (bits_apart(a, b) <= n + m - 2 * least_overlap(n, m))
+        # At their first common word the words from there on must suffice.
+        & (F.least(n - F.col(f"i{a}"), m - F.col(f"i{b}")) >= least_overlap(n, m))
+    )
+
+
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, body, line_no, k, words): the lines with a word, with the hash of their text's body and their set."""
-    texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    """(doc_id, body, line_no, k1, k2, n, bits, p) of the lines with a word: the hash of the text's body, two hashes of the
+    set of words, its size and parity, and the rarest words of it that the filter needs."""
+    texts = whole_texts(docs, key, text)
     rarity = rarities(texts)
     lines = texts.select(
         "doc_id", F.xxhash64("t").alias("body"), F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line")
     )
-    lines = lines.where(F.translate("line", SPACE_CHARS, "") != "").select(
-        "doc_id", "body", "line_no", word_sets(F.col("line"), rarity).alias("words")
+    lines = lines.where(F.btrim("line", F.lit(SPACE_CHARS)) != "").select(
+        "doc_id", "body", "line_no", word_keys(F.col("line"), rarity).alias("keys")
+    )
+    n = F.size("keys")
+    low = F.transform(
+        F.slice("keys", F.lit(1), prefix_length(n)), lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)
     )
     return cut(
-        lines.withColumn("k1", F.xxhash64("words")).withColumn("k2", F.hash("words")), "lines"
+        lines.select(
+            "doc_id",
+            "body",
+            "line_no",
+            F.xxhash64("keys").alias("k1"),
+            F.hash("keys").alias("k2"),
+            n.alias("n"),
+            parity(F.col("keys")).alias("bits"),
+            low.cast("array<int>").alias("p"),
+        ),
+        "lines",
     )
 
 
-def line_verdicts(lines: DataFrame) -> DataFrame:
-    """(doc_id, body, line_no, n_words, kept) for each row of :func:`line_table`."""
-    place = F.struct("doc_id", "body", "line_no")
-    classes = cut(lines.groupBy("k1", "k2").agg(F.min(place).alias("first")), "line-classes")
-    firsts = lines.select("k1", "k2", "words", place.alias("place")).join(classes, ["k1", "k2"])
-    rows = (
-        firsts.where("place = first")
-        .select("k1", F.size("words").alias("n"), F.slice("words", 1, prefix_length(F.size("words"))).alias("p"))
-        .select("k1", "n", F.posexplode("p").alias("i", "word"))
-    )
-    a, b = rows.toDF("ka", "na", "ia", "word"), rows.toDF("kb", "nb", "ib", "word")
-    na, nb = F.col("na"), F.col("nb")
-    near = (
-        (F.col("ka") < F.col("kb"))
-        & (DENOMINATOR * na >= NUMERATOR * nb)
-        & (DENOMINATOR * nb >= NUMERATOR * na)
-        # At their first common word the words from there on must suffice.
-        & (F.least(na - F.col("ia"), nb - F.col("ib")) >= least_overlap(na, nb))
+def whole_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+
+
+def sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k1, words) of the classes in ``wanted`` (k1), read again from the texts of their first lines."""
+    places = classes.join(wanted, "k1", "left_semi").select("k1", F.col("first.body").alias("body"), F.col("first.line_no").alias("at"))
+    by_text = places.groupBy("body").agg(F.collect_list(F.struct("k1", "at")).alias("asked"))
+    # Equal texts are one here; the grouping and the join share one exchange of the texts.
+    bodies = texts.groupBy(F.xxhash64("t").alias("body")).agg(F.any_value("t").alias("t"))
+    lines = bodies.join(by_text, "body").select(F.split("t", "\n", -1).alias("lines"), "asked")
+    found = F.transform(
+        "asked",
+        lambda a: F.struct(
+            a["k1"].alias("k1"),
+            F.array_distinct(F.transform(split_words(F.get("lines", a["at"])), lambda w: F.hash(w))).alias("words"),
+        ),
     )
-    pairs = cut(
-        a.join(b, (a["word"] == b["word"]) & near).select("ka", "kb").distinct(), "line-pairs"
+    return cut(lines.select(F.explode(found).alias("s")).select("s.k1", "s.words"), "line-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(late) of the pairs (late, early) that reach the similarity."""
+    one = sets.select(F.col("k1").alias("late"), F.col("words").alias("wl"))
+    two = sets.select(F.col("k1").alias("early"), F.col("words").alias("we"))
+    shared = F.size(F.array_intersect("wl", "we"))
+    return (
+        pairs.join(one, "late").join(two, "early").where(shared >= least_overlap(F.size("wl"), F.size("we"))).select("late").distinct()
     )
-    sets = (
-        lines.select("k1", "k2", "words")
-        .join(pairs.select(F.explode(F.array("ka", "kb")).alias("k1")).distinct(), "k1", "left_semi")
-        .groupBy("k1", "k2")
-        .agg(F.min("words").alias("words"))
+
+
+def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k1) of the classes that have a similar class before them.
+
+    Words with more than HOT classes are settled first: in rounds, each unsettled class is compared with the first
+    unsettled class of each such word. What the rounds settle isn't compared with each other later; all other pairs are,
+    so no link is lost, and a large group of copies costs rows in proportion to its size.
+    """
+    order = F.struct("first.doc_id", "first.line_no", "k1")
+    rows = classes.select("k1", "n", "bits", F.posexplode("p").alias("i", "word"))
+    hot = cut(rows.groupBy("word").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select("word"), "hot-words")
+    settled = classes.select("k1").limit(0)
+    if not hot.isEmpty():
+        often = classes.select("k1", "n", "bits", order.alias("order"), F.posexplode("p").alias("i", "word"))
+        often = cut(often.join(hot, "word", "left_semi"), "hot-rows")
+        sets = sets_of(often.select("k1").distinct(), classes, texts)
+        for _ in range(ROUNDS):
+            open_rows = often.join(settled, "k1", "left_anti")
+            lead = F.min(F.struct("order", F.col("k1").alias("k1y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("bits").alias("bitsy")))
+            leads = cut(open_rows.groupBy("word").agg(lead.alias("lead")).select("word", "lead.k1y", "lead.ny", "lead.iy", "lead.bitsy"), "leads")
+            near = open_rows.join(leads, "word").where((F.col("k1") != F.col("k1y")) & may_match("", "y"))
+            best = near.groupBy(F.col("k1").alias("late")).agg(F.min_by("k1y", bits_apart("", "y")).alias("early"))
+            found = cut(verified(best, sets).select(F.col("late").alias("k1")), "settled")
+            if found.isEmpty():
+                break
+            settled = cut(settled.unionByName(found), "settled")
+    # The sign of n tells the settled.
+    marked = classes.join(settled.withColumn("done", F.lit(True)), "k1", "left")
+    rows = marked.select(
+        "k1", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).alias("n"), "bits", F.posexplode("p").alias("i", "word")
     )
-    sets = cut(sets.join(classes, ["k1", "k2"]), "line-sets")
-    one = sets.select(F.col("k1").alias("ka"), F.col("words").alias("wa"), F.col("first").alias("fa"), F.col("k2").alias("qa"))
-    two = sets.select(F.col("k1").alias("kb"), F.col("words").alias("wb"), F.col("first").alias("fb"), F.col("k2").alias("qb"))
-    alike = pairs.join(one, "ka").join(two, "kb").where(
-        F.size(F.array_intersect("wa", "wb")) >= least_overlap(F.size("wa"), F.size("wb"))
+    a, b = (rows.toDF(f"k{e}", f"s{e}", f"bits{e}", f"i{e}", "word").withColumn(f"n{e}", F.abs(f"s{e}")) for e in "xy")
+    near = (a["kx"] < b["ky"]) & ((a["sx"] > 0) | (b["sy"] > 0)) & may_match("x", "y")
+    pairs = a.join(b, (a["word"] == b["word"]) & near).select("kx", "ky", bits_apart("x", "y").alias("apart")).distinct()
+    places = classes.select("k1", order.alias("order"))
+    one, two = places.toDF("kx", "ox"), places.toDF("ky", "oy")
+    pairs = cut(pairs, "line-pairs").join(one, "kx").join(two, "ky")
+    first = F.col("ox") < F.col("oy")
+    pairs = pairs.select(
+        F.when(first, F.col("ky")).otherwise(F.col("kx")).alias("late"), F.when(first, F.col("kx")).otherwise(F.col("ky")).alias("early"), "apart"
     )
-    later = alike.select(
-        F.when(F.col("fa") < F.col("fb"), F.struct(F.col("kb").alias("k1"), F.col("qb").alias("k2")))
-        .otherwise(F.struct(F.col("ka").alias("k1"), F.col("qa").alias("k2")))
-        .alias("c")
-    ).select("c.*")
-    fates = cut(
-        classes.join(later.distinct().withColumn("late", F.lit(True)), ["k1", "k2"], "left").select(
-            "k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late")
+    pairs = cut(pairs.join(settled.select(F.col("k1").alias("late")), "late", "left_anti"), "line-pairs")
+    if pairs.isEmpty():
+        return settled
+    sets = sets_of(pairs.select(F.explode(F.array("late", "early")).alias("k1")).distinct(), classes, texts)
+    # The closest candidate of each class first; the others only where that one isn't similar.
+    best = pairs.groupBy("late").agg(F.min_by("early", F.struct("apart", "early")).alias("early"))
+    sure = cut(verified(best, sets), "late-lines")
+    rest = cut(verified(pairs.join(sure, "late", "left_anti"), sets), "late-lines")
+    return settled.unionByName(sure.unionByName(rest).select(F.col("late").alias("k1")))
+
+
+def line_verdicts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, body, line_no, n_words, kept) for each line with a word."""
+    lines = line_table(docs, key, text)
+    place = F.struct("doc_id", "line_no", "body")
+    classes = cut(
+        lines.groupBy("k1", "k2").agg(
+            F.min(place).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.any_value("p").alias("p")
         ),
-        "line-fates",
+        "line-classes",
     )
-    return lines.select("k1", "k2", "doc_id", "body", "line_no", F.size("words").alias("n_words")).join(
-        fates, ["k1", "k2"]
-    ).select(
-        "doc_id",
-        "body",
-        "line_no",
-        "n_words",
-        ((place == F.col("first")) & ~F.col("late")).alias("kept"),
+    late = late_classes(classes, whole_texts(docs, key, text)).withColumn("late", F.lit(True))
+    fates = cut(classes.join(late, "k1", "left").select("k1", "k2", "first", F.col("late").isNotNull().alias("late")), "line-fates")
+    found = lines.select("k1", "k2", "doc_id", "body", "line_no", "n").join(fates, ["k1", "k2"])
+    return found.select(
+        "doc_id", "body", "line_no", F.col("n").alias("n_words"), ((place == F.col("first")) & ~F.col("late")).alias("kept")
     )
 
 
@@ -138,12 +222,12 @@ def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """A row for each line with a word: key, line_no (from 0), n_words (distinct), kept.
 
     Lines are sets of their words ``[^\\x20\\x09-\\x0D]+``. A line goes if an earlier line, of any document, has a Jaccard
-    similarity of 4/5 or more with it, whether that one stays or not; earlier is by key (nulls first), hash of the text,
-    line_no. Words are compared by 32-bit hashes. Lines without a word are never compared and stay, so null and empty
+    similarity of 4/5 or more with it, whether that one stays or not; earlier is by key (nulls first), line_no, and then a
+    hash. Words are compared by 32-bit hashes. Lines without a word are never compared and stay, so null and empty
     texts give no rows. Rows with equal key and text are one document: they get the same verdicts. Other columns are
     ignored; an empty table gives an empty result.
     """
-    return line_verdicts(line_table(docs, key, text)).select(
+    return line_verdicts(docs, key, text).select(
         F.col("doc_id").alias(key), F.col("line_no").cast("long").alias("line_no"), F.col("n_words").cast("long").alias("n_words"), "kept"
     ).distinct()
 
@@ -157,7 +241,7 @@ def drop_later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     k, t = f"c{names.index(key)}", f"c{names.index(text)}"
     gone = (
-        line_verdicts(line_table(plain, k, t))
+        line_verdicts(plain, k, t)
         .where("not kept")
         .groupBy("doc_id", "body")
         .agg(F.collect_set("line_no").alias("gone"))
