@@ -190,7 +190,7 @@ def q_watch_migrate_v1(spark, sf_dir):
     return moved.select("address", "version", "modified", shown.alias("resolved"))
 
 
-@query(f"WITH {STATE} SELECT rtrim(replace(address, ',_,', '-_/'), ',') AS path FROM s WHERE kind = 2")
+@query(f"WITH {STATE} SELECT replace(replace(rtrim(address, ','), ',_', '-_'), ',', '/') AS path FROM s WHERE kind = 2")
 def q_watch_tree(spark, sf_dir):
     """Open addresses as paths of a tree: the sub-archive joins the archive."""
     u = updates(spark, sf_dir).where("k % 3 = 2")

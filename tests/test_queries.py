@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from palimpsest import plans
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if hasattr(value, "item"):
         value = value.item()
