@@ -151,23 +151,21 @@ def mix(
         before = F.sum("sum").over(
             Window.partitionBy(*path).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         )
-        ends = cut(
+        found = (
             sums.withColumn("before", F.coalesce(before, F.lit(0)))
             .where((F.col("before") <= F.col("room")) & (F.col("before") + F.col("sum") > F.col("room")))
-            .select(*path, F.col("slice").alias("end"), (F.col("room") - F.col("before")).alias("room"), "n"),
-            "mix-ends",
+            .select(*path, F.col("slice").alias("end"), (F.col("room") - F.col("before")).alias("room"), "n")
+            .collect()
         )
-        if (ends.agg(F.max("n")).first()[0] or 0) <= FEW:
+        # A row for each leaf, as the plan has: small by its known size, so documents aren't dealt by leaf to meet it.
+        ends = spark.createDataFrame(found, ", ".join([*[f"{p} string" for p in path], "end long, room long, n long"]))
+        if max((r["n"] for r in found), default=0) <= FEW:
             break
     inside = ordered.join(ends, path).where(F.shiftrightunsigned("rank", 64 - bits) == F.col("end"))
     within = F.sum("tokens").over(Window.partitionBy(*path).orderBy("rank").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    stop = cut(
-        inside.withColumn("upto", within)
-        .where(F.col("upto") > F.col("room"))
-        .groupBy(*path)
-        .agg(F.min("rank").alias("stop")),
-        "mix-stops",
-    )
+    stop = inside.withColumn("upto", within).where(F.col("upto") > F.col("room")).groupBy(*path)
+    stop = stop.agg(F.min("rank").alias("stop")).collect()
+    stop = spark.createDataFrame(stop, ", ".join([*[f"{p} string" for p in path], "stop long"]))
     # Ranks are compared as unsigned numbers, as slices are.
     chosen = described.join(plan.join(stop, path, "left"), path)
     unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
