@@ -52,13 +52,14 @@ def word_keys(line: Column, rarity: list[int]) -> Column:
     return F.sort_array(F.array_distinct(keys))
 
 
-def parity(keys: Column) -> Column:
-    """64 bits, each flipped by the words that hash to it: sets that differ in d words differ in d bits at most."""
-    return F.aggregate(
-        keys,
-        F.lit(0).cast("long"),
-        lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))),
-    )
+def parity(keys: Column, lane: int) -> Column:
+    """64 of 128 bits, each flipped by the words that hash to it: sets that differ in d words differ in d bits at most."""
+
+    def flip(k: Column) -> Column:
+        mine = F.shiftright(k, 6).bitwiseAND(F.lit(1))
+        return F.call_function("shiftleft", mine if lane else mine.bitwiseXOR(F.lit(1)), k.bitwiseAND(F.lit(63)).cast("int"))
+
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(flip(k)))
 
 
 def least_overlap(n: Column, m: Column) -> Column:
@@ -73,11 +74,11 @@ def prefix_length(n: Column) -> Column:
 
 
 def bits_apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"bits{a}").bitwiseXOR(F.col(f"bits{b}")))
+    return sum(F.bit_count(F.col(f"{lane}{a}").bitwiseXOR(F.col(f"{lane}{b}"))) for lane in ("bits", "more"))
 
 
 def may_match(a: str, b: str) -> Column:
-    """Length, positional and parity filters on columns n, i and bits with these endings, at a common word."""
+    """Length, positional and parity filters on columns n, i, bits and more with these endings, at a common word."""
     n, m = F.col(f"n{a}"), F.col(f"n{b}")
     return (
         (DENOMINATOR * n >= NUMERATOR * m)
@@ -89,7 +90,7 @@ def may_match(a: str, b: str) -> Column:
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, body, line_no, k1, k2, n, bits, p) of the lines with a word: the hash of the text's body, two hashes of the
+    """(doc_id, body, line_no, k1, k2, n, bits, more, p) of the lines with a word: the hash of the text's body, two hashes of the
     set of words, its size and parity, and the rarest words of it that the filter needs."""
     texts = whole_texts(docs, key, text)
     rarity = rarities(texts)
@@ -111,7 +112,8 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             F.xxhash64("keys").alias("k1"),
             F.hash("keys").alias("k2"),
             n.alias("n"),
-            parity(F.col("keys")).alias("bits"),
+            parity(F.col("keys"), 0).alias("bits"),
+            parity(F.col("keys"), 1).alias("more"),
             low.cast("array<int>").alias("p"),
         ),
         "lines",
@@ -157,17 +159,17 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     so no link is lost, and a large group of copies costs rows in proportion to its size.
     """
     order = F.struct("first.doc_id", "first.line_no", "k1")
-    rows = classes.select("k1", "n", "bits", F.posexplode("p").alias("i", "word"))
+    rows = classes.select("k1", F.explode("p").alias("word"))
     hot = cut(rows.groupBy("word").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select("word"), "hot-words")
     settled = classes.select("k1").limit(0)
     if not hot.isEmpty():
-        often = classes.select("k1", "n", "bits", order.alias("order"), F.posexplode("p").alias("i", "word"))
+        often = classes.select("k1", "n", "bits", "more", order.alias("order"), F.posexplode("p").alias("i", "word"))
         often = cut(often.join(hot, "word", "left_semi"), "hot-rows")
         sets = sets_of(often.select("k1").distinct(), classes, texts)
         for _ in range(ROUNDS):
             open_rows = often.join(settled, "k1", "left_anti")
-            lead = F.min(F.struct("order", F.col("k1").alias("k1y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("bits").alias("bitsy")))
-            leads = cut(open_rows.groupBy("word").agg(lead.alias("lead")).select("word", "lead.k1y", "lead.ny", "lead.iy", "lead.bitsy"), "leads")
+            lead = F.min(F.struct("order", F.col("k1").alias("k1y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("bits").alias("bitsy"), F.col("more").alias("morey")))
+            leads = cut(open_rows.groupBy("word").agg(lead.alias("lead")).select("word", "lead.k1y", "lead.ny", "lead.iy", "lead.bitsy", "lead.morey"), "leads")
             near = open_rows.join(leads, "word").where((F.col("k1") != F.col("k1y")) & may_match("", "y"))
             best = near.groupBy(F.col("k1").alias("late")).agg(F.min_by("k1y", bits_apart("", "y")).alias("early"))
             found = cut(verified(best, sets).select(F.col("late").alias("k1")), "settled")
@@ -177,9 +179,9 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     # The sign of n tells the settled.
     marked = classes.join(settled.withColumn("done", F.lit(True)), "k1", "left")
     rows = marked.select(
-        "k1", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).alias("n"), "bits", F.posexplode("p").alias("i", "word")
+        "k1", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).alias("n"), "bits", "more", F.posexplode("p").alias("i", "word")
     )
-    a, b = (rows.toDF(f"k{e}", f"s{e}", f"bits{e}", f"i{e}", "word").withColumn(f"n{e}", F.abs(f"s{e}")) for e in "xy")
+    a, b = (rows.toDF(f"k{e}", f"s{e}", f"bits{e}", f"more{e}", f"i{e}", "word").withColumn(f"n{e}", F.abs(f"s{e}")) for e in "xy")
     near = (a["kx"] < b["ky"]) & ((a["sx"] > 0) | (b["sy"] > 0)) & may_match("x", "y")
     pairs = a.join(b, (a["word"] == b["word"]) & near).select("kx", "ky", bits_apart("x", "y").alias("apart")).distinct()
     places = classes.select("k1", order.alias("order"))
@@ -206,7 +208,7 @@ def line_verdicts(docs: DataFrame, key: str, text: str) -> DataFrame:
     place = F.struct("doc_id", "line_no", "body")
     classes = cut(
         lines.groupBy("k1", "k2").agg(
-            F.min(place).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.any_value("p").alias("p")
+            F.min(place).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("more").alias("more"), F.any_value("p").alias("p")
         ),
         "line-classes",
     )
