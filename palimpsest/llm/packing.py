@@ -1,4 +1,4 @@
-"""Packing by lexical retrieval: a sharded BM25 index names the unused neighbours that fill a seed's window."""
+"""Packing by lexical retrieval: a BM25 index over all documents names the unused neighbours that fill a seed's window."""
 
 from __future__ import annotations
 
@@ -7,17 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 from .tokens import encoder, vocabulary
 
 WINDOW = 1024
-#: Documents of one shard of the index, on average; a shard is a task's unit of work and of memory.
+#: Open sequences and tails that the last task fills one after another; above that they meet in rounds.
 SHARD = 1500
-#: Rarest terms of a seed that query the index.
-QUERY_TERMS = 24
+#: Open sequences and free tails of one tile of the search.
+SEEDS, FREE = 2048, 4096
+#: Ids with more than this share of the documents are scored by a matrix product, the others by their postings.
+DENSE = 0.03
+#: A sequence asks for neighbours that would fill REACH times its room or more, as others may win some of them; the fewer
+#: sequences are open the more, so that a round has about ASKED times as many neighbours as fill a sequence.
+REACH, ASKED = 8, 1 << 18
+#: Cells of the hash by which seeds are drawn.
+CELLS = 1 << 12
 K1, B = 1.2, 0.75
 
 PIECES = (
@@ -28,58 +35,74 @@ PIECES = (
 def split_documents(
     docs: DataFrame, path: str, window: int = WINDOW, key: str = "doc_id", text: str = "text", ids: bool = False
 ) -> DataFrame:
-    """(uid, doc_id, tokens, crcs, full, tail): a row for each document. Its ids are cut into whole windows, of which
-    the check sums (and with ``ids`` the ids) are kept, and a tail that is shorter than a window."""
+    """(uid, doc_id, tokens, crcs, first, full, tail, terms, times, width): a row for each document. Its ids are cut into
+    whole windows, of which the check sums (and with ``ids`` the ids) are kept, and a tail that is shorter than a window.
+    Terms are the distinct ids of the tail, with how often each occurs; first counts the windows before, by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        width = "<u2" if enc.whole.get_vocab_size() <= 1 << 16 else "<u4"
+        small = enc.whole.get_vocab_size() <= 1 << 16
+        before = 0
         for batch in batches:
-            tokens, crcs, full, tails = [], [], [], []
+            tokens, crcs, first, full, tails, terms, times, widths = [], [], [], [], [], [], [], []
             for body in batch.column(1):
                 found = enc.document(body.as_py())
                 whole = len(found) // (4 * window) * 4 * window
                 tokens.append(len(found) // 4)
                 crcs.append([zlib.crc32(found[i : i + 4 * window]) for i in range(0, whole, 4 * window)])
                 full.append(found[:whole] if ids else None)
+                first.append(before)
+                before += whole // (4 * window)
+                term, n = np.unique(np.frombuffer(found[whole:], "<u4"), return_counts=True)
+                width = "<u2" if small and n.max(initial=0) < 1 << 16 else "<u4"
                 tails.append(np.frombuffer(found[whole:], "<u4").astype(width).tobytes())
+                terms.append(term.astype(width).tobytes())
+                times.append(n.astype(width).tobytes())
+                widths.append(int(width[-1]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(tokens, pa.int64()),
                     pa.array(crcs, pa.list_(pa.int64())),
+                    pa.array(first, pa.int64()),
                     pa.array(full, pa.binary()),
                     pa.array(tails, pa.binary()),
-                    pa.array([int(width[-1])] * len(tails), pa.int32()),
+                    pa.array(terms, pa.binary()),
+                    pa.array(times, pa.binary()),
+                    pa.array(widths, pa.int32()),
                 ],
-                names=["doc_id", "tokens", "crcs", "full", "tail", "width"],
+                names=["doc_id", "tokens", "crcs", "first", "full", "tail", "terms", "times", "width"],
             )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    split = rows.mapInArrow(run, "doc_id long, tokens long, crcs array<long>, full binary, tail binary, width int")
-    return cut(split.withColumn("uid", F.monotonically_increasing_id()), "split")
+    split = rows.mapInArrow(
+        run,
+        "doc_id long, tokens long, crcs array<long>, first long, full binary, tail binary, terms binary, times binary, width int",
+    )
+    task = F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    return cut(split.withColumn("uid", F.monotonically_increasing_id()).withColumn("first", task + F.col("first")), "split")
 
 
-def term_statistics(split: DataFrame) -> tuple[np.ndarray, int, float]:
+def term_statistics(split: DataFrame, window: int = WINDOW) -> tuple[np.ndarray, int, float]:
     """(documents with each id, documents, mean length) over all tails. One number for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, np.int64)
         n = length = 0
         for batch in batches:
-            for tail, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.unique(np.frombuffer(tail, f"<u{width}"))
+            for terms, tokens, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = np.frombuffer(terms, f"<u{width}")
                 if len(found):
                     if found[-1] >= len(counts):
                         counts = np.r_[counts, np.zeros(int(found[-1]) + 1, np.int64)]
                     counts[found] += 1
-                    n, length = n + 1, length + len(tail) // width
+                    n, length = n + 1, length + tokens % window
         terms = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[terms, -1, -2]), pa.array(np.r_[counts[terms], n, length])], names=["term", "n"]
         )
 
-    rows = split.select("tail", "width").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = split.select("terms", "tokens", "width").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = {r["term"]: r["n"] for r in rows.collect()}  # bounded by the vocabulary
     n, length = found.pop(-1, 0), found.pop(-2, 0)
     counts = np.zeros(max(found, default=0) + 1, np.int64)
@@ -88,32 +111,30 @@ def term_statistics(split: DataFrame) -> tuple[np.ndarray, int, float]:
 
 
 class Shard:
-    """A BM25 index over some tails."""
+    """A BM25 index over some documents."""
 
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.n = len(tails)
-        sizes = np.array([len(t) for t in tails])
+    def __init__(self, bags: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.n = len(bags)
+        sizes = np.array([len(t) for t in bags])
         doc = np.repeat(np.arange(self.n), sizes)
-        term = np.concatenate(tails).astype(np.int64) if self.n else np.zeros(0, np.int64)
+        term = np.concatenate(bags).astype(np.int64) if self.n else np.zeros(0, np.int64)
         posting, tf = np.unique(term * self.n + doc, return_counts=True) if self.n else (term, term)
         self.term, self.doc = posting // max(self.n, 1), posting % max(self.n, 1)
         norm = K1 * (1 - B + B * sizes / (mean or 1.0))
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
         first = np.flatnonzero(np.r_[True, self.term[1:] != self.term[:-1]]) if len(self.term) else self.term
         bounds = np.r_[first, len(self.term)]
-        start, end = np.zeros(len(self.term), np.int64), np.zeros(len(self.term), np.int64)
         run = np.repeat(np.arange(len(first)), np.diff(bounds))
         start, end = bounds[run], bounds[run + 1]
-        # By document, the rarest terms that another document has too; ids break ties.
+        # By document, the terms that another document has too.
         shared = np.flatnonzero(end - start > 1)
-        order = shared[np.lexsort((self.term[shared], -idf[self.term[shared]], self.doc[shared]))]
+        order = shared[np.lexsort((self.term[shared], self.doc[shared]))]
         self.start, self.end = start[order], end[order]
         self.of = np.searchsorted(self.doc[order], np.arange(self.n + 1))
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document of the shard for the rarest terms of ``doc``."""
-        at = range(self.of[doc], min(self.of[doc + 1], self.of[doc] + QUERY_TERMS))
-        spans = [slice(self.start[i], self.end[i]) for i in at]
+        """BM25 of every document of the shard for all terms of ``doc``."""
+        spans = [slice(self.start[i], self.end[i]) for i in range(self.of[doc], self.of[doc + 1])]
         if not spans:
             return np.zeros(self.n)
         return np.bincount(
@@ -123,40 +144,248 @@ class Shard:
         )
 
 
-def fill(tails: list[np.ndarray], shard: Shard, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def fill(
+    tails: list, shard: Shard, window: int = WINDOW, begun: dict[int, int] | None = None
+) -> list[list[tuple[int, int, int]]]:
     """Sequences of (tail, start, length). A seed opens a sequence; its best unused neighbours follow until it is full, and
     then the next unused tails in order. What is left of the last one is the next seed, so only the last sequence of a
-    shard is short."""
+    shard is short. ``begun`` has the room of sequences that are open already, by the position of their seed, which is
+    none of the tails to place; they come first, without their seed, and their rests wait for a sequence."""
+    begun = begun or {}
     sizes = [len(t) for t in tails]
-    left = [i for i in range(len(tails)) if sizes[i]]
+    starts = [0] * len(tails)
+    left = [i for i in range(len(tails)) if sizes[i] and i not in begun]
     free = np.zeros(len(tails), bool)
     free[left] = True
     following = iter(left)
-    sequences, at, seed = [], 0, next(following, None)
-    while seed is not None:
-        free[seed] = False
-        pieces, room = [(seed, at, min(sizes[seed] - at, window))], window
-        room -= pieces[0][2]
-        cut_at = None
-        if room:
-            scores = np.where(free, shard.scores(seed), 0.0)
+    sequences = []
+
+    def neighbours(seed: int, room: int, pieces: list[tuple[int, int, int]]) -> int | None:
+        """Appends to pieces; gives the tail of which something is left."""
+        nonlocal following
+        scores = np.where(free, shard.scores(seed), 0.0) if room else None
         while room:
             best = int(scores.argmax())
             if scores[best] <= 0:
                 best = next((i for i in following if free[i]), None)
                 if best is None:
-                    break
+                    return None
             free[best], scores[best] = False, 0.0
-            take = min(sizes[best], room)
-            pieces.append((best, 0, take))
+            take = min(sizes[best] - starts[best], room)
+            pieces.append((best, starts[best], take))
             room -= take
-            if take < sizes[best]:
-                cut_at = (best, take)
+            starts[best] += take
+            if starts[best] < sizes[best]:
+                return best
+        return None
+
+    for seed, room in begun.items():
+        sequences.append([])
+        rest = neighbours(seed, room, sequences[-1])
+        if rest is not None:
+            free[rest] = True
+        following = iter(left)
+    seed = next((i for i in following if free[i]), None)
+    while seed is not None:
+        free[seed] = False
+        pieces = [(seed, starts[seed], sizes[seed] - starts[seed])]
         sequences.append(pieces)
-        seed, at = cut_at or (next((i for i in following if free[i]), None), 0)
+        rest = neighbours(seed, window - pieces[0][2], pieces)
+        seed = rest if rest is not None else next((i for i in following if free[i]), None)
     return sequences
 
 
+def bag(terms: bytes, times: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(terms, f"<u{width}").astype(np.int64), np.frombuffer(times, f"<u{width}").astype(np.int64)
+
+
+def best_of_tile(
+    seeds: list[np.ndarray],
+    needs: np.ndarray,
+    turns: np.ndarray,
+    docs: list[tuple[np.ndarray, np.ndarray]],
+    sizes: np.ndarray,
+    idf: np.ndarray,
+    mean: float,
+    dense: np.ndarray,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each seed the positions and scores of its best documents, as many as hold ``needs`` ids. All terms count:
+    those with a column in ``dense`` by a matrix product, the others by postings. Scores are compared in 16 bits of
+    mantissa, since sums in another order differ below; equal ones are taken from a turn of the seed's own on."""
+    n, columns = len(docs), int(dense.max(initial=-1)) + 1
+    counts = [len(t) for t, _ in docs]
+    term, tf = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
+    doc = np.repeat(np.arange(n), counts)
+    lengths = np.array([d[1].sum() for d in docs])
+    norm = K1 * (1 - B + B * lengths / (mean or 1.0))
+    weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+    often = dense[term] >= 0
+    matrix = np.zeros((columns, n), np.float32)
+    matrix[dense[term[often]], doc[often]] = weight[often]
+    term, doc, weight = term[~often], doc[~often], weight[~often]
+    order = np.argsort(term, kind="stable")
+    doc, weight = doc[order], weight[order]
+    bounds = np.zeros(len(idf) + 1, np.int64)
+    np.cumsum(np.bincount(term, minlength=len(idf)), out=bounds[1:])
+    for at in range(0, len(seeds), 256):
+        some = seeds[at : at + 256]
+        asked = np.zeros((len(some), columns), np.float32)
+        for i, terms in enumerate(some):
+            c = dense[terms]
+            asked[i, c[c >= 0]] = 1
+        scores = asked @ matrix
+        for i, terms in enumerate(some):
+            rare = terms[dense[terms] < 0]
+            start, many = bounds[rare], bounds[rare + 1] - bounds[rare]
+            where = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+            row = scores[i] + np.bincount(doc[where], weight[where], minlength=n).astype(np.float32)
+            row = (row.view(np.int32) & ~0x7F).view(np.float32)
+            k = 16
+            while True:
+                k = min(k, n)
+                least = np.partition(row, n - k)[n - k]
+                above, equal = np.flatnonzero(row > least), np.flatnonzero(row == least)
+                equal = np.roll(equal, -np.searchsorted(equal, turns[at + i] % n))
+                found = np.r_[above[np.argsort(-row[above], kind="stable")], equal[: k - len(above)]]
+                held = np.cumsum(sizes[found])
+                if k == n or held[-1] >= needs[at + i]:
+                    break
+                k *= 2
+            found = found[: np.searchsorted(held, needs[at + i]) + 1]
+            yield found, row[found]
+
+
+ASKS = "seq long, uid long, score float"
+
+
+def search(
+    seeds: DataFrame, free: DataFrame, bags: DataFrame, n_seeds: int, n_free: int, idf, dense, mean: float, reach: int
+) -> DataFrame:
+    """(seq, uid, score): the best of all free tails for each open sequence. Every tile of open sequences meets every
+    tile of free tails, so nothing is out of a sequence's reach."""
+    across, down = max(1, -(-n_free // FREE)), max(1, -(-n_seeds // SEEDS))
+
+    def dealt(rows: DataFrame, own: int, other: int, seed: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("uid"), F.lit(own)).cast("long")
+        met = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))
+        rows = rows.join(bags, "uid").withColumn("mine", mine).withColumn("met", met)
+        tile = F.col("mine") * across + F.col("met") if seed else F.col("met") * across + F.col("mine")
+        ids = F.col("room") if seed else F.col("size")
+        return rows.select(tile.alias("tile"), F.lit(seed).alias("seed"), "uid", ids.alias("ids"), "terms", "times", "width")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("seed", "descending"), ("uid", "ascending")])
+        uid, ids = (np.asarray(group.column(c).to_numpy()) for c in ("uid", "ids"))
+        n = int(np.asarray(group.column("seed").to_numpy(zero_copy_only=False)).sum())
+        out = []
+        if 0 < n < len(uid):
+            both = [bag(*r) for r in zip(*(group.column(c).to_pylist() for c in ("terms", "times", "width")), strict=True)]
+            turns = (uid[:n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            tile = best_of_tile(
+                [b[0] for b in both[:n]], reach * ids[:n], turns.astype(np.int64), both[n:], ids[n:], idf.value, mean, dense.value
+            )
+            out = [(np.full(len(found), uid[i]), uid[n:][found], score) for i, (found, score) in enumerate(tile)]
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out or [empty], strict=True)], names=["seq", "uid", "score"])
+
+    tiles = dealt(seeds, down, across, True).unionByName(dealt(free, across, down, False))
+    return tiles.groupBy("tile").applyInArrow(run, ASKS)
+
+
+def draw_seeds(free: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the free tails, by whole cells of a hash."""
+    cell = F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(CELLS))
+    sizes = dict(free.groupBy(cell.alias("cell")).count().collect())  # CELLS rows
+    until = taken = 0
+    while until < CELLS and taken + sizes.get(until, 0) <= most:
+        taken += sizes.get(until, 0)
+        until += 1
+    if not taken:  # the first cells hold more than is asked for
+        return free.orderBy(F.xxhash64("uid", F.lit(1)), "uid").limit(1)
+    return free.where(cell < until)
+
+
+PLACES = "uid long, start long, length long, seq long, offset long"
+
+
+def place(split: DataFrame, idf, dense, mean: float, window: int) -> DataFrame:
+    """(uid, start, length, seq, offset): where the ids of every tail go; start counts in the tail and seq is the seed's
+    uid.
+
+    As many sequences are open as the ids fill. In a round each asks for its best free tails among all; a tail goes to
+    the sequence that puts it first, by score among equals, and a sequence takes what it has won, best first, until it is full. The rest of the
+    last one is free again. When SHARD rows are left one task ends the work.
+    """
+    bags = split.select("uid", "terms", "times", "width")
+    whole = split.select("uid", F.lit(0).cast("long").alias("at"), (F.length("tail") / F.col("width")).cast("long").alias("size"))
+    free = whole.where("size > 0")
+    opened = free.select("uid", F.col("size").alias("room"), F.col("size").alias("offset")).limit(0)
+    places = []
+    while True:
+        n_free, ids = free.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        n_open, room = opened.agg(F.count("*"), F.coalesce(F.sum("room"), F.lit(0))).first()
+        ids += n_open * window - room
+        if n_free + n_open <= SHARD or ids < window:
+            break
+        more = ids // window - n_open
+        if more > 0:
+            seeds = cut(draw_seeds(free, more), "seeds")
+            size = F.col("size")
+            places.append(seeds.select("uid", F.col("at").alias("start"), size.alias("length"), F.col("uid").alias("seq"), F.lit(0).cast("long").alias("offset")))
+            opened = cut(opened.unionByName(seeds.select("uid", (window - size).alias("room"), size.alias("offset"))), "opened")
+            free = free.join(seeds.select("uid"), "uid", "left_anti")
+            n_open, n_free = opened.count(), free.count()
+        reach = max(REACH, ASKED // n_open)
+        found = search(opened, free, bags, n_open, n_free, idf, dense, mean, reach)
+        found = found.join(opened.withColumnRenamed("uid", "seq"), "seq").join(free, "uid")
+        by_score = Window.partitionBy("seq").orderBy(F.desc("score"), F.xxhash64("seq", "uid"))
+        before = F.coalesce(F.sum("size").over(by_score.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        asks = found.withColumn("before", before).withColumn("rank", F.row_number().over(by_score)).where(F.col("before") < reach * F.col("room"))
+        # Seeds of many terms score high everywhere, so scores of two sequences compare only at one place of their lists.
+        rank = F.struct(-F.col("rank"), "score", F.xxhash64("seq", "uid"))
+        won = asks.groupBy("uid").agg(F.max_by(F.struct("seq", "score", "room", "offset", "at", "size"), rank).alias("w"))
+        won = won.select("uid", "w.*").withColumn("before", before).where("before < room")
+        length = F.least(F.col("size"), F.col("room") - F.col("before"))
+        taken = cut(
+            won.select("uid", F.col("at").alias("start"), length.alias("length"), "seq", (F.col("offset") + F.col("before")).alias("offset")),
+            "taken",
+        )
+        places.append(taken)
+        got = taken.groupBy(F.col("seq").alias("uid")).agg(F.sum("length").alias("got"))
+        gain = F.coalesce("got", F.lit(0))
+        opened = cut(opened.join(got, "uid", "left").select("uid", (F.col("room") - gain).alias("room"), (F.col("offset") + gain).alias("offset")).where("room > 0"), "opened")
+        lost = F.coalesce("length", F.lit(0))
+        free = cut(
+            free.join(taken.select("uid", "length"), "uid", "left")
+            .select("uid", (F.col("at") + lost).alias("at"), (F.col("size") - lost).alias("size"))
+            .where("size > 0"),
+            "free",
+        )
+
+    def finish(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("seed", "descending"), ("uid", "ascending")])
+        rows = group.to_pylist()
+        shard = Shard([np.repeat(*bag(r["terms"], r["times"], r["width"])) for r in rows], idf.value, mean)
+        begun = {i: r["ids"] for i, r in enumerate(rows) if r["seed"]}
+        out = []
+        for k, pieces in enumerate(fill([range(r["ids"]) for r in rows], shard, window, begun)):
+            seq = rows[k]["uid"] if k < len(begun) else rows[pieces[0][0]]["uid"]
+            offset = rows[k]["at"] if k < len(begun) else 0
+            for i, at, size in pieces:
+                out.append((rows[i]["uid"], rows[i]["at"] + at, size, seq, offset))
+                offset += size
+        names = [x.split()[0] for x in PLACES.split(", ")]
+        return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names=names)
+
+    last = opened.select("uid", F.col("offset").alias("at"), F.col("room").alias("ids"), F.lit(True).alias("seed"))
+    last = last.unionByName(free.select("uid", "at", F.col("size").alias("ids"), F.lit(False).alias("seed")))
+    places.append(last.join(bags, "uid").withColumn("one", F.lit(0)).groupBy("one").applyInArrow(finish, PLACES))
+    found = places[0]
+    for p in places[1:]:
+        found = found.unionByName(p)
+    return found
+
+
 def pack(
     docs: DataFrame,
     path: str | None = None,
@@ -168,47 +397,40 @@ def pack(
     """Pieces of documents in sequences of at most ``window`` ids, with their ids if ``ids``.
 
     Every document is its ids and an end id; a null or empty text is the end id alone. Whole windows of a long document
-    are sequences of their own; tails are packed by shards of about SHARD documents. Shards are dealt by a hash of the
-    row, so equal, hot and null keys spread evenly. Rows that repeat are packed as often as they occur. Other columns of
-    docs are ignored; an empty table gives an empty result. ``sequence_id`` counts within a shard, with the shard's
-    number in its upper 32 bits.
+    are sequences of their own; tails are packed with the tails of their best neighbours in the whole table, by all terms
+    of the tails. Equal and null keys are separate documents. Rows that repeat are packed as often as they occur.
+    Other columns of docs are ignored; an empty table gives an empty result. ``sequence_id`` of a whole window counts
+    within a task, with the task's number above 33 bits; that of packed tails is negative.
     """
     split = split_documents(docs, path or vocabulary(), window, key, text, ids)
-    df, n, mean = term_statistics(split)
-    idf = split.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
-    shards = max(1, -(-split.count() // SHARD))
+    df, n, mean = term_statistics(split, window)
+    often = np.flatnonzero(df > DENSE * n)
+    columns = np.full(len(df), -1, np.int64)
+    columns[often] = np.arange(len(often))
+    context = split.sparkSession.sparkContext
+    idf, dense = context.broadcast(np.log1p((n - df + 0.5) / (df + 0.5))), context.broadcast(columns)
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("uid")
-        keys, tokens, crcs = (group.column(c).to_pylist() for c in ("doc_id", "tokens", "crcs"))
-        tails = [
-            np.frombuffer(t, f"<u{w}").astype("<u4")
-            for t, w in zip(group.column("tail").to_pylist(), group.column("width").to_pylist(), strict=True)
-        ]
-        full = group.column("full").to_pylist()
-        first = group.column("shard")[0].as_py() << 32
-        out = []
-        for i, sums in enumerate(crcs):
-            for j, crc in enumerate(sums):
-                body = full[i][4 * window * j : 4 * window * (j + 1)] if ids else None
-                out.append((keys[i], j * window, window, crc, tokens[i], first + len(out), 0, body))
-        number = first + len(out)
-        for pieces in fill(tails, Shard(tails, idf.value, mean), window):
-            offset = 0
-            for i, at, size in pieces:
-                body = tails[i][at : at + size].tobytes()
-                start = tokens[i] - len(tails[i]) + at
-                out.append(
-                    (keys[i], start, size, zlib.crc32(body), tokens[i], number, offset, body if ids else None)
-                )
-                offset += size
-            number += 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (*[pa.int64()] * 7, pa.binary())
         names = [x.split()[0] for x in PIECES.split(", ")]
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                for j, crc in enumerate(r["crcs"]):
+                    body = r["full"][4 * window * j : 4 * window * (j + 1)] if ids else None
+                    out.append((r["doc_id"], j * window, window, crc, r["tokens"], r["first"] + j, 0, body))
+                tail = np.frombuffer(r["tail"], f"<u{r['width']}").astype("<u4")
+                for p in r["places"] or []:
+                    body = tail[p["start"] : p["start"] + p["length"]].tobytes()
+                    start = len(r["crcs"]) * window + p["start"]
+                    row = (r["doc_id"], start, p["length"], zlib.crc32(body), r["tokens"], -1 - p["seq"], p["offset"])
+                    out.append((*row, body if ids else None))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    dealt = split.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("long"))
-    packed = dealt.groupBy("shard").applyInArrow(run, PIECES)
+    places = place(split, idf, dense, mean, window)
+    places = places.groupBy("uid").agg(F.collect_list(F.struct("start", "length", "seq", "offset")).alias("places"))
+    packed = split.drop("terms", "times").join(places, "uid", "left").mapInArrow(run, PIECES)
     return packed if ids else packed.drop("ids")
 
 

@@ -113,3 +113,28 @@ def test_neighbours_share_rare_terms():
     scores = shard.scores(0)
     assert scores[2] > scores[1] == scores[3] or scores[2] > max(scores[1], scores[3])
     assert packing.fill(tails, shard, 8)[0] == [(0, 0, 4), (2, 0, 4)]
+
+
+def neighbours(got):
+    """Documents that share a sequence with each document."""
+    together, found = {}, {}
+    for r in got:
+        together.setdefault(r.sequence_id, set()).add(r.doc_id)
+    for docs in together.values():
+        for d in docs:
+            found.setdefault(d, set()).update(docs - {d})
+    return found
+
+
+def test_neighbours_come_from_the_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 40)
+    monkeypatch.setattr(packing, "SEEDS", 64, raising=False)
+    monkeypatch.setattr(packing, "FREE", 64, raising=False)
+    rng = random.Random(4)
+    words = [f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bdgklmnrst')}{rng.choice('aeiou')}" for _ in range(2000)]
+    topics = [" ".join(rng.sample(words, 25) * 4) for _ in range(100)]
+    rows = [(i, f"{topics[i % 100]} {rng.choice(words)}", "", 0) for i in range(400)]
+    found = neighbours(packing.pack(spark.createDataFrame(rows, SCHEMA), ids=False).collect())
+    related = sum(any(o % 100 == d % 100 for o in found[d]) for d in found)
+    # One of the other three copies is at hand unless others fill their windows with them; a tenth is what shards give.
+    assert related > 0.7 * len(rows)
