@@ -37,7 +37,7 @@ def split_documents(
 ) -> DataFrame:
     """(uid, doc_id, tokens, crcs, first, full, tail, terms, times, width): a row for each document. Its ids are cut into
     whole windows, of which the check sums (and with ``ids`` the ids) are kept, and a tail that is shorter than a window.
-    Terms are the distinct ids of the tail, with how often each occurs; first counts the windows before, by task."""
+    Terms are the distinct ids of the whole text, with how often each occurs; first counts the windows before, by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -53,8 +53,8 @@ def split_documents(
                 full.append(found[:whole] if ids else None)
                 first.append(before)
                 before += whole // (4 * window)
-                term, n = np.unique(np.frombuffer(found[whole:], "<u4"), return_counts=True)
-                width = "<u2" if small and n.max(initial=0) < 1 << 16 else "<u4"
+                term, n = np.unique(np.frombuffer(found, "<u4"), return_counts=True)
+                width = "<u2" if small and n.max() < 1 << 16 else "<u4"
                 tails.append(np.frombuffer(found[whole:], "<u4").astype(width).tobytes())
                 terms.append(term.astype(width).tobytes())
                 times.append(n.astype(width).tobytes())
@@ -83,8 +83,8 @@ def split_documents(
     return cut(split.withColumn("uid", F.monotonically_increasing_id()).withColumn("first", task + F.col("first")), "split")
 
 
-def term_statistics(split: DataFrame, window: int = WINDOW) -> tuple[np.ndarray, int, float]:
-    """(documents with each id, documents, mean length) over all tails. One number for each id of the vocabulary."""
+def term_statistics(split: DataFrame) -> tuple[np.ndarray, int, float]:
+    """(documents with each id, documents, mean length) over all documents. One number for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, np.int64)
@@ -92,11 +92,10 @@ def term_statistics(split: DataFrame, window: int = WINDOW) -> tuple[np.ndarray,
         for batch in batches:
             for terms, tokens, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = np.frombuffer(terms, f"<u{width}")
-                if len(found):
-                    if found[-1] >= len(counts):
-                        counts = np.r_[counts, np.zeros(int(found[-1]) + 1, np.int64)]
-                    counts[found] += 1
-                    n, length = n + 1, length + tokens % window
+                if found[-1] >= len(counts):
+                    counts = np.r_[counts, np.zeros(int(found[-1]) + 1, np.int64)]
+                counts[found] += 1
+                n, length = n + 1, length + tokens
         terms = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[terms, -1, -2]), pa.array(np.r_[counts[terms], n, length])], names=["term", "n"]
@@ -398,12 +397,12 @@ def pack(
 
     Every document is its ids and an end id; a null or empty text is the end id alone. Whole windows of a long document
     are sequences of their own; tails are packed with the tails of their best neighbours in the whole table, by all terms
-    of the tails. Equal and null keys are separate documents. Rows that repeat are packed as often as they occur.
+    of the whole texts. Equal and null keys are separate documents. Rows that repeat are packed as often as they occur.
     Other columns of docs are ignored; an empty table gives an empty result. ``sequence_id`` of a whole window counts
     within a task, with the task's number above 33 bits; that of packed tails is negative.
     """
     split = split_documents(docs, path or vocabulary(), window, key, text, ids)
-    df, n, mean = term_statistics(split, window)
+    df, n, mean = term_statistics(split)
     often = np.flatnonzero(df > DENSE * n)
     columns = np.full(len(df), -1, np.int64)
     columns[often] = np.arange(len(often))

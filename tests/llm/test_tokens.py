@@ -138,3 +138,32 @@ def test_neighbours_come_from_the_whole_table(spark, monkeypatch):
     related = sum(any(o % 100 == d % 100 for o in found[d]) for d in found)
     # One of the other three copies is at hand unless others fill their windows with them; a tenth is what shards give.
     assert related > 0.7 * len(rows)
+
+
+def test_neighbours_by_whole_texts(spark, whole):
+    rng = random.Random(5)
+    common = ["river", "stone", "cloud", "tree"]
+    marks = ["zebra quartz", "violin harbor", "copper lantern", "marble falcon"]
+    rows = []
+    for i in range(24):
+        # The marks stand in the first window; tails hold common words only.
+        body = (marks[i % 4] + " ") * 40 + " ".join(rng.choice(common) for _ in range(1300))
+        rows.append((i, body, "", 0))
+    tails = [len(whole(t)) % 1024 for _, t, *_ in rows]
+    assert all(len(whole(t)) > 1024 and n > 0 for (_, t, *_), n in zip(rows, tails, strict=True))
+    got = [r for r in packing.pack(spark.createDataFrame(rows, SCHEMA), ids=False).collect() if r.length < 1024]
+    together = {}
+    for r in got:
+        together.setdefault(r.sequence_id, []).append((r.offset, r.doc_id))
+    firsts = [sorted(p) for p in together.values() if len(p) > 1]
+    # A seed's next neighbour has its marks, as long as one of them is unused.
+    same = sum(p[0][1] % 4 == p[1][1] % 4 for p in firsts)
+    assert same >= 0.7 * len(firsts)
+
+
+def test_all_terms_of_a_seed_count():
+    # Forty shared terms; the only one of document 1 is the most common.
+    tails = [np.arange(40, dtype="<u4"), np.array([0, 50], "<u4"), np.arange(1, 40, dtype="<u4"), np.array([51], "<u4")]
+    shard = packing.Shard(tails, np.r_[0.1, np.ones(60)], 20.0)
+    scores = shard.scores(0)
+    assert scores[1] > 0 and scores[3] == 0
