@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .lines import constant_array
-from .quality import let, words_of
+from .quality import let
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -38,7 +38,11 @@ GUARD = {
 }
 SPAN = "array<struct<kind:int,start:int,stop:int,body:string>>"
 
-#: Rounds of scoring; distinct instances that a pattern needs; score that makes a pattern trusted.
+#: A cue's token ends at white space and after each of these, in a context and in the corpus alike; so 'tel:' of
+#: 'tel:555-0199' is a token in both.
+ENDS = r"""!"#$&'()*,/:;<=>?\[\\\]^`{|}~"""
+TOKEN = rf"([^\x20\x09-\x0D{ENDS}]*[{ENDS}]|[^\x20\x09-\x0D{ENDS}]+)"
+#: Rounds of scoring at least; distinct instances that a pattern needs; score that makes a pattern trusted.
 ROUNDS, SUPPORT, TRUST = 3, 5, 0.6
 #: Cells of the map of cues that keeps words out of the count; fixed, whatever the corpus.
 CUES = 1 << 16
@@ -117,13 +121,17 @@ def loose_spans(text: Column, base: Column) -> Column:
     )
 
 
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), 1)
+
+
 def with_context(text: Column, spans: Column) -> Column:
     """Adds to each span its lexical patterns: the word before it, and the two words before it, in lower case."""
 
     def context(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - 80, F.lit(0)) + 1, F.least(s["start"], F.lit(80)))
         cues = let(
-            words_of(F.lower(before)),
+            tokens_of(F.lower(before)),
             lambda w: F.filter(
                 F.array(F.try_element_at(w, F.lit(-1)), F.concat_ws(" ", F.try_element_at(w, F.lit(-2)), F.try_element_at(w, F.lit(-1)))),
                 lambda c: F.length(c).between(1, 40),
@@ -149,14 +157,15 @@ def corpus_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
     # A fixed map of CUES cells drops most words before they are counted; the join is exact.
     bits = constant_array(marked)
     asked = lambda c: F.get(bits, F.pmod(F.xxhash64(c), F.lit(CUES)).cast("int")) == 1
-    lowered = texts.select(words_of(F.lower(F.col("t"))).alias("w"))
+    lowered = texts.select(tokens_of(F.lower(F.col("t"))).alias("w"))
     one = F.filter("w", asked)
     two = F.filter(
         F.transform("w", lambda c, i: F.when(i > 0, F.concat_ws(" ", F.get("w", i - 1), c))),
         lambda c: c.isNotNull() & asked(c),
     )
     said = lowered.select(F.explode(F.concat(one, two)).alias("cue")).groupBy("cue").agg(F.count("*").alias("total"))
-    return cues.join(said, "cue")
+    # A span may start inside a token (after a letter or a dash); its cue is then known by the graph alone.
+    return cues.join(said, "cue", "left").select("cue", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def trusted_patterns(edges: DataFrame, totals: DataFrame) -> DataFrame:
@@ -165,10 +174,12 @@ def trusted_patterns(edges: DataFrame, totals: DataFrame) -> DataFrame:
 
     An instance's confidence is 1 for seeds, else that no pattern of its own is right to doubt: one minus the product of
     one minus their scores. A pattern's score is its occurrences weighted by the confidence of what follows, over all
-    its occurrences in the corpus; it counts once SUPPORT distinct instances of confidence 1/2 or more support it.
+    its occurrences in the corpus, which are at least those in the graph; it counts once SUPPORT distinct instances of confidence 1/2 or more support it. Scores never fall, so rounds end once no pattern is newly scored or trusted.
     """
-    scores = None
-    for _ in range(ROUNDS):
+    seen = edges.groupBy("cue").agg(F.sum("times").alias("seen"))
+    totals = cut(totals.join(seen, "cue").select("cue", F.greatest("total", "seen").alias("total")), "totals")
+    scores, known, rounds = None, None, 0
+    while True:
         if scores is None:
             rated = edges.withColumn("sure", F.col("seed").cast("double"))
         else:
@@ -188,6 +199,11 @@ def trusted_patterns(edges: DataFrame, totals: DataFrame) -> DataFrame:
             .select("kind", "cue", F.least(F.col("hits") / F.col("total"), F.lit(1.0)).alias("score")),
             "scores",
         )
+        now = tuple(scores.agg(F.count("*"), F.count(F.when(F.col("score") >= TRUST, 1))).first())
+        rounds += 1
+        if rounds >= ROUNDS and now == known:
+            break
+        known = now
     return scores.where(F.col("score") >= TRUST).select("kind", "cue")
 
 
@@ -196,7 +212,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     trusted contexts add.
 
     Base matches are seeds. The words before them are patterns; loose matches and patterns form a graph that is scored in
-    rounds; a loose match after a trusted pattern of its kind is added where it overlaps no base span.
+    rounds until nothing new is trusted; a loose match after a trusted pattern of its kind is added where it overlaps no base span.
     Null texts count as empty. Rows with null or repeated keys are separate documents. Other columns are ignored; an empty
     table gives an empty result.
     """

@@ -54,5 +54,29 @@ def test_context_finds_unseen_identifiers(spark):
     assert more == {100: "phone:12:24"}
 
 
+def test_glued_cues(spark):
+    rows = [(i, f"aa{i} tel:+1 (202) 555-01{i:02d} cc{i}", "", "") for i in range(10, 30)]
+    rows += [(100, "zz tel:202-555-0199 end", "", "")]
+    # 'num=' precedes a phone once for every three other things, though it stands alone once.
+    rows += [(200 + i, f"bb{i} num=+1 (202) 555-02{i:02d}", "", "") for i in range(10, 30)]
+    rows += [(300 + i, f"cc{i} num=word{i}", "", "") for i in range(60)]
+    rows += [(400, "dd num= alone", "", ""), (401, "ee num=202-555-0298 end", "", "")]
+    more = {r.doc_id: r.m for r in result(spark, rows) if r.m}
+    assert more == {100: "phone:7:19"}
+
+
+def test_rounds_until_nothing_is_trusted(spark):
+    # Pattern k is seen before what pattern k + 1 is seen before: each round trusts one more.
+    rows = [(i, f"w{i} cue0: +1 (202) 555-01{10 + i % 20}", "", "") for i in range(200)]
+    n = 200
+    for k in range(6):
+        for j in range(10):
+            for c in [k] + [k + 1] * 20:
+                rows.append((n, f"x{n} cue{c}: 202-5{k}5-01{j:02d}", "", ""))
+                n += 1
+    more = {r.doc_id for r in result(spark, rows) if r.m}
+    assert more == set(range(200, n))
+
+
 def test_empty(spark):
     assert result(spark, []) == []
