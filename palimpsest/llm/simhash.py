@@ -189,18 +189,26 @@ def simhash_groups(docs: DataFrame, most: int = 3, text: str = "text", key: str
 
 
 def keep_one_of_each(docs: DataFrame, most: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The document of each component that names it, with docs' own columns. Of rows with one key the first by content
-    stays. A row without a key can't be named by one and stays."""
+    """The row of the smallest key of each component, with docs' own columns; of rows with one key the first by content.
+    Rows are told apart by a number of their own, so repeated keys join no groups. A row without a key stays."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    columns = plain.columns
+    plain = cut(plain.withColumn("uid", F.monotonically_increasing_id()), "numbered")
     k, t = f"c{names.index(key)}", f"c{names.index(text)}"
-    groups = simhash_groups(plain, most, t, k)
-    gone = groups.where(F.col(k) != F.col("component_id")).select(F.col(k).alias("gone")).distinct()
-    kept = plain.join(cut(gone, "gone"), F.col(k) == F.col("gone"), "left_anti")
-    again = cut(plain.groupBy(k).agg(F.count("*").alias("n")).where(f"n > 1 and {k} is not null").select(k), "repeated")
-    if not again.isEmpty():
-        once = kept.join(again, k, "left_semi").groupBy(k).agg(F.min(F.struct(*plain.columns)).alias("row"))
-        kept = kept.join(again, k, "left_anti").unionByName(once.select("row.*"))
+    groups = simhash_groups(plain.select("uid", t), most, t, "uid").select("uid", "component_id")
+    keyed = cut(groups.join(plain.where(f"{k} is not null").select("uid", k), "uid"), "keyed")
+    least = keyed.groupBy("component_id").agg(F.min(k).alias("least"))
+    first = cut(keyed.join(least, "component_id").where(F.col(k) == F.col("least")).select("uid", "component_id"), "first")
+    counted = first.groupBy("component_id").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
+    counted = cut(counted, "counted")
+    chosen = counted.where("n = 1").select("uid")
+    tied = counted.where("n > 1").select("component_id")
+    if not tied.isEmpty():
+        rows = first.join(tied, "component_id", "left_semi").join(plain, "uid")
+        best = rows.groupBy("component_id").agg(F.min(F.struct(*columns, "uid")).alias("row"))
+        chosen = chosen.unionByName(best.select("row.uid"))
+    kept = plain.join(cut(chosen, "chosen"), "uid", "left_semi").unionByName(plain.where(f"{k} is null"))
     return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 

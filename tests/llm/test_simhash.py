@@ -87,3 +87,13 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "7", "None"]
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.simhash_groups(empty).count() == 0 and simhash.keep_one_of_each(empty).count() == 0
+
+
+def test_repeated_keys_keep_one_row_of_each_group(spark):
+    a, b = "stone river cloud tree lamp paper glass iron " * 4, "merchant ocean violet winter harbor copper falcon quartz " * 4
+    rows = [(5, a, "", 1), (9, a, "", 2), (5, b, "", 3), (3, b, "", 4)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, b), (5, a)]
+    rows = [(5, a, "", 1), (5, b, "", 2), (5, a, "", 0), (None, b, "", 3)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.a, r.text) for r in kept) == [(0, a), (2, b), (3, b)]
