@@ -7,19 +7,21 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, scratch_path, table
 
 #: Id that ends each document.
 END = 0
+#: Bytes of text that a file of records holds, at about a third or half of them in ids.
+FILE = 512 << 20
 #: Pieces whose ids an encoder remembers before it starts anew; at some 200 bytes each.
-MEMO = 300_000
+MEMO = 1_000_000
 
 
 def vocabulary() -> str:
@@ -29,12 +31,27 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Memo(dict):
+    """Ids by piece; a piece that isn't known is encoded and remembered, so that a text is one pass of look-ups."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.encode(piece)
+        # Long pieces don't repeat.
+        if len(piece) < 40:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, as ``encode(text, add_special_tokens=False)`` gives them.
 
     The byte-level pre-tokenizer always starts a new unit at a space that a non-space follows, so a text is cut there and
-    the ids of each distinct piece are remembered: a piece the library's pattern has cut into units is merged unit by
-    unit by the library's model. Tokenizers of another kind, and texts that hold a special token or white space of
+    the ids of up to MEMO pieces are remembered: a new piece is cut by the pre-tokenizer's pattern and merged unit by unit
+    by the library's model. Tokenizers of another kind, and texts that hold a special token or white space of
     another kind, are encoded whole.
     """
 
@@ -63,65 +80,49 @@ class Encoder:
         self.added = [x["content"] for x in spec.get("added_tokens") or ()]
         # White space other than single spaces and line ends within the text; such texts are encoded whole.
         self.odd = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["  ", " \n"]
+        self.odd += self.added
+        # The unit pattern and the alphabet of byte-level pre-tokenizers.
         self.unit = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         )
-        # The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256 on.
+        # Printable Latin-1 stands for itself, other bytes follow from 256 on.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
         self.space = chr(self.alphabet[32])
         self.merge = self.whole.model.tokenize
-        self.bare: dict[str, bytes] = {}  # pieces at a text's or line's start
-        self.memo: dict[str, bytes] = {}  # pieces after a space
+        self.bare = Memo(lambda piece: self._piece(piece, ""))  # pieces at a text's or line's start
+        self.spaced = Memo(lambda piece: self._piece(piece, " "))  # pieces after a space
 
     def _merged(self, unit: str) -> bytes:
         """Ids of a unit of the pre-tokenizer."""
-        if unit.isascii() and unit.isalpha():
-            return array("I", [t.id for t in self.merge(unit)]).tobytes()
-        if unit[0] == " " and unit.isascii() and unit[1:].isalpha():
-            return array("I", [t.id for t in self.merge(self.space + unit[1:])]).tobytes()
         return array("I", [t.id for t in self.merge(unit.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def _piece(self, piece: str, lead: str) -> bytes:
         """Ids of a piece without spaces, after ``lead``."""
-        memo = self.memo if lead else self.bare
-        if (found := memo.get(piece)) is not None:
-            return found
         if piece.isalpha():
-            found = self._merged(lead + piece)
-        elif piece[:-1].isalpha():
-            found = self._piece(piece[:-1], lead) + self._piece(piece[-1], "")
-        elif "\n" in piece[1:] and "\n\n" not in piece and piece[0] != "\n":
+            if piece.isascii():
+                return array("I", [t.id for t in self.merge(self.space + piece if lead else piece)]).tobytes()
+            return self._merged(lead + piece)
+        if piece[:-1].isalpha():
+            return (self.spaced if lead else self.bare)[piece[:-1]] + self.bare[piece[-1]]
+        if "\n" in piece[1:] and "\n\n" not in piece and piece[0] != "\n":
             line, _, rest = piece.partition("\n")
-            found = self._piece(line, lead) + self._merged("\n")
-            return found + self._piece(rest, "") if rest else found
-        else:
-            found = b"".join(map(self._merged, self.unit.findall(lead + piece)))
-        if len(memo) >= MEMO:
-            memo.clear()
-        if piece.isalpha() or len(piece) < 12:
-            memo[piece] = found
-        return found
+            found = (self.spaced if lead else self.bare)[line] + self._merged("\n")
+            return found + self.bare[rest] if rest else found
+        return b"".join(map(self._merged, self.unit.findall(lead + piece)))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if (
-            not self.pieces
-            or any(a in text for a in self.odd)
-            or any(a in text for a in self.added)
-            or text[:1].isspace()
-            or text[-1:] == " "
-        ):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if not text:
             return b""
+        if not self.pieces or text[0].isspace() or text[-1] == " " or any(map(text.__contains__, self.odd)):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for memo in (self.bare, self.spaced):
+            if len(memo) >= MEMO:
+                memo.clear()
         head, *pieces = text.split(" ")
-        get, more = self.memo.get, self._piece
-        out = [more(head, "")]
-        for piece in pieces:
-            out.append(get(piece) or more(piece, " "))
-        return b"".join(out)
+        return self.bare[head] + b"".join(map(self.spaced.__getitem__, pieces))
 
     def document(self, text: str | None) -> bytes:
         return self.encode(text or "") + struct.pack("<I", END)
@@ -192,6 +193,12 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
+def file_count(texts: DataFrame, column: str) -> int:
+    """Files for a column of texts: one for FILE bytes of it, and as many as the session's shuffles have partitions at least."""
+    size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE))
+
+
 def write_token_files(
     docs: DataFrame,
     folder: str,
@@ -204,14 +211,16 @@ def write_token_files(
     """Writes the documents in ascending ``key`` order as ``part-NNNNN.rec`` with ``part-NNNNN.idx`` and returns the
     manifest (part, records, ids).
 
-    Rows are dealt by ranges of the key, a file each; rows of equal key are ordered by a hash of their text. A file is
-    written under a name of its own and renamed when whole, so a task that runs again or twice does no harm. ``width`` is
-    the bytes of an id; an id that doesn't fit raises an error. Null texts count as empty; null keys come first; rows that
+    Rows are dealt by ranges of (key, hash of the text, place in the input), a file each, so neither a key nor a repeated
+    row, however frequent, is bound to one file; ``parts`` is the number of ranges, by default from the bytes of the texts.
+    Rows of equal key are ordered by a hash of their text. A file is written under a name of its own and renamed when whole,
+    so a task that runs again or twice does no harm; what failed attempts have left is removed at the end. ``width`` is the
+    bytes of an id; an id that doesn't fit raises an error. Null texts count as empty; null keys come first; rows that
     repeat are written as often as they occur; other columns are ignored; an empty table gives empty files.
     """
     path = path or vocabulary()
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    parts = parts or file_count(rows, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -241,56 +250,117 @@ def write_token_files(
             names=["part", "records", "ids"],
         )
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    return cut(dealt.mapInArrow(run, "part long, records long, ids long"), "manifest")
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(parts, "id", "hash", "place").sortWithinPartitions("id", "hash").select("id", "text")
+    manifest = cut(dealt.mapInArrow(run, "part long, records long, ids long"), "manifest")
+    sweep(folder)
+    return manifest
+
+
+def sweep(folder: str) -> None:
+    """Removes the files that attempts which didn't end have left."""
+    from pyarrow.fs import FileSelector
+
+    store, base = _store(folder)
+    for info in store.get_file_info(FileSelector(base, allow_not_found=True)):
+        if info.base_name.startswith("."):
+            store.delete_file(info.path)
+
+
+def records(store, name: str, index: np.ndarray, wanted: np.ndarray, step: int) -> Iterator[tuple[int, int | None, bytes]]:
+    """(i, document, ids) of the entries ``wanted`` of a file's index, which ascend; neighbours are read together, about
+    ``step`` bytes at a time."""
+    with store.open_input_file(name + ".rec") as file:
+        bounds = np.r_[index["at"], file.size()].astype(np.int64)
+        i = 0
+        while i < len(wanted):
+            j = i + 1
+            while j < len(wanted) and wanted[j] == wanted[j - 1] + 1 and bounds[wanted[j] + 1] - bounds[wanted[i]] <= step:
+                j += 1
+            first = int(bounds[wanted[i]])
+            buffer = file.read_at(int(bounds[wanted[j - 1] + 1]) - first, first)
+            for k in wanted[i:j]:
+                doc, ids, _ = unframe(buffer, int(bounds[k]) - first)
+                if (doc or 0) != index["doc"][k] or len(ids) // 4 != index["ids"][k]:
+                    raise ValueError(f"the index of {name} doesn't match record {k}")
+                yield int(k), doc, ids
+            i = j
+
+
+def index_of(store, name: str) -> np.ndarray:
+    with store.open_input_file(name + ".idx") as file:
+        return np.frombuffer(file.read(), dtype=ENTRY)
 
 
 def read_token_files(manifest: DataFrame, folder: str, step: int = 8 << 20) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids): every record of the files, checked; ``start``: ids of all before it.
 
-    A file is read in steps of about ``step`` bytes, by its index.
+    A file is read in steps of about ``step`` bytes, by its index. An empty manifest gives an empty result.
     """
-    from pyspark.sql import Window
-
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # A row for each file.
     files = manifest.where("records > 0").select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
         for batch in batches:
             for part, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 name = f"{base}/part-{part:05d}"
-                with store.open_input_file(name + ".idx") as file:
-                    index = np.frombuffer(file.read(), dtype=ENTRY)
-                with store.open_input_file(name + ".rec") as file:
-                    end = file.size()
-                    bounds = np.r_[index["at"], end].astype(np.int64)
-                    i = 0
-                    while i < len(index):
-                        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + step, "right")) - 1)
-                        buffer = file.read_at(int(bounds[j] - bounds[i]), int(bounds[i]))
-                        out = []
-                        for k in range(i, j):
-                            doc, ids, _ = unframe(buffer, int(bounds[k] - bounds[i]))
-                            if (doc or 0) != index["doc"][k] or len(ids) // 4 != index["ids"][k]:
-                                raise ValueError(f"the index of {name} doesn't match record {k}")
-                            out.append((doc, start, len(ids) // 4, zlib.crc32(ids), ids))
-                            start += len(ids) // 4
+                index = index_of(store, name)
+                out, held = [], 0
+                for k, doc, ids in records(store, name, index, np.arange(len(index)), step):
+                    out.append((doc, start, len(ids) // 4, zlib.crc32(ids), ids))
+                    start, held = start + len(ids) // 4, held + len(ids)
+                    if held >= step or k == len(index) - 1:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)],
                             names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                         )
-                        i = j
+                        out, held = [], 0
 
-    return files.repartition(parts, "part").mapInArrow(
+    return files.repartition(max(1, files.count()), "part").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     )
 
 
+def read_shuffled(manifest: DataFrame, folder: str, seed: int = 0, step: int = 8 << 20) -> DataFrame:
+    """(place, doc_id, ids): every record once, each partition in ascending ``place``, a seeded pseudo-random number that
+    orders all records, as a trainer reads an epoch. Only entries of the indexes are shuffled; a task reads its records
+    through the offsets of the index, those of a file in one pass. An empty manifest gives an empty result.
+    """
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                n = len(index_of(store, f"{base}/part-{part:05d}"))
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array(range(n), pa.int64())], names=["part", "record"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+        for batch in batches:
+            place, part, record = (batch.column(i).to_numpy() for i in range(3))
+            found: list = [None] * len(place)
+            for p in np.unique(part):
+                name = f"{base}/part-{p:05d}"
+                rows = np.flatnonzero(part == p)
+                rows = rows[np.argsort(record[rows])]
+                for i, (_, doc, ids) in zip(rows, records(store, name, index_of(store, name), record[rows], step), strict=True):
+                    found[i] = (doc, ids)
+            docs, bodies = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place), pa.array(docs, pa.int64()), pa.array(bodies, pa.binary())], names=["place", "doc_id", "ids"]
+            )
+
+    parts = max(1, manifest.where("records > 0").count())
+    rows = manifest.where("records > 0").select("part").repartition(parts, "part").mapInArrow(entries, "part long, record long")
+    rows = rows.select(F.xxhash64(F.lit(seed), "part", "record").alias("place"), "part", "record")
+    return rows.repartitionByRange(parts, "place").sortWithinPartitions("place").mapInArrow(run, "place long, doc_id long, ids binary")
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of documents, from the files that :func:`write_token_files` has written; nulls,
+    ties and empty tables as there."""
     folder = scratch_path(spark, "tokens")
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder)
     return read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")

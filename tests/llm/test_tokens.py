@@ -74,6 +74,45 @@ def test_files_round_trip(spark, whole):
     assert tokens.read_token_files(empty, folder + "-empty").count() == 0
 
 
+def test_a_frequent_key_is_spread_and_leftovers_go(spark, whole):
+    import os
+
+    rows = [(7, f"text {i % 50}", "", 0) for i in range(3000)] + [(i, "other", "", 0) for i in range(200)]
+    folder = scratch_path(spark, "test-spread")
+    os.makedirs(folder.removeprefix("file://"), exist_ok=True)
+    with open(folder.removeprefix("file://") + "/.00000-99.rec", "wb") as file:
+        file.write(b"left over")
+    manifest = tokens.write_token_files(spark.createDataFrame(rows, SCHEMA), folder, parts=8)
+    assert max(r.records for r in manifest.collect()) < 1000
+    assert not [n for n in os.listdir(folder.removeprefix("file://")) if n.startswith(".") and n.endswith(".rec")]
+    got = tokens.read_token_files(manifest, folder).collect()
+    assert len(got) == len(rows)
+    ends = {r.start + r.n_tokens for r in got} | {0}
+    assert len({r.start for r in got}) == len(rows) and {r.start for r in got} <= ends
+
+
+def test_shuffled_reads_go_through_the_index(spark, whole):
+    rows = [(i, f"text {i} " * (i % 40), "", 0) for i in range(500)] + [(None, "none", "", 0)]
+    folder = scratch_path(spark, "test-shuffled")
+    manifest = tokens.write_token_files(spark.createDataFrame(rows, SCHEMA), folder, parts=6)
+    one, two = (tokens.read_shuffled(manifest, folder, seed, step=500).collect() for seed in (1, 2))
+    for got in (one, two):
+        assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in got) == sorted(
+            (d is not None, d or 0, whole(t).tobytes()) for d, t, *_ in rows
+        )
+        assert [r.place for r in got] == sorted(r.place for r in got)
+    assert [r.doc_id for r in one] != [r.doc_id for r in two] != sorted(r.doc_id or 0 for r in two)
+    empty = tokens.write_token_files(spark.createDataFrame([], SCHEMA), folder + "-empty")
+    assert tokens.read_shuffled(empty, folder + "-empty").count() == 0
+
+
+def test_a_very_long_text(spark, whole):
+    rows = [(1, "lange Wörter, and more. " * 40_000, "", 0), (2, None, "", 0)]
+    folder = scratch_path(spark, "test-long")
+    got = tokens.read_token_files(tokens.write_token_files(spark.createDataFrame(rows, SCHEMA), folder, parts=2), folder).collect()
+    assert {r.doc_id: bytes(r.ids) for r in got} == {d: whole(t).tobytes() for d, t, *_ in rows}
+
+
 @pytest.mark.parametrize("shard", [1500, 100])
 def test_packing_covers_every_id_once(spark, whole, monkeypatch, shard):
     monkeypatch.setattr(packing, "SHARD", shard)
