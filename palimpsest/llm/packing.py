@@ -1,4 +1,4 @@
-"""Packing by lexical retrieval: a BM25 index over all documents names the unused neighbours that fill a seed's window."""
+"""Packing by lexical retrieval: a BM25 index sharded by content names the unused neighbours that fill a seed's window."""
 
 from __future__ import annotations
 
@@ -7,29 +7,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
 from .tokens import encoder, vocabulary
 
 WINDOW = 1024
-#: Open sequences and tails that the last task fills one after another; above that they meet in rounds.
-SHARD = 1500
-#: Open sequences and free tails of one tile of the search.
-SEEDS, FREE = 2048, 4096
-#: Ids with more than this share of the documents are scored by a matrix product, the others by their postings.
+#: Documents of a shard of the index, and those of a task, which holds one shard at a time.
+SHARD, TASK = 2048, 1 << 15
+#: Keys of content that order documents, the first before the second and so on.
+KEYS = 3
+#: Terms with more than this share of a shard's documents are scored by a matrix product, the others by their postings.
 DENSE = 0.03
-#: A sequence asks for neighbours that would fill REACH times its room or more, as others may win some of them; the fewer
-#: sequences are open the more, so that a round has about ASKED times as many neighbours as fill a sequence.
-REACH, ASKED = 8, 1 << 18
-#: Cells of the hash by which seeds are drawn.
-CELLS = 1 << 12
+#: Seeds that are scored at a time.
+AHEAD = 128
 K1, B = 1.2, 0.75
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
+_TYPES = (*[pa.int64()] * 7, pa.binary())
+_NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
 def split_documents(
@@ -109,280 +108,201 @@ def term_statistics(split: DataFrame) -> tuple[np.ndarray, int, float]:
     return counts, n, length / n if n else 0.0
 
 
-class Shard:
-    """A BM25 index over some documents."""
-
-    def __init__(self, bags: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.n = len(bags)
-        sizes = np.array([len(t) for t in bags])
-        doc = np.repeat(np.arange(self.n), sizes)
-        term = np.concatenate(bags).astype(np.int64) if self.n else np.zeros(0, np.int64)
-        posting, tf = np.unique(term * self.n + doc, return_counts=True) if self.n else (term, term)
-        self.term, self.doc = posting // max(self.n, 1), posting % max(self.n, 1)
-        norm = K1 * (1 - B + B * sizes / (mean or 1.0))
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        first = np.flatnonzero(np.r_[True, self.term[1:] != self.term[:-1]]) if len(self.term) else self.term
-        bounds = np.r_[first, len(self.term)]
-        run = np.repeat(np.arange(len(first)), np.diff(bounds))
-        start, end = bounds[run], bounds[run + 1]
-        # By document, the terms that another document has too.
-        shared = np.flatnonzero(end - start > 1)
-        order = shared[np.lexsort((self.term[shared], self.doc[shared]))]
-        self.start, self.end = start[order], end[order]
-        self.of = np.searchsorted(self.doc[order], np.arange(self.n + 1))
-
-    def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document of the shard for all terms of ``doc``."""
-        spans = [slice(self.start[i], self.end[i]) for i in range(self.of[doc], self.of[doc + 1])]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(
-            np.concatenate([self.doc[s] for s in spans]),
-            np.concatenate([self.weight[s] for s in spans]),
-            minlength=self.n,
-        )
+def bag(terms: bytes, times: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(terms, f"<u{width}").astype(np.int64), np.frombuffer(times, f"<u{width}").astype(np.int64)
 
 
-def fill(
-    tails: list, shard: Shard, window: int = WINDOW, begun: dict[int, int] | None = None
-) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (tail, start, length). A seed opens a sequence; its best unused neighbours follow until it is full, and
-    then the next unused tails in order. What is left of the last one is the next seed, so only the last sequence of a
-    shard is short. ``begun`` has the room of sequences that are open already, by the position of their seed, which is
-    none of the tails to place; they come first, without their seed, and their rests wait for a sequence."""
-    begun = begun or {}
-    sizes = [len(t) for t in tails]
-    starts = [0] * len(tails)
-    left = [i for i in range(len(tails)) if sizes[i] and i not in begun]
-    free = np.zeros(len(tails), bool)
-    free[left] = True
-    following = iter(left)
+def weights(times: np.ndarray, idf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 of terms that occur ``times`` in documents of ``length`` ids."""
+    return idf * times * (K1 + 1) / (times + K1 * (1 - B + B * length / (mean or 1.0)))
+
+
+def content_keys(bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float, shared: np.ndarray) -> np.ndarray:
+    """KEYS terms of each document, each drawn in proportion to its BM25 weight among the ``shared`` ones (those of two or
+    more documents), by one draw for all documents: two documents have a key in common with the probability that is the
+    weighted Jaccard similarity of their terms, equal ones always. -1 without a shared term."""
+    term = np.concatenate([b[0] for b in bags])
+    times = np.concatenate([b[1] for b in bags])
+    size = np.array([len(b[0]) for b in bags])
+    doc = np.repeat(np.arange(len(bags)), size)
+    length = np.array([b[1].sum() for b in bags])
+    weight = np.where(shared[term], weights(times, idf[term], length[doc], mean), 0.0)
+    first = np.cumsum(size) - size
+    keys = np.full((KEYS, len(bags)), -1, np.int64)
+    for k in range(KEYS):
+        draw = -np.log(np.random.default_rng(k).random(len(idf)))[term]
+        cost = np.divide(draw, weight, out=np.full(len(term), np.inf), where=weight > 0)
+        least = np.minimum.reduceat(cost, first)
+        best = np.flatnonzero((cost == least[doc]) & (cost < np.inf))[::-1]
+        keys[k, doc[best]] = term[best]  # of equal ones the first
+    return keys
+
+
+class Index:
+    """A BM25 index over the documents of a shard, by all terms of their whole texts."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float):
+        n = self.n = len(bags)
+        size = np.array([len(b[0]) for b in bags], np.int64)
+        doc = np.repeat(np.arange(n), size)
+        found, term = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+        times = np.concatenate([b[1] for b in bags])
+        length = np.array([b[1].sum() for b in bags])
+        weight = weights(times, idf[found][term], length[doc], mean).astype(np.float32)
+        df = np.bincount(term, minlength=len(found))
+        # The dense terms by columns; a term of one document finds no other.
+        often = df > max(DENSE * n, 1)
+        column = np.cumsum(often) - 1
+        self.dense = np.zeros((n, int(often.sum())), np.float32)
+        here = often[term]
+        self.dense[doc[here], column[term[here]]] = weight[here]
+        here = ~here & (df[term] > 1)
+        term, doc, weight = term[here], doc[here], weight[here]
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        bounds = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.bincount(term, minlength=len(found)), out=bounds[1:])
+        self.start, self.end = bounds[:-1][term], bounds[1:][term]  # by document, as the bags were
+        self.of = np.searchsorted(doc, np.arange(n + 1))
+
+    def scores(self, seeds: np.ndarray) -> np.ndarray:
+        """BM25 of every document of the shard (columns) for all terms of each seed (rows), in 16 bits of mantissa, since
+        sums in another order differ below."""
+        found = (self.dense[seeds] > 0).astype(np.float32) @ self.dense.T
+        for row, seed in zip(found, seeds, strict=True):
+            at = slice(self.of[seed], self.of[seed + 1])
+            start, many = self.start[at], self.end[at] - self.start[at]
+            if len(start):
+                where = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+                row += np.bincount(self.doc[where], self.weight[where], minlength=self.n).astype(np.float32)
+        return (found.view(np.int32) & ~0x7F).view(np.float32)
+
+
+def fill(sizes: list[int], index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, start, length) that hold all ids of all documents. A seed opens a sequence; its best unused
+    neighbours follow until it is full, and then the next unused ones in order. What is left of the last one is the next
+    seed, so only the last sequence is short."""
+    n = len(sizes)
+    starts = [0] * n
+    free = np.array([s > 0 for s in sizes], bool)
+    scored: dict[int, np.ndarray] = {}
     sequences = []
 
-    def neighbours(seed: int, room: int, pieces: list[tuple[int, int, int]]) -> int | None:
-        """Appends to pieces; gives the tail of which something is left."""
-        nonlocal following
-        scores = np.where(free, shard.scores(seed), 0.0) if room else None
-        while room:
-            best = int(scores.argmax())
-            if scores[best] <= 0:
-                best = next((i for i in following if free[i]), None)
-                if best is None:
-                    return None
-            free[best], scores[best] = False, 0.0
-            take = min(sizes[best] - starts[best], room)
-            pieces.append((best, starts[best], take))
-            room -= take
-            starts[best] += take
-            if starts[best] < sizes[best]:
-                return best
-        return None
-
-    for seed, room in begun.items():
-        sequences.append([])
-        rest = neighbours(seed, room, sequences[-1])
-        if rest is not None:
-            free[rest] = True
-        following = iter(left)
-    seed = next((i for i in following if free[i]), None)
-    while seed is not None:
+    def scores(seed: int) -> np.ndarray:
+        if seed not in scored:
+            scored.clear()
+            others = np.flatnonzero(free)
+            ahead = np.r_[seed, others[others > seed][: AHEAD - 1]]
+            scored.update(zip(ahead.tolist(), index.scores(ahead), strict=True))
+        return scored[seed]
+
+    at, seed = 0, None
+    while True:
+        if seed is None:
+            while at < n and not free[at]:
+                at += 1
+            if at == n:
+                return sequences
+            seed = at
         free[seed] = False
         pieces = [(seed, starts[seed], sizes[seed] - starts[seed])]
         sequences.append(pieces)
-        rest = neighbours(seed, window - pieces[0][2], pieces)
-        seed = rest if rest is not None else next((i for i in following if free[i]), None)
-    return sequences
-
-
-def bag(terms: bytes, times: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(terms, f"<u{width}").astype(np.int64), np.frombuffer(times, f"<u{width}").astype(np.int64)
-
-
-def best_of_tile(
-    seeds: list[np.ndarray],
-    needs: np.ndarray,
-    turns: np.ndarray,
-    docs: list[tuple[np.ndarray, np.ndarray]],
-    sizes: np.ndarray,
-    idf: np.ndarray,
-    mean: float,
-    dense: np.ndarray,
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each seed the positions and scores of its best documents, as many as hold ``needs`` ids. All terms count:
-    those with a column in ``dense`` by a matrix product, the others by postings. Scores are compared in 16 bits of
-    mantissa, since sums in another order differ below; equal ones are taken from a turn of the seed's own on."""
-    n, columns = len(docs), int(dense.max(initial=-1)) + 1
-    counts = [len(t) for t, _ in docs]
-    term, tf = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
-    doc = np.repeat(np.arange(n), counts)
-    lengths = np.array([d[1].sum() for d in docs])
-    norm = K1 * (1 - B + B * lengths / (mean or 1.0))
-    weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-    often = dense[term] >= 0
-    matrix = np.zeros((columns, n), np.float32)
-    matrix[dense[term[often]], doc[often]] = weight[often]
-    term, doc, weight = term[~often], doc[~often], weight[~often]
-    order = np.argsort(term, kind="stable")
-    doc, weight = doc[order], weight[order]
-    bounds = np.zeros(len(idf) + 1, np.int64)
-    np.cumsum(np.bincount(term, minlength=len(idf)), out=bounds[1:])
-    for at in range(0, len(seeds), 256):
-        some = seeds[at : at + 256]
-        asked = np.zeros((len(some), columns), np.float32)
-        for i, terms in enumerate(some):
-            c = dense[terms]
-            asked[i, c[c >= 0]] = 1
-        scores = asked @ matrix
-        for i, terms in enumerate(some):
-            rare = terms[dense[terms] < 0]
-            start, many = bounds[rare], bounds[rare + 1] - bounds[rare]
-            where = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
-            row = scores[i] + np.bincount(doc[where], weight[where], minlength=n).astype(np.float32)
-            row = (row.view(np.int32) & ~0x7F).view(np.float32)
-            k = 16
-            while True:
-                k = min(k, n)
-                least = np.partition(row, n - k)[n - k]
-                above, equal = np.flatnonzero(row > least), np.flatnonzero(row == least)
-                equal = np.roll(equal, -np.searchsorted(equal, turns[at + i] % n))
-                found = np.r_[above[np.argsort(-row[above], kind="stable")], equal[: k - len(above)]]
-                held = np.cumsum(sizes[found])
-                if k == n or held[-1] >= needs[at + i]:
-                    break
-                k *= 2
-            found = found[: np.searchsorted(held, needs[at + i]) + 1]
-            yield found, row[found]
-
-
-ASKS = "seq long, uid long, score float"
-
-
-def search(
-    seeds: DataFrame, free: DataFrame, bags: DataFrame, n_seeds: int, n_free: int, idf, dense, mean: float, reach: int
-) -> DataFrame:
-    """(seq, uid, score): the best of all free tails for each open sequence. Every tile of open sequences meets every
-    tile of free tails, so nothing is out of a sequence's reach."""
-    across, down = max(1, -(-n_free // FREE)), max(1, -(-n_seeds // SEEDS))
-
-    def dealt(rows: DataFrame, own: int, other: int, seed: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("uid"), F.lit(own)).cast("long")
-        met = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))
-        rows = rows.join(bags, "uid").withColumn("mine", mine).withColumn("met", met)
-        tile = F.col("mine") * across + F.col("met") if seed else F.col("met") * across + F.col("mine")
-        ids = F.col("room") if seed else F.col("size")
-        return rows.select(tile.alias("tile"), F.lit(seed).alias("seed"), "uid", ids.alias("ids"), "terms", "times", "width")
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("seed", "descending"), ("uid", "ascending")])
-        uid, ids = (np.asarray(group.column(c).to_numpy()) for c in ("uid", "ids"))
-        n = int(np.asarray(group.column("seed").to_numpy(zero_copy_only=False)).sum())
-        out = []
-        if 0 < n < len(uid):
-            both = [bag(*r) for r in zip(*(group.column(c).to_pylist() for c in ("terms", "times", "width")), strict=True)]
-            turns = (uid[:n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            tile = best_of_tile(
-                [b[0] for b in both[:n]], reach * ids[:n], turns.astype(np.int64), both[n:], ids[n:], idf.value, mean, dense.value
-            )
-            out = [(np.full(len(found), uid[i]), uid[n:][found], score) for i, (found, score) in enumerate(tile)]
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out or [empty], strict=True)], names=["seq", "uid", "score"])
-
-    tiles = dealt(seeds, down, across, True).unionByName(dealt(free, across, down, False))
-    return tiles.groupBy("tile").applyInArrow(run, ASKS)
-
-
-def draw_seeds(free: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` of the free tails, by whole cells of a hash."""
-    cell = F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(CELLS))
-    sizes = dict(free.groupBy(cell.alias("cell")).count().collect())  # CELLS rows
-    until = taken = 0
-    while until < CELLS and taken + sizes.get(until, 0) <= most:
-        taken += sizes.get(until, 0)
-        until += 1
-    if not taken:  # the first cells hold more than is asked for
-        return free.orderBy(F.xxhash64("uid", F.lit(1)), "uid").limit(1)
-    return free.where(cell < until)
+        room, rest = window - pieces[0][2], None
+        ranked = np.where(free, scores(seed), -1.0) if room else None
+        while room and rest is None:
+            best = int(ranked.argmax())  # of equal ones, those without a common term too, the first
+            if ranked[best] < 0:
+                return sequences
+            free[best], ranked[best] = False, -1.0
+            take = min(sizes[best], room)
+            pieces.append((best, 0, take))
+            room -= take
+            if take < sizes[best]:
+                starts[best], rest = take, best
+        seed = rest
 
 
-PLACES = "uid long, start long, length long, seq long, offset long"
+def place(split: DataFrame, idf: np.ndarray, shared: np.ndarray, n: int, mean: float, window: int, ids: bool) -> DataFrame:
+    """Pieces of the tails. Documents are ordered by their content's keys and dealt by ranges of that order, so that
+    documents alike stand together; each SHARD of them in order has an index. A short last sequence goes back to the
+    documents of the next shard."""
+    context = split.sparkSession.sparkContext
+    idf, shared = context.broadcast(idf), context.broadcast(shared)
+    names = [f"k{k}" for k in range(KEYS)]
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bags = [bag(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("terms", "times", "width")), strict=True)]
+                keys = content_keys(bags, idf.value, mean, shared.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys)], names=[*batch.schema.names, *names])
+
+    def pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        count, kept = TaskContext.get().partitionId() << 33, []
+
+        def packed(rows: list[dict], last: bool):
+            """Pieces; the documents of a short last sequence, unless it is ``last``."""
+            nonlocal count
+            index = Index([bag(r["terms"], r["times"], r["width"]) for r in rows], idf.value, mean)
+            sequences = fill([len(r["tail"]) // r["width"] - r["at"] for r in rows], index, window)
+            again = []
+            if sequences and not last and sum(p[2] for p in sequences[-1]) < window:
+                # A document that the sequence before has a part of goes on from there.
+                again = [rows[i] | {"at": rows[i]["at"] + at} for i, at, _ in sequences.pop()]
+            out = []
+            for pieces in sequences:
+                count, offset = count + 1, 0
+                for i, at, size in pieces:
+                    r = rows[i]
+                    at += r["at"]
+                    body = np.frombuffer(r["tail"], f"<u{r['width']}")[at : at + size].astype("<u4").tobytes()
+                    start = r["tokens"] - len(r["tail"]) // r["width"] + at
+                    out.append((r["doc_id"], start, size, zlib.crc32(body), r["tokens"], -count, offset, body if ids else None))
+                    offset += size
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(_TYPES)]
+            return pa.RecordBatch.from_arrays(columns, names=_NAMES), again
 
-def place(split: DataFrame, idf, dense, mean: float, window: int) -> DataFrame:
-    """(uid, start, length, seq, offset): where the ids of every tail go; start counts in the tail and seq is the seed's
-    uid.
+        for batch in batches:
+            for at in range(0, batch.num_rows, SHARD):
+                kept += [r | {"at": 0} for r in batch.slice(at, SHARD).to_pylist()]
+                while len(kept) >= SHARD:
+                    found, again = packed(kept[:SHARD], False)
+                    kept = again + kept[SHARD:]
+                    yield found
+        if kept:
+            yield packed(kept, True)[0]
+
+    columns = "uid long, doc_id long, tokens long, tail binary, terms binary, times binary, width int"
+    rows = split.where(F.length("tail") > 0).select(*[c.split()[0] for c in columns.split(", ")])
+    rows = rows.mapInArrow(keyed, ", ".join([columns, *[f"{k} long" for k in names]]))
+    parts = max(int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK))
+    rows = rows.repartitionByRange(parts, *names, "uid").sortWithinPartitions(*names, "uid").drop(*names)
+    return rows.mapInArrow(pack_shards, PIECES)
+
+
+def whole_windows(split: DataFrame, window: int, ids: bool) -> DataFrame:
+    """Pieces that are a window each."""
 
-    As many sequences are open as the ids fill. In a round each asks for its best free tails among all; a tail goes to
-    the sequence that puts it first, by score among equals, and a sequence takes what it has won, best first, until it is full. The rest of the
-    last one is free again. When SHARD rows are left one task ends the work.
-    """
-    bags = split.select("uid", "terms", "times", "width")
-    whole = split.select("uid", F.lit(0).cast("long").alias("at"), (F.length("tail") / F.col("width")).cast("long").alias("size"))
-    free = whole.where("size > 0")
-    opened = free.select("uid", F.col("size").alias("room"), F.col("size").alias("offset")).limit(0)
-    places = []
-    while True:
-        n_free, ids = free.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-        n_open, room = opened.agg(F.count("*"), F.coalesce(F.sum("room"), F.lit(0))).first()
-        ids += n_open * window - room
-        if n_free + n_open <= SHARD or ids < window:
-            break
-        more = ids // window - n_open
-        if more > 0:
-            seeds = cut(draw_seeds(free, more), "seeds")
-            size = F.col("size")
-            places.append(seeds.select("uid", F.col("at").alias("start"), size.alias("length"), F.col("uid").alias("seq"), F.lit(0).cast("long").alias("offset")))
-            opened = cut(opened.unionByName(seeds.select("uid", (window - size).alias("room"), size.alias("offset"))), "opened")
-            free = free.join(seeds.select("uid"), "uid", "left_anti")
-            n_open, n_free = opened.count(), free.count()
-        reach = max(REACH, ASKED // n_open)
-        found = search(opened, free, bags, n_open, n_free, idf, dense, mean, reach)
-        found = found.join(opened.withColumnRenamed("uid", "seq"), "seq").join(free, "uid")
-        by_score = Window.partitionBy("seq").orderBy(F.desc("score"), F.xxhash64("seq", "uid"))
-        before = F.coalesce(F.sum("size").over(by_score.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        asks = found.withColumn("before", before).withColumn("rank", F.row_number().over(by_score)).where(F.col("before") < reach * F.col("room"))
-        # Seeds of many terms score high everywhere, so scores of two sequences compare only at one place of their lists.
-        rank = F.struct(-F.col("rank"), "score", F.xxhash64("seq", "uid"))
-        won = asks.groupBy("uid").agg(F.max_by(F.struct("seq", "score", "room", "offset", "at", "size"), rank).alias("w"))
-        won = won.select("uid", "w.*").withColumn("before", before).where("before < room")
-        length = F.least(F.col("size"), F.col("room") - F.col("before"))
-        taken = cut(
-            won.select("uid", F.col("at").alias("start"), length.alias("length"), "seq", (F.col("offset") + F.col("before")).alias("offset")),
-            "taken",
-        )
-        places.append(taken)
-        got = taken.groupBy(F.col("seq").alias("uid")).agg(F.sum("length").alias("got"))
-        gain = F.coalesce("got", F.lit(0))
-        opened = cut(opened.join(got, "uid", "left").select("uid", (F.col("room") - gain).alias("room"), (F.col("offset") + gain).alias("offset")).where("room > 0"), "opened")
-        lost = F.coalesce("length", F.lit(0))
-        free = cut(
-            free.join(taken.select("uid", "length"), "uid", "left")
-            .select("uid", (F.col("at") + lost).alias("at"), (F.col("size") - lost).alias("size"))
-            .where("size > 0"),
-            "free",
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                out = []
+                for j, crc in enumerate(r["crcs"]):
+                    body = r["full"][4 * window * j : 4 * window * (j + 1)] if ids else None
+                    out.append((r["doc_id"], j * window, window, crc, r["tokens"], r["first"] + j, 0, body))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_TYPES)], names=_NAMES)
 
-    def finish(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("seed", "descending"), ("uid", "ascending")])
-        rows = group.to_pylist()
-        shard = Shard([np.repeat(*bag(r["terms"], r["times"], r["width"])) for r in rows], idf.value, mean)
-        begun = {i: r["ids"] for i, r in enumerate(rows) if r["seed"]}
-        out = []
-        for k, pieces in enumerate(fill([range(r["ids"]) for r in rows], shard, window, begun)):
-            seq = rows[k]["uid"] if k < len(begun) else rows[pieces[0][0]]["uid"]
-            offset = rows[k]["at"] if k < len(begun) else 0
-            for i, at, size in pieces:
-                out.append((rows[i]["uid"], rows[i]["at"] + at, size, seq, offset))
-                offset += size
-        names = [x.split()[0] for x in PLACES.split(", ")]
-        return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names=names)
-
-    last = opened.select("uid", F.col("offset").alias("at"), F.col("room").alias("ids"), F.lit(True).alias("seed"))
-    last = last.unionByName(free.select("uid", "at", F.col("size").alias("ids"), F.lit(False).alias("seed")))
-    places.append(last.join(bags, "uid").withColumn("one", F.lit(0)).groupBy("one").applyInArrow(finish, PLACES))
-    found = places[0]
-    for p in places[1:]:
-        found = found.unionByName(p)
-    return found
+    if ids:
+        rows = split.where(F.size("crcs") > 0).select("doc_id", "tokens", "crcs", "first", "full")
+        return rows.mapInArrow(run, PIECES)
+    rows = split.select("doc_id", "tokens", "first", F.posexplode("crcs").alias("j", "crc"))
+    j, full = F.col("j").cast("long"), F.lit(window).cast("long")
+    return rows.select(
+        "doc_id", (j * window).alias("start"), full.alias("length"), F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"),
+        (F.col("first") + j).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("binary").alias("ids"),
+    )
 
 
 def pack(
@@ -396,42 +316,21 @@ def pack(
     """Pieces of documents in sequences of at most ``window`` ids, with their ids if ``ids``.
 
     Every document is its ids and an end id; a null or empty text is the end id alone. Whole windows of a long document
-    are sequences of their own; tails are packed with the tails of their best neighbours in the whole table, by all terms
-    of the whole texts. Equal and null keys are separate documents. Rows that repeat are packed as often as they occur.
-    Other columns of docs are ignored; an empty table gives an empty result. ``sequence_id`` of a whole window counts
-    within a task, with the task's number above 33 bits; that of packed tails is negative.
+    are sequences of their own. Tails are packed by BM25 over all terms of whole texts, with df and lengths of all
+    documents: a seed's window is filled by its best unused neighbours of its shard. Shards are SHARD documents that stand
+    together when all are ordered by KEYS content keys (:func:`content_keys`); every document is in one shard, and a
+    neighbour of another shard isn't found. README has the recall against an index that isn't sharded. One sequence of a
+    task is short. Equal and null keys are separate documents. Rows that repeat are packed as often as they occur. Other
+    columns of docs are ignored; an empty table gives an empty result. ``sequence_id`` of a whole window counts within a
+    task, with the task's number above 33 bits; that of packed tails is negative.
     """
     split = split_documents(docs, path or vocabulary(), window, key, text, ids)
     df, n, mean = term_statistics(split)
-    often = np.flatnonzero(df > DENSE * n)
-    columns = np.full(len(df), -1, np.int64)
-    columns[often] = np.arange(len(often))
-    context = split.sparkSession.sparkContext
-    idf, dense = context.broadcast(np.log1p((n - df + 0.5) / (df + 0.5))), context.broadcast(columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (*[pa.int64()] * 7, pa.binary())
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                for j, crc in enumerate(r["crcs"]):
-                    body = r["full"][4 * window * j : 4 * window * (j + 1)] if ids else None
-                    out.append((r["doc_id"], j * window, window, crc, r["tokens"], r["first"] + j, 0, body))
-                tail = np.frombuffer(r["tail"], f"<u{r['width']}").astype("<u4")
-                for p in r["places"] or []:
-                    body = tail[p["start"] : p["start"] + p["length"]].tobytes()
-                    start = len(r["crcs"]) * window + p["start"]
-                    row = (r["doc_id"], start, p["length"], zlib.crc32(body), r["tokens"], -1 - p["seq"], p["offset"])
-                    out.append((*row, body if ids else None))
-            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    places = place(split, idf, dense, mean, window)
-    places = places.groupBy("uid").agg(F.collect_list(F.struct("start", "length", "seq", "offset")).alias("places"))
-    packed = split.drop("terms", "times").join(places, "uid", "left").mapInArrow(run, PIECES)
+    tails = place(split, np.log1p((n - df + 0.5) / (df + 0.5)), df > 1, n, mean, window, ids)
+    packed = whole_windows(split, window, ids).unionByName(tails)
     return packed if ids else packed.drop("ids")
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents without their ids, by :func:`pack`; nulls, ties and empty tables as there."""
     return pack(table(spark, sf_dir, "documents"), ids=False)
