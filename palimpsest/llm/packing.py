@@ -15,13 +15,13 @@ from .tokens import encoder, vocabulary
 
 WINDOW = 1024
 #: Documents of a shard of the index, and those of a task, which holds one shard at a time.
-SHARD, TASK = 2048, 1 << 15
+SHARD, TASK = 3072, 1 << 15
 #: Keys of content that order documents, the first before the second and so on.
 KEYS = 3
 #: Terms with more than this share of a shard's documents are scored by a matrix product, the others by their postings.
 DENSE = 0.03
 #: Seeds that are scored at a time.
-AHEAD = 128
+AHEAD = 64
 K1, B = 1.2, 0.75
 
 PIECES = (
@@ -189,6 +189,8 @@ def fill(sizes: list[int], index: Index, window: int = WINDOW) -> list[list[tupl
     sequences = []
 
     def scores(seed: int) -> np.ndarray:
+        if starts[seed]:  # the rest of a neighbour, which no one has foreseen
+            return index.scores(np.array([seed]))[0]
         if seed not in scored:
             scored.clear()
             others = np.flatnonzero(free)
