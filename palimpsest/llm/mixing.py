@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +17,17 @@ LANGUAGES = {"en": 4.0, "de": 1.0, "fr": 1.0, "es": 1.0}
 #: Tokens wanted, as a share of all; how often a document may be seen at most.
 SHARE, EPOCHS = 0.9, 2
 SEED = 11
+#: Leaves that the driver holds at most, at some 500 bytes each; more are an error, as no tree of sources should have them.
+LEAVES = 2_000_000
+#: Bytes of a table of leaves that every executor gets a copy of, and the salts by which documents meet a larger one.
+SMALL, SALTS = 32 << 20, 64
 #: Bits by which a leaf's seeded order is sliced at a time, and documents of a slice that are summed one by one.
 BITS, FEW = 8, 4096
 
 
 def domain_of(source: Column) -> Column:
-    """Domain of a source of the documents table: every fourth numbered source is a book source, all others are web."""
+    """Domains for the registered query and the pipeline, as the documents table names none: of the numbered sources every
+    fourth is a book source, all others are web. Other tables bring a rule of their own."""
     number = F.regexp_extract(source, "([0-9]+)$", 1)
     return F.when((number != "") & (F.substring(number, -2, 2).cast("int") % 4 == 3), F.lit("books")).otherwise(F.lit("web"))
 
@@ -87,6 +93,27 @@ def budgets(leaves: list[tuple], total: float, weights: list[dict[str, float]],
     return dict(walk(root, ())) if leaves else {}
 
 
+class Leaves:
+    """A row for each leaf, made on the driver, so that its size is known."""
+
+    def __init__(self, spark: SparkSession, path: list[str], columns: dict[str, pa.DataType], rows: list[tuple]):
+        types = [*[pa.string()] * len(path), *columns.values()]
+        columns_of = zip(*rows, strict=True) if rows else [()] * len(types)
+        arrays = [pa.array(c, t) for c, t in zip(columns_of, types, strict=True)]
+        found = pa.Table.from_arrays(arrays, names=[*path, *columns])
+        self.path, self.small = path, found.nbytes <= SMALL
+        self.rows = spark.createDataFrame(found)
+
+    def meet(self, docs: DataFrame, how: str = "inner") -> DataFrame:
+        """``docs`` (with a column row) joined by leaf, without dealing documents by leaf: a small table goes to all
+        executors; in a larger one each leaf stands once for each salt, and a leaf's documents are spread over the salts."""
+        if self.small:
+            return docs.join(F.broadcast(self.rows), self.path, how)
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        salted = docs.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(SALTS)).cast("int"))
+        return salted.join(self.rows.select("*", salts), [*self.path, "salt"], how).drop("salt")
+
+
 def mix(
     docs: DataFrame,
     levels: list[Column],
@@ -106,7 +133,8 @@ def mix(
     gives an empty result.
 
     Leaves are summed in slices of the seeded order, then slices of the slice in which the budget ends, and only a slice
-    of few documents is summed one by one; so no leaf, however large, is sorted in one task.
+    of few documents is summed one by one; so no leaf, however large, is sorted in one task. The tree is held on the
+    driver: more than LEAVES leaves are an error.
     """
     weights = weights if weights is not None else [DOMAINS, LANGUAGES]
     names = docs.columns
@@ -121,27 +149,27 @@ def mix(
     described = described.withColumn("row", row)
     slim = cut(described.select(*path, "tokens", "row"), "mix-rows")
     # The leaves are the sources of the corpus, not its documents.
-    found = slim.groupBy(*path).agg(F.sum("tokens").alias("tokens")).orderBy(*path).collect()
-    leaves = [tuple(r) for r in found]
+    found = slim.groupBy(*path).agg(F.sum("tokens").alias("tokens")).limit(LEAVES + 1).collect()
+    if len(found) > LEAVES:
+        raise ValueError(f"the tree has more than {LEAVES} leaves")
+    leaves = sorted(tuple(r) for r in found)
     wanted = budgets(leaves, share * sum(r[-1] for r in leaves), weights, epochs)
-    plan = []
+    plan = {}
     for *leaf, tokens_in in leaves:
         budget = wanted[tuple(leaf)]
         whole = min(epochs, budget // tokens_in) if tokens_in else 1
-        plan.append((*leaf, whole, budget - whole * tokens_in))
+        plan[tuple(leaf)] = (whole, budget - whole * tokens_in)
     spark = docs.sparkSession
-    fields = ", ".join([*[f"{p} string" for p in path], "whole int", "rest long"])
-    plan = spark.createDataFrame(plan, fields)
-
     rank = F.xxhash64(F.lit(seed), F.col("whole"), F.col("row"))
-    ordered = slim.join(plan, path).where("whole < %d" % epochs).withColumn("rank", rank)
-    # The slice in which the budget ends and what is left for it, from the whole order to ever finer slices.
-    ends = plan.where((F.col("whole") < epochs) & (F.col("rest") > 0)).select(
-        *path, F.lit(0).cast("long").alias("end"), F.col("rest").alias("room")
-    )
-    ordered = ordered.drop("whole", "rest")
+    # The slice in which the budget ends, what is left for it and its documents, from the whole order to ever finer slices.
+    ends = {leaf: (0, rest, FEW + 1) for leaf, (whole, rest) in plan.items() if whole < epochs and rest > 0}
+    ended = {"whole": pa.int32(), "end": pa.int64(), "room": pa.int64()}
     for bits in range(BITS, 57, BITS):
-        inside = ordered.join(ends, path)
+        if max((n for _, _, n in ends.values()), default=0) <= FEW:
+            bits -= BITS
+            break
+        open_leaves = Leaves(spark, path, ended, [(*leaf, plan[leaf][0], *at[:2]) for leaf, at in ends.items()])
+        inside = open_leaves.meet(slim).withColumn("rank", rank)
         if bits > BITS:
             inside = inside.where(F.shiftrightunsigned("rank", 64 - bits + BITS) == F.col("end"))
         sums = inside.groupBy(*path, F.shiftrightunsigned("rank", 64 - bits).alias("slice"), "room").agg(
@@ -157,17 +185,15 @@ def mix(
             .select(*path, F.col("slice").alias("end"), (F.col("room") - F.col("before")).alias("room"), "n")
             .collect()
         )
-        # A row for each leaf, as the plan has: small by its known size, so documents aren't dealt by leaf to meet it.
-        ends = spark.createDataFrame(found, ", ".join([*[f"{p} string" for p in path], "end long, room long, n long"]))
-        if max((r["n"] for r in found), default=0) <= FEW:
-            break
-    inside = ordered.join(ends, path).where(F.shiftrightunsigned("rank", 64 - bits) == F.col("end"))
+        ends = {tuple(r)[: len(path)]: (r["end"], r["room"], r["n"]) for r in found}
+    open_leaves = Leaves(spark, path, ended, [(*leaf, plan[leaf][0], *at[:2]) for leaf, at in ends.items()])
+    inside = open_leaves.meet(slim).withColumn("rank", rank).where(F.shiftrightunsigned("rank", 64 - bits) == F.col("end"))
     within = F.sum("tokens").over(Window.partitionBy(*path).orderBy("rank").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     stop = inside.withColumn("upto", within).where(F.col("upto") > F.col("room")).groupBy(*path)
-    stop = stop.agg(F.min("rank").alias("stop")).collect()
-    stop = spark.createDataFrame(stop, ", ".join([*[f"{p} string" for p in path], "stop long"]))
+    stop = {tuple(r)[:-1]: r["stop"] for r in stop.agg(F.min("rank").alias("stop")).collect()}
+    decided = {"whole": pa.int32(), "rest": pa.int64(), "stop": pa.int64()}
     # Ranks are compared as unsigned numbers, as slices are.
-    chosen = described.join(plan.join(stop, path, "left"), path)
+    chosen = Leaves(spark, path, decided, [(*leaf, *plan[leaf], stop.get(leaf)) for leaf in plan]).meet(described)
     unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
     partial = (F.col("whole") < epochs) & (F.col("rest") > 0) & (
         F.col("stop").isNull() | (unsigned("rank") < unsigned("stop"))
@@ -182,12 +208,17 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """:func:`mix` for tables like documents: domains of sources, languages and sources; words are the tokens."""
-    levels = [domain_of(F.col("source")), F.col("lang"), F.col("source")]
-    return mix(docs, levels, word_count(F.col("text")), **options)
+def mix_documents(docs: DataFrame, domain: Column | None = None, **options) -> DataFrame:
+    """:func:`mix` for tables like documents: by domains, if there is a column for them, languages and sources; words are
+    the tokens."""
+    levels, weights = [F.col("lang"), F.col("source")], [LANGUAGES]
+    if domain is not None:
+        levels, weights = [domain, *levels], [DOMAINS, *weights]
+    return mix(docs, levels, word_count(F.col("text")), **{"weights": weights, **options})
 
 
 def op9_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = mix_documents(table(spark, sf_dir, "documents"))
+    """(doc_id, epoch, lang, source, n_chars) of the documents that :func:`mix_documents` chooses; nulls, ties and empty
+    tables as there."""
+    chosen = mix_documents(table(spark, sf_dir, "documents"), domain_of(F.col("source")))
     return chosen.select("doc_id", "epoch", "lang", "source", "n_chars")

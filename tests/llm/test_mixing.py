@@ -23,13 +23,14 @@ def test_allocate_leaves_what_nobody_can_take():
     assert allocate([a, b], 100) == 70 and (a.budget, b.budget) == (10, 20)
 
 
-@pytest.mark.parametrize("few,share", [(4096, 0.5), (3, 0.5), (3, 1.7)])
-def test_prefixes_match_brute_force(spark, monkeypatch, few, share):
+@pytest.mark.parametrize("few,share,small", [(4096, 0.5, 1 << 20), (3, 0.5, 1 << 20), (3, 1.7, 0)])
+def test_prefixes_match_brute_force(spark, monkeypatch, few, share, small):
     monkeypatch.setattr(mixing, "FEW", few)
+    monkeypatch.setattr(mixing, "SMALL", small)  # bytes of a table of leaves that is broadcast
     rows = [(i, "w " * (i % 37), "en" if i % 3 else "de", f"src{i * i % 7}", i, i) for i in range(900)]
     rows += [(None, "a b", None, None, None, None), (None, "a b", None, None, None, None), (5, None, "en", "src1", 1, 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = mixing.mix_documents(docs, share=share)
+    got = mixing.mix_documents(docs, mixing.domain_of(F.col("source")), share=share)
     assert got.columns == [*docs.columns, "epoch"]
     seen = sorted((str(r[:-1]), r.epoch) for r in map(tuple_row, got.collect()))
 
@@ -80,5 +81,25 @@ class tuple_row(tuple):
         return self
 
 
+def test_documents_are_not_dealt_by_leaf(spark):
+    rows = [(i, "w " * (i % 9), "en", "hot" if i % 3 else f"s{i % 5}", i, i) for i in range(300)]
+    plan = mixing.mix_documents(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(level" not in plan
+
+
+def test_more_leaves_than_the_driver_holds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAVES", 3)
+    rows = [(i, "a", "en", f"s{i}", 1, 1) for i in range(4)]
+    with pytest.raises(ValueError):
+        mixing.mix_documents(spark.createDataFrame(rows, SCHEMA))
+    assert mixing.mix_documents(spark.createDataFrame(rows[:3], SCHEMA), share=5.0).count() == 6
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "w " * 300_000, "en", "a", 1, 1), (2, "w", "en", "a", 1, 1), (3, None, "en", "a", 1, 1)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, SCHEMA), share=0.00001).collect()
+    assert {r.doc_id for r in got} <= {2, 3}
+
+
 def test_empty(spark):
     assert mixing.mix_documents(spark.createDataFrame([], SCHEMA)).count() == 0
