@@ -13,6 +13,8 @@ from .common import SPACE_CHARS, cut, table
 CELLS = 1 << 18
 #: Least Jaccard similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
+#: Two hashes of a set of words, 96 bits together; lines of equal sets are one class.
+IDS = ["k1", "k2"]
 #: Classes with a word beyond which it is settled in rounds, and those rounds; they shape the work, never the result.
 HOT, ROUNDS = 512, 4
 
@@ -31,10 +33,10 @@ def split_words(text: Column) -> Column:
 def rarities(texts: DataFrame) -> list[int]:
     """For each of CELLS cells of words, the count of all words of column ``t`` that fall in it, in eighths of a power of
     two. A fixed number of small integers, whatever the corpus."""
-    words = texts.select(F.explode(split_words(F.col("t"))).alias("w"))
-    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    cell = lambda w: F.xxhash64(w).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    cells = texts.select(F.explode(F.transform(split_words(F.col("t")), cell)).alias("cell"))
     found = [0] * CELLS
-    for r in words.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect():
+    for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect():
         found[r["cell"]] = min(255, int(8 * math.log2(r["n"] + 1)))
     return found
 
@@ -73,6 +75,11 @@ def prefix_length(n: Column) -> Column:
     return (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
 
 
+def short_prefix(n: Column) -> Column:
+    """The same for the smaller set of a pair: it shares ceil(2 n * similarity / (1 + similarity)) words at least."""
+    return n - least_overlap(n, n) + 1
+
+
 def bits_apart(a: str, b: str) -> Column:
     return sum(F.bit_count(F.col(f"{lane}{a}").bitwiseXOR(F.col(f"{lane}{b}"))) for lane in ("bits", "more"))
 
@@ -84,6 +91,8 @@ def may_match(a: str, b: str) -> Column:
         (DENOMINATOR * n >= NUMERATOR * m)
         & (DENOMINATOR * m >= NUMERATOR * n)
         & (bits_apart(a, b) <= n + m - 2 * least_overlap(n, m))
+        # The smaller set has the word in its shorter prefix.
+        & (F.when(n < m, F.col(f"i{a}") < short_prefix(n)).when(m < n, F.col(f"i{b}") < short_prefix(m)).otherwise(F.greatest(f"i{a}", f"i{b}") < short_prefix(n)))
         # At their first common word the words from there on must suffice.
         & (F.least(n - F.col(f"i{a}"), m - F.col(f"i{b}")) >= least_overlap(n, m))
     )
@@ -125,81 +134,97 @@ def whole_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k1, words) of the classes in ``wanted`` (k1), read again from the texts of their first lines."""
-    places = classes.join(wanted, "k1", "left_semi").select("k1", F.col("first.body").alias("body"), F.col("first.line_no").alias("at"))
-    by_text = places.groupBy("body").agg(F.collect_list(F.struct("k1", "at")).alias("asked"))
-    # Equal texts are one here; the grouping and the join share one exchange of the texts.
-    bodies = texts.groupBy(F.xxhash64("t").alias("body")).agg(F.any_value("t").alias("t"))
-    lines = bodies.join(by_text, "body").select(F.split("t", "\n", -1).alias("lines"), "asked")
+    """(k1, k2, words) of the classes in ``wanted`` (k1, k2): their words, read again from the texts of their first lines."""
+    places = classes.join(wanted, IDS, "left_semi").select(*IDS, "first.*")
+    asked = places.groupBy("doc_id", "body").agg(F.collect_list(F.struct(*IDS, "line_no")).alias("asked"))
+    asked = asked.withColumnRenamed("doc_id", "d").withColumnRenamed("body", "b")
+    # Of a text that many documents have only that of the first line's document is met.
+    lines = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("t") == F.col("b")))
+    lines = lines.select(F.split("t", "\n", -1).alias("lines"), "asked")
     found = F.transform(
         "asked",
-        lambda a: F.struct(
-            a["k1"].alias("k1"),
-            F.array_distinct(F.transform(split_words(F.get("lines", a["at"])), lambda w: F.hash(w))).alias("words"),
-        ),
+        lambda a: F.struct(*[a[k].alias(k) for k in IDS], F.array_distinct(split_words(F.get("lines", a["line_no"]))).alias("words")),
     )
-    return cut(lines.select(F.explode(found).alias("s")).select("s.k1", "s.words"), "line-sets")
+    # Repeated rows give a set again.
+    return cut(lines.select(F.explode(found).alias("s")).select("s.*").dropDuplicates(IDS), "line-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(late) of the pairs (late, early) that reach the similarity."""
-    one = sets.select(F.col("k1").alias("late"), F.col("words").alias("wl"))
-    two = sets.select(F.col("k1").alias("early"), F.col("words").alias("we"))
-    shared = F.size(F.array_intersect("wl", "we"))
-    return (
-        pairs.join(one, "late").join(two, "early").where(shared >= least_overlap(F.size("wl"), F.size("we"))).select("late").distinct()
-    )
+    """(k1, k2) of the late classes of the pairs (k1, k2, e1, e2) whose words reach the similarity."""
+    early = sets.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("words").alias("early"))
+    enough = F.size(F.array_intersect("words", "early")) >= least_overlap(F.size("words"), F.size("early"))
+    return cut(pairs.join(sets, IDS).join(early, ["e1", "e2"]).where(enough).select(*IDS).distinct(), "late-lines")
 
 
 def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k1) of the classes that have a similar class before them.
+    """(k1, k2) of the classes that have a similar class before them.
 
-    Words with more than HOT classes are settled first: in rounds, each unsettled class is compared with the first
-    unsettled class of each such word. What the rounds settle isn't compared with each other later; all other pairs are,
-    so no link is lost, and a large group of copies costs rows in proportion to its size.
+    Words with more than HOT classes are looked at first: in rounds, each class is compared with the first class of each
+    such word, and leaves when the filters let a pair through. Classes that have left aren't compared with each other; all
+    other pairs are, so a large group of copies costs rows in proportion to its size. Then the words of one pair of each
+    class decide. Classes whose pair fails meet all their candidates, those that have left every class, so no link is lost.
     """
-    order = F.struct("first.doc_id", "first.line_no", "k1")
-    rows = classes.select("k1", F.explode("p").alias("word"))
-    hot = cut(rows.groupBy("word").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select("word"), "hot-words")
-    settled = classes.select("k1").limit(0)
+    order = F.struct("first.doc_id", "first.line_no", *IDS).alias("order")
+    filters = ["n", "bits", "more"]
+    pair = [*IDS, "e1", "e2"]
+    hot = classes.select(F.explode("p").alias("word")).groupBy("word").agg(F.count("*").alias("rows"))
+    hot = cut(hot.where(F.col("rows") > HOT).select("word"), "hot-words")
+    guessed = classes.select(*IDS, F.col("k1").alias("e1"), F.col("k2").alias("e2")).limit(0)
     if not hot.isEmpty():
-        often = classes.select("k1", "n", "bits", "more", order.alias("order"), F.posexplode("p").alias("i", "word"))
+        often = classes.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word"))
         often = cut(often.join(hot, "word", "left_semi"), "hot-rows")
-        sets = sets_of(often.select("k1").distinct(), classes, texts)
         for _ in range(ROUNDS):
-            open_rows = often.join(settled, "k1", "left_anti")
-            lead = F.min(F.struct("order", F.col("k1").alias("k1y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("bits").alias("bitsy"), F.col("more").alias("morey")))
-            leads = cut(open_rows.groupBy("word").agg(lead.alias("lead")).select("word", "lead.k1y", "lead.ny", "lead.iy", "lead.bitsy", "lead.morey"), "leads")
-            near = open_rows.join(leads, "word").where((F.col("k1") != F.col("k1y")) & may_match("", "y"))
-            best = near.groupBy(F.col("k1").alias("late")).agg(F.min_by("k1y", bits_apart("", "y")).alias("early"))
-            found = cut(verified(best, sets).select(F.col("late").alias("k1")), "settled")
+            still = often.join(guessed.select(*IDS), IDS, "left_anti")
+            lead = F.min(F.struct("order", *[F.col(c).alias(f"{c}y") for c in (*IDS, *filters, "i")]))
+            leads = cut(still.groupBy("word").agg(lead.alias("lead")).select("word", "lead.*").drop("order"), "leads")
+            other = (F.col("k1") != F.col("k1y")) | (F.col("k2") != F.col("k2y"))
+            near = still.join(leads, "word").where(other & may_match("", "y"))
+            best = F.min_by(F.struct("k1y", "k2y"), bits_apart("", "y")).alias("best")
+            found = cut(near.groupBy(*IDS).agg(best).select(*IDS, F.col("best.k1y").alias("e1"), F.col("best.k2y").alias("e2")), "guessed")
             if found.isEmpty():
                 break
-            settled = cut(settled.unionByName(found), "settled")
-    # The sign of n tells the settled.
-    marked = classes.join(settled.withColumn("done", F.lit(True)), "k1", "left")
-    rows = marked.select(
-        "k1", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).alias("n"), "bits", "more", F.posexplode("p").alias("i", "word")
-    )
-    a, b = (rows.toDF(f"k{e}", f"s{e}", f"bits{e}", f"more{e}", f"i{e}", "word").withColumn(f"n{e}", F.abs(f"s{e}")) for e in "xy")
-    near = (a["kx"] < b["ky"]) & ((a["sx"] > 0) | (b["sy"] > 0)) & may_match("x", "y")
-    pairs = a.join(b, (a["word"] == b["word"]) & near).select("kx", "ky", bits_apart("x", "y").alias("apart")).distinct()
-    places = classes.select("k1", order.alias("order"))
-    one, two = places.toDF("kx", "ox"), places.toDF("ky", "oy")
-    pairs = cut(pairs, "line-pairs").join(one, "kx").join(two, "ky")
+            guessed = cut(guessed.unionByName(found), "guessed")
+    # The sign of n tells those that have left.
+    marked = classes.join(guessed.select(*IDS, F.lit(True).alias("left")), IDS, "left")
+    signed = F.when(F.col("left"), -F.col("n")).otherwise(F.col("n")).alias("n")
+    rows = marked.select(*IDS, signed, "bits", "more", F.posexplode("p").alias("i", "word"))
+    a, b = (rows.toDF(f"k1{e}", f"k2{e}", f"s{e}", f"bits{e}", f"more{e}", f"i{e}", "word").withColumn(f"n{e}", F.abs(f"s{e}")) for e in "xy")
+    once = (a["k1x"] < b["k1y"]) | ((a["k1x"] == b["k1y"]) & (a["k2x"] < b["k2y"]))
+    near = once & ((a["sx"] > 0) | (b["sy"] > 0)) & may_match("x", "y")
+    pairs = a.join(b, (a["word"] == b["word"]) & near).select("k1x", "k2x", "k1y", "k2y", bits_apart("x", "y").alias("apart")).distinct()
+    places = classes.select(*IDS, order)
+    one, two = places.toDF("k1x", "k2x", "ox"), places.toDF("k1y", "k2y", "oy")
+    pairs = cut(pairs, "line-pairs").join(one, ["k1x", "k2x"]).join(two, ["k1y", "k2y"])
     first = F.col("ox") < F.col("oy")
     pairs = pairs.select(
-        F.when(first, F.col("ky")).otherwise(F.col("kx")).alias("late"), F.when(first, F.col("kx")).otherwise(F.col("ky")).alias("early"), "apart"
+        *[F.when(first, F.col(f"{k}y")).otherwise(F.col(f"{k}x")).alias(k) for k in IDS],
+        *[F.when(first, F.col(f"{k}x")).otherwise(F.col(f"{k}y")).alias(e) for k, e in zip(IDS, ("e1", "e2"), strict=True)],
+        "apart",
     )
-    pairs = cut(pairs.join(settled.select(F.col("k1").alias("late")), "late", "left_anti"), "line-pairs")
-    if pairs.isEmpty():
-        return settled
-    sets = sets_of(pairs.select(F.explode(F.array("late", "early")).alias("k1")).distinct(), classes, texts)
+    pairs = cut(pairs.join(guessed, IDS, "left_anti"), "line-pairs")
     # The closest candidate of each class first; the others only where that one isn't similar.
-    best = pairs.groupBy("late").agg(F.min_by("early", F.struct("apart", "early")).alias("early"))
-    sure = cut(verified(best, sets), "late-lines")
-    rest = cut(verified(pairs.join(sure, "late", "left_anti"), sets), "late-lines")
-    return settled.unionByName(sure.unionByName(rest).select(F.col("late").alias("k1")))
+    best = pairs.groupBy(*IDS).agg(F.min_by(F.struct("e1", "e2"), F.struct("apart", "e1", "e2")).alias("best")).select(*IDS, "best.*")
+    best = cut(best.unionByName(guessed), "best-pairs")
+    if best.isEmpty():
+        return classes.select(*IDS).limit(0)
+
+    def ends(some: DataFrame) -> DataFrame:
+        return some.select(F.explode(F.array(F.struct(*IDS), F.struct(F.col("e1").alias("k1"), F.col("e2").alias("k2")))).alias("s")).select("s.*").distinct()
+
+    sets = sets_of(ends(best), classes, texts)
+    sure = verified(best, sets)
+    rest = pairs.select(*pair).join(sure, IDS, "left_anti").join(best, pair, "left_anti")
+    failed = cut(guessed.join(sure, IDS, "left_anti").select(*IDS), "failed")
+    if not failed.isEmpty():
+        wide = classes.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word"))
+        before = wide.select("word", *[F.col(c).alias(f"{c}y") for c in (*IDS, *filters, "i", "order")])
+        again = wide.join(failed, IDS, "left_semi").join(before, "word").where((F.col("ordery") < F.col("order")) & may_match("", "y"))
+        rest = rest.unionByName(again.select(*IDS, F.col("k1y").alias("e1"), F.col("k2y").alias("e2")).distinct())
+    rest = cut(rest, "line-pairs")
+    if rest.isEmpty():
+        return sure
+    more = sets_of(ends(rest).join(sets, IDS, "left_anti"), classes, texts)
+    return sure.unionByName(verified(rest, sets.unionByName(more)))
 
 
 def line_verdicts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -213,7 +238,7 @@ def line_verdicts(docs: DataFrame, key: str, text: str) -> DataFrame:
         "line-classes",
     )
     late = late_classes(classes, whole_texts(docs, key, text)).withColumn("late", F.lit(True))
-    fates = cut(classes.join(late, "k1", "left").select("k1", "k2", "first", F.col("late").isNotNull().alias("late")), "line-fates")
+    fates = cut(classes.join(late, IDS, "left").select("k1", "k2", "first", F.col("late").isNotNull().alias("late")), "line-fates")
     found = lines.select("k1", "k2", "doc_id", "body", "line_no", "n").join(fates, ["k1", "k2"])
     return found.select(
         "doc_id", "body", "line_no", F.col("n").alias("n_words"), ((place == F.col("first")) & ~F.col("late")).alias("kept")
@@ -225,7 +250,7 @@ def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Lines are sets of their words ``[^\\x20\\x09-\\x0D]+``. A line goes if an earlier line, of any document, has a Jaccard
     similarity of 4/5 or more with it, whether that one stays or not; earlier is by key (nulls first), line_no, and then a
-    hash. Words are compared by 32-bit hashes. Lines without a word are never compared and stay, so null and empty
+    hash. Words themselves decide, equal sets of words are told by 96 bits. Lines without a word are never compared and stay, so null and empty
     texts give no rows. Rows with equal key and text are one document: they get the same verdicts. Other columns are
     ignored; an empty table gives an empty result.
     """
@@ -262,6 +287,8 @@ def drop_later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
 
 def op7_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, n_words, kept) of the lines of documents, by :func:`judge_lines`; nulls, ties and empty tables as
+    there."""
     return judge_lines(table(spark, sf_dir, "documents"))
 
 

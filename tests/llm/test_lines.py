@@ -48,6 +48,29 @@ def test_verdicts_match_brute_force(spark, monkeypatch, hot, rounds):
     assert sorted(((r.doc_id, r.line_no, r.n_words, r.kept) for r in got), key=str) == brute(rows)
 
 
+def test_words_of_equal_hash_are_two_words(spark):
+    from pyspark.sql import functions as F
+
+    one, two = "q88212", "q129256"
+    assert spark.range(1).select(F.hash(F.lit(one)) == F.hash(F.lit(two))).first()[0]
+    shared = [f"shared{i}" for i in range(15)]
+    rows = [(1, " ".join([*shared, one, "a1", "a2"]), "", 1), (2, " ".join([*shared, two, "b1", "b2"]), "", 2)]
+    rows += [(i, " ".join(shared[:1] * 3 + [f"filler{i}x{j}" for j in range(9)]), "", i) for i in range(3, 43)]
+    got = lines.judge_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.kept for r in got} == {d: True for d, *_ in rows}
+
+
+def test_candidates_that_fail_do_not_hide_others(spark, monkeypatch):
+    """Without a parity filter most candidates fail their check; the others of a class still count."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "bits_apart", lambda a, b: F.lit(0))
+    monkeypatch.setattr(lines, "HOT", 3)
+    rows = planted(11, 90)
+    got = lines.judge_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.line_no, r.n_words, r.kept) for r in got), key=str) == brute(rows)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i}" for i in range(30000))
     rows = [
