@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 ADDRESS = ("archive", "subarchive", "fond", "opus", "case")
 KINDS = ("archive", "fond", "opus", "case")
 
@@ -33,20 +35,52 @@ def with_namespace(title: Column, namespace: str) -> Column:
     return F.concat(F.lit(namespace + ":"), title)
 
 
-def expand_target(target: Column, title: Column) -> Column:
-    """A link's target seen from a page: ``../`` climbs, ``./`` and a leading ``/`` stay below the page; double slashes
-    are one, spaces are underscores; other targets stand for themselves."""
-    clean = F.regexp_replace(F.regexp_replace(target, "//+", "/"), " ", "_")
+def expand_target(target: Column, title: Column, base: str = "") -> Column:
+    """The address of a link's target seen from a page: ``../`` climbs, ``./`` and a leading ``/`` stay below the page, and
+    these lose a slash at their end; other targets stand for themselves. Outer white space goes, double slashes are one,
+    spaces are underscores. Several ``../`` climb several levels."""
+    clean = F.regexp_replace(F.regexp_replace(strip(target), "//+", "/"), " ", "_")
     ups = F.length(F.regexp_extract(clean, r"^((?:\.\./)*)", 1)) / 3
-    rest = F.regexp_replace(clean, r"^(?:\.\./)+", "")
     parts = F.split(title, "/")
     above = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - ups.cast("int"), F.lit(0))), "/")
-    return (
-        F.when(ups > 0, F.concat_ws("/", F.nullif(above, F.lit("")), F.nullif(rest, F.lit(""))))
-        .when(F.startswith(clean, F.lit("./")), F.concat(title, F.lit("/"), F.substring(clean, 3, 1 << 20)))
-        .when(F.startswith(clean, F.lit("/")), F.concat(title, clean))
-        .otherwise(clean)
-    )
+    rest = F.regexp_replace(F.regexp_replace(clean, r"^(?:(?:\.\./)+|\./|/)", ""), "/+$", "")
+    below = F.concat_ws("/", F.nullif(above, F.lit("")), F.nullif(rest, F.lit("")))
+    path = F.when(clean.rlike(r"^(\.\.?)?/"), below).otherwise(clean)
+    return F.concat(F.lit(base + "/wiki/"), path)
+
+
+def percent_encode(text: Column) -> Column:
+    """Percent-encoded UTF-8, but for letters, digits and ``_.-~/``."""
+    out = F.url_encode(text)
+    for coded, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out
+
+
+def history_url(title: Column, site: str, limit: int = 1) -> Column:
+    """Address that answers with the ``limit`` newest revisions of a page."""
+    query = f"{site}/w/api.php?action=query&format=json&prop=revisions&rvprop=ids|timestamp&rvlimit={limit}&titles="
+    return F.concat(F.lit(query), percent_encode(title))
+
+
+def revision_url(title: Column, revid: Column, site: str) -> Column:
+    """Address of one revision of a page."""
+    return F.concat(F.lit(f"{site}/w/index.php?title="), percent_encode(title), F.lit("&oldid="), revid.cast("string"))
+
+
+def content_url(titles: Column, site: str) -> Column:
+    """Address that answers with the texts of an array of pages."""
+    query = f"{site}/w/api.php?action=query&format=json&prop=revisions&rvprop=content&rvslots=main&titles="
+    return F.concat(F.lit(query), F.array_join(F.transform(titles, lambda t: percent_encode(t)), "|"))
+
+
+def subarchive(anchor_title: Column, href: Column, archive: str) -> Column:
+    """Name of the sub-archive that an anchor of an archive's page leads to: titles of two parts that begin with the
+    archive, in either spelling of its spaces, but for publications and pages yet to be written; null for others."""
+    parts = F.split(anchor_title, "/")
+    own = F.startswith(anchor_title, F.lit(archive)) | F.startswith(F.replace(anchor_title, F.lit(" "), F.lit("_")), F.lit(archive))
+    listed = own & ~F.contains(href, F.lit("redlink")) & (F.size(parts) == 2) & (F.get(parts, 1) != "видання")
+    return F.when(listed, F.get(parts, 1))
 
 
 def is_commons(link: Column) -> Column:
@@ -117,6 +151,44 @@ def hrefs(html: Column) -> Column:
     )
 
 
+def wikilinks(text: Column) -> Column:
+    """(target, text) of the ``[[target|text]]`` links of a wikitext, in order; the text is empty where there is none."""
+    whole = F.regexp_extract_all(text, F.lit(r"\[\[([^\[\]|]+(?:\|[^\[\]]*)?)\]\]"), 1)
+    return F.transform(
+        whole,
+        lambda x: F.struct(strip(F.substring_index(x, "|", 1)).alias("target"), F.regexp_extract(x, r"(?s)\|(.*)", 1).alias("text")),
+    )
+
+
+def link_classes(text: Column) -> Column:
+    """(commons_links, category_links, internal_links, external_links) of a wikitext, each in order."""
+    targets = F.transform(wikilinks(text), lambda x: x["target"])
+    commons = F.transform(F.filter(targets, is_commons), lambda t: commons_url(t))
+    category = F.filter(targets, lambda t: ~is_commons(t) & is_category(t))
+    internal = F.filter(targets, lambda t: ~is_commons(t) & ~is_category(t))
+    outside = F.regexp_replace(text, r"\[\[[^\[\]]*\]\]", " ")
+    external = F.regexp_extract_all(outside, F.lit(r"(https?://[^\s\[\]{}|<>\x22]+)"), 1)
+    return F.struct(
+        commons.alias("commons_links"), category.alias("category_links"), internal.alias("internal_links"), external.alias("external_links")
+    )
+
+
+def file_links(text: Column) -> Column:
+    """Distinct ``File:`` links of a wikitext: wiki links, names that stand by themselves in a template, and addresses."""
+    linked = F.filter(F.transform(wikilinks(text), lambda x: x["target"]), lambda t: F.startswith(F.lower(t), F.lit("file:")))
+    templates = F.array_join(F.regexp_extract_all(text, F.lit(r"(?s)(\{\{.*?\}\})"), 1), "\n")
+    raw = F.regexp_extract_all(F.regexp_replace(templates, r"\[\[[^\[\]]*\]\]|https?://\S+", " "), F.lit(r"(\bFile:[^|}\n\r]+)"), 1)
+    named = F.regexp_extract_all(templates, F.lit(r"https?://[^\s|}/]+/wiki/File:([^\s|}]+)"), 1)
+    addressed = F.transform(named, lambda n: F.concat(F.lit("File:"), F.replace(n, F.lit("_"), F.lit(" "))))
+    return F.array_distinct(F.concat(linked, F.transform(raw, strip), addressed))
+
+
+def document_url(classes: Column, notes: Column, title: Column, base: str = "") -> Column:
+    """A page's first document: its first internal link, else the first shared file of its notes; both are
+    :func:`link_classes`."""
+    return F.coalesce(expand_target(F.get(classes["internal_links"], 0), title, base), F.get(notes["commons_links"], 0))
+
+
 def subtract_links(links: Column, minus: Column) -> Column:
     """Bag difference: each element of ``minus`` takes away one occurrence, the first; absent ones none."""
     return F.transform(

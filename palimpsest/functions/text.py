@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 TEXT_ITEM = "struct<uk:string,en:string,en_set:boolean>"
 
 
+# How letters are spelt in ASCII, and the patterns of numbers and of natural keys.
+LETTERS = dict(zip(
+    "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿАБВГҐДЕЗИІЙКЛМНОПРСТУФЫЭабвгґдезиійклмнопрстуфыэ",
+    "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyyABVGGDEZIIIKLMNOPRSTUFYEabvggdeziiiklmnoprstufye",
+    strict=True,
+))
+CLUSTERS = {
+    "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "ss", "Є": "Ie", "є": "ie", "Ё": "Io", "ё": "io", "Ж": "Zh", "ж": "zh",
+    "Ї": "Yi", "ї": "yi", "Х": "Kh", "х": "kh", "Ц": "Ts", "ц": "ts", "Ч": "Ch", "ч": "ch", "Ш": "Sh", "ш": "sh",
+    "Щ": "Shch", "щ": "shch", "Ю": "Iu", "ю": "iu", "Я": "Ia", "я": "ia", "Ь": "'", "ь": "'", "Ъ": "\"", "ъ": "\"",
+}
+_NUMERIC = "^[0-9]+([–-][0-9]+)?$"
+_NATURAL = r"^([\p{L}\-‐‑‒–—]*)(\p{Nd}+)([\p{L}\-‐‑‒–—]*)$"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -16,7 +31,7 @@ def strip(text: Column) -> Column:
 
 def is_numeric(text: Column) -> Column:
     """A number or a range of two, after stripping."""
-    return strip(text).rlike("^[0-9]+([–-][0-9]+)?$")
+    return strip(text).rlike(_NUMERIC)
 
 
 def is_ascii(text: Column) -> Column:
@@ -58,11 +73,19 @@ def redact(text: Column) -> Column:
     return F.concat(F.substring(text, 1, 3), F.lit("..."))
 
 
-def ascii_filename(name: Column, letters: dict[str, str] | None = None) -> Column:
-    """An ASCII file name: letters by a table, dashes and underscores go, other characters become an underscore."""
-    if letters:
-        name = F.translate(name, "".join(letters), "".join(letters.values()))
-    cleaned = F.regexp_replace(F.regexp_replace(name, "[-_]", ""), r"[^A-Za-z0-9_.-]", "_")
+def to_ascii(text: Column, letters: dict[str, str] | None = None, clusters: dict[str, str] | None = None) -> Column:
+    """Letters spelt in ASCII, one by one and those that take several; characters of no table stay."""
+    letters, clusters = LETTERS if letters is None else letters, CLUSTERS if clusters is None else clusters
+    out = F.translate(text, "".join(letters), "".join(letters.values())) if letters else text
+    for letter, spelt in clusters.items():
+        out = F.replace(out, F.lit(letter), F.lit(spelt))
+    return out
+
+
+def ascii_filename(name: Column) -> Column:
+    """An ASCII file name: letters are spelt in ASCII, the pair ``-_`` goes, characters but letters, digits and ``-_.``
+    become an underscore; a name of nothing is ``download``."""
+    cleaned = F.regexp_replace(F.replace(to_ascii(name), F.lit("-_"), F.lit("")), r"[^A-Za-z0-9_.-]", "_")
     return F.when(cleaned == "", "download").otherwise(cleaned)
 
 
@@ -100,17 +123,17 @@ def parse_item(text: Column) -> Column:
     )
 
 
-#: Letters with dashes, a number, letters with dashes.
-_NATURAL = r"^([\p{L}\-‐‑‒–—]*)([0-9]+)([\p{L}\-‐‑‒–—]*)$"
-
-
 def natural_key(text: Column) -> Column:
-    """A key that sorts ``2`` before ``10``: by number, what stands before it, what follows; other texts come last."""
+    """A key that sorts ``2`` before ``10``: by number, what stands before it, what follows; other texts come last. Text is
+    letters with dashes, a number of any length, letters with dashes."""
     number = F.regexp_extract(text, _NATURAL, 2)
     ok = number != ""
+    # Without zeros in front longer numbers are greater, and equally long ones sort as text.
+    number = F.regexp_replace(number, r"^0+(?=.)", "")
     return F.struct(
         (~ok).alias("other"),
-        F.when(ok, number.cast("decimal(38,0)")).alias("number"),
+        F.when(ok, F.length(number)).alias("digits"),
+        F.when(ok, number).alias("number"),
         F.when(ok, F.regexp_extract(text, _NATURAL, 1)).otherwise(text).alias("prefix"),
         F.when(ok, F.regexp_extract(text, _NATURAL, 3)).otherwise("").alias("suffix"),
     )

@@ -72,11 +72,12 @@ def from_message(text: Column) -> Column:
     return F.array_join(turned, ",")
 
 
-MESSAGE = r"\d{1,2}:\d{2}, \d{1,2} \p{L}+ \d{4}"
+# The pattern of a date within a text. It takes as much as it can.
+MESSAGE = "[0-9][0-9]:[0-9][0-9].+[0-9][0-9]?.+[0-9][0-9][0-9][0-9]"
 
 
 def last_modified(text: Column) -> Column:
-    """The first date of such a form within a text, in standard form; the text itself if there is none."""
+    """The date within a text in standard form; the text itself if there is none."""
     found = F.regexp_extract(text, f"({MESSAGE})", 1)
     return F.when(found != "", from_message(found)).otherwise(text)
 
@@ -102,3 +103,9 @@ def day(text: Column) -> Column:
 def from_input(text: Column) -> Column:
     """``2024-03-01`` as a prefix of standard form."""
     return F.translate(text, "-", ",")
+
+
+def now(universal: bool = False) -> Column:
+    """The current time in standard form, in the session's time zone or in UTC."""
+    ts = F.current_timestamp()
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()) if universal else ts, STANDARD)

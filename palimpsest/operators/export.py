@@ -38,39 +38,115 @@ def first_child_row(template: DataFrame) -> DataFrame:
     return template.where(F.arrays_overlap(names, F.array(F.lit("child"), F.lit("empty")))).agg(F.min("row").alias("first"))
 
 
-def grid(template: DataFrame, children: DataFrame, first: int) -> DataFrame:
-    """(page, row, col, text): a template for each page, its row ``first`` once for each child.
+def grid(template: DataFrame, children: DataFrame, first: int, pages: DataFrame | None = None, base: str = "") -> DataFrame:
+    """(page, row, col, text, link, style): a template for each page, its row ``first`` once for each child.
 
-    ``template``: row, col, text, a fixed form of bounded size; ``children``: page, ord, cells (array of text, link).
-    A ``{child[i]}`` token is the child's cell, ``{child[i]:link_status}`` tells of its link; missing cells are empty.
-    Rows below ``first`` move down by the children.
+    ``template``: row, col, text, a fixed form of bounded size; ``children``: page, ord, cells (array of structs of text,
+    link and, if told, edit); ``pages``: page, kind, id, parent, fields (a map), for what a token says of the page.
+
+    A ``{child[i]}`` token is the child's cell with its ``edit`` as style; with ``:linked`` it has the cell's first link and
+    ``linked`` or ``unlinked`` as style, with ``:doc_link`` the same of the second cell's link; ``:link_status`` tells of the
+    first link; ``:sheetname`` puts the child's sheet in the token's place; ``{empty}`` is empty; missing cells are empty.
+    Other ``{name}`` tokens are the page's field, or stay. Rows below ``first`` move down by the children. ``__COL__`` in a
+    formula is the column over all children; a formula in the row ``first`` is copied down.
     """
     numbered = children.withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("ord")) - 1)
-    counts = children.groupBy("page").agg(F.count("*").cast("int").alias("n"))
+    numbered = numbered.withColumn("n", F.count("*").over(Window.partitionBy("page")).cast("int"))
+    if pages is not None:
+        numbered = numbered.join(pages, "page", "left")
+    else:
+        none = F.lit(None).cast("string")
+        numbered = numbered.select("*", none.alias("kind"), none.alias("id"), none.alias("parent"), F.lit(None).cast("map<string,string>").alias("fields"))
     form = [r.asDict() for r in template.orderBy("row", "col").collect()]
-    cells = F.array(
-        *[F.struct(F.lit(c["row"]).alias("row"), F.lit(c["col"]).alias("col"), F.lit(c["text"]).alias("text")) for c in form]
-    )
-    body = numbered.select("page", "nth", "cells", F.explode(F.filter(cells, lambda c: c["row"] == first)).alias("c"))
-    at = F.get(F.col("cells"), F.regexp_extract("c.text", TOKEN, 2).try_cast("int"))
-    modifier = F.regexp_extract("c.text", TOKEN, 3)
-    value = F.when(modifier == "link_status", link_status(at["link"])).otherwise(F.coalesce(at["text"], F.lit("")))
-    body = body.select("page", (F.col("c.row") + F.col("nth")).cast("int").alias("row"), F.col("c.col").alias("col"), value.alias("text"))
-    frame = counts.select("page", "n", F.explode(F.filter(cells, lambda c: c["row"] != first)).alias("c"))
-    row = F.when(F.col("c.row") > first, F.col("c.row") + F.col("n") - 1).otherwise(F.col("c.row"))
-    frame = frame.select("page", row.cast("int").alias("row"), F.col("c.col").alias("col"), F.col("c.text").alias("text"))
-    return body.unionByName(frame)
+    nothing = F.lit(None).cast("string")
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    edits = "edit" in children.schema["cells"].dataType.elementType.fieldNames()
+
+    def filled(text: str) -> Column:
+        """A cell outside the table."""
+        parts, at = [], 0
+        for m in re.finditer(TOKEN, text):
+            parts += [F.lit(text[at : m.start()]), F.coalesce(F.try_element_at("fields", F.lit(m[1])), F.lit(m[0]))]
+            at = m.end()
+        return F.concat(*parts, F.lit(text[at:])) if text[:1] != "=" else F.lit(text)
+
+    def cell(c: dict) -> Column:
+        """Text, link and style of a cell of the row ``first`` for one child."""
+        text, m = c["text"] or "", re.search(TOKEN, c["text"] or "")
+        url = lambda i: child_url(F.get("cells", F.lit(i))["link"], base)
+        value, link, style = F.lit(text), nothing, nothing
+        if text[:1] == "=":
+            letter = F.lit(_letters(c["col"]))
+            value = F.replace(moved_formula(text, F.col("nth")), F.lit("__COL__"), fill_formula(F.lit("__COL__"), letter, F.lit(first), F.col("n")))
+        elif m and m[1] == "empty":
+            value = F.lit("")
+        elif m and m[1] == "child":
+            at = F.get("cells", F.lit(int(m[2]))) if (m[2] or "").isdigit() else None
+            value = empty(at["text"]) if at is not None else F.lit(text)
+            style = at["edit"] if edits and at is not None else nothing
+            if m[3] in ("linked", "doc_link"):
+                url_of = url(0 if m[3] == "linked" else 1)
+                style = link_status(url_of)
+                link = F.when(style == "linked", url_of)
+            elif m[3] == "link_status":
+                value = link_status(url(0) if at is None else child_url(at["link"], base))
+            elif m[3] == "sheetname":
+                name = sheet_name(F.col("kind"), empty(F.get("cells", F.lit(0))["text"]), F.col("id"), F.col("parent"))
+                value = F.concat(F.lit(text[: m.start()]), name, F.lit(text[m.end() :]))
+        else:
+            value = filled(text)
+        return F.struct(
+            (F.lit(first) + F.col("nth")).cast("int").alias("row"), F.lit(c["col"]).alias("col"), value.alias("text"), link.alias("link"), style.alias("style")
+        )
+
+    def around(c: dict) -> Column:
+        row = F.lit(c["row"]) + F.when(F.lit(c["row"] > first), F.col("n") - 1).otherwise(0)
+        value = fill_formula(filled(c["text"] or ""), F.lit(_letters(c["col"])), F.lit(first), F.col("n"))
+        if not (c["text"] or "").startswith("="):
+            value = filled(c["text"] or "")
+        return F.struct(row.cast("int").alias("row"), F.lit(c["col"]).alias("col"), value.alias("text"), nothing.alias("link"), nothing.alias("style"))
+
+    kind = "array<struct<row:int,col:int,text:string,link:string,style:string>>"
+    body = F.array(*[cell(c) for c in form if c["row"] == first]).cast(kind)
+    frame = F.array(*[around(c) for c in form if c["row"] != first]).cast(kind)
+    # The first child carries the cells around the table, so a page is dealt out once.
+    both = F.when(F.col("nth") == 0, F.concat(frame, body)).otherwise(body)
+    return numbered.select("page", F.explode(both).alias("c")).select("page", "c.*")
 
 
 def fill_formula(formula: Column, letter: Column, first: Column, n: Column) -> Column:
-    """A formula whose ``__X__`` stand for the cells of column X over the n rows from ``first``."""
+    """A formula whose ``__COL__`` stands for the cells of its own column over the n rows from ``first``."""
     span = F.concat(letter, first.cast("string"), F.lit(":"), letter, (first + n - 1).cast("string"))
-    return F.replace(formula, F.concat(F.lit("__"), letter, F.lit("__")), span)
+    return F.replace(formula, F.lit("__COL__"), span)
+
+
+_REFERENCE = re.compile(r"(?<![A-Za-z0-9_.$])(\$?)([A-Z]{1,3})(\$?)([0-9]+)(?![A-Za-z0-9_(])")
+
+
+def moved_formula(formula: str, down: Column) -> Column:
+    """A formula as it reads when copied ``down`` rows: relative rows of its references move along, ``$`` rows don't, and
+    neither does what stands in quotes."""
+    parts, at = [], 0
+    for i, piece in enumerate(re.split(r'("[^"]*")', formula)):
+        if i % 2 == 0:
+            for m in _REFERENCE.finditer(piece):
+                if not m[3]:
+                    parts += [F.lit(piece[at : m.start(4)]), (F.lit(int(m[4])) + down).cast("string")]
+                    at = m.end(4)
+            piece, at = piece[at:], 0
+        parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
+def child_url(link: Column, base: str = "") -> Column:
+    """Address of a link of a row; null without one."""
+    return F.concat(F.lit(base), link)
 
 
-def sheet_name(kind: Column, child: Column) -> Column:
-    """Sheet of a child: archives' children get their own names, others those of the kind below."""
-    return F.when(kind == "archive", F.concat(F.lit("fond "), child)).when(kind == "fond", F.concat(F.lit("opus "), child)).otherwise(child)
+def sheet_name(kind: Column, child: Column, page: Column, parent: Column) -> Column:
+    """Sheet of a child of a page, by the page's kind."""
+    of_fond = F.concat(parent, F.lit(" "), page, F.lit("-"), child)
+    return F.when(kind == "archive", F.concat(F.lit("Fund "), child)).when(kind == "fond", of_fond).otherwise(F.concat(F.lit("sheetname-"), child))
 
 
 def report_line(kind: Column, name: Column, modified: Column) -> Column:

@@ -104,7 +104,7 @@ def q_nested_replace(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}")).alias("props"))
 
 
-TEMPLATE = [(1, 1, "{title}"), (2, 1, "Part"), (2, 2, "Status"), (3, 1, "{child[0]}"), (3, 2, "{child[1]:link_status}"), (4, 1, "Sum"), (4, 2, "=SUM(__A__)")]
+TEMPLATE = [(1, 1, "{title}"), (2, 1, "Part"), (2, 2, "Status"), (3, 1, "{child[0]}"), (3, 2, "{child[1]:link_status}"), (4, 1, "Sum"), (4, 2, "=SUM(__COL__)")]
 
 
 @query(
@@ -113,7 +113,7 @@ n AS (SELECT page, count(*) AS n FROM i GROUP BY page)
 SELECT page, CAST(1 AS INTEGER) AS row, CAST(1 AS INTEGER) AS col, '{title}' AS text FROM n UNION ALL SELECT page, 2, 1, 'Part' FROM n UNION ALL SELECT page, 2, 2, 'Status' FROM n
 UNION ALL SELECT page, CAST(3 + nth AS INTEGER), 1, 'part ' || l_partkey FROM i
 UNION ALL SELECT page, CAST(3 + nth AS INTEGER), 2, CASE WHEN l_suppkey % 3 = 0 THEN 'unlinked' ELSE 'linked' END FROM i
-UNION ALL SELECT page, CAST(3 + n AS INTEGER), 1, 'Sum' FROM n UNION ALL SELECT page, CAST(3 + n AS INTEGER), 2, '=SUM(__A__)' FROM n"""
+UNION ALL SELECT page, CAST(3 + n AS INTEGER), 1, 'Sum' FROM n UNION ALL SELECT page, CAST(3 + n AS INTEGER), 2, '=SUM(B3:B' || (2 + n) || ')' FROM n"""
 )
 def q_export_grid(spark, sf_dir):
     """An order's sheet: the template's child row once for each line item, the rows below moved down."""
@@ -129,17 +129,57 @@ def q_export_grid(spark, sf_dir):
             F.struct(name.alias("text"), F.lit(None).cast("string").alias("link")), F.struct(F.lit("").alias("text"), link.alias("link"))
         ).alias("cells"),
     )
-    return export.grid(template, children, first)
+    return export.grid(template, children, first).select("page", "row", "col", "text")
+
+
+LINKED = [
+    (1, 1, "Sheet of {title}"), (2, 1, "Part"), (2, 2, "Price"), (3, 1, "{child[0]:linked}"), (3, 2, "{child[1]}"), (3, 3, "{child[0]:doc_link}"),
+    (3, 4, "see {child:sheetname}"), (3, 5, "=B3*$C$1"), (3, 6, "{empty}"), (4, 2, "=SUM(__COL__)"),
+]
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey AS page, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) - 1 AS nth FROM lineitem),
+n AS (SELECT page, count(*) AS n FROM i GROUP BY page), r AS (SELECT *, CAST(3 + nth AS INTEGER) AS row FROM i)
+SELECT page, CAST(1 AS INTEGER) AS row, CAST(1 AS INTEGER) AS col, 'Sheet of order ' || page AS text, CAST(NULL AS VARCHAR) AS link, CAST(NULL AS VARCHAR) AS style FROM n
+UNION ALL SELECT page, 2, 1, 'Part', NULL, NULL FROM n UNION ALL SELECT page, 2, 2, 'Price', NULL, NULL FROM n
+UNION ALL SELECT page, row, 1, 'part ' || l_partkey, CASE WHEN l_suppkey % 3 <> 0 THEN 'https://x.org/p' || l_partkey END, CASE WHEN l_suppkey % 3 = 0 THEN 'unlinked' ELSE 'linked' END FROM r
+UNION ALL SELECT page, row, 2, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), NULL, CASE WHEN l_suppkey % 2 = 0 THEN 'changed' END FROM r
+UNION ALL SELECT page, row, 3, 'part ' || l_partkey, 'https://x.org/d' || l_suppkey, 'linked' FROM r
+UNION ALL SELECT page, row, 4, 'see F ' || page || '-part ' || l_partkey, NULL, NULL FROM r
+UNION ALL SELECT page, row, 5, '=B' || row || '*$C$1', NULL, NULL FROM r UNION ALL SELECT page, row, 6, '', NULL, NULL FROM r
+UNION ALL SELECT page, CAST(3 + n AS INTEGER), 2, '=SUM(B3:B' || (2 + n) || ')', NULL, NULL FROM n"""
+)
+def q_export_links(spark, sf_dir):
+    """An order's sheet with links, styles of changed cells, names of sheets, and formulas that are copied down."""
+    template = spark.createDataFrame(LINKED, "row int, col int, text string")
+    order = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    none = F.lit(None).cast("string")
+    red = F.when(F.col("l_suppkey") % 3 == 0, F.lit("&redlink=1")).otherwise("")
+    cells = F.array(
+        F.struct(F.concat(F.lit("part "), part).alias("text"), F.concat(F.lit("/p"), part, red).alias("link"), none.alias("edit")),
+        F.struct(
+            F.col("l_quantity").cast("int").cast("string").alias("text"), F.concat(F.lit("/d"), supplier).alias("link"), F.when(F.col("l_suppkey") % 2 == 0, "changed").alias("edit")
+        ),
+    )
+    items = table(spark, sf_dir, "lineitem")
+    children = items.select(F.col("l_orderkey").alias("page"), F.struct(*order).alias("ord"), cells.alias("cells"))
+    number = F.col("page").cast("string")
+    pages = children.select("page").distinct().select(
+        "page", F.lit("fond").alias("kind"), number.alias("id"), F.lit("F").alias("parent"), F.create_map(F.lit("title"), F.concat(F.lit("order "), number)).alias("fields")
+    )
+    return export.grid(template, children, export.first_child_row(template).first()["first"], pages, "https://x.org")
 
 
 @query("SELECT l_orderkey, '=SUM(A3:A' || (2 + count(*)) || ')' AS formula FROM lineitem GROUP BY l_orderkey")
 def q_export_formula(spark, sf_dir):
     sizes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return sizes.select("l_orderkey", export.fill_formula(F.lit("=SUM(__A__)"), F.lit("A"), F.lit(3), F.col("n")).alias("formula"))
+    return sizes.select("l_orderkey", export.fill_formula(F.lit("=SUM(__COL__)"), F.lit("A"), F.lit(3), F.col("n")).alias("formula"))
 
 
 @query(
-    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'fond ' || o_custkey WHEN 1 THEN 'opus ' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS sheet,
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Fund ' || o_custkey WHEN 1 THEN o_orderstatus || ' ' || o_orderkey || '-' || o_custkey ELSE 'sheetname-' || o_custkey END AS sheet,
 'x' || strftime(o_orderdate, '%Y,%m,%d') AS day FROM orders"""
 )
 def q_export_sheetname(spark, sf_dir):
@@ -148,7 +188,7 @@ def q_export_sheetname(spark, sf_dir):
     kind = F.get(F.array(F.lit("archive"), F.lit("fond"), F.lit("opus")), (F.col("o_orderkey") % 3).cast("int"))
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        export.sheet_name(kind, F.col("o_custkey").cast("string")).alias("sheet"),
+        export.sheet_name(kind, *[F.col(c).cast("string") for c in ("o_custkey", "o_orderkey", "o_orderstatus")]).alias("sheet"),
         F.concat(F.lit("x"), day(standard(F.col("o_orderdate")))).alias("day"),
     )
 

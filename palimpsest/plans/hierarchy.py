@@ -81,16 +81,16 @@ def q_feed_page_k(spark, sf_dir):
 
 
 @query(
-    f"""WITH {HIERARCHY}, l AS (SELECT archive || ',' || subarchive || ',' || fond || ',,' AS address, ts FROM h WHERE o_orderkey % 2 = 0
-UNION ALL SELECT archive || ',' || subarchive || ',,,', ts FROM h WHERE o_orderkey % 2 = 1)
+    f"""WITH {HIERARCHY}, l AS (SELECT archive || ',' || subarchive || ',' || fond || ',,' AS address, ts FROM h
+UNION ALL SELECT archive || ',' || subarchive || ',,,', ts FROM h)
 SELECT address, strftime(max(ts), '%Y,%m,%d,%H:%M') AS modified FROM l GROUP BY address"""
 )
 def q_feed_merge_ancestors(spark, sf_dir):
     """Changes of fonds and of archives in one table, the newest of each address."""
     h = hierarchy(spark, sf_dir)
     none = F.lit("")
-    fonds = h.where("o_orderkey % 2 = 0").select(links.address_key(F.col("archive"), F.col("subarchive"), F.col("fond"), none, none).alias("address"), "ts")
-    tops = h.where("o_orderkey % 2 = 1").select(links.address_key(F.col("archive"), F.col("subarchive"), none, none, none).alias("address"), "ts")
+    fonds = h.select(links.address_key(F.col("archive"), F.col("subarchive"), F.col("fond"), none, none).alias("address"), "ts")
+    tops = h.select(links.address_key(F.col("archive"), F.col("subarchive"), none, none, none).alias("address"), "ts")
     return watch.merge_newest(fonds, tops, ["address"], "ts").select("address", standard(F.col("ts")).alias("modified"))
 
 
@@ -122,11 +122,11 @@ def q_archives_flat(spark, sf_dir):
     return nested.select("tag", F.explode("subs").alias("sub_key", "en")).select("tag", "en")
 
 
-@query("SELECT substr(n_name, 1, 8) AS uk, max_by(n_name, n_nationkey) AS value, min(n_nationkey) AS first_seen FROM nation GROUP BY 1")
+@query("SELECT p_brand AS uk, max_by(p_name, p_partkey) AS value, min(p_partkey) AS first_seen FROM part GROUP BY 1")
 def q_subarchive_distinct(spark, sf_dir):
     """Distinct names with the last value of each, in the order they were first seen."""
-    return table(spark, sf_dir, "nation").groupBy(F.substring("n_name", 1, 8).alias("uk")).agg(
-        F.max_by("n_name", "n_nationkey").alias("value"), F.min("n_nationkey").alias("first_seen")
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("uk")).agg(
+        F.max_by("p_name", "p_partkey").alias("value"), F.min("p_partkey").alias("first_seen")
     )
 
 
@@ -141,11 +141,11 @@ def q_archive_lookup(spark, sf_dir):
     return anything.unionByName(named).select("asked", "tag", "sub_key")
 
 
-@query(f"WITH {HIERARCHY} SELECT archive, fond, opus, kase, ts FROM h WHERE archive = 'ASIA' AND fond = 'NATION_2' AND CAST(opus AS INTEGER) < 200")
+@query(f"WITH {HIERARCHY} SELECT archive, fond, opus, kase, ts FROM h WHERE archive = 'ASIA' AND fond = 'NATION_2'")
 def q_path_lookup(spark, sf_dir):
     """Rows at given addresses, level by level."""
     h = hierarchy(spark, sf_dir)
-    found = tree.find(h, archive="ASIA", fond="NATION_2").where(F.col("opus").cast("int") < 200)
+    found = tree.find(h, archive="ASIA", fond="NATION_2")
     return found.select("archive", "fond", "opus", F.col("case").alias("kase"), "ts")
 
 
@@ -243,7 +243,7 @@ def q_natural_sort_key(spark, sf_dir):
     before = F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     places = counts.select("k", (F.coalesce(before, F.lit(0)) + 1).cast("int").alias("place"))
     return keyed.join(places, "k").select(
-        "p_partkey", "name", F.col("k.number").cast("bigint").alias("num"), F.col("k.prefix").alias("prefix"), "place"
+        "p_partkey", "name", F.col("k.number").try_cast("bigint").alias("num"), F.col("k.prefix").alias("prefix"), "place"
     )
 
 

@@ -43,19 +43,21 @@ def q_url_title(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'A/' || page_id WHEN 1 THEN 'A/B/x_y' WHEN 2 THEN 'A/B/C/s' WHEN 3 THEN 'A/B/C/t/u' ELSE 'other_page' END AS target FROM pages"""
+    f"""WITH {ANCHORS} SELECT page_id, href, 'https://x.org/wiki/' || CASE length(href) % 4 WHEN 0 THEN 'A/B/C' || href WHEN 1 THEN 'A/B' || href WHEN 2 THEN 'A/B/C' || href ELSE substr(href, 2) END AS target
+FROM (SELECT page_id, rtrim(replace(href, ' ', '_'), '/') AS href FROM a WHERE href LIKE '/_%' AND href NOT LIKE '%//%' AND trim(href, '/') <> '')"""
 )
 def q_expand_link(spark, sf_dir):
-    """Targets seen from the page A/B/C."""
-    k = F.col("page_id") % 5
+    """Links of pages as targets of all kinds, seen from the page A/B/C."""
+    a = anchors(spark, sf_dir).where((F.length("href") > 1) & F.startswith("href", F.lit("/")) & ~F.contains("href", F.lit("//")) & (F.btrim("href", F.lit("/")) != ""))
+    a = a.select("page_id", F.regexp_replace(F.replace("href", F.lit(" "), F.lit("_")), "/+$", "").alias("href"))
+    k, rest = F.length("href") % 4, F.expr("substring(href, 2)")
     target = (
-        F.when(k == 0, F.concat(F.lit("../../"), F.col("page_id").cast("string")))
-        .when(k == 1, "../x y")
-        .when(k == 2, "./s")
-        .when(k == 3, "//t//u")
-        .otherwise("other page")
+        F.when(k == 0, F.concat(F.col("href"), F.lit("/")))
+        .when(k == 1, F.concat(F.lit(" ..//"), rest))
+        .when(k == 2, F.concat(F.lit("./"), rest, F.lit("// ")))
+        .otherwise(rest)
     )
-    return table(spark, sf_dir, "pages").select("page_id", links.expand_target(target, F.lit("A/B/C")).alias("target"))
+    return a.select("page_id", "href", links.expand_target(target, F.lit("A/B/C"), "https://x.org").alias("target"))
 
 
 @query(
@@ -116,7 +118,7 @@ def q_exists_join(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ANCHORS}, f AS (SELECT page_id, min(href) AS file FROM a WHERE page_id % 4 <> 0 GROUP BY page_id)
+    f"""WITH {ANCHORS}, f AS (SELECT page_id, min(href) AS file FROM a GROUP BY page_id)
 SELECT pages.page_id, CASE WHEN pages.page_id % 2 = 0 AND pages.page_id % 5 <> 0 THEN coalesce(file, 'redlink') WHEN pages.page_id % 5 = 0 THEN 'own' ELSE 'redlink' END AS doc_link
 FROM pages LEFT JOIN f ON f.page_id = pages.page_id"""
 )
@@ -127,7 +129,7 @@ def q_doc_link_fill(spark, sf_dir):
         F.when(F.col("page_id") % 2 == 0, "url").otherwise("").alias("key_link"),
         F.when(F.col("page_id") % 5 == 0, "own").otherwise("redlink").alias("doc_link"),
     )
-    files = anchors(spark, sf_dir).where("page_id % 4 <> 0").select(F.col("page_id").alias("title"), F.col("href").alias("pos"), F.col("href").alias("url"))
+    files = anchors(spark, sf_dir).select(F.col("page_id").alias("title"), F.col("href").alias("pos"), F.col("href").alias("url"))
     return enrich.fill_document_links(rows, files).select(F.col("title").alias("page_id"), "doc_link")
 
 

@@ -10,18 +10,21 @@ from .registry import query, table
 
 
 @query(
-    """WITH f AS (SELECT r_name AS tag, CASE n_nationkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE n_name END AS sub_key, n_name AS title, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 8),
+    """WITH g AS (SELECT r_name AS tag, CASE n_nationkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE n_name END AS sub_key, n_name AS title, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT tag, sub_key, arg_max(title, k) AS title FROM g GROUP BY tag, sub_key),
 o AS (SELECT r_name AS tag, '_' AS sub_key, 'own ' || r_name AS title FROM region UNION ALL SELECT r_name, 'A', 'listed' FROM region WHERE r_regionkey = 1)
 SELECT tag, sub_key, title FROM o UNION ALL SELECT tag, sub_key, title FROM f WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.tag = f.tag AND o.sub_key = f.sub_key)"""
 )
 def q_master_list(spark, sf_dir):
     """Sub-archives found on pages under Latin letters, and the listed fonds over them."""
-    nations, regions = table(spark, sf_dir, "nation").where("n_nationkey < 8"), table(spark, sf_dir, "region")
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     k = F.col("n_nationkey") % 3
     sub = F.when(k == 0, "Р").when(k == 1, "А").otherwise(F.col("n_name"))
     found = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("r_name").alias("tag"), sub.alias("sub_key"), F.col("n_name").alias("title")
+        F.col("r_name").alias("tag"), sub.alias("sub_key"), F.col("n_name").alias("title"), "n_nationkey"
     )
+    # Of pages that name one sub-archive the last counts.
+    found = found.groupBy("tag", "sub_key").agg(F.max_by("title", "n_nationkey").alias("title"))
     fonds = regions.select(F.col("r_name").alias("name"), F.concat(F.lit("own "), "r_name").alias("title")).unionByName(
         regions.where("r_regionkey = 1").select(F.concat("r_name", F.lit("-A")).alias("name"), F.lit("listed").alias("title"))
     )
@@ -84,10 +87,9 @@ def q_index_resolve(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", export.column_index(labels, index).alias("place"))
 
 
-@query("SELECT doc_id, regexp_matches(substr(text, 1, 60), '[0-9]{4}') AS dated, substr(text, 1, 3) || '...' AS hidden FROM documents")
+@query("SELECT doc_id, regexp_matches(text, '[0-9]{4}') AS dated, substr(text, 1, 3) || '...' AS hidden FROM documents")
 def q_redact(spark, sf_dir):
-    begin = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").select("doc_id", begin.rlike("[0-9]{4}").alias("dated"), text.redact(F.col("text")).alias("hidden"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike("[0-9]{4}").alias("dated"), text.redact(F.col("text")).alias("hidden"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text
 from .registry import query, table
 
-SPACES = r"[\s\x0B\x{0085}\p{Z}]"
-ITEMS = r"""t AS (SELECT doc_id, lang, CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 50 = 1 THEN '' WHEN doc_id % 50 = 2 THEN ' 12–34 ' ELSE substr(text, 1, 200) END AS uk FROM documents),
-i AS (SELECT doc_id, lang, uk, uk IS NULL OR uk = '' OR regexp_full_match(uk, '\s*[0-9]+([–-][0-9]+)?\s*') OR regexp_full_match(uk, '[\x00-\x7F]*') AS en_set FROM t)"""
+ITEMS = r"""i AS (SELECT doc_id, lang, text AS uk, text IS NULL OR text = '' OR regexp_full_match(text, '\s*[0-9]+([–-][0-9]+)?\s*') OR regexp_full_match(text, '[\x00-\x7F]*') AS en_set FROM documents)"""
 
 
 def items(spark, sf_dir):
-    """(doc_id, lang, item): text items of the documents' beginnings, some of them missing, empty or numeric."""
-    docs = table(spark, sf_dir, "documents")
-    k = F.col("doc_id") % 50
-    source = F.when(k == 0, None).when(k == 1, "").when(k == 2, " 12–34 ").otherwise(F.substring("text", 1, 200))
-    return docs.select("doc_id", "lang", text.text_item(source).alias("item"))
+    """(doc_id, lang, item): text items of the documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", text.text_item(F.col("text")).alias("item"))
 
 
 @query(f"WITH {ITEMS} SELECT doc_id, uk, CASE WHEN en_set THEN uk END AS en, en_set FROM i")
@@ -44,9 +39,12 @@ def q_equal_text(spark, sf_dir):
     return a.join(b, "doc_id").select("doc_id", text.equal_text(F.col("a"), F.col("b")).alias("same"))
 
 
-@query(f"WITH {ITEMS} SELECT doc_id, coalesce(uk = ' 12–34 ', FALSE) AS hit FROM i")
+@query(f"""WITH {ITEMS} SELECT a.doc_id, a.uk IS NOT DISTINCT FROM b.text OR (CASE WHEN a.en_set THEN a.uk END) IS NOT DISTINCT FROM b.text AS hit
+FROM i a JOIN documents b ON b.doc_id = a.doc_id + 1""")
 def q_match_text(spark, sf_dir):
-    return items(spark, sf_dir).select("doc_id", text.match_text(F.col("item"), F.lit(" 12–34 ")).alias("hit"))
+    """Whether the next document's text is a document's text or its translation."""
+    after = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("asked"))
+    return items(spark, sf_dir).join(after, "doc_id").select("doc_id", text.match_text(F.col("item"), F.col("asked")).alias("hit"))
 
 
 @query(
@@ -85,22 +83,24 @@ def q_chunks(spark, sf_dir):
 
 
 @query(
-    r"""SELECT doc_id, regexp_replace(doc_id || '. ' || substr(text, 1, 40), '^\pN+\pP?\p{Zs}*', '') AS shown, substr(source, 1, 3) || '...' AS hidden FROM documents"""
+    r"""SELECT doc_id, regexp_replace(doc_id || '. ' || text, '^\pN+\pP?\p{Zs}*', '') AS shown, substr(source, 1, 3) || '...' AS hidden FROM documents"""
 )
 def q_desc_strip_number(spark, sf_dir):
     """Descriptions without the number in front, and names that are hidden after three characters."""
-    numbered = F.concat(F.col("doc_id").cast("string"), F.lit(". "), F.substring("text", 1, 40))
+    numbered = F.concat(F.col("doc_id").cast("string"), F.lit(". "), "text")
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_number(numbered).alias("shown"), text.redact(F.col("source")).alias("hidden"))
 
 
+SPELT = f"translate(text, '{''.join(text.LETTERS)}', '{''.join(text.LETTERS.values())}')"
+for _letter, _spelt in text.CLUSTERS.items():
+    SPELT = f"replace({SPELT}, '{_letter}', '{_spelt.replace(chr(39), chr(39) * 2)}')"
+
+
 @query(
-    r"""SELECT doc_id, CASE WHEN f = '' THEN 'download' ELSE f END AS filename FROM (SELECT doc_id, regexp_replace(regexp_replace(
-translate(CASE WHEN doc_id % 20 = 0 THEN '-_' ELSE substr(text, 1, 30) END, 'éèêçñäöüß', 'eeecnaous'), '[-_]', '', 'g'), '[^A-Za-z0-9_.-]', '_', 'g') AS f FROM documents)"""
+    f"""SELECT doc_id, CASE WHEN f = '' THEN 'download' ELSE f END AS filename FROM (SELECT doc_id, regexp_replace(replace({SPELT}, '-_', ''), '[^A-Za-z0-9_.-]', '_', 'g') AS f FROM documents)"""
 )
 def q_ascii_filename(spark, sf_dir):
-    letters = dict(zip("éèêçñäöüß", "eeecnaous", strict=True))
-    name = F.when(F.col("doc_id") % 20 == 0, "-_").otherwise(F.substring("text", 1, 30))
-    return table(spark, sf_dir, "documents").select("doc_id", text.ascii_filename(name, letters).alias("filename"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.ascii_filename(F.col("text")).alias("filename"))
 
 
 @query("SELECT doc_id, regexp_matches(lower(text), 'idiot|moron|trash|password') AS hit FROM documents")
@@ -110,23 +110,17 @@ def q_keyword_scan(spark, sf_dir):
 
 
 @query(
-    r"""WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'in 1897 - 1903 and 1950' WHEN 1 THEN 'no 123 but 3000, 1' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || ' then 1999'
- WHEN 2 THEN 'none 12345' ELSE 'file.' || lang END AS s FROM documents),
-y AS (SELECT doc_id, s, list_filter(regexp_extract_all(' ' || regexp_replace(s, '([^0-9])', '\1\1', 'g') || ' ', '[^0-9]([0-9]{4})[^0-9]', 1), lambda x: CAST(x AS INTEGER) BETWEEN 1500 AND 2029) AS years FROM v)
-SELECT doc_id, CASE WHEN regexp_extract(s, '([0-9]{4}\s*[-–]\s*[0-9]{4})', 1) <> '' THEN regexp_extract(s, '([0-9]{4}\s*[-–]\s*[0-9]{4})', 1) ELSE coalesce(years[1], '') END AS years,
-regexp_extract(s, '\.([^.]+)$', 1) AS suffix FROM y"""
+    r"""WITH y AS (SELECT doc_id, text AS s, list_filter(regexp_extract_all(' ' || regexp_replace(text, '([^0-9])', '\1\1', 'g') || ' ', '[^0-9]([0-9]{4})[^0-9]', 1), lambda x: CAST(x AS INTEGER) BETWEEN 1500 AND 2029) AS years FROM documents)
+SELECT doc_id, CASE WHEN regexp_extract(s, '([0-9]{4}\s*[-–]\s*[0-9]{4})', 1) <> '' THEN regexp_extract(s, '([0-9]{4}\s*[-–]\s*[0-9]{4})', 1) ELSE coalesce(years[1], '') END AS years FROM y"""
 )
 def q_year_range(spark, sf_dir):
-    """Years and ranges of years in descriptions, and suffixes of names."""
-    k = F.col("doc_id") % 4
-    number = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
-    s = (
-        F.when(k == 0, "in 1897 - 1903 and 1950")
-        .when(k == 1, F.concat(F.lit("no 123 but 3000, 1"), number, F.lit(" then 1999")))
-        .when(k == 2, "none 12345")
-        .otherwise(F.concat(F.lit("file."), "lang"))
-    )
-    return table(spark, sf_dir, "documents").select("doc_id", text.year_range(s).alias("years"), text.suffix(s).alias("suffix"))
+    """Years and ranges of years in texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.year_range(F.col("text")).alias("years"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '\.([^.]+)$', 1) AS suffix FROM pages")
+def q_suffix(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.suffix(F.col("url")).alias("suffix"))
 
 
 @query(
@@ -138,6 +132,6 @@ def q_parse_item(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.parse_item(line).alias("p")).select("c_custkey", "p.*")
 
 
-@query("""SELECT doc_id, replace(replace('“' || lang || '”', '“', '"'), '”', '"') AS fixed FROM documents""")
+@query("""SELECT doc_id, replace(replace(text, '“', '"'), '”', '"') AS fixed FROM documents""")
 def q_fix_quotes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.straight_quotes(F.concat(F.lit("“"), "lang", F.lit("”"))).alias("fixed"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.straight_quotes(F.col("text")).alias("fixed"))

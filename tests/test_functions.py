@@ -40,6 +40,9 @@ def test_cutoffs_compare_as_strings(spark):
 def test_dates(spark):
     assert values(spark, timefmt.from_message(X()), "19:15, 20 травня 2023", "09:01, 1 січня 2021") == ["2023,05,20,19:15", "2021,01,01,09:01"]
     assert values(spark, timefmt.last_modified(X()), "seen 19:15, 20 травня 2023.", "never") == ["2023,05,20,19:15", "never"]
+    longer = ["Цю сторінку востаннє відредаговано о 19:15, 20 травня 2023.", "о 19:15 20 травня 2023.", "xyz", "09:01, 1 січня 2021"]
+    assert values(spark, timefmt.last_modified(X()), *longer) == ["2023,05,20,19:15", "2023,05,20,19:15", "xyz", "2021,01,01,09:01"]
+    assert len(values(spark, timefmt.now(), "")[0]) == 16 == len(values(spark, timefmt.now(True), "")[0])
     assert values(spark, timefmt.display_day(X()), "2023,05,20,19:15", "") == ["20 May 2023", ""]
     assert values(spark, timefmt.display(X()), "2023,05,20,19:15", "2023,05") == ["20 MAY 2023 19:15", "MAY 2023"]
     assert values(spark, timefmt.from_utc(X()), "2023-05-20T19:15:44Z") == ["2023,05,20,19:15"]
@@ -61,7 +64,7 @@ def test_text_items(spark):
 
 def test_text(spark):
     assert values(spark, text.strip_number(X()), "12. Name", "7 x", "none") == ["Name", "x", "none"]
-    assert values(spark, text.ascii_filename(X()), "a-b_c d.txt", "-_") == ["abc_d.txt", "download"]
+    assert values(spark, text.ascii_filename(X()), "a-b_c d.txt", "-_", "Київ-1_a б", "a-_b", "Щука.pdf") == ["a-b_c_d.txt", "download", "Kiyiv-1_a_b", "ab", "Shchuka.pdf"]
     assert values(spark, text.year_range(X()), "1897 - 1903", "in 12345 and 1812", "1400") == ["1897 - 1903", "1812", ""]
     assert values(spark, text.suffix(X()), "a.b.pdf", "none") == ["pdf", ""]
     parsed = values(spark, text.parse_item(X()), "f1, o2 “All of it”", "f1, o2")
@@ -74,8 +77,53 @@ def test_natural_order(spark):
     assert [r.x for r in frame.collect()] == ["2", "2а", "а2", "Р-5", "10", "Р-285", "x"]
 
 
+def test_long_numbers_sort(spark):
+    names = ["9" * 60, "1" + "0" * 59, "007", "8"]
+    frame = spark.createDataFrame([(n,) for n in names], "x string").orderBy(text.natural_key(X()))
+    assert [r.x for r in frame.collect()] == ["007", "8", "1" + "0" * 59, "9" * 60]
+
+
+def test_wikitext(spark):
+    body = "[[C:File a b.pdf|x]] [[Категорія:k]] [[/1/|one]] [[ z ]] [https://x.org/a b] and https://y.org/c, [[c:d]]"
+    found = values(spark, links.link_classes(X()), body, "", None)
+    base = "https://commons.wikimedia.org/wiki/"
+    assert tuple(found[0]) == ([f"{base}File_a_b.pdf", f"{base}d"], ["Категорія:k"], ["/1/", "z"], ["https://x.org/a", "https://y.org/c,"])
+    assert tuple(found[1]) == ([], [], [], [])
+    files = "[[File:a.jpg|thumb]] {{t|x=[[file:b.png]]|y=File:c d.pdf}} {{u|https://x.org/wiki/File:e_f.pdf}} File:outside {{File:c d.pdf}}"
+    assert sorted(values(spark, links.file_links(X()), files)[0]) == ["File:a.jpg", "File:c d.pdf", "File:e f.pdf", "file:b.png"]
+    url = links.document_url(links.link_classes(X()), links.link_classes(F.lit("[[c:n]]")), F.lit("A"), "https://x.org")
+    assert values(spark, url, "[[/1/]] [[b]]", "none") == ["https://x.org/wiki/A/1", base + "n"]
+    sub = links.subarchive(X(), F.when(X() == "A/red", "redlink").otherwise("/x"), "A")
+    assert values(spark, sub, "A/x", "A/x/y", "A/red", "A/видання", "B/x", "A") == ["x", None, None, None, None, None]
+
+
+def test_state(spark):
+    from palimpsest.operators import state
+
+    assert values(spark, state.answers(X(), F.lit(2)), '["a","b"]', '["a"]', '{"a":1}', "no", None, "[1") == [["a", "b"], None, None, None, None, None]
+    assert values(spark, state.is_comparison(X(), F.lit("a")), "a", "b", None) == [False, True, False]
+    assert values(spark, state.is_clickable(X(), F.lit("/a")), "case", "opus", None) == [False, True, False]
+    assert values(spark, state.progress_line(X(), F.lit(3), F.lit(4)), "p") == ["p 3/4 75.0%"]
+    assert values(spark, state.numeric_order(F.split(X(), ",")), "10,9,2") == [["2", "9", "10"]]
+    order = spark.createDataFrame([("b",), ("A",), ("a",), ("É",), ("f",)], "x string").orderBy(state.collated(X()))
+    assert [r.x for r in order.collect()] == ["a", "A", "b", "É", "f"]
+
+
+def test_formulas(spark):
+    from palimpsest.operators import export
+
+    assert values(spark, export.fill_formula(X(), F.lit("B"), F.lit(3), F.lit(4)), "=SUM(__COL__)") == ["=SUM(B3:B6)"]
+    for formula, want in [("=A1+$B2*C$3", "=A3+$B4*C$3"), ('="A1"&A1', '="A1"&A3'), ("=LOG10(A2)", "=LOG10(A4)"), ("=1", "=1")]:
+        assert values(spark, export.moved_formula(formula, F.lit(2)), "") == [want]
+    names = [export.sheet_name(F.lit(k), F.lit("7"), F.lit("P"), F.lit("Q")) for k in ("archive", "fond", "opus")]
+    assert spark.range(1).select(F.array(*names)).first()[0] == ["Fund 7", "Q P-7", "sheetname-7"]
+
+
 def test_links(spark):
-    assert values(spark, links.expand_target(X(), F.lit("A/B")), "../x", "../../x y", "./s", "/s//t", "z", "../") == ["A/x", "x_y", "A/B/s", "A/B/s/t", "z", "A"]
+    targets = ["../x", "../../x y", "./s", "/s//t", "z", "../", "/1/", " /a b ", "z/", "//u"]
+    want = ["A/x", "x_y", "A/B/s", "A/B/s/t", "z", "A", "A/B/1", "A/B/a_b", "z/", "A/B/u"]
+    assert values(spark, links.expand_target(X(), F.lit("A/B"), "https://x.org"), *targets) == [f"https://x.org/wiki/{w}" for w in want]
+    assert values(spark, links.percent_encode(X()), "Архів:a/b c~*+.") == ["%D0%90%D1%80%D1%85%D1%96%D0%B2%3Aa/b%20c~%2A%2B."]
     assert values(spark, links.old_id(X()), "a?oldid=17&x", "a") == [17, 0]
     assert values(spark, links.title_address(F.lit("T"), F.lit("_"), X()), "N/1/2/3/4", "N") == ["T,_,1,2,3", "T,_,,,"]
     bag = F.array(F.lit("a"), F.lit("b"), F.lit("a"))
