@@ -44,14 +44,17 @@ def budgets(dims: int, similarity: float) -> np.ndarray:
 
 def unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]  # so that no square over- or underflows
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def _cells(planes: np.ndarray, depth: int, y: np.ndarray, reach: float) -> list[tuple[int, int, bool]]:
     """(row, cell, home) of the cells of one block that hold a row or lie within ``reach`` of it. Halving i is by
-    coordinate i modulo the width, at that coordinate's quantiles."""
+    coordinate i modulo the width, at that coordinate's quantiles. ``gap`` is a row's distance from its cell's box by
+    coordinate; a cell is dropped as soon as all coordinates together are beyond the reach."""
     rows, cells, home = np.arange(len(y)), np.zeros(len(y), np.int64), np.ones(len(y), bool)
     width = y.shape[1]
+    gap = np.zeros((len(y), width))
     for level in range(depth):
         d = level % width
         ways = 1 << (level // width)
@@ -62,12 +65,17 @@ def _cells(planes: np.ndarray, depth: int, y: np.ndarray, reach: float) -> list[
         q = (2 * so_far + 1) / (2 * ways)
         at = planes[d][np.minimum((q * planes.shape[1]).astype(int), planes.shape[1] - 1)]
         value = y[rows, d]
-        low, high = value - at < reach, value - at >= -reach
         own = value >= at
+        apart = np.abs(value - at)
+        over = np.where(own, apart, gap[:, d]), np.where(own, gap[:, d], apart)  # of the lower and the upper half
+        other = (gap * gap).sum(1) - gap[:, d] ** 2
+        low, high = (other + o * o <= reach * reach for o in over)
+        gaps = gap[low], gap[high]
+        gaps[0][:, d], gaps[1][:, d] = over[0][low], over[1][high]
         r = np.r_[rows[low], rows[high]]
         c = np.r_[cells[low] * 2, cells[high] * 2 + 1]
         h = np.r_[home[low] & ~own[low], home[high] & own[high]]
-        rows, cells, home = r, c, h
+        rows, cells, home, gap = r, c, h, np.concatenate(gaps)
     return list(zip(rows.tolist(), cells.tolist(), home.tolist(), strict=True))
 
 
@@ -75,7 +83,8 @@ def _pairs(x: np.ndarray, y: np.ndarray, block: int, similarity: float) -> Itera
     """Positions (in x, in y) of pairs that are first within a budget in ``block`` and reach the cosine."""
     dims = x.shape[1]
     turn, bounds, limits = rotation(dims), blocks_of(dims), budgets(dims, similarity)
-    rx, ry = x @ turn, y @ turn
+    # Row by row, so that a vector has the same coordinates in every tile.
+    rx, ry = (np.einsum("ij,jk->ik", z, turn, optimize=False) for z in (x, y))
     a, b = bounds[block]
     near_x, near_y = rx[:, a:b], ry[:, a:b]
     sx, sy = (near_x * near_x).sum(1), (near_y * near_y).sum(1)
@@ -258,4 +267,5 @@ def _links(classes: DataFrame, similarity: float) -> DataFrame:
 
 
 def op1_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of embeddings, by :func:`near_vectors`; nulls, ties and empty tables as there."""
     return near_vectors(table(spark, sf_dir, "embeddings"))

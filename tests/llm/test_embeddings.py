@@ -55,6 +55,30 @@ def test_links_match_brute_force(spark, monkeypatch, cell):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_magnitudes_do_not_count(spark):
+    x = embeddings.unit([[1e-200, 0.0], [2e200, 1e200], [3.0, 4.0]])
+    assert np.allclose(x, [[1, 0], [2 / 5**0.5, 1 / 5**0.5], [0.6, 0.8]])
+    rows = [(1, [1e-200, 0.0], 1), (2, [2e-200, 0.0], 1), (3, [1e200, 1e-200], 1), (4, [0.0, 1e-310], 1)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_cells_hold_all_near_rows():
+    rng = np.random.default_rng(6)
+    y = rng.standard_normal((400, 3)) / 4
+    planes, reach = np.sort(y, axis=0).T, 0.12
+    for depth in (1, 4, 7):
+        at = embeddings._cells(planes, depth, y, reach)
+        homes = {r: c for r, c, home in at if home}
+        held = {}
+        for r, c, _ in at:
+            held.setdefault(c, set()).add(r)
+        assert len(homes) == len(y) and len(at) == len({(r, c) for r, c, _ in at})
+        for i in range(len(y)):
+            near = np.flatnonzero(((y - y[i]) ** 2).sum(1) <= reach**2)
+            assert set(near.tolist()) <= held[homes[i]]
+
+
 def test_odd_rows(spark):
     one, two = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     rows = [
