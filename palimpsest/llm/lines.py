@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, table
+from .common import SPACE_CHARS, cut, split_words, table
 
 #: Cells that words are counted in; a word's rarity is its cell's count.
 CELLS = 1 << 18
@@ -24,12 +24,6 @@ def constant_array(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
-def split_words(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+``, by a split at single spaces: cheaper than a search by a pattern."""
-    plain = F.when(text.rlike("[\\t\\n\\x0b\\x0c\\r]"), F.translate(text, "\t\n\x0b\x0c\r", "     ")).otherwise(text)
-    return F.array_remove(F.split(plain, " "), "")
-
-
 def rarities(texts: DataFrame) -> list[int]:
     """For each of CELLS cells of words, the count of all words of column ``t`` that fall in it, in eighths of a power of
     two. A fixed number of small integers, whatever the corpus."""
