@@ -16,7 +16,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Two hashes of a set of words, 96 bits together; lines of equal sets are one class.
 IDS = ["k1", "k2"]
 #: Classes with a word beyond which it is settled in rounds, and those rounds; they shape the work, never the result.
-HOT, ROUNDS = 512, 4
+HOT, ROUNDS = 512, 2
 
 
 def constant_array(values: list[int]) -> Column:
@@ -92,6 +92,12 @@ def may_match(a: str, b: str) -> Column:
     )
 
 
+def surely_match(a: str, b: str) -> Column:
+    """Whether the parities differ in half of the bits at most that similar sets may differ in: all but sure to hold."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    return 2 * bits_apart(a, b) <= n + m - 2 * least_overlap(n, m)
+
+
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, body, line_no, k1, k2, n, bits, more, p) of the lines with a word: the hash of the text's body, two hashes of the
     set of words, its size and parity, and the rarest words of it that the filter needs."""
@@ -154,9 +160,10 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(k1, k2) of the classes that have a similar class before them.
 
     Words with more than HOT classes are looked at first: in rounds, each class is compared with the first class of each
-    such word, and leaves when the filters let a pair through. Classes that have left aren't compared with each other; all
-    other pairs are, so a large group of copies costs rows in proportion to its size. Then the words of one pair of each
-    class decide. Classes whose pair fails meet all their candidates, those that have left every class, so no link is lost.
+    such word, and leaves when the pair is all but sure. Classes that have left aren't compared with each other; all other
+    pairs are, so a large group of copies costs rows in proportion to its size. Then the words decide: first those of the
+    pair by which a class has left, or of its closest pair, and where they fail those of all other candidates; a class that
+    has left and fails meets every class. So no link is lost.
     """
     order = F.struct("first.doc_id", "first.line_no", *IDS).alias("order")
     filters = ["n", "bits", "more"]
@@ -165,22 +172,26 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     hot = cut(hot.where(F.col("rows") > HOT).select("word"), "hot-words")
     guessed = classes.select(*IDS, F.col("k1").alias("e1"), F.col("k2").alias("e2")).limit(0)
     if not hot.isEmpty():
-        often = classes.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word"))
-        often = cut(often.join(hot, "word", "left_semi"), "hot-rows")
         for _ in range(ROUNDS):
-            still = often.join(guessed.select(*IDS), IDS, "left_anti")
+            still = classes.join(guessed.select(*IDS), IDS, "left_anti")
+            still = still.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word")).join(hot, "word", "left_semi")
             lead = F.min(F.struct("order", *[F.col(c).alias(f"{c}y") for c in (*IDS, *filters, "i")]))
             leads = cut(still.groupBy("word").agg(lead.alias("lead")).select("word", "lead.*").drop("order"), "leads")
             other = (F.col("k1") != F.col("k1y")) | (F.col("k2") != F.col("k2y"))
-            near = still.join(leads, "word").where(other & may_match("", "y"))
+            near = still.drop("order").join(leads, "word").where(other & may_match("", "y") & surely_match("", "y"))
             best = F.min_by(F.struct("k1y", "k2y"), bits_apart("", "y")).alias("best")
             found = cut(near.groupBy(*IDS).agg(best).select(*IDS, F.col("best.k1y").alias("e1"), F.col("best.k2y").alias("e2")), "guessed")
             if found.isEmpty():
                 break
             guessed = cut(guessed.unionByName(found), "guessed")
+
+    def ends(some: DataFrame) -> DataFrame:
+        both = F.array(F.struct(*IDS), F.struct(F.col("e1").alias("k1"), F.col("e2").alias("k2")))
+        return some.select(F.explode(both).alias("s")).select("s.*").distinct()
+
     # The sign of n tells those that have left.
-    marked = classes.join(guessed.select(*IDS, F.lit(True).alias("left")), IDS, "left")
-    signed = F.when(F.col("left"), -F.col("n")).otherwise(F.col("n")).alias("n")
+    marked = classes.join(guessed.select(*IDS, F.lit(True).alias("done")), IDS, "left")
+    signed = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).alias("n")
     rows = marked.select(*IDS, signed, "bits", "more", F.posexplode("p").alias("i", "word"))
     a, b = (rows.toDF(f"k1{e}", f"k2{e}", f"s{e}", f"bits{e}", f"more{e}", f"i{e}", "word").withColumn(f"n{e}", F.abs(f"s{e}")) for e in "xy")
     once = (a["k1x"] < b["k1y"]) | ((a["k1x"] == b["k1y"]) & (a["k2x"] < b["k2y"]))
@@ -195,30 +206,23 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
         *[F.when(first, F.col(f"{k}x")).otherwise(F.col(f"{k}y")).alias(e) for k, e in zip(IDS, ("e1", "e2"), strict=True)],
         "apart",
     )
-    pairs = cut(pairs.join(guessed, IDS, "left_anti"), "line-pairs")
-    # The closest candidate of each class first; the others only where that one isn't similar.
+    pairs = cut(pairs.join(guessed.select(*IDS), IDS, "left_anti"), "line-pairs")
     best = pairs.groupBy(*IDS).agg(F.min_by(F.struct("e1", "e2"), F.struct("apart", "e1", "e2")).alias("best")).select(*IDS, "best.*")
     best = cut(best.unionByName(guessed), "best-pairs")
     if best.isEmpty():
         return classes.select(*IDS).limit(0)
-
-    def ends(some: DataFrame) -> DataFrame:
-        return some.select(F.explode(F.array(F.struct(*IDS), F.struct(F.col("e1").alias("k1"), F.col("e2").alias("k2")))).alias("s")).select("s.*").distinct()
-
-    sets = sets_of(ends(best), classes, texts)
+    # The texts are read once for all candidates.
+    sets = sets_of(ends(best.unionByName(pairs.select(*pair))), classes, texts)
     sure = verified(best, sets)
-    rest = pairs.select(*pair).join(sure, IDS, "left_anti").join(best, pair, "left_anti")
+    rest = pairs.select(*pair).join(sure, IDS, "left_anti")
     failed = cut(guessed.join(sure, IDS, "left_anti").select(*IDS), "failed")
     if not failed.isEmpty():
         wide = classes.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word"))
         before = wide.select("word", *[F.col(c).alias(f"{c}y") for c in (*IDS, *filters, "i", "order")])
         again = wide.join(failed, IDS, "left_semi").join(before, "word").where((F.col("ordery") < F.col("order")) & may_match("", "y"))
-        rest = rest.unionByName(again.select(*IDS, F.col("k1y").alias("e1"), F.col("k2y").alias("e2")).distinct())
-    rest = cut(rest, "line-pairs")
-    if rest.isEmpty():
-        return sure
-    more = sets_of(ends(rest).join(sets, IDS, "left_anti"), classes, texts)
-    return sure.unionByName(verified(rest, sets.unionByName(more)))
+        rest = cut(rest.unionByName(again.select(*IDS, F.col("k1y").alias("e1"), F.col("k2y").alias("e2")).distinct()), "line-pairs")
+        sets = sets.unionByName(sets_of(ends(rest).join(sets, IDS, "left_anti"), classes, texts))
+    return sure.unionByName(verified(rest, sets))
 
 
 def line_verdicts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -244,9 +248,9 @@ def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Lines are sets of their words ``[^\\x20\\x09-\\x0D]+``. A line goes if an earlier line, of any document, has a Jaccard
     similarity of 4/5 or more with it, whether that one stays or not; earlier is by key (nulls first), line_no, and then a
-    hash. Words themselves decide, equal sets of words are told by 96 bits. Lines without a word are never compared and stay, so null and empty
-    texts give no rows. Rows with equal key and text are one document: they get the same verdicts. Other columns are
-    ignored; an empty table gives an empty result.
+    hash. Words themselves decide; equal sets of words are told by 96 bits. Lines without a word are never compared and
+    stay, so null and empty texts give no rows. Rows with equal key and text are one document: they get the same verdicts.
+    Other columns are ignored; an empty table gives an empty result.
     """
     return line_verdicts(docs, key, text).select(
         F.col("doc_id").alias(key), F.col("line_no").cast("long").alias("line_no"), F.col("n_words").cast("long").alias("n_words"), "kept"
