@@ -19,8 +19,13 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 def split_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``, by a split at single spaces: cheaper than a search by a pattern."""
-    plain = F.when(text.rlike("[\\t\\n\\x0b\\x0c\\r]"), F.translate(text, "\t\n\x0b\x0c\r", "     ")).otherwise(text)
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(F.split(plain_spaces(text), " "), "")
+
+
+def plain_spaces(text: Column) -> Column:
+    """``text`` with a space for each other white space; by a pattern, since translate looks up every character."""
+    other = "[\\t\\n\\x0b\\x0c\\r]"
+    return F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, split_words, table
+from .common import SPACE_CHARS, cut, plain_spaces, split_words, table
 
 #: Cells that words are counted in; a word's rarity is its cell's count.
 CELLS = 1 << 18
@@ -27,10 +27,12 @@ def constant_array(values: list[int]) -> Column:
 def rarities(texts: DataFrame) -> list[int]:
     """For each of CELLS cells of words, the count of all words of column ``t`` that fall in it, in eighths of a power of
     two. A fixed number of small integers, whatever the corpus."""
-    cell = lambda w: F.xxhash64(w).bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    cells = texts.select(F.explode(F.transform(split_words(F.col("t")), cell)).alias("cell"))
+    # Rows for lines and then for words: so the hash is generated code.
+    lines = texts.select(F.explode(F.split("t", "\n", -1)).alias("line"))
+    words = lines.select(F.explode(F.split(plain_spaces(F.col("line")), " ")).alias("word")).where("word != ''")
+    cell = F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell")
     found = [0] * CELLS
-    for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect():
+    for r in words.groupBy(cell).agg(F.count("*").alias("n")).collect():
         found[r["cell"]] = min(255, int(8 * math.log2(r["n"] + 1)))
     return found
 
