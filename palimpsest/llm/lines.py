@@ -51,11 +51,12 @@ def word_keys(line: Column, rarity: list[int]) -> Column:
 
 
 def parity(keys: Column, lane: int) -> Column:
-    """64 of 128 bits, each flipped by the words that hash to it: sets that differ in d words differ in d bits at most."""
+    """64 bits, each flipped by the words that hash to it: sets that differ in d words differ in d bits at most. Lane 1 takes
+    the words with one bit of their hash, lane 0 all words; the exclusive or of both is the parity of the others."""
 
     def flip(k: Column) -> Column:
-        mine = F.shiftright(k, 6).bitwiseAND(F.lit(1))
-        return F.call_function("shiftleft", mine if lane else mine.bitwiseXOR(F.lit(1)), k.bitwiseAND(F.lit(63)).cast("int"))
+        mine = F.shiftright(k, 6).bitwiseAND(F.lit(1)) if lane else F.lit(1).cast("long")
+        return F.call_function("shiftleft", mine, k.bitwiseAND(F.lit(63)).cast("int"))
 
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(flip(k)))
 
@@ -123,9 +124,11 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             F.xxhash64("keys").alias("k1"),
             F.hash("keys").alias("k2"),
             n.alias("n"),
-            parity(F.col("keys"), 0).alias("bits"),
+            parity(F.col("keys"), 0).alias("every"),
             parity(F.col("keys"), 1).alias("more"),
             low.cast("array<int>").alias("p"),
+        ).select(
+            "doc_id", "body", "line_no", "k1", "k2", "n", F.col("every").bitwiseXOR(F.col("more")).alias("bits"), "more", "p"
         ),
         "lines",
     )
