@@ -96,9 +96,10 @@ def may_match(a: str, b: str) -> Column:
 
 
 def surely_match(a: str, b: str) -> Column:
-    """Whether the parities differ in half of the bits at most that similar sets may differ in: all but sure to hold."""
+    """Whether the parities differ in three quarters at most of the bits that similar sets may differ in: all but sure to
+    hold."""
     n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    return 2 * bits_apart(a, b) <= n + m - 2 * least_overlap(n, m)
+    return 4 * bits_apart(a, b) <= 3 * (n + m - 2 * least_overlap(n, m))
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,8 +179,9 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     guessed = classes.select(*IDS, F.col("k1").alias("e1"), F.col("k2").alias("e2")).limit(0)
     if not hot.isEmpty():
         for _ in range(ROUNDS):
-            still = classes.join(guessed.select(*IDS), IDS, "left_anti")
-            still = still.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word")).join(hot, "word", "left_semi")
+            # Hot words first, so that no other row is looked up among those that have left.
+            still = classes.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word")).join(hot, "word", "left_semi")
+            still = still.join(guessed.select(*IDS), IDS, "left_anti")
             lead = F.min(F.struct("order", *[F.col(c).alias(f"{c}y") for c in (*IDS, *filters, "i")]))
             leads = cut(still.groupBy("word").agg(lead.alias("lead")).select("word", "lead.*").drop("order"), "leads")
             other = (F.col("k1") != F.col("k1y")) | (F.col("k2") != F.col("k2y"))
@@ -224,7 +226,8 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     if not failed.isEmpty():
         wide = classes.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word"))
         before = wide.select("word", *[F.col(c).alias(f"{c}y") for c in (*IDS, *filters, "i", "order")])
-        again = wide.join(failed, IDS, "left_semi").join(before, "word").where((F.col("ordery") < F.col("order")) & may_match("", "y"))
+        # Written first: where these are few, the other side isn't shuffled.
+        again = cut(wide.join(failed, IDS, "left_semi"), "failed-rows").join(before, "word").where((F.col("ordery") < F.col("order")) & may_match("", "y"))
         rest = cut(rest.unionByName(again.select(*IDS, F.col("k1y").alias("e1"), F.col("k2y").alias("e2")).distinct()), "line-pairs")
         sets = sets.unionByName(sets_of(ends(rest).join(sets, IDS, "left_anti"), classes, texts))
     return sure.unionByName(verified(rest, sets))
