@@ -95,13 +95,6 @@ def may_match(a: str, b: str) -> Column:
     )
 
 
-def surely_match(a: str, b: str) -> Column:
-    """Whether the parities differ in three quarters at most of the bits that similar sets may differ in: all but sure to
-    hold."""
-    n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    return 4 * bits_apart(a, b) <= 3 * (n + m - 2 * least_overlap(n, m))
-
-
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, body, line_no, k1, k2, n, bits, more, p) of the lines with a word: the hash of the text's body, two hashes of the
     set of words, its size and parity, and the rarest words of it that the filter needs."""
@@ -143,7 +136,8 @@ def sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     """(k1, k2, words) of the classes in ``wanted`` (k1, k2): their words, read again from the texts of their first lines."""
     places = classes.join(wanted, IDS, "left_semi").select(*IDS, "first.*")
     asked = places.groupBy("doc_id", "body").agg(F.collect_list(F.struct(*IDS, "line_no")).alias("asked"))
-    asked = asked.withColumnRenamed("doc_id", "d").withColumnRenamed("body", "b")
+    # Written first: where few are asked for, the texts aren't shuffled.
+    asked = cut(asked.withColumnRenamed("doc_id", "d").withColumnRenamed("body", "b"), "asked-lines")
     # Of a text that many documents have only that of the first line's document is met.
     lines = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("t") == F.col("b")))
     lines = lines.select(F.split("t", "\n", -1).alias("lines"), "asked")
@@ -166,7 +160,7 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(k1, k2) of the classes that have a similar class before them.
 
     Words with more than HOT classes are looked at first: in rounds, each class is compared with the first class of each
-    such word, and leaves when the pair is all but sure. Classes that have left aren't compared with each other; all other
+    such word, and leaves when the pair passes the filters. Classes that have left aren't compared with each other; all other
     pairs are, so a large group of copies costs rows in proportion to its size. Then the words decide: first those of the
     pair by which a class has left, or of its closest pair, and where they fail those of all other candidates; a class that
     has left and fails meets every class. So no link is lost.
@@ -185,7 +179,7 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
             lead = F.min(F.struct("order", *[F.col(c).alias(f"{c}y") for c in (*IDS, *filters, "i")]))
             leads = cut(still.groupBy("word").agg(lead.alias("lead")).select("word", "lead.*").drop("order"), "leads")
             other = (F.col("k1") != F.col("k1y")) | (F.col("k2") != F.col("k2y"))
-            near = still.drop("order").join(leads, "word").where(other & may_match("", "y") & surely_match("", "y"))
+            near = still.drop("order").join(leads, "word").where(other & may_match("", "y"))
             best = F.min_by(F.struct("k1y", "k2y"), bits_apart("", "y")).alias("best")
             found = cut(near.groupBy(*IDS).agg(best).select(*IDS, F.col("best.k1y").alias("e1"), F.col("best.k2y").alias("e2")), "guessed")
             if found.isEmpty():
