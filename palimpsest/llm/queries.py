@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .audit import OP12_SQL, op12_first_failure_audit
 from .chat import OP2_SQL, op2_snapshot_collapse
+from .clustering import OP13_SQL, op13_annulus_clustering
 from .embeddings import op1_subspace_pigeonhole
 from .lines import OP7_SQL, op7_line_similarity
 from .mixing import op9_hierarchical_mixing
@@ -26,9 +28,17 @@ def queries():
         op8_naive_bayes_toxicity,
         op9_hierarchical_mixing,
         op10_quality_cascade,
+        op12_first_failure_audit,
+        op13_annulus_clustering,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_snapshot_collapse": OP2_SQL, "op7_line_similarity": OP7_SQL, "op10_quality_cascade": OP10_SQL}
+    return {
+        "op2_snapshot_collapse": OP2_SQL,
+        "op7_line_similarity": OP7_SQL,
+        "op10_quality_cascade": OP10_SQL,
+        "op12_first_failure_audit": OP12_SQL,
+        "op13_annulus_clustering": OP13_SQL,
+    }
