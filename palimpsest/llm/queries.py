@@ -6,6 +6,7 @@ from .audit import OP12_SQL, op12_first_failure_audit
 from .chat import OP2_SQL, op2_snapshot_collapse
 from .clustering import OP13_SQL, op13_annulus_clustering
 from .embeddings import op1_subspace_pigeonhole
+from .language import op11_gated_language_model
 from .lines import OP7_SQL, op7_line_similarity
 from .mixing import op9_hierarchical_mixing
 from .packing import op4_bm25_packing
@@ -28,6 +29,7 @@ def queries():
         op8_naive_bayes_toxicity,
         op9_hierarchical_mixing,
         op10_quality_cascade,
+        op11_gated_language_model,
         op12_first_failure_audit,
         op13_annulus_clustering,
     )

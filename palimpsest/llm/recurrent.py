@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Units of the state; steps of a window; texts side by side.
-HIDDEN, WINDOW, LANES = 16, 16, 512
+HIDDEN, WINDOW, LANES = 16, 16, 256
 #: Step size and what is added to the sums of squares.
 RATE, SMALL = 0.1, 1e-8
 LOG10 = 1 / np.log(10)
@@ -114,10 +114,11 @@ class Network:
         return after
 
     def log_shares(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of each target's share, given the states (HIDDEN, n). With ``grads``, adds the gradients of the
-        negated sum to them and returns the gradient of the states as well."""
-        parts = self.parts
-        order = np.argsort(self.class_of.take(targets), kind="stable")
+        """Natural log of each target's share, given the states (HIDDEN, n); 0 for targets below 0. With ``grads``, adds
+        the gradients of the negated sum to them and returns the gradient of the states as well."""
+        parts, size = self.parts, len(targets)
+        order = np.argsort(np.where(targets < 0, -1, self.class_of.take(targets)), kind="stable")
+        order = order[np.count_nonzero(targets < 0) :]
         targets, states = targets.take(order), states.take(order, axis=1)
         of = self.class_of.take(targets)
         n = np.arange(len(targets))
@@ -146,10 +147,10 @@ class Network:
                 grads["words"][a:b] += logits @ states[:, own].T
                 grads["word_bias"][a:b] += logits.sum(axis=1, keepdims=True)
                 toward[:, own] += weights.T @ logits
-        out = np.empty_like(found)
+        out = np.zeros(size, _F)
         out[order] = found
         if toward is not None:
-            back = np.empty_like(toward)
+            back = np.zeros((HIDDEN, size), _F)
             back[:, order] = toward
             toward = back
         return out, toward
@@ -193,7 +194,7 @@ class Network:
         symbols = inputs.ravel().astype(np.int64)
         for i, row in enumerate(on_sum.reshape(3 * k, -1)):
             grads["embed"][:, i] = np.bincount(symbols, row, self.shape.symbols)
-        flat /= steps * n
+        flat /= max(1, np.count_nonzero(targets >= 0))
         return flat, float(found.sum(dtype=np.float64)), states[:, -1]
 
 
@@ -223,25 +224,28 @@ def lanes(lengths: np.ndarray, most: int = LANES) -> list[np.ndarray]:
     return [np.array(own[i]) for i in sorted(range(len(own)), key=lambda i: -total[i])]
 
 
-def windows(texts: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def windows(texts: list[np.ndarray], whole: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(inputs, targets, text of each target, lanes that go on) of windows over all texts, which end with symbol 0 each.
-    Inputs are the symbols before the targets; that of a text's first is 0. Lanes end in order, so that a window's texts
-    are the first of those of the window before; the last windows of a lane are as short as its rest."""
+
+    Inputs are the symbols before the targets; that of a text's first is 0. With ``whole`` each text is in one lane, else
+    their sequence is cut into even lanes. Lanes end in order, so that a window's lanes are the first of those of the
+    window before. Beyond a lane's end targets are -1 and their text is len(texts)."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    order = lanes(lengths)
-    flat = np.concatenate([texts[i] for lane in order for i in lane])
-    owner = np.repeat(np.concatenate(order), lengths[np.concatenate(order)])
-    before = np.empty_like(flat)
-    before[1:], before[0] = flat[:-1], 0
-    size = np.array([lengths[lane].sum() for lane in order])
+    if whole:
+        order = lanes(lengths)
+        size = np.array([lengths[lane].sum() for lane in order])
+        order = np.concatenate(order)
+    else:
+        order, total = np.arange(len(texts)), int(lengths.sum())
+        size = np.diff(np.minimum(np.arange(LANES + 1) * -(-total // LANES), total))
+    flat = np.concatenate([[0], *(texts[i] for i in order), [-1]]).astype(np.int16)
+    owner = np.append(np.repeat(order, lengths[order]), len(texts)).astype(np.int32)
     start = np.cumsum(size) - size
-    at = 0
-    while at < size[0]:
+    for at in range(0, int(size[0]), WINDOW):
         active = int((size > at).sum())
-        steps = int(min(window, size[:active].min() - at))
-        where = start[:active] + np.arange(at, at + steps)[:, None]
-        yield before[where], flat[where], owner[where], active
-        at += steps
+        step = np.arange(at, min(at + WINDOW, int(size[0])))[:, None]
+        where = np.where(step < size[:active], start[:active] + step, len(flat) - 2)
+        yield np.maximum(flat[where], 0), flat[where + 1], owner[where], active
 
 
 def scores(net: Network, texts: list[np.ndarray]) -> np.ndarray:
@@ -252,15 +256,16 @@ def scores(net: Network, texts: list[np.ndarray]) -> np.ndarray:
         states = net.states(inputs, state[:, :active])
         state = states[:, -1]
         found, _ = net.log_shares(states.reshape(HIDDEN, -1), targets.ravel())
-        out += np.bincount(owner.ravel(), found, len(texts))
+        out += np.bincount(owner.ravel(), found, len(texts) + 1)[:-1]
     return out * LOG10
 
 
 def train(net: Network, squares: np.ndarray, texts: list[np.ndarray], rate: float = RATE) -> float:
     """One pass over the texts, in place: a step for each window, every weight's scaled by the root of its sum of squared
-    gradients. Returns the natural log share before the steps, summed."""
+    gradients. A text that two lanes share starts without a state in the second. Returns the summed natural log share of
+    what was still to be learned from."""
     total, state = 0.0, np.zeros((HIDDEN, LANES), _F)
-    for inputs, targets, _, active in windows(texts) if texts else ():
+    for inputs, targets, _, active in windows(texts, whole=False) if texts else ():
         grad, found, state = net.gradients(inputs, targets, state[:, :active])
         total += found
         squares += grad * grad
