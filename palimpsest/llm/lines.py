@@ -13,7 +13,8 @@ from .common import SPACE_CHARS, cut, plain_spaces, split_words, table
 CELLS = 1 << 18
 #: Least Jaccard similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Two hashes of a set of words, 96 bits together; lines of equal sets are one class.
+#: Two hashes of a set of words, of 64 bits each; lines of equal sets are one class. They are made of two hashes of each word
+#: that don't depend on each other, 119 bits together.
 IDS = ["k1", "k2"]
 #: Classes with a word beyond which it is settled in rounds, and those rounds; they shape the work, never the result.
 HOT, ROUNDS = 512, 2
@@ -37,17 +38,21 @@ def rarities(texts: DataFrame) -> list[int]:
     return found
 
 
-def word_keys(line: Column, rarity: list[int]) -> Column:
-    """The distinct words of a line as 63-bit keys in ascending order, rarest first: the rarity of the word's cell, then 55
-    bits of its hash. The order is one for all lines."""
+def word_keys(words: Column, rarity: list[int]) -> Column:
+    """Distinct words as 63-bit keys in ascending order, rarest first: the rarity of the word's cell, then 55 bits of its
+    hash. The order is one for all lines. Words of equal keys add candidates; they are never taken for each other."""
     cells = constant_array(rarity)
-    hashes = F.transform(split_words(line), lambda w: F.xxhash64(w))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
     # Never null, so that the keys are sorted as primitive numbers.
     rare = lambda h: F.coalesce(F.get(cells, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0))
-    keys = F.transform(
-        hashes, lambda h: F.shiftleft(rare(h).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1)))
+    return F.sort_array(
+        F.transform(hashes, lambda h: F.shiftleft(rare(h).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1))))
     )
-    return F.sort_array(F.array_distinct(keys))
+
+
+def other_hashes(words: Column) -> Column:
+    """A second hash of each word, in ascending order."""
+    return F.sort_array(F.transform(words, lambda w: F.xxhash64(F.lit(1), w)))
 
 
 def parity(keys: Column, lane: int) -> Column:
@@ -104,7 +109,10 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         "doc_id", F.xxhash64("t").alias("body"), F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line")
     )
     lines = lines.where(F.btrim("line", F.lit(SPACE_CHARS)) != "").select(
-        "doc_id", "body", "line_no", word_keys(F.col("line"), rarity).alias("keys")
+        "doc_id", "body", "line_no", F.array_distinct(split_words(F.col("line"))).alias("words")
+    )
+    lines = lines.select(
+        "doc_id", "body", "line_no", word_keys(F.col("words"), rarity).alias("keys"), F.xxhash64(other_hashes(F.col("words"))).alias("k2")
     )
     n = F.size("keys")
     low = F.transform(
@@ -116,7 +124,7 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             "body",
             "line_no",
             F.xxhash64("keys").alias("k1"),
-            F.hash("keys").alias("k2"),
+            "k2",
             n.alias("n"),
             parity(F.col("keys"), 0).alias("every"),
             parity(F.col("keys"), 1).alias("more"),
@@ -250,7 +258,7 @@ def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Lines are sets of their words ``[^\\x20\\x09-\\x0D]+``. A line goes if an earlier line, of any document, has a Jaccard
     similarity of 4/5 or more with it, whether that one stays or not; earlier is by key (nulls first), line_no, and then a
-    hash. Words themselves decide; equal sets of words are told by 96 bits. Lines without a word are never compared and
+    hash. Words themselves decide; equal sets of words are told by 128 bits. Lines without a word are never compared and
     stay, so null and empty texts give no rows. Rows with equal key and text are one document: they get the same verdicts.
     Other columns are ignored; an empty table gives an empty result.
     """

@@ -60,6 +60,19 @@ def test_words_of_equal_hash_are_two_words(spark):
     assert {r.doc_id: r.kept for r in got} == {d: True for d, *_ in rows}
 
 
+def test_words_that_agree_in_55_bits_are_two_words(spark):
+    from pyspark.sql import functions as F
+
+    one, two = "yopumzgd", "Gvd&re}b"
+    low = lambda w: F.xxhash64(F.lit(w)).bitwiseAND(F.lit((1 << 55) - 1))
+    assert spark.range(1).select(low(one) == low(two)).first()[0]
+    rows = [(1, one, "", 1), (2, two, "", 2), (3, f"{one} {two}", "", 3), (4, f"{two} {one} {two}", "", 4)]
+    shared = [f"s{i}" for i in range(8)]
+    rows += [(5, " ".join([*shared, one, two]), "", 5), (6, " ".join([*shared, two, "other"]), "", 6)]
+    got = lines.judge_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.line_no, r.n_words, r.kept) for r in got), key=str) == brute(rows)
+
+
 def test_candidates_that_fail_do_not_hide_others(spark, monkeypatch):
     """Without a parity filter most candidates fail their check; the others of a class still count."""
     from pyspark.sql import functions as F
