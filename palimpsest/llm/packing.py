@@ -14,8 +14,8 @@ from .common import cut, table
 from .tokens import encoder, vocabulary
 
 WINDOW = 1024
-#: Documents of a shard of the index, and those of a task, which holds one shard at a time.
-SHARD, TASK = 3072, 1 << 15
+#: Documents of a shard of the index, from 3/4 to 3/2 of it; a task has at least one shard, whatever the session says.
+SHARD = 2048
 #: Keys of content that order documents, the first before the second and so on.
 KEYS = 3
 #: Terms with more than this share of a shard's documents are scored by a matrix product, the others by their postings.
@@ -250,7 +250,8 @@ def place(split: DataFrame, idf: np.ndarray, shared: np.ndarray, n: int, mean: f
             index = Index([bag(r["terms"], r["times"], r["width"]) for r in rows], idf.value, mean)
             sequences = fill([len(r["tail"]) // r["width"] - r["at"] for r in rows], index, window)
             again = []
-            if sequences and not last and sum(p[2] for p in sequences[-1]) < window:
+            # A shard that doesn't fill one window stays a short sequence.
+            if len(sequences) > 1 and not last and sum(p[2] for p in sequences[-1]) < window:
                 # A document that the sequence before has a part of goes on from there.
                 again = [rows[i] | {"at": rows[i]["at"] + at} for i, at, _ in sequences.pop()]
             out = []
@@ -269,18 +270,20 @@ def place(split: DataFrame, idf: np.ndarray, shared: np.ndarray, n: int, mean: f
         for batch in batches:
             for at in range(0, batch.num_rows, SHARD):
                 kept += [r | {"at": 0} for r in batch.slice(at, SHARD).to_pylist()]
-                while len(kept) >= SHARD:
+                while len(kept) >= 2 * SHARD:
                     found, again = packed(kept[:SHARD], False)
                     kept = again + kept[SHARD:]
                     yield found
-        if kept:
-            yield packed(kept, True)[0]
+        while kept:
+            size = len(kept) if 2 * len(kept) <= 3 * SHARD else len(kept) // 2
+            found, again = packed(kept[:size], size == len(kept))
+            kept = again + kept[size:]
+            yield found
 
     columns = "uid long, doc_id long, tokens long, tail binary, terms binary, times binary, width int"
     rows = split.where(F.length("tail") > 0).select(*[c.split()[0] for c in columns.split(", ")])
     rows = rows.mapInArrow(keyed, ", ".join([columns, *[f"{k} long" for k in names]]))
-    parts = max(int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK))
-    rows = rows.repartitionByRange(parts, *names, "uid").sortWithinPartitions(*names, "uid").drop(*names)
+    rows = rows.repartitionByRange(max(1, n // SHARD), *names, "uid").sortWithinPartitions(*names, "uid").drop(*names)
     return rows.mapInArrow(pack_shards, PIECES)
 
 
@@ -319,10 +322,11 @@ def pack(
 
     Every document is its ids and an end id; a null or empty text is the end id alone. Whole windows of a long document
     are sequences of their own. Tails are packed by BM25 over all terms of whole texts, with df and lengths of all
-    documents: a seed's window is filled by its best unused neighbours of its shard. Shards are SHARD documents that stand
-    together when all are ordered by KEYS content keys (:func:`content_keys`); every document is in one shard, and a
-    neighbour of another shard isn't found. README has the recall against an index that isn't sharded. One sequence of a
-    task is short. Equal and null keys are separate documents. Rows that repeat are packed as often as they occur. Other
+    documents: a seed's window is filled by its best unused neighbours of its shard. Shards are about SHARD documents, at
+    any size of the table and with any settings, that stand together when all are ordered by KEYS content keys
+    (:func:`content_keys`); every document is in one shard, and a neighbour of another shard isn't found. README has the
+    recall against an index that isn't sharded. One sequence of a task is short, and so is that of a shard whose ids don't
+    fill a window. Equal and null keys are separate documents. Rows that repeat are packed as often as they occur. Other
     columns of docs are ignored; an empty table gives an empty result. ``sequence_id`` of a whole window counts within a
     task, with the task's number above 33 bits; that of packed tails is negative.
     """
