@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the queries rely on for speed only; none changes a result but the time zone and the map policy.
 SETTINGS = {
@@ -33,7 +33,15 @@ def scratch_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one in a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a new scratch folder and read back, so that it is computed once and outlives any executor."""
+    path = f"{scratch_folder(df.sparkSession)}/{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

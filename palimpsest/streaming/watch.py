@@ -1,12 +1,19 @@
-"""The watch list and the request rate as streams; both give what their batch twins give."""
+"""The request rate and the watch list as streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.watch import unresolved, upsert
+#: What a watch list hears of an address, in the order in which events of equal times count.
+UPDATE, RESOLVE, UNRESOLVE, REMOVE = "update", "resolve", "unresolve", "remove"
+#: The state store that keyed state needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGES = "address string, status string, modified timestamp, last_resolved timestamp, last_checked timestamp, resolutions int"
 
 
 def rate_stream(events: DataFrame, ts: str = "ts", late: str = "1 minute", seconds: int = 60, step: int = 10) -> DataFrame:
@@ -19,36 +26,109 @@ def rate_stream(events: DataFrame, ts: str = "ts", late: str = "1 minute", secon
     )
 
 
-def watch_stream(
-    updates: DataFrame, path: str, checkpoint: str, cutoff: str, items: DataFrame | None = None
-) -> StreamingQuery:
-    """Folds a stream of updates (address, modified) into the unresolved table at ``path``, version by version.
+class Watched(StatefulProcessor):
+    """What is known of one address: its open change, its resolved changes, and how far it was checked."""
 
-    Each batch keeps the newest update of an address, compares it with what was resolved (``items``) and with the data's
-    own watermark, which is inclusive, and writes a new version of the table. A batch that is run again writes the same
-    version.
-    """
-    spark = updates.sparkSession
-    schema = "address string, modified string, last_resolved string"
-    done = items if items is not None else spark.createDataFrame([], "address string, status string, seq int, modified string")
-
-    def fold(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        state = (
-            session.read.schema(schema).parquet(f"{path}/version={number - 1}")
-            if number
-            else session.createDataFrame([], schema)
+    def __init__(self, cutoff: str, ttl_ms: int | None = None):
+        self.cutoff, self.ttl = pd.Timestamp(cutoff), ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        change = "modified timestamp, last_resolved timestamp"
+        self.open = handle.getValueState("open", change, self.ttl)
+        self.resolved = handle.getListState("resolved", change, self.ttl)
+        self.checked = handle.getValueState("checked", "at timestamp", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(rows).sort_values(["ord", "modified"], kind="stable")
+        open_ = self.open.get() if self.open.exists() else None
+        resolved = list(self.resolved.get()) if self.resolved.exists() else []
+        checked = self.checked.get()[0] if self.checked.exists() else self.cutoff
+        known = (open_, list(resolved), checked)
+        removed = False
+        for kind, at in zip(events["kind"], events["modified"], strict=True):
+            if kind == UPDATE:
+                # The same time as the last check counts; one that was resolved at that time or later doesn't.
+                if at >= checked and (not resolved or at > resolved[-1][0]):
+                    open_ = (at, resolved[-1][1] if resolved else self.cutoff)
+                    removed = False
+                checked = max(checked, at)
+            elif kind == RESOLVE and open_ is not None:
+                resolved.append(open_)
+                open_ = None
+            elif kind == UNRESOLVE and resolved:
+                open_ = resolved.pop()
+            elif kind == REMOVE:
+                open_, resolved, checked, removed = None, [], self.cutoff, True
+        if (open_, resolved, checked) == known and not removed:
+            return
+        if removed:
+            for state in (self.open, self.resolved, self.checked):
+                state.clear()
+        else:
+            if open_ is None:
+                self.open.clear()
+            else:
+                self.open.update(open_)
+            if resolved:
+                self.resolved.put(resolved)
+            else:
+                self.resolved.clear()
+            self.checked.update((checked,))
+        shown = open_ or (resolved[-1] if resolved else (None, None))
+        status = "removed" if removed else "unresolved" if open_ else "resolved" if resolved else "checked"
+        yield pd.DataFrame(
+            {
+                "address": [key[0]],
+                "status": [status],
+                "modified": pd.Series([shown[0]], dtype="datetime64[us]"),
+                "last_resolved": pd.Series([shown[1]], dtype="datetime64[us]"),
+                "last_checked": pd.Series([None if removed else checked], dtype="datetime64[us]"),
+                "resolutions": pd.Series([len(resolved)], dtype="int32"),
+            }
         )
-        newest = batch.groupBy("address").agg(F.max("modified").alias("modified"))
-        fresh = unresolved(newest, done, "", cutoff)
-        later = fresh.join(state.select("address", F.col("modified").alias("known")), "address", "left")
-        later = later.where("known IS NULL OR modified >= known").drop("known")
-        upsert(state, later, ["address"]).write.mode("overwrite").parquet(f"{path}/version={number}")
 
+    def close(self) -> None:
+        pass
+
+
+def watch_changes(events: DataFrame, cutoff: str, ttl_ms: int | None = None) -> DataFrame:
+    """The changes of a watch list that a stream of events (address, kind, modified, ord) makes: a row for each address and
+    batch in which something changed (columns CHANGES).
+
+    Events of one address and batch count in the order of ``ord``. An ``update`` opens the address at its time unless that
+    is before the address was last checked or not after it was last resolved; it moves the check on. ``resolve`` closes
+    the open change, ``unresolve`` opens the last closed one again, ``remove`` forgets the address. Nulls in address,
+    kind or modified are ignored (resolve, unresolve and remove need no time). State is kept by address in the session's
+    state store, which has to be ROCKSDB; with ``ttl_ms`` what isn't written for so long is forgotten. One address's
+    events of a batch are held by one task; a source's limits per batch bound them.
+    """
+    needed = F.col("modified").isNotNull() | F.col("kind").isin(RESOLVE, UNRESOLVE, REMOVE)
+    rows = events.where(F.col("address").isNotNull() & F.col("kind").isNotNull() & needed).select(
+        "address", "kind", F.col("modified").cast("timestamp").alias("modified"), F.col("ord").cast("long").alias("ord")
+    )
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return rows.groupBy("address").transformWithStateInPandas(Watched(cutoff, ttl_ms), CHANGES, "Update", mode)
+
+
+def watch_stream(events: DataFrame, path: str, checkpoint: str, cutoff: str, ttl_ms: int | None = None) -> StreamingQuery:
+    """Writes the changes of each batch to ``path/batch=<number>``; nothing else is written, so a batch costs what changes
+    in it. A batch that is run again replaces its own folder. A life time of state asks for batches without data, which
+    would never end here, so the session must have spark.sql.streaming.noDataMicroBatches.enabled off."""
+    if ttl_ms and events.sparkSession.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") != "false":
+        raise ValueError("with ttl_ms, spark.sql.streaming.noDataMicroBatches.enabled must be false")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    changes = watch_changes(events, cutoff, ttl_ms)
     return (
-        updates.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def newest_version(spark, path: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={number}")
+def watch_list(spark: SparkSession, path: str) -> DataFrame:
+    """The newest change of each address that isn't removed, from the folders that ``watch_stream`` writes."""
+    changes = spark.read.schema(f"{CHANGES}, batch int").parquet(path)
+    names = [f.split()[0] for f in CHANGES.split(", ")]
+    newest = changes.groupBy("address").agg(F.max_by(F.struct(*names[1:]), "batch").alias("c"))
+    return newest.select("address", "c.*").where("status <> 'removed'")
