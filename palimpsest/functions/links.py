@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import brackets
 from .text import strip
 
 ADDRESS = ("archive", "subarchive", "fond", "opus", "case")
@@ -88,18 +89,18 @@ def is_commons(link: Column) -> Column:
 
 
 def is_category(link: Column) -> Column:
-    return F.startswith(link, F.lit("Category:")) | F.startswith(link, F.lit("Категорія:"))
+    return F.startswith(link, F.lit("Категорія:"))
 
 
 def commons_url(link: Column, base: str = "https://commons.wikimedia.org/wiki/") -> Column:
-    return F.when(is_commons(link), F.concat(F.lit(base), F.regexp_replace(F.substring(link, 3, 1 << 20), " ", "_")))
+    return F.when(is_commons(link), F.concat(F.lit(base), F.replace(link.substr(F.lit(3), F.length(link)), F.lit(" "), F.lit("_"))))
 
 
 def file_url(link: Column) -> Column:
     """Path of a ``File:`` link; null for other links."""
     return F.when(
         F.startswith(F.lower(link), F.lit("file:")),
-        F.concat(F.lit("/wiki/File:"), F.regexp_replace(F.substring(link, 6, 1 << 20), " ", "_")),
+        F.concat(F.lit("/wiki/File:"), F.replace(link.substr(F.lit(6), F.length(link)), F.lit(" "), F.lit("_"))),
     )
 
 
@@ -152,35 +153,48 @@ def hrefs(html: Column) -> Column:
 
 
 def wikilinks(text: Column) -> Column:
-    """(target, text) of the ``[[target|text]]`` links of a wikitext, in order; the text is empty where there is none."""
-    whole = F.regexp_extract_all(text, F.lit(r"\[\[([^\[\]|]+(?:\|[^\[\]]*)?)\]\]"), 1)
-    return F.transform(
-        whole,
-        lambda x: F.struct(strip(F.substring_index(x, "|", 1)).alias("target"), F.regexp_extract(x, r"(?s)\|(.*)", 1).alias("text")),
-    )
+    """(target, text) of the ``[[target|text]]`` links of a wikitext, in order and nested in any way; the text is empty where
+    there is none. Links in comments and in nowiki aren't any."""
+    return F.transform(brackets.links(brackets.shown(text)), lambda x: F.struct(strip(x["title"]).alias("target"), x["text"].alias("text")))
 
 
 def link_classes(text: Column) -> Column:
     """(commons_links, category_links, internal_links, external_links) of a wikitext, each in order."""
-    targets = F.transform(wikilinks(text), lambda x: x["target"])
+    return brackets.once(F.transform(wikilinks(text), lambda x: x["target"]), lambda targets: _classes(text, targets))
+
+
+def _classes(text: Column, targets: Column) -> Column:
     commons = F.transform(F.filter(targets, is_commons), lambda t: commons_url(t))
     category = F.filter(targets, lambda t: ~is_commons(t) & is_category(t))
     internal = F.filter(targets, lambda t: ~is_commons(t) & ~is_category(t))
-    outside = F.regexp_replace(text, r"\[\[[^\[\]]*\]\]", " ")
+    outside = F.regexp_replace(brackets.shown(text), r"\[\[[^\[\]]*\]\]", " ")
     external = F.regexp_extract_all(outside, F.lit(r"(https?://[^\s\[\]{}|<>\x22]+)"), 1)
     return F.struct(
         commons.alias("commons_links"), category.alias("category_links"), internal.alias("internal_links"), external.alias("external_links")
     )
 
 
+# A file's name in a template, by itself and in an address.
+FILE_NAME = r"(\bFile:[^|}\n\r]+)"
+FILE_ADDRESS = r"https?://[^\s|}/]+/wiki/File:([^\s|}]+)"
+
+
 def file_links(text: Column) -> Column:
-    """Distinct ``File:`` links of a wikitext: wiki links, names that stand by themselves in a template, and addresses."""
-    linked = F.filter(F.transform(wikilinks(text), lambda x: x["target"]), lambda t: F.startswith(F.lower(t), F.lit("file:")))
-    templates = F.array_join(F.regexp_extract_all(text, F.lit(r"(?s)(\{\{.*?\}\})"), 1), "\n")
-    raw = F.regexp_extract_all(F.regexp_replace(templates, r"\[\[[^\[\]]*\]\]|https?://\S+", " "), F.lit(r"(\bFile:[^|}\n\r]+)"), 1)
-    named = F.regexp_extract_all(templates, F.lit(r"https?://[^\s|}/]+/wiki/File:([^\s|}]+)"), 1)
-    addressed = F.transform(named, lambda n: F.concat(F.lit("File:"), F.replace(n, F.lit("_"), F.lit(" "))))
-    return F.array_distinct(F.concat(linked, F.transform(raw, strip), addressed))
+    """Distinct ``File:`` links of a wikitext: its links, and of each template parameter the links, the names as they stand
+    there and the names in addresses."""
+    file = lambda t: F.startswith(F.lower(t), F.lit("file:"))
+
+    def of_value(value: Column) -> Column:
+        own = F.filter(F.transform(brackets.links(value), lambda x: x["title"]), file)
+        named = F.regexp_extract_all(value, F.lit(FILE_ADDRESS), 1)
+        addressed = F.transform(named, lambda n: F.concat(F.lit("File:"), F.replace(n, F.lit("_"), F.lit(" "))))
+        return F.concat(own, F.regexp_extract_all(value, F.lit(FILE_NAME), 1), addressed)
+
+    def of_text(read: Column) -> Column:
+        linked = F.filter(F.transform(brackets.links(read), lambda x: x["title"]), file)
+        return F.array_distinct(F.concat(linked, F.flatten(F.transform(brackets.values(read), of_value))))
+
+    return brackets.once(brackets.shown(text), of_text)
 
 
 def document_url(classes: Column, notes: Column, title: Column, base: str = "") -> Column:

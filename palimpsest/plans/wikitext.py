@@ -44,6 +44,26 @@ def q_wikitext_links(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {CLASSED} SELECT page_id, CAST(2 * count(*) AS BIGINT) AS links, CAST(count(*) AS BIGINT) AS outer_links, min('File:' || t) AS first_outer, min('in/' || t) AS first_inner, count(DISTINCT 'File:' || t || '.png') AS files
+FROM k GROUP BY page_id"""
+)
+def q_nested_wikitext(spark, sf_dir):
+    """Links within captions of links, and files behind nested templates, in the texts of pages; comments hide theirs."""
+    a = anchors(spark, sf_dir).select("page_id", F.trim(F.regexp_replace("href", r"[\[\]|]", "")).alias("t")).where("t <> '' AND t NOT LIKE '%:%'")
+    line = F.concat(
+        F.lit("[[File:"), "t", F.lit("|thumb|see [[in/"), "t", F.lit("|x]] <!-- [[hidden]] -->]] {{box|{{inner|a=1}}|f=File:"), "t", F.lit(".png}}")
+    )
+    texts = a.groupBy("page_id").agg(F.array_join(F.collect_list(line), "\n").alias("w"))
+    found = texts.select("page_id", F.transform(links.wikilinks(F.col("w")), lambda x: x["target"]).alias("all"), links.file_links(F.col("w")).alias("f"))
+    begin = lambda s: F.filter("all", lambda t: F.startswith(t, F.lit(s)))
+    outer, inner = begin("File:"), begin("in/")
+    return found.select(
+        "page_id", F.size("all").cast("long").alias("links"), F.size(outer).cast("long").alias("outer_links"), F.array_min(outer).alias("first_outer"),
+        F.array_min(inner).alias("first_inner"), F.size(F.filter("f", lambda x: x.endswith(".png"))).cast("long").alias("files"),
+    )
+
+
 @query(
     f"""WITH {ANCHORS}, f AS (SELECT DISTINCT page_id, 'File:' || replace(trim(regexp_replace(href, '[^A-Za-z0-9/ ]', '', 'g')), '/', '') AS f FROM a),
 g AS (SELECT page_id, f FROM f WHERE f <> 'File:') SELECT page_id, count(*) AS n_files, min(f) AS first_file FROM g GROUP BY page_id"""

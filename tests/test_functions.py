@@ -90,13 +90,38 @@ def test_wikitext(spark):
     assert tuple(found[0]) == ([f"{base}File_a_b.pdf", f"{base}d"], ["Категорія:k"], ["/1/", "z"], ["https://x.org/a", "https://y.org/c,"])
     assert tuple(found[1]) == ([], [], [], [])
     files = "[[File:a.jpg|thumb]] {{t|x=[[file:b.png]]|y=File:c d.pdf}} {{u|https://x.org/wiki/File:e_f.pdf}} File:outside {{File:c d.pdf}}"
-    assert sorted(values(spark, links.file_links(X()), files)[0]) == ["File:a.jpg", "File:c d.pdf", "File:e f.pdf", "file:b.png"]
+    assert sorted(values(spark, links.file_links(X()), files)[0]) == ["File:a.jpg", "File:c d.pdf", "File:e f.pdf", "File:e_f.pdf", "file:b.png"]
     url = links.document_url(links.link_classes(X()), links.link_classes(F.lit("[[c:n]]")), F.lit("A"), "https://x.org")
     assert values(spark, url, "[[/1/]] [[b]]", "none") == ["https://x.org/wiki/A/1", base + "n"]
     sub = links.subarchive(X(), F.when(X() == "A/red", "redlink").otherwise("/x"), "A")
     assert values(spark, sub, "A/x", "A/x/y", "A/red", "A/видання", "B/x", "A") == ["x", None, None, None, None, None]
 
 
+def test_nested_wikitext(spark):
+    targets = lambda c: F.transform(links.wikilinks(c), lambda x: x["target"])
+    cases = {
+        "[[File:p.jpg|thumb|see [[y]]]] <!-- [[hidden]] --> <nowiki>[[raw]]</nowiki>": ["File:p.jpg", "y"],
+        "[[a [[b]] c]] ]] {{ [[u|v|w]] | [[": ["b", "u"],
+        "{{t|[[x]]|n={{u|[[y|{{v}}]]}}}} [[z}}]]": ["x", "y", "z}}"],
+        "[[a\nb]] [[c]": [],
+        "": [],
+        None: None,
+    }
+    assert values(spark, targets(X()), *cases) == list(cases.values())
+    files = {
+        "{{a|{{b}}|File:x.jpg}}": ["File:x.jpg"],
+        "{{box|f=File:[[q]].jpg}}": ["File:[[q]].jpg"],
+        "{{a|{{b|File:in.jpg}}|c=[[File:d.png|x]]}}": ["File:d.png", "File:in.jpg"],
+        "File:outside [[file:l.pdf]] {{File:name.jpg}}": ["file:l.pdf"],
+        None: None,
+    }
+    assert values(spark, links.file_links(X()), *files) == list(files.values())
+    found = values(spark, links.link_classes(X()), "[[Category:x]] [[Категорія:y]] [[c:z]]")[0]
+    assert (found["internal_links"], found["category_links"]) == (["Category:x"], ["Категорія:y"])
+    text = "[[File:a|b [[c]]]] {{t|x=[[d]]}} " * 200
+    assert values(spark, F.size(links.wikilinks(X())), text) == [600]
+
+
 def test_state(spark):
     from palimpsest.operators import state
 
