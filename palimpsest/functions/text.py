@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,3 +145,20 @@ def natural_key(text: Column) -> Column:
 def chunk(position: Column, size: int) -> Column:
     """Number of the batch that a position from 0 falls in."""
     return F.floor(position / size).cast("int")
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its HTML entities, named and numbered, as characters; each is read once, unknown ones stay."""
+    named = F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items()})), "map<string,string>")
+    digits = lambda t: F.regexp_extract(t, "^&#([0-9]+);$", 1)
+    code = lambda t: F.coalesce(digits(t).try_cast("int"), F.conv(F.regexp_extract(t, "^&#[xX]([0-9A-Fa-f]+);$", 1), 16, 10).try_cast("int"))
+
+    def plain(t: Column) -> Column:
+        name = F.regexp_extract(t, "^&([A-Za-z][A-Za-z0-9]*);$", 1)
+        number = code(t)
+        # A code point as UTF-8, by its UTF-32 bytes.
+        shown = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(name != "", F.coalesce(F.try_element_at(named, name), t)).when(number.between(1, 0x10FFFF), shown).otherwise(t)
+
+    parts = F.regexp_extract_all(text, F.lit("(?s)(&[#A-Za-z0-9]+;|[^&]+|&)"), 1)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, plain), "")).otherwise(text)

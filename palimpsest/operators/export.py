@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import link_status
+from ..functions.text import unescaped
+from ..functions.timefmt import display_day
 
-TOKEN = r"\{([a-z_]+)(?:\[([A-Za-z0-9_]+)\])?(?::([a-z_]+))?\}"
+# A token of a template, ``{name[index]:modifier}``.
+TOKEN = r"\{([A-Za-z0-9_.]+)(?:\[([A-Za-z_][A-Za-z0-9_]*|[0-9]+)\])?(?::([A-Za-z_]+))?\}"
 
 
 def tokens(text: Column) -> Column:
@@ -38,79 +41,110 @@ def first_child_row(template: DataFrame) -> DataFrame:
     return template.where(F.arrays_overlap(names, F.array(F.lit("child"), F.lit("empty")))).agg(F.min("row").alias("first"))
 
 
+def prototypes(template: DataFrame) -> DataFrame:
+    """(style, row, col): the cells of a template whose look stands for a style, by their ``{edit:style}`` token."""
+    found = template.select("row", "col", F.explode(tokens(F.col("text"))).alias("t")).where("t.name = 'edit'")
+    return found.groupBy(F.col("t.modifier").alias("style")).agg(F.max(F.struct("row", "col")).alias("at")).select("style", "at.*")
+
+
+def page_fields(text: str, fields: Column) -> Column:
+    """A text whose tokens are what a page's map of fields has under their names, entities decoded; others stay."""
+    parts, at = [], 0
+    for m in re.finditer(TOKEN, text):
+        parts += [F.lit(text[at : m.start()]), F.coalesce(unescaped(F.try_element_at(fields, F.lit(m[1]))), F.lit(m[0]))]
+        at = m.end()
+    return F.concat(*parts, F.lit(text[at:]))
+
+
 def grid(template: DataFrame, children: DataFrame, first: int, pages: DataFrame | None = None, base: str = "") -> DataFrame:
     """(page, row, col, text, link, style): a template for each page, its row ``first`` once for each child.
 
     ``template``: row, col, text, a fixed form of bounded size; ``children``: page, ord, cells (array of structs of text,
-    link and, if told, edit); ``pages``: page, kind, id, parent, fields (a map), for what a token says of the page.
-
-    A ``{child[i]}`` token is the child's cell with its ``edit`` as style; with ``:linked`` it has the cell's first link and
-    ``linked`` or ``unlinked`` as style, with ``:doc_link`` the same of the second cell's link; ``:link_status`` tells of the
-    first link; ``:sheetname`` puts the child's sheet in the token's place; ``{empty}`` is empty; missing cells are empty.
-    Other ``{name}`` tokens are the page's field, or stay. Rows below ``first`` move down by the children. ``__COL__`` in a
-    formula is the column over all children; a formula in the row ``first`` is copied down.
+    link and, if told, edit); ``pages``: page, kind, id, parent, fields (a map by names, dotted ones too), and, if told,
+    header (a map from column labels to positions).
+
+    In the row ``first`` the tokens of a cell are taken one after another. ``{child[i]}``, by position or label, is the
+    child's cell, with its ``edit`` as style; ``:linked`` gives the first cell's link and the style ``linked`` or
+    ``unlinked``, ``:doc_link`` the same of the second cell; ``:link_status`` of the first cell is told instead of a
+    text; ``:sheetname`` puts the child's sheet in the token's place in the form's text; ``{empty}`` is empty. So the last token that gives a
+    text has the cell. Cells that no token of a child is in are there once. Elsewhere, and in the first child's row, other
+    tokens are the page's fields, or stay; ``:linked`` gives the page's ``url``, ``:date`` the cell as a day. ``{edit:x}``
+    cells have their style and stay. Entities are decoded; cells and labels that a child lacks are empty. Rows below move
+    down by as many rows as there are children. ``__COL__`` in a formula is the column over all children; a formula in the
+    row ``first`` is copied down.
     """
     numbered = children.withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("ord")) - 1)
     numbered = numbered.withColumn("n", F.count("*").over(Window.partitionBy("page")).cast("int"))
+    nothing = F.lit(None).cast("string")
+    told = {"kind": nothing, "id": nothing, "parent": nothing, "fields": F.lit(None).cast("map<string,string>"), "header": F.lit(None).cast("map<string,int>")}
     if pages is not None:
         numbered = numbered.join(pages, "page", "left")
-    else:
-        none = F.lit(None).cast("string")
-        numbered = numbered.select("*", none.alias("kind"), none.alias("id"), none.alias("parent"), F.lit(None).cast("map<string,string>").alias("fields"))
+        told = {k: v for k, v in told.items() if k not in pages.columns}
+    numbered = numbered.withColumns(told)
     form = [r.asDict() for r in template.orderBy("row", "col").collect()]
-    nothing = F.lit(None).cast("string")
     empty = lambda c: F.coalesce(c, F.lit(""))
     edits = "edit" in children.schema["cells"].dataType.elementType.fieldNames()
-
-    def filled(text: str) -> Column:
-        """A cell outside the table."""
-        parts, at = [], 0
-        for m in re.finditer(TOKEN, text):
-            parts += [F.lit(text[at : m.start()]), F.coalesce(F.try_element_at("fields", F.lit(m[1])), F.lit(m[0]))]
-            at = m.end()
-        return F.concat(*parts, F.lit(text[at:])) if text[:1] != "=" else F.lit(text)
-
-    def cell(c: dict) -> Column:
-        """Text, link and style of a cell of the row ``first`` for one child."""
-        text, m = c["text"] or "", re.search(TOKEN, c["text"] or "")
+    fields, nth = F.col("fields"), F.col("nth")
+
+    def struct(row: Column, col: int, value: Column, link: Column = nothing, style: Column = nothing) -> Column:
+        return F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), value.alias("text"), link.alias("link"), style.alias("style"))
+
+    def page_cell(row: Column, col: int, text: str) -> Column:
+        """A cell that tells of the page."""
+        found = [m.groups() for m in re.finditer(TOKEN, text)]
+        looks = [modifier for name, _, modifier in found if name == "edit"]
+        if looks:
+            return struct(row, col, F.lit(text), style=F.lit(looks[-1]).cast("string"))
+        if not found and text[:1] == "=":
+            return struct(row, col, fill_formula(F.lit(text), F.lit(_letters(col)), F.lit(first), F.col("n")))
+        modifiers = {modifier for *_, modifier in found}
+        value = page_fields(text, fields)
+        if "date" in modifiers:
+            value = F.coalesce(display_day(value), value)
+        linked = "linked" in modifiers
+        return struct(row, col, value, F.try_element_at(fields, F.lit("url")) if linked else nothing, F.lit("linked") if linked else nothing)
+
+    def child_cell(col: int, text: str) -> Column:
+        """A cell of the row ``first`` for one child; null where there is none."""
+        row, found = F.lit(first) + nth, list(re.finditer(TOKEN, text))
+        if not found and text[:1] == "=":
+            span = fill_formula(F.lit("__COL__"), F.lit(_letters(col)), F.lit(first), F.col("n"))
+            return struct(row, col, F.replace(moved_formula(text, nth), F.lit("__COL__"), span))
+        if not any(m[1] in ("child", "empty") for m in found):
+            return F.when(nth == 0, page_cell(row, col, text))
         url = lambda i: child_url(F.get("cells", F.lit(i))["link"], base)
-        value, link, style = F.lit(text), nothing, nothing
-        if text[:1] == "=":
-            letter = F.lit(_letters(c["col"]))
-            value = F.replace(moved_formula(text, F.col("nth")), F.lit("__COL__"), fill_formula(F.lit("__COL__"), letter, F.lit(first), F.col("n")))
-        elif m and m[1] == "empty":
-            value = F.lit("")
-        elif m and m[1] == "child":
-            at = F.get("cells", F.lit(int(m[2]))) if (m[2] or "").isdigit() else None
-            value = empty(at["text"]) if at is not None else F.lit(text)
-            style = at["edit"] if edits and at is not None else nothing
-            if m[3] in ("linked", "doc_link"):
-                url_of = url(0 if m[3] == "linked" else 1)
-                style = link_status(url_of)
-                link = F.when(style == "linked", url_of)
-            elif m[3] == "link_status":
-                value = link_status(url(0) if at is None else child_url(at["link"], base))
-            elif m[3] == "sheetname":
-                name = sheet_name(F.col("kind"), empty(F.get("cells", F.lit(0))["text"]), F.col("id"), F.col("parent"))
-                value = F.concat(F.lit(text[: m.start()]), name, F.lit(text[m.end() :]))
-        else:
-            value = filled(text)
-        return F.struct(
-            (F.lit(first) + F.col("nth")).cast("int").alias("row"), F.lit(c["col"]).alias("col"), value.alias("text"), link.alias("link"), style.alias("style")
-        )
-
-    def around(c: dict) -> Column:
-        row = F.lit(c["row"]) + F.when(F.lit(c["row"] > first), F.col("n") - 1).otherwise(0)
-        value = fill_formula(filled(c["text"] or ""), F.lit(_letters(c["col"])), F.lit(first), F.col("n"))
-        if not (c["text"] or "").startswith("="):
-            value = filled(c["text"] or "")
-        return F.struct(row.cast("int").alias("row"), F.lit(c["col"]).alias("col"), value.alias("text"), nothing.alias("link"), nothing.alias("style"))
+        value, link, style, form_text = F.when(nth == 0, F.lit(text)), nothing, nothing, F.lit(text)
+        for m in found:
+            name, index, modifier = m.groups()
+            if name == "empty":
+                value = F.lit("")
+            elif name == "child":
+                if index is not None:
+                    place = F.lit(int(index)) if index.isdigit() else F.try_element_at("header", F.lit(index))
+                    at = F.get("cells", place)
+                    value = empty(unescaped(at["text"]))
+                    style = F.coalesce(at["edit"], style) if edits else style
+                if modifier in ("linked", "doc_link"):
+                    target = url(0 if modifier == "linked" else 1)
+                    style = link_status(target)
+                    link = F.when(style == "linked", target)
+                elif modifier == "link_status":
+                    value = link_status(url(0))
+                elif modifier == "sheetname":
+                    child = empty(unescaped(F.get("cells", F.lit(0))["text"]))
+                    value = F.replace(form_text, F.lit(m[0]), sheet_name(F.col("kind"), child, F.col("id"), F.col("parent")))
+            else:
+                sub = F.coalesce(unescaped(F.try_element_at(fields, F.lit(name))), F.lit(m[0]))
+                value = F.when(nth == 0, F.replace(value, F.lit(m[0]), sub)).otherwise(value)
+                form_text = F.replace(form_text, F.lit(m[0]), sub)
+        return struct(row, col, value, link, style)
 
     kind = "array<struct<row:int,col:int,text:string,link:string,style:string>>"
-    body = F.array(*[cell(c) for c in form if c["row"] == first]).cast(kind)
-    frame = F.array(*[around(c) for c in form if c["row"] != first]).cast(kind)
+    body = F.array(*[child_cell(c["col"], c["text"] or "") for c in form if c["row"] == first]).cast(kind)
+    below = lambda r: F.lit(r) + (F.col("n") if r > first else 0)
+    frame = F.array(*[page_cell(below(c["row"]), c["col"], c["text"] or "") for c in form if c["row"] != first]).cast(kind)
     # The first child carries the cells around the table, so a page is dealt out once.
-    both = F.when(F.col("nth") == 0, F.concat(frame, body)).otherwise(body)
+    both = F.filter(F.when(nth == 0, F.concat(frame, body)).otherwise(body), lambda c: c.isNotNull() & c["text"].isNotNull())
     return numbered.select("page", F.explode(both).alias("c")).select("page", "c.*")
 
 

@@ -113,7 +113,7 @@ n AS (SELECT page, count(*) AS n FROM i GROUP BY page)
 SELECT page, CAST(1 AS INTEGER) AS row, CAST(1 AS INTEGER) AS col, '{title}' AS text FROM n UNION ALL SELECT page, 2, 1, 'Part' FROM n UNION ALL SELECT page, 2, 2, 'Status' FROM n
 UNION ALL SELECT page, CAST(3 + nth AS INTEGER), 1, 'part ' || l_partkey FROM i
 UNION ALL SELECT page, CAST(3 + nth AS INTEGER), 2, CASE WHEN l_suppkey % 3 = 0 THEN 'unlinked' ELSE 'linked' END FROM i
-UNION ALL SELECT page, CAST(3 + n AS INTEGER), 1, 'Sum' FROM n UNION ALL SELECT page, CAST(3 + n AS INTEGER), 2, '=SUM(B3:B' || (2 + n) || ')' FROM n"""
+UNION ALL SELECT page, CAST(4 + n AS INTEGER), 1, 'Sum' FROM n UNION ALL SELECT page, CAST(4 + n AS INTEGER), 2, '=SUM(B3:B' || (2 + n) || ')' FROM n"""
 )
 def q_export_grid(spark, sf_dir):
     """An order's sheet: the template's child row once for each line item, the rows below moved down."""
@@ -126,7 +126,7 @@ def q_export_grid(spark, sf_dir):
         F.col("l_orderkey").alias("page"),
         F.struct(*order).alias("ord"),
         F.array(
-            F.struct(name.alias("text"), F.lit(None).cast("string").alias("link")), F.struct(F.lit("").alias("text"), link.alias("link"))
+            F.struct(name.alias("text"), link.alias("link")), F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("link"))
         ).alias("cells"),
     )
     return export.grid(template, children, first).select("page", "row", "col", "text")
@@ -148,7 +148,7 @@ UNION ALL SELECT page, row, 2, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), NUL
 UNION ALL SELECT page, row, 3, 'part ' || l_partkey, 'https://x.org/d' || l_suppkey, 'linked' FROM r
 UNION ALL SELECT page, row, 4, 'see F ' || page || '-part ' || l_partkey, NULL, NULL FROM r
 UNION ALL SELECT page, row, 5, '=B' || row || '*$C$1', NULL, NULL FROM r UNION ALL SELECT page, row, 6, '', NULL, NULL FROM r
-UNION ALL SELECT page, CAST(3 + n AS INTEGER), 2, '=SUM(B3:B' || (2 + n) || ')', NULL, NULL FROM n"""
+UNION ALL SELECT page, CAST(4 + n AS INTEGER), 2, '=SUM(B3:B' || (2 + n) || ')', NULL, NULL FROM n"""
 )
 def q_export_links(spark, sf_dir):
     """An order's sheet with links, styles of changed cells, names of sheets, and formulas that are copied down."""
@@ -172,6 +172,52 @@ def q_export_links(spark, sf_dir):
     return export.grid(template, children, export.first_child_row(template).first()["first"], pages, "https://x.org")
 
 
+FULL = [
+    (1, 1, "{title:linked}"), (1, 2, "{lastmod:date}"), (1, 3, "{parent.id} / {id} {unknown.name}"), (2, 1, "Part & number"),
+    (3, 1, "{child[ID]:linked}"), (3, 2, "{child[0]}{child[QTY]}"), (3, 3, "{title}: {child:sheetname}"), (3, 4, "once {id}"), (3, 5, "{child[NOTE]}{empty}"),
+    (3, 6, "{child[GONE]}"), (3, 7, "=B3*2"), (4, 1, "{edit:changed}"), (5, 1, "{edit:linked}"), (5, 2, "=SUM(__COL__)"), (6, 1, "end of {title}"),
+]
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey AS page, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) - 1 AS nth FROM lineitem),
+n AS (SELECT page, count(*) AS n, o_custkey AS c, strftime(o_orderdate, '%d %b %Y') AS d FROM i JOIN orders ON o_orderkey = page GROUP BY ALL), r AS (SELECT i.*, c, CAST(3 + nth AS INTEGER) AS row FROM i JOIN n USING (page))
+SELECT page, CAST(1 AS INTEGER) AS row, CAST(1 AS INTEGER) AS col, 'A & B <' || page || '>' AS text, 'https://x.org/o' || page AS link, 'linked' AS style FROM n
+UNION ALL SELECT page, 1, 2, d, NULL, NULL FROM n UNION ALL SELECT page, 1, 3, 'c' || c || ' / ' || page || ' {unknown.name}', NULL, NULL FROM n
+UNION ALL SELECT page, 2, 1, 'Part & number', NULL, NULL FROM n
+UNION ALL SELECT page, row, 1, 'part "' || l_partkey || '"', CASE WHEN l_suppkey % 3 <> 0 THEN 'https://x.org/p' || l_partkey END, CASE WHEN l_suppkey % 3 = 0 THEN 'unlinked' ELSE 'linked' END FROM r
+UNION ALL SELECT page, row, 2, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), NULL, CASE WHEN l_suppkey % 2 = 0 THEN 'changed' END FROM r
+UNION ALL SELECT page, row, 3, 'A & B <' || page || '>: Fund part "' || l_partkey || '"', NULL, NULL FROM r
+UNION ALL SELECT page, row, 4, 'once ' || page, NULL, NULL FROM r WHERE nth = 0
+UNION ALL SELECT page, row, 5, '', NULL, NULL FROM r UNION ALL SELECT page, row, 6, '', NULL, NULL FROM r UNION ALL SELECT page, row, 7, '=B' || row || '*2', NULL, NULL FROM r
+UNION ALL SELECT page, CAST(4 + n AS INTEGER), 1, '{edit:changed}', NULL, 'changed' FROM n UNION ALL SELECT page, CAST(5 + n AS INTEGER), 1, '{edit:linked}', NULL, 'linked' FROM n
+UNION ALL SELECT page, CAST(5 + n AS INTEGER), 2, '=SUM(B3:B' || (2 + n) || ')', NULL, NULL FROM n UNION ALL SELECT page, CAST(6 + n AS INTEGER), 1, 'end of A & B <' || page || '>', NULL, NULL FROM n"""
+)
+def q_export_template(spark, sf_dir):
+    """A sheet of each order by a template that uses all there is: labels, several tokens, dotted names, dates, prototypes."""
+    template = spark.createDataFrame(FULL, "row int, col int, text string")
+    order = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+    part = F.col("l_partkey").cast("string")
+    none = F.lit(None).cast("string")
+    red = F.when(F.col("l_suppkey") % 3 == 0, F.lit("&redlink=1")).otherwise("")
+    cells = F.array(
+        F.struct(F.concat(F.lit("part &quot;"), part, F.lit("&#34;")).alias("text"), F.concat(F.lit("/p"), part, red).alias("link"), none.alias("edit")),
+        F.struct(F.col("l_quantity").cast("int").cast("string").alias("text"), none.alias("link"), F.when(F.col("l_suppkey") % 2 == 0, "changed").alias("edit")),
+    )
+    children = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.struct(*order).alias("ord"), cells.alias("cells"))
+    number = F.col("o_orderkey").cast("string")
+    fields = {
+        "title": F.concat(F.lit("A &amp; B &lt;"), number, F.lit("&gt;")), "id": number, "url": F.concat(F.lit("https://x.org/o"), number),
+        "lastmod": standard(F.col("o_orderdate")), "parent.id": F.concat(F.lit("c"), F.col("o_custkey").cast("string")),
+    }
+    pages = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("page"), F.lit("archive").alias("kind"), number.alias("id"), none.alias("parent"),
+        F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]).alias("fields"),
+        F.create_map(F.lit("ID"), F.lit(0), F.lit("QTY"), F.lit(1), F.lit("NOTE"), F.lit(7)).alias("header"),
+    )
+    return export.grid(template, children, export.first_child_row(template).first()["first"], pages, "https://x.org")
+
+
 @query("SELECT l_orderkey, '=SUM(A3:A' || (2 + count(*)) || ')' AS formula FROM lineitem GROUP BY l_orderkey")
 def q_export_formula(spark, sf_dir):
     sizes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))

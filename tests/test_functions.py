@@ -122,6 +122,21 @@ def test_nested_wikitext(spark):
     assert values(spark, F.size(links.wikilinks(X())), text) == [600]
 
 
+def test_entities(spark):
+    import html
+
+    cases = ["a &amp; b", "&amp;lt;", "&lt;&#39;&#x41;&eacute;&gt;", "&nope; & &; &#0; R&D", "&#128512;x", "plain", ""]
+    want = [html.unescape(c) if "&#0;" not in c else c for c in cases]
+    assert values(spark, text.unescaped(X()), *cases, None) == [*want, None]
+
+
+def test_prototypes(spark):
+    from palimpsest.operators import export
+
+    form = spark.createDataFrame([(1, 1, "{edit:added}"), (2, 3, "x {edit:changed} {title}"), (3, 1, "{child[0]}")], "row int, col int, text string")
+    assert sorted(map(tuple, export.prototypes(form).collect())) == [("added", 1, 1), ("changed", 2, 3)]
+
+
 def test_state(spark):
     from palimpsest.operators import state
 
