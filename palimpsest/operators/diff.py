@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.brackets import once
 from ..functions.links import is_linked
-from ..functions.text import equal_text
-
-
-def last_rows(cells: DataFrame) -> DataFrame:
-    """Of rows that share a key on a page only the last: cells (page, row_key, row, col, ...)."""
-    last = F.max("row").over(Window.partitionBy("page", "row_key"))
-    return cells.withColumn("last", last).where("row = last").drop("last")
+from ..functions.text import equal_text, get_text
 
 
 def link_edit(now: Column, then: Column) -> Column:
@@ -20,21 +15,73 @@ def link_edit(now: Column, then: Column) -> Column:
     return F.when(is_linked(now) & is_linked(then) & (now != then), "changed").when(is_linked(now) & ~is_linked(then), "added")
 
 
+def older_rows(then: DataFrame) -> DataFrame:
+    """(page, row_key, cells): the cells of the last row of each key of a page. One exchange by page and key serves both
+    steps and the join that follows; a row's cells are gathered, a key's rows aren't."""
+    cells = F.collect_list(F.struct("col", "text", "link")).alias("cells")
+    rows = then.repartition("page", "row_key").groupBy("page", "row_key", "row").agg(cells)
+    return rows.groupBy("page", "row_key").agg(F.max_by("cells", "row").alias("cells"))
+
+
 def diff_cells(now: DataFrame, then: DataFrame) -> DataFrame:
     """``now``'s cells with ``edit`` (added, changed or null) and ``link_edit``.
 
     Cells are (page, row_key, row, col, text, link), ``text`` a text item. Rows match by page and key, the last of the
-    older version's rows of one key; cells by column. A row without a match is all added and has no link edits; a cell
-    without a partner in a matched row has none.
+    older version's rows of one key; cells by column, the first of a column. A row without a match is all added and has no
+    link edits; a cell without a partner in a matched row has none. Null keys match nothing.
+    """
+    joined = now.join(older_rows(then), ["page", "row_key"], "left")
+    other = F.get(F.filter("cells", lambda c: c["col"] == F.col("col")), 0)
+    edits = joined.withColumn("__other", other)
+    there = F.col("__other").isNotNull()
+    edit = F.when(F.col("cells").isNull(), "added").when(there & ~equal_text(F.col("text"), F.col("__other.text")), "changed")
+    links = F.when(there, link_edit(F.col("link"), F.col("__other.link")))
+    return edits.withColumns({"edit": edit, "link_edit": links}).drop("cells", "__other")
+
+
+def compare_pages(now: DataFrame, then: DataFrame) -> DataFrame:
+    """``now``'s pages with what has changed since ``then``, each page one nested row.
+
+    Pages are (page, lastmod, title, description, children): two text items, and an array of rows, each an array of cells
+    of a text item and a link. The result has ``refmod``, the older version's lastmod; title and description with
+    ``edit``; and the children's cells with ``edit`` and ``link_edit``. Rows match by the text of their first cells, of
+    older ones with the same text the last; cells by place, as far as both rows have them. A page without an older version
+    has null for all of these. Pages must be distinct; one join.
     """
-    old = last_rows(then).select("page", "row_key", "col", F.col("text").alias("t2"), F.col("link").alias("l2"), F.lit(True).alias("cell"))
-    rows = then.select("page", "row_key").distinct().withColumn("matched", F.lit(True))
-    joined = now.join(rows, ["page", "row_key"], "left").join(old, ["page", "row_key", "col"], "left")
-    edit = F.when(F.col("matched").isNull(), "added").when(
-        F.col("cell").isNotNull() & ~equal_text(F.col("text"), F.col("t2")), "changed"
-    )
-    links = F.when(F.col("cell").isNotNull(), link_edit(F.col("link"), F.col("l2")))
-    return joined.withColumn("edit", edit).withColumn("link_edit", links).drop("t2", "l2", "cell", "matched")
+    # A null text is a key like any other.
+    key = lambda row: F.coalesce(F.concat(F.lit("="), get_text(F.get(row, 0)["text"])), F.lit(""))
+    old = then.select("page", F.struct("lastmod", "title", "description", "children").alias("__old"))
+
+    def compared(children: Column, old: Column) -> Column:
+        """``old``: the older rows and, backwards, their keys."""
+
+        def row(child: Column) -> Column:
+            at = F.coalesce(F.array_position(old["keys"], key(child)), F.lit(0))
+            partner = F.when(at > 0, F.get(old["rows"], (F.size(old["rows"]) - at).cast("int")))
+            return once(partner, lambda other: F.transform(child, lambda cell, i: edited(cell, F.get(other, i), other.isNull())))
+
+        return F.transform(children, row)
+
+    def edited(cell: Column, other: Column, alone: Column) -> Column:
+        edit = F.when(alone, "added").when(other.isNotNull() & ~equal_text(cell["text"], other["text"]), "changed")
+        links = F.when(other.isNotNull(), link_edit(cell["link"], other["link"]))
+        return cell.withField("edit", edit).withField("link_edit", links)
+
+    def marked(item: Column, other: Column) -> Column:
+        return item.withField("edit", F.when(F.col("__old").isNotNull() & ~equal_text(item, other), "changed"))
+
+    keys = F.reverse(F.transform("__old.children", key))
+    older = F.struct(F.col("__old.children").alias("rows"), keys.alias("keys"))
+    nothing = lambda: F.transform("children", lambda c: F.transform(c, lambda x: x.withField("edit", F.lit(None).cast("string")).withField("link_edit", F.lit(None).cast("string"))))
+    joined = now.join(old, "page", "left")
+    return joined.withColumns(
+        {
+            "refmod": F.col("__old.lastmod"),
+            "title": marked(F.col("title"), F.col("__old.title")),
+            "description": marked(F.col("description"), F.col("__old.description")),
+            "children": F.when(F.col("__old").isNull(), nothing()).otherwise(once(older, lambda o: compared(F.col("children"), o))),
+        }
+    ).drop("__old")
 
 
 def edited_rows(diffed: DataFrame) -> DataFrame:

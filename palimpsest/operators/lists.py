@@ -59,3 +59,31 @@ def rekey(entries: DataFrame, names: DataFrame) -> DataFrame:
 def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` less one occurrence for each row of ``b``."""
     return a.exceptAll(b)
+
+
+def item_json(item: Column) -> Column:
+    """A text item, with ``edit`` if it has been compared, as a struct that JSON shows without what isn't set."""
+    shown = [F.when(item["en_set"], item["en"]).alias("en"), item["uk"].alias("uk")]
+    return F.struct(*shown)
+
+
+def page_document(page: DataFrame) -> DataFrame:
+    """(page, json): pages as a service answers with them, under the documented keys and no others.
+
+    ``page``: page, archive, subarchive, name, kind, lastmod, link, doc_link, title, description, header (an array of text
+    items), children, history (any array). The address is read from the name's parts; ``needs_translation`` is whether any
+    text item has no translation. Nulls are left out.
+    """
+    part = lambda i: F.get(F.split("name", "/"), i)
+    child = lambda c: F.transform(c, lambda x: F.struct(*([x["edit"].alias("edit")] if compared else []), x["link"].alias("link"), item_json(x["text"]).alias("text")))
+    compared = "edit" in page.schema["children"].dataType.elementType.elementType.fieldNames()
+    untold = lambda x: ~x["en_set"]
+    needs = (
+        untold(F.col("title")) | untold(F.col("description")) | F.exists("header", untold) | F.exists("children", lambda c: F.exists(c, lambda x: untold(x["text"])))
+    )
+    shown = F.struct(
+        "archive", part(3).alias("case"), F.transform("children", child).alias("children"), item_json(F.col("description")).alias("description"), "doc_link", part(1).alias("fond"),
+        F.transform("header", item_json).alias("header"), "history", "kind", "lastmod", "link", "name", needs.alias("needs_translation"), part(2).alias("opus"), "subarchive",
+        item_json(F.col("title")).alias("title"),
+    )
+    return page.select("page", F.to_json(shown).alias("json"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
+from ..session import written
 
 
 def with_ancestors(rows: DataFrame, parts: list[str]) -> DataFrame:
@@ -65,3 +66,31 @@ def lookup(asks: DataFrame, cells: DataFrame, pages: DataFrame) -> DataFrame:
     deep = asks.join(below, "page").where(hit).select("page", "entry", F.lit(2).alias("tier"), F.col("link").alias("found"))
     best = F.min(F.struct("tier", "found")).alias("r")
     return own.unionByName(shadow).unionByName(deep).groupBy("page", "entry").agg(best).select("page", "entry", "r.tier", "r.found")
+
+
+def deep_lookup(asks: DataFrame, cells: DataFrame) -> DataFrame:
+    """(page, entry, place, found): the first row in depth-first order, below a page, that has an entry as its key.
+
+    ``asks``: page, entry; ``cells``: page, ord (long), row_key, link, the page a row leads to. ``place`` are the ``ord`` of
+    the rows that lead to the hit; of rows with equal ``ord`` the smaller link comes first. One round for each level: what
+    comes after an ask's best hit so far is given up, and so is a page that an earlier place has led to, which ends
+    circles. Asks without a hit and nulls give no row. Rounds are written; a round holds the open places of all asks.
+    """
+    rows = cells.select(F.col("page").alias("at"), F.struct("ord", "link").alias("step"), "row_key", "link")
+    open_ = asks.where("page is not null and entry is not null").distinct().select("page", "entry", F.col("page").alias("at"), F.array().cast(rows.select(F.array("step")).schema[0].dataType).alias("path"))
+    seen, best = open_, None
+    while True:
+        below = open_.join(rows, "at").select("page", "entry", "link", "row_key", F.array_append("path", F.col("step")).alias("path"))
+        below = written(below, "below")
+        hits = below.where("row_key = entry").select("page", "entry", "path", "link")
+        best = hits if best is None else best.unionByName(hits)
+        best = written(best.groupBy("page", "entry").agg(F.min(F.struct("path", "link")).alias("b")).select("page", "entry", "b.*"), "hits")
+        first = best.select("page", "entry", F.col("path").alias("limit"))
+        step = below.where("link is not null").groupBy("page", "entry", F.col("link").alias("at")).agg(F.min("path").alias("path"))
+        step = step.join(first, ["page", "entry"], "left").where("limit is null or path < limit").drop("limit")
+        known = seen.select("page", "entry", "at", F.col("path").alias("known"))
+        open_ = written(step.join(known, ["page", "entry", "at"], "left").where("known is null or path < known").drop("known"), "open")
+        if open_.isEmpty():
+            return best.select("page", "entry", F.transform("path", lambda s: s["ord"]).alias("place"), F.col("link").alias("found"))
+        seen = seen.unionByName(open_).groupBy("page", "entry", "at").agg(F.min("path").alias("path"))
+        seen = written(seen, "seen")

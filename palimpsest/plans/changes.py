@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_item
 from ..functions.timefmt import standard
-from ..operators import diff, export, watch
+from ..operators import diff, export, lists, watch
 from .hierarchy import HIERARCHY, hierarchy
 from .registry import query, table
 
@@ -61,6 +61,54 @@ def q_diff_cells(spark, sf_dir):
     return diff.diff_cells(*snapshots(spark, sf_dir)).select("page", "row_key", "row", "col", "edit", "link_edit")
 
 
+def nested_pages(cells, title, then):
+    """Pages of cells as nested rows: the key first, then the cells in order."""
+    key = F.struct(text_item(F.col("row_key").cast("string")).alias("text"), F.lit(None).cast("string").alias("link"))
+    rows = cells.groupBy("page", "row_key", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text", "link"))).alias("c"))
+    inner = F.transform("c", lambda c: F.struct(c["text"].alias("text"), c["link"].alias("link")))
+    rows = rows.select("page", "row", F.concat(F.array(key), inner).alias("cells"))
+    pages = rows.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("children"))
+    about = text_item(F.concat(F.lit("order "), F.when(F.col("page") % 5 == 0, title).otherwise("x")))
+    return pages.select("page", F.lit(then).alias("lastmod"), about.alias("title"), text_item(F.lit("d")).alias("description"), "children")
+
+
+@query(
+    f"""WITH {ROWS} SELECT n.page, n.row_key, CAST(n.row AS INTEGER) AS row, CAST(n.col AS INTEGER) AS col, d.edit, d.link_edit,
+ CASE WHEN p.page IS NOT NULL AND n.page % 5 = 0 THEN 'changed' END AS title_edit, CASE WHEN p.page IS NOT NULL THEN '2023' END AS refmod
+FROM n JOIN (SELECT page, row_key, row, col, CASE WHEN page IN (SELECT page FROM t) THEN edit END AS edit, CASE WHEN page IN (SELECT page FROM t) THEN link_edit END AS link_edit FROM d) d USING (page, row_key, row, col) LEFT JOIN (SELECT DISTINCT page FROM t) p ON p.page = n.page"""
+)
+def q_page_compare(spark, sf_dir):
+    """The comparison of whole pages as nested rows, told cell by cell: the same edits as q_diff_cells has."""
+    now, then = snapshots(spark, sf_dir)
+    found = diff.compare_pages(nested_pages(now, F.lit("new"), "2024"), nested_pages(then, F.lit("old"), "2023"))
+    rows = found.select("page", F.col("title.edit").alias("title_edit"), "refmod", F.posexplode("children").alias("at", "cells"))
+    cells = rows.select("*", F.posexplode("cells").alias("col", "cell")).where("col > 0")
+    key = F.get("cells", 0)["text"]["uk"].cast("long")
+    return cells.select("page", key.alias("row_key"), (F.col("at") + 1).alias("row"), "col", "cell.edit", "cell.link_edit", "title_edit", "refmod")
+
+
+@query(
+    f"""WITH {ROWS}, c AS (SELECT page, count(DISTINCT row) AS n FROM n GROUP BY page)
+SELECT c.page, 'archive,case,children,description,fond,header,history,kind,lastmod,name,needs_translation,opus,subarchive,title' AS keys, c.n AS children, 'A' || c.page AS fond, n.text AS first, 'false' AS needs
+FROM c JOIN n ON n.page = c.page AND n.row = 1 AND n.col = 1"""
+)
+def q_page_document(spark, sf_dir):
+    """Pages as documents under the keys that a service answers with."""
+    now, _ = snapshots(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    pages = nested_pages(now, F.lit("new"), "2024").withColumns(
+        {
+            "archive": F.lit("A"), "subarchive": F.lit("D"), "name": F.concat(F.lit("A/A"), F.col("page").cast("string"), F.lit("/o/c")), "kind": F.lit("case"), "link": none, "doc_link": none,
+            "header": F.array(text_item(F.lit("No")), text_item(F.lit("What"))), "history": F.array(F.struct(F.lit("2024").alias("modified"))),
+        }
+    )
+    json = F.col("json")
+    return lists.page_document(pages).select(
+        "page", F.array_join(F.json_object_keys(json), ",").alias("keys"), F.json_array_length(F.get_json_object(json, "$.children")).cast("long").alias("children"),
+        F.get_json_object(json, "$.fond").alias("fond"), F.get_json_object(json, "$.children[0][1].text.uk").alias("first"), F.get_json_object(json, "$.needs_translation").alias("needs"),
+    )
+
+
 @query(f"WITH {ROWS} SELECT DISTINCT page, row_key, CAST(row AS INTEGER) AS row FROM d WHERE edit IS NOT NULL OR link_edit IS NOT NULL")
 def q_diff_rows_only(spark, sf_dir):
     return diff.edited_rows(diff.diff_cells(*snapshots(spark, sf_dir)))

@@ -254,3 +254,36 @@ def q_needs_resolve(spark, sf_dir):
     pages = h.select(F.array("archive", "fond").alias("path")).distinct()
     pending = h.where(since(F.col("ts"), "2001,07,20")).select(F.array("archive", "fond", "opus", "case").alias("path"))
     return watch.needs_resolve(pages, pending).select(F.array_join("path", "/").alias("path"))
+
+
+FOREST = """c AS (SELECT 'world' AS page, CAST(r_regionkey AS BIGINT) AS ord, r_name AS row_key, 'r' || r_regionkey AS link FROM region
+ UNION ALL SELECT 'r' || n_regionkey, n_nationkey, n_name, 'n' || n_nationkey FROM nation
+ UNION ALL SELECT 'n' || c_nationkey, c_custkey, 'C' || c_custkey % 50, 'c' || c_custkey FROM customer
+ UNION ALL SELECT 'c' || o_custkey, o_orderkey, 'O' || o_orderkey % 97, CASE WHEN o_orderkey % 10 = 0 THEN 'c' || o_custkey ELSE 'o' || o_orderkey END FROM orders)"""
+
+
+@query(
+    f"""WITH RECURSIVE {FOREST}, a AS (SELECT 'r' || r_regionkey AS page, e.entry FROM region, (SELECT 'O' || x AS entry FROM unnest(range(0, 97, 8)) t(x) UNION ALL SELECT 'C' || x FROM unnest([3, 49, 77]) t(x)) e UNION ALL SELECT 'world', 'C7'),
+w AS (SELECT a.page, a.entry, c.link, c.row_key, [c.ord] AS place, [a.page] AS seen FROM a JOIN c ON c.page = a.page
+ UNION ALL SELECT w.page, w.entry, c.link, c.row_key, list_append(w.place, c.ord), list_append(w.seen, w.link) FROM w JOIN c ON c.page = w.link WHERE NOT list_contains(w.seen, w.link))
+SELECT page, entry, array_to_string(min(place), '.') AS place, arg_min(link, place) AS found FROM w WHERE row_key = entry GROUP BY page, entry"""
+)
+def q_deep_lookup(spark, sf_dir):
+    """Entries below regions, found depth-first in a tree of four levels some of whose leaves lead back to their page."""
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    region, nation, customer, orders = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+
+    def level(rows, page, number, key, link):
+        return rows.select(page.alias("page"), F.col(number).cast("long").alias("ord"), key.alias("row_key"), link.alias("link"))
+
+    back = F.when(F.col("o_orderkey") % 10 == 0, text("c", "o_custkey")).otherwise(text("o", "o_orderkey"))
+    cells = (
+        level(region, F.lit("world"), "r_regionkey", F.col("r_name"), text("r", "r_regionkey"))
+        .unionByName(level(nation, text("r", "n_regionkey"), "n_nationkey", F.col("n_name"), text("n", "n_nationkey")))
+        .unionByName(level(customer, text("n", "c_nationkey"), "c_custkey", F.concat(F.lit("C"), (F.col("c_custkey") % 50).cast("string")), text("c", "c_custkey")))
+        .unionByName(level(orders, text("c", "o_custkey"), "o_orderkey", F.concat(F.lit("O"), (F.col("o_orderkey") % 97).cast("string")), back))
+    )
+    entries = [f"O{x}" for x in range(0, 97, 8)] + ["C3", "C49", "C77"]
+    asks = region.select(text("r", "r_regionkey").alias("page"), F.explode(F.array(*map(F.lit, entries))).alias("entry"))
+    asks = asks.unionByName(spark.createDataFrame([("world", "C7")], "page string, entry string"))
+    return tree.deep_lookup(asks, cells).select("page", "entry", F.array_join(F.transform("place", lambda o: o.cast("string")), ".").alias("place"), "found")
