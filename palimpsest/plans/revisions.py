@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.timefmt import standard
 from ..operators import history
+from ..session import scratch_folder
+from ..sources.store import VersionStore
 from .registry import query, table
 
 REVISIONS = "r AS (SELECT user_id AS page, event_id AS revid, ts FROM events)"
@@ -148,3 +150,28 @@ def q_date_parse_text(spark, sf_dir):
     )
     message = F.when(F.col("event_id") % 5 == 0, "no date here").otherwise(message)
     return table(spark, sf_dir, "events").select("event_id", last_modified(message).alias("modified"))
+
+
+@query(
+    """WITH v AS (SELECT 'n' || c_nationkey AS archive, 'c' || c_custkey AS page, strftime(o_orderdate, '%Y,%m,%d') AS modified, min(o_orderkey) AS k, c_custkey FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+l AS (SELECT * FROM v WHERE c_custkey % 4 <> 0 OR modified >= '1996')
+SELECT archive, page, modified, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 3 <> 0 THEN 'again ' ELSE 'first ' END || k AS payload FROM
+(SELECT * FROM l WHERE c_custkey % 4 <> 0 OR c_custkey % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY archive, page ORDER BY modified DESC) = 1"""
+)
+def q_version_store(spark, sf_dir):
+    """The newest versions in a store: saved, saved again (which changes nothing), deleted in part, and part of that saved
+    anew."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    named = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    versions = named.groupBy(
+        text("n", "c_nationkey").alias("archive"), text("c", "c_custkey").alias("page"), F.date_format("o_orderdate", "yyyy,MM,dd").alias("modified"), "c_custkey"
+    ).agg(F.min("o_orderkey").cast("string").alias("k"))
+    store = VersionStore(spark, f"{scratch_folder(spark)}/store")
+    said = lambda word: F.concat(F.lit(word), "k").alias("payload")
+    store.save(versions.select("archive", "page", "modified", said("first ")))
+    store.save(versions.where("c_custkey % 5 = 0").select("archive", "page", "modified", said("second ")))
+    gone = versions.where("c_custkey % 4 = 0")
+    store.remove_all(gone.select("archive", "page").distinct())
+    store.save(gone.where("c_custkey % 3 <> 0 AND modified >= '1996'").select("archive", "page", "modified", said("again ")))
+    return store.newest()

@@ -126,6 +126,38 @@ def test_breaker():
     assert "ID, DESCRIPTION, DATE, OTHER" in enrich.prompt(["a"], [["1"]] * 5)
 
 
+def test_store_of_two_writers(spark, tmp_path):
+    path = f"file:{tmp_path}/store"
+    rows = lambda *x: spark.createDataFrame(list(x), VersionStore.SCHEMA)
+    a, b = VersionStore(spark, path), VersionStore(spark, path)
+    assert a.all().count() == 0 and a.load("A", "p").count() == 0
+    a.save(rows(("A", "p", "1", "a1"), ("B/x", "q", "1", "q1")))
+    # Both take the same number for their entries; neither loses rows.
+    publish = VersionStore._publish
+    waiting = []
+    b._publish = lambda entry: waiting.append(entry)
+    b.save(rows(("A", "p", "2", "b2")))
+    # What is written but not published is not there yet: a reader, and a writer that dies, leave the old version.
+    assert {r.payload for r in a.all().collect()} == {"a1", "q1"}
+    a.save(rows(("A", "p", "1", "late"), ("A", "r", "1", "r1")))
+    publish(b, waiting[0])
+    del b._publish
+    assert {r.payload for r in a.all().collect()} == {"a1", "q1", "b2", "r1"}
+    files = sorted(str(f) for f in tmp_path.rglob("rows/**/*.parquet"))
+    a.remove("A", "p")
+    b.remove("none", "none")
+    assert sorted(str(f) for f in tmp_path.rglob("rows/**/*.parquet")) == files
+    assert {r.payload for r in b.all().collect()} == {"q1", "r1"} and b.load("A", "p").count() == 0
+    b.save(rows(("A", "p", "1", "again")))
+    assert a.load("A", "p").first().payload == "again" and a.load("B/x", "q", "1").first().payload == "q1"
+    assert {(r.page, r.modified) for r in a.newest().collect()} == {("p", "1"), ("q", "1"), ("r", "1")}
+    import pytest
+
+    with pytest.raises(ValueError):
+        a.save(rows(("A", "p", "9", "x")).withColumn("refmod", F.lit("2023")))
+    assert a.load("A", "p", "9").count() == 0
+
+
 def test_workbook():
     data = export.write_workbook({"one & two": [(1, 1, "a<b"), (2, 28, "=SUM(A1:A2)")], "empty": []})
     file = zipfile.ZipFile(io.BytesIO(data))
