@@ -52,7 +52,7 @@ class Library:
         from .functions.links import address_key
         from .functions.timefmt import standard
 
-        newest = self.versions.groupBy(*ADDRESS).agg(F.max("ts").alias("ts"))
+        newest = watch.summary(self.versions, last_checked, list(ADDRESS))
         updates = newest.select(address_key(*[F.col(p) for p in ADDRESS]).alias("address"), standard(F.col("ts")).alias("modified"))
         return watch.unresolved(updates, self.items, last_checked, cutoff)
 

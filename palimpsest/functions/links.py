@@ -75,11 +75,12 @@ def content_url(titles: Column, site: str) -> Column:
     return F.concat(F.lit(query), F.array_join(F.transform(titles, lambda t: percent_encode(t)), "|"))
 
 
-def subarchive(anchor_title: Column, href: Column, archive: str) -> Column:
-    """Name of the sub-archive that an anchor of an archive's page leads to: titles of two parts that begin with the
+def subarchive(anchor_title: Column, href: Column, archive: Column | str) -> Column:
+    """Name of the sub-archive that an anchor of an archive's page leads to (the archive by name or as a column): titles of two parts that begin with the
     archive, in either spelling of its spaces, but for publications and pages yet to be written; null for others."""
     parts = F.split(anchor_title, "/")
-    own = F.startswith(anchor_title, F.lit(archive)) | F.startswith(F.replace(anchor_title, F.lit(" "), F.lit("_")), F.lit(archive))
+    archive = F.lit(archive) if isinstance(archive, str) else archive
+    own = F.startswith(anchor_title, archive) | F.startswith(F.replace(anchor_title, F.lit(" "), F.lit("_")), archive)
     listed = own & ~F.contains(href, F.lit("redlink")) & (F.size(parts) == 2) & (F.get(parts, 1) != "видання")
     return F.when(listed, F.get(parts, 1))
 

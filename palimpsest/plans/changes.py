@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_item
-from ..functions.timefmt import standard
+from ..functions.timefmt import since, standard
 from ..operators import diff, export, lists, watch
 from .hierarchy import HIERARCHY, hierarchy
 from .registry import query, table
@@ -154,9 +154,12 @@ x AS (SELECT address, modified, k FROM (SELECT archive || ',' || subarchive || '
 s AS (SELECT address, modified, k % 3 AS kind FROM x)"""
 
 
-def updates(spark, sf_dir):
-    """(address, modified, k): the newest change of each customer and archive."""
+def updates(spark, sf_dir, cutoff=None):
+    """(address, modified, k): the newest change of each customer and archive, with a cut-off of those changed since then;
+    it bounds timestamps, so it reaches the scan."""
     h = hierarchy(spark, sf_dir)
+    if cutoff:
+        h = h.where(since(F.col("ts"), cutoff))
     none = F.lit("")
     from ..functions.links import address_key
 
@@ -180,7 +183,7 @@ def state(spark, sf_dir):
 FROM s WHERE modified >= '{LAST}' AND (kind = 2 OR (kind = 1 AND modified > '1995,06,01,00:00'))"""
 )
 def q_watch_unresolved(spark, sf_dir):
-    return watch.unresolved(updates(spark, sf_dir).select("address", "modified"), state(spark, sf_dir), LAST, CUT)
+    return watch.unresolved(updates(spark, sf_dir, LAST).select("address", "modified"), state(spark, sf_dir), LAST, CUT)
 
 
 def items(spark, sf_dir):

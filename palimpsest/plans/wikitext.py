@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import links
+from ..operators import answers
 from ..sources.pages import wikitext_pages
 from .linked import ANCHORS, anchors
 from .registry import query, table
@@ -144,10 +145,7 @@ def q_subarchive_sniff(spark, sf_dir):
     href = F.concat(F.lit("/wiki/"), title, F.when(k == 3, F.lit("&redlink=1")).otherwise(""))
     found = nations.select(F.col("r_name").alias("archive"), title.alias("title"), href.alias("href"))
     found = found.unionByName(regions.select(F.col("r_name").alias("archive"), F.concat("r_name", F.lit("/видання")).alias("title"), F.lit("/wiki/v").alias("href")))
-    sniffed = None
-    for (name,) in regions.select("r_name").orderBy("r_name").collect():  # the list of archives, a fixed one
-        own = found.where(F.col("archive") == name).withColumn("subarchive", links.subarchive(F.col("title"), F.col("href"), name))
-        sniffed = own if sniffed is None else sniffed.unionByName(own)
+    sniffed = found.withColumn("subarchive", links.subarchive(F.col("title"), F.col("href"), F.col("archive")))
     return sniffed.where("subarchive IS NOT NULL").groupBy("archive", "subarchive").agg(F.max("href").alias("link"))
 
 
@@ -166,3 +164,66 @@ def q_api_urls(spark, sf_dir):
         links.revision_url(title, F.col("page_id"), SITE).alias("revision"),
         links.content_url(F.array(title, F.lit("a:b")), SITE).alias("content"),
     )
+
+
+def told_pages(spark, sf_dir):
+    """(page_id, asked, title, key, page): pages as a service tells of them. Every third is asked for by a name that is
+    written otherwise, every fifth by one that leads elsewhere, and some are missing or no titles at all."""
+    n = F.col("page_id")
+    title = F.concat(F.lit("Архів:P/"), n.cast("string"))
+    text = F.concat(F.lit("{{t|f=File:"), n.cast("string"), F.lit(" a.pdf}} [[File:b.png]] [[x]]"))
+    revision = F.struct(n.alias("revid"), F.lit("2024-03-01T10:15:30Z").alias("timestamp"), F.struct(F.struct(text.alias("*")).alias("main")).alias("slots"))
+    page = F.struct(
+        title.alias("title"), F.when(n % 7 == 0, "").alias("missing"), F.when(n % 11 == 0, "").alias("invalid"),
+        F.when((n % 7 != 0) & (n % 11 != 0), F.array(revision)).alias("revisions"),
+    )
+    asked = F.when(n % 3 == 0, F.concat(F.lit("архів:p/"), n.cast("string"))).when(n % 5 == 0, F.concat(F.lit("Old/"), n.cast("string"))).otherwise(title)
+    key = F.when(n % 7 == 0, -n).otherwise(n).cast("string")
+    return table(spark, sf_dir, "pages").select("page_id", asked.alias("asked"), title.alias("title"), key.alias("key"), page.alias("page"))
+
+
+def told_answers(spark, sf_dir):
+    """(titles, body): an answer for every twenty pages."""
+    told = told_pages(spark, sf_dir)
+    n = F.col("page_id")
+    middle = F.concat(F.lit("Middle/"), n.cast("string"))
+    other = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
+    grouped = told.groupBy(F.floor(n / 20).alias("batch")).agg(
+        F.collect_list("asked").alias("titles"),
+        F.array_compact(F.collect_list(F.when(n % 3 == 0, other(F.col("asked"), F.col("title"))))).alias("normalized"),
+        F.flatten(F.collect_list(F.when((n % 3 != 0) & (n % 5 == 0), F.array(other(middle, F.col("title")), other(F.col("asked"), middle))))).alias("redirects"),
+        F.map_from_entries(F.collect_list(F.struct("key", "page"))).alias("pages"),
+    )
+    return grouped.select("titles", F.to_json(F.struct(F.struct("normalized", "redirects", "pages").alias("query"))).alias("body"))
+
+
+ASKED = """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'архів:p/' || page_id WHEN page_id % 5 = 0 THEN 'Old/' || page_id ELSE 'Архів:P/' || page_id END AS title, page_id % 7 <> 0 AND page_id % 11 <> 0 AS fine FROM pages"""
+
+
+@query(f'SELECT title, fine AS "exists" FROM ({ASKED})')
+def q_answers_existence(spark, sf_dir):
+    """Which of the titles that were asked for have a page, by whatever name it is now."""
+    return answers.existence(told_answers(spark, sf_dir))
+
+
+@query(f"""SELECT 'P/' || page_id AS title, CASE WHEN fine THEN '/wiki/File:b.png /wiki/File:' || page_id || '_a.pdf' ELSE '' END AS links FROM ({ASKED})""")
+def q_answers_documents(spark, sf_dir):
+    """Addresses of the files that pages' texts name."""
+    return answers.documents(told_answers(spark, sf_dir)).select("title", F.array_join("links", " ").alias("links"))
+
+
+@query(f"""SELECT 'Архів:P/' || page_id AS title, page_id AS revid, '2024,03,01,10:15' AS modified FROM ({ASKED}) WHERE fine""")
+def q_answers_histories(spark, sf_dir):
+    return answers.histories(told_answers(spark, sf_dir))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 4 < 3 THEN 'P/' || page_id END AS title, CASE WHEN page_id % 4 < 3 THEN page_id END AS revid, CASE WHEN page_id % 4 < 3 THEN url END AS wikitext,
+CASE page_id % 8 WHEN 3 THEN 'no such page' WHEN 7 THEN 'no answer' END AS error FROM pages"""
+)
+def q_answers_contents(spark, sf_dir):
+    """Texts of pages by an answer each; errors and what is no answer are told."""
+    n = F.col("page_id")
+    parse = F.struct(F.concat(F.lit("Архів:P/"), n.cast("string")).alias("title"), n.alias("revid"), F.struct(F.col("url").alias("*")).alias("wikitext"))
+    body = F.when(n % 4 < 3, F.to_json(F.struct(parse.alias("parse")))).when(n % 8 == 3, '{"error":{"code":"missing","info":"no such page"}}').otherwise("<html>")
+    return answers.contents(table(spark, sf_dir, "pages").select("page_id", body.alias("body")))
