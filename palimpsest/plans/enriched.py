@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import enrich, export
+from ..session import scratch_folder
+from ..sources.workbook import read_workbooks, write_workbooks
 from ..functions.timefmt import standard
 from .registry import query, table
 from .texts import ITEMS, items
@@ -218,6 +220,30 @@ def q_export_template(spark, sf_dir):
     return export.grid(template, children, export.first_child_row(template).first()["first"], pages, "https://x.org")
 
 
+@query(
+    """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS page, o_orderkey, o_orderstatus, CAST(2 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS row, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT page, row, CAST(1 AS INTEGER) AS col, 'order <' || o_orderkey || '>' AS text, CASE WHEN o_orderkey % 3 <> 0 THEN 'https://x.org/o?a=1&b=' || o_orderkey END AS link, CASE WHEN o_orderkey % 3 = 0 THEN 'unlinked' ELSE 'linked' END AS style FROM o
+UNION ALL SELECT page, row, 2, o_orderstatus, NULL, CASE WHEN o_orderkey % 2 = 0 THEN 'changed' END FROM o
+UNION ALL SELECT DISTINCT page, 1, 1, 'Customer ' || page, NULL, NULL FROM o UNION ALL SELECT DISTINCT page, CAST(4 + n AS INTEGER), 2, '=COUNTA(B3:B' || (2 + n) || ')', NULL, NULL FROM o"""
+)
+def q_workbooks(spark, sf_dir):
+    """A workbook for each customer, written as files and read back: texts, links, styles and formulas."""
+    template = spark.createDataFrame([(1, 1, "Customer {id}"), (3, 1, "{child[0]:linked}"), (3, 2, "{child[1]}"), (4, 2, "=COUNTA(__COL__)")], "row int, col int, text string")
+    number = F.col("o_orderkey").cast("string")
+    none = F.lit(None).cast("string")
+    red = F.when(F.col("o_orderkey") % 3 == 0, F.lit("&redlink=1")).otherwise("")
+    cells = F.array(
+        F.struct(F.concat(F.lit("order <"), number, F.lit(">")).alias("text"), F.concat(F.lit("/o?a=1&b="), number, red).alias("link"), none.alias("edit")),
+        F.struct(F.col("o_orderstatus").alias("text"), none.alias("link"), F.when(F.col("o_orderkey") % 2 == 0, "changed").alias("edit")),
+    )
+    orders = table(spark, sf_dir, "orders")
+    children = orders.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("ord"), cells.alias("cells"))
+    pages = orders.select(F.col("o_custkey").alias("page")).distinct().withColumn("fields", F.create_map(F.lit("id"), F.col("page").cast("string")))
+    folder = f"{scratch_folder(spark)}/workbooks"
+    write_workbooks(export.grid(template, children, export.first_child_row(template).first()["first"], pages, "https://x.org"), folder)
+    return read_workbooks(spark, folder)
+
+
 @query("SELECT l_orderkey, '=SUM(A3:A' || (2 + count(*)) || ')' AS formula FROM lineitem GROUP BY l_orderkey")
 def q_export_formula(spark, sf_dir):
     sizes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))

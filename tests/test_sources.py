@@ -8,6 +8,7 @@ from palimpsest.operators import enrich, export, watch
 from palimpsest.sources import http
 from palimpsest.sources.pages import html_pages, read_html, read_wikitext
 from palimpsest.sources.store import VersionStore
+from palimpsest.sources.workbook import SCHEMA, read_workbooks, write_workbooks
 
 HTML = """<html><head><title>t</title></head><body><h1><span class="mw-page-title-main">Name</span></h1><div id="description"> About &amp; more </div>
 <figure><a href="/f.pdf"><img src="/t.png"></a></figure>
@@ -158,6 +159,26 @@ def test_store_of_two_writers(spark, tmp_path):
     assert a.load("A", "p", "9").count() == 0
 
 
+def test_workbooks_as_a_sink(spark, tmp_path):
+    import pytest
+
+    folder = f"file:{tmp_path}/books"
+    rows = [("a/b", 1, 1, "x & <y>", "https://x.org/?a=1&b=\"2\"", "linked"), ("a/b", 1, 28, "=SUM(A1:A2)", None, "changed"), ("a/b", 7, 2, None, None, None), ("Ї", 1, 1, " s\n\x00t ", None, "odd")]
+    grid = spark.createDataFrame(rows, SCHEMA)
+    write_workbooks(grid, folder)
+    got = sorted(map(tuple, read_workbooks(spark, folder).collect()))
+    assert got == sorted([rows[0], rows[1], ("a/b", 7, 2, "", None, None), ("Ї", 1, 1, " s\nt ", None, None)])
+    names = {p.name for p in (tmp_path / "books").iterdir()}
+    assert names == {"a%2Fb.xlsx", "%D0%87.xlsx", "_SUCCESS"}
+    # A task that fails for good leaves nothing beside what was there.
+    broken = grid.withColumn("text", F.when(F.col("page") == "a/b", F.raise_error(F.lit("no"))).otherwise(F.col("text")))
+    with pytest.raises(Exception):  # noqa: B017
+        write_workbooks(broken.withColumn("page", F.concat("page", F.lit("2"))), folder)
+    assert {p.name for p in (tmp_path / "books").iterdir()} == names
+    write_workbooks(grid.limit(0), f"file:{tmp_path}/none")
+    assert read_workbooks(spark, f"file:{tmp_path}/none").count() == 0
+
+
 def test_workbook():
     data = export.write_workbook({"one & two": [(1, 1, "a<b"), (2, 28, "=SUM(A1:A2)")], "empty": []})
     file = zipfile.ZipFile(io.BytesIO(data))
