@@ -125,6 +125,94 @@ def classify_columns(samples: DataFrame) -> DataFrame:
     return stats.select("table", "pos", label.alias("label"))
 
 
+class Client(Protocol):
+    """A function of a batch of questions to a chat model; raises ConnectionError when the service fails."""
+
+    def __call__(self, questions: list[str]) -> list[str | None]: ...
+
+
+def samples(children: Column, rows: int = 3) -> Column:
+    """The original texts of a page's first rows, an array for each."""
+    return F.transform(F.slice(children, 1, rows), lambda row: F.transform(row, lambda cell: cell["text"]["uk"]))
+
+
+def question(header: Column, rows: Column, hints: str = "The ID column is always first.") -> Column:
+    """What a chat model is asked for the labels of a table's columns: of a header, an array of text items, and sample rows.
+    The same as :func:`prompt` gives of their texts."""
+    joined = lambda texts: F.array_join(texts, " | ", "")
+    names = F.transform(header, lambda h: h["uk"])
+    lines = F.concat(
+        F.array(
+            F.format_string(f"Label each of the %d columns with one of: {', '.join((*REQUIRED, OTHER))}.", F.size(header)),
+            F.concat(F.lit("Header: "), joined(names)),
+        ),
+        F.transform(rows, lambda r: F.concat(F.lit("Row: "), joined(r))),
+        F.array(*map(F.lit, ([hints] if hints else []) + ["Answer with a JSON list of strings."])),
+    )
+    return F.array_join(lines, "\n")
+
+
+def answered(pages: DataFrame, client: Client, batch: int = 10, workers: int = 8) -> DataFrame:
+    """(page, answer) of (page, question). A task that the service fails gives up for the rest of its pages: their answers
+    are null."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        breaker = Breaker()
+        for frame in frames:
+            given, got = frame["question"].tolist(), []
+            for i in range(0, len(given), batch):
+                part = given[i : i + batch]
+                got += breaker.call(lambda part=part: client(part), lambda part=part: [None] * len(part))
+            yield pd.DataFrame({"page": frame["page"], "answer": pd.Series(got, dtype=object)})
+
+    kind = pages.schema["page"].dataType.simpleString()
+    return pages.select("page", "question").repartition(workers).mapInPandas(run, f"page {kind}, answer string")
+
+
+def classify_pages(pages: DataFrame, client: Client) -> DataFrame:
+    """(page, labels, success, header_map): the labels of the columns of pages (page, header, children), asked of a chat
+    model by their headers and first rows.
+
+    An answer counts if it is a JSON list of as many labels as there are columns. Labels that aren't known, and repeats of
+    required ones, become OTHER; if a required one is missing then, or there is no answer that counts, the default labels
+    stand. ``success`` is whether nothing of this was needed. ``header_map`` leads from each label to its last column, from
+    0. Pages must be distinct; null headers and children count as empty.
+    """
+    header = F.coalesce("header", F.array().cast(pages.schema["header"].dataType))
+    children = F.coalesce("children", F.array().cast(pages.schema["children"].dataType))
+    asked = pages.select("page", F.size(header).alias("n"), question(header, samples(children)).alias("question"))
+    told = answered(asked, client)
+    labels = F.from_json("answer", "array<string>")
+    both = asked.select("page", "n").join(told, "page", "left").withColumn("given", F.when(F.size(labels) == F.col("n"), labels))
+    repeat = lambda x, i: F.array_position("given", x) != i + 1
+    known = lambda x: F.coalesce(x.isin(*REQUIRED), F.lit(False))
+    plain = F.transform("given", lambda x, i: F.when(known(x) & ~repeat(x, i), x).otherwise(OTHER))
+    usable = F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), "plain")) == 0
+    found = both.withColumn("plain", plain).withColumn("usable", F.coalesce(usable, F.lit(False)))
+    final = F.when(F.col("usable"), F.col("plain")).otherwise(default_labels(F.col("n")))
+    # Nothing became OTHER that wasn't.
+    same = F.coalesce(F.col("usable") & (F.col("plain") == F.col("given")), F.lit(False))
+    shown = found.select("page", final.alias("labels"), same.alias("success"))
+    last = lambda x, i: F.size("labels") - F.array_position(F.reverse("labels"), x) == i
+    entries = F.transform("labels", lambda x, i: F.struct(x.alias("label"), i.alias("at"), last(x, i).alias("last")))
+    entries = F.transform(F.filter(entries, lambda e: e["last"]), lambda e: F.struct(e["label"], e["at"]))
+    return shown.withColumn("header_map", F.map_from_entries(entries))
+
+
+def prepared(pages: DataFrame, client: Client, files: DataFrame) -> DataFrame:
+    """Pages as an export needs them: with their labels and header map, and in each row whose first cell leads to a page
+    and whose second leads nowhere, the first file of that page (``files``: title, pos, url) as the second cell's link.
+    Pages are (page, header, children); titles are what follows ``/wiki/`` in the first cell's link."""
+    first = files.groupBy("title").agg(F.min_by("url", "pos").alias("file"))
+    rows = pages.select("page", F.posexplode("children").alias("at", "row"))
+    title = F.regexp_replace(F.get("row", 0)["link"], "^/wiki/", "")
+    wanting = is_linked(F.get("row", 0)["link"]) & ~is_linked(F.get("row", 1)["link"]) & F.col("file").isNotNull()
+    filled = F.transform("row", lambda c, i: F.when(wanting & (i == 1), c.withField("link", F.col("file"))).otherwise(c))
+    rows = rows.join(first, title == F.col("title"), "left").select("page", "at", filled.alias("row"))
+    rows = rows.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "row"))), lambda r: r["row"]).alias("children"))
+    return pages.drop("children").join(rows, "page", "left").join(classify_pages(pages, client), "page")
+
+
 class Breaker:
     """Skips calls for some hours after a failure; the clock is injected."""
 

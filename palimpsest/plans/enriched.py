@@ -88,6 +88,51 @@ def q_classifier_success(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(ok), 6).alias("ratio"))
 
 
+def customer_pages(spark, sf_dir):
+    """(page, header, children): a table for each customer, its orders as rows; the first cell leads to a page."""
+    cell = lambda text, link: F.struct(F.struct(text.alias("uk"), F.lit(None).cast("string").alias("en"), F.lit(False).alias("en_set")).alias("text"), link.alias("link"))
+    key, none = F.col("o_orderkey").cast("string"), F.lit(None).cast("string")
+    doc = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("/own/"), key))
+    row = F.array(cell(key, F.concat(F.lit("/wiki/O/"), key)), cell(F.col("o_orderstatus"), doc), cell(F.date_format("o_orderdate", "yyyy"), none), cell(F.lit("x"), none))
+    pages = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("rows"))
+    names = F.array(*[F.struct(F.lit(n).alias("uk"), F.lit(n).alias("en"), F.lit(True).alias("en_set")) for n in ("No", "What", "When", "Etc")])
+    return pages.select("page", names.alias("header"), F.transform("rows", lambda r: r["row"]).alias("children"))
+
+
+def model(questions):
+    """A chat model that answers by the first number of the first row: rightly, with a repeat, too short, not at all, or
+    with an unknown label."""
+    kinds = ['["ID","DESCRIPTION","DATE","OTHER"]', '["ID","ID","DATE","DESCRIPTION"]', '["ID"]', "I can't", '["ID","note","DATE","OTHER"]']
+    return [kinds[int(q.split("Row: ")[1].split(" ")[0]) % 5] for q in questions]
+
+
+CLASSIFIED = """o AS (SELECT o_custkey AS page, min(o_orderkey) % 5 AS k FROM orders GROUP BY o_custkey),
+c AS (SELECT page, CASE WHEN k = 1 THEN 'ID,OTHER,DATE,DESCRIPTION' ELSE 'ID,DESCRIPTION,DATE,OTHER' END AS labels, k = 0 AS success, CASE WHEN k = 1 THEN 3 ELSE 1 END AS described FROM o)"""
+
+
+@query(f"WITH {CLASSIFIED} SELECT page, labels, success, CAST(described AS INTEGER) AS described FROM c")
+def q_classify_pages(spark, sf_dir):
+    """Labels of the columns of tables, asked by header and first rows, checked, normalised, or the default ones."""
+    found = enrich.classify_pages(customer_pages(spark, sf_dir), model)
+    return found.select("page", F.array_join("labels", ",").alias("labels"), "success", F.col("header_map")["DESCRIPTION"].alias("described"))
+
+
+@query(
+    f"""WITH {CLASSIFIED} SELECT o_custkey AS page, o_orderkey, labels, CASE WHEN o_orderkey % 4 = 0 THEN '/own/' || o_orderkey WHEN o_orderkey % 3 = 0 THEN '/wiki/File:' || o_orderkey || '-0.pdf' END AS document
+FROM orders JOIN c ON page = o_custkey"""
+)
+def q_prepared_pages(spark, sf_dir):
+    """Pages made ready for export: labels of their columns, and documents where rows have none of their own."""
+    number = F.col("o_orderkey").cast("string")
+    files = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(
+        F.concat(F.lit("O/"), number).alias("title"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"), number.alias("k")
+    )
+    files = files.select("title", "pos", F.concat(F.lit("/wiki/File:"), "k", F.lit("-"), F.col("pos").cast("string"), F.lit(".pdf")).alias("url"))
+    found = enrich.prepared(customer_pages(spark, sf_dir), model, files).select("page", F.array_join("labels", ",").alias("labels"), F.explode("children").alias("row"))
+    cell = lambda i: F.get("row", i)
+    return found.select("page", cell(0)["text"]["uk"].cast("long").alias("o_orderkey"), "labels", cell(1)["link"].alias("document"))
+
+
 @query("SELECT n_regionkey, max(n_nationkey) AS n_nationkey FROM nation GROUP BY n_regionkey")
 def q_invert_map(spark, sf_dir):
     """A map turned round, the last key of a value winning."""

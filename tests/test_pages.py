@@ -114,3 +114,30 @@ def test_deep_lookup(spark):
         got = {(r.page, r.entry): (list(r.place), r.found) for r in found.collect()}
         want = {(p, e): first(p, e) for p, e in asks if p and e and first(p, e)}
         assert got == want
+
+
+def test_classify_pages(spark):
+    from palimpsest.operators import enrich
+
+    def client(questions):
+        if any("fails" in q for q in questions):
+            raise ConnectionError
+        return [q.split("answer=")[1].split("\n")[0] if "answer=" in q else None for q in questions]
+
+    answers = {
+        1: '["ID","DESCRIPTION","DATE"]', 2: '["DATE","ID","DESCRIPTION"]', 3: '["ID","ID","DATE"]', 4: '["ID","x","DATE"]', 5: '["ID"]', 6: "no", 7: "{}", 8: '[1,null,"ID"]',
+    }
+    item_of = lambda t: (t, None, False)
+    rows = [(i, [item_of("a"), item_of("b"), item_of("c")], [[(item_of(f"answer={a}"), None)]] * 5) for i, a in answers.items()]
+    rows += [(9, [item_of(None)], []), (10, None, None)]
+    schema = f"page int, header array<struct<uk:string,en:string,en_set:boolean>>, children array<array<{CELL}>>"
+    got = {r.page: (r.labels, r.success, r.header_map) for r in enrich.classify_pages(spark.createDataFrame(rows, schema), client).collect()}
+    default = ["ID", "DESCRIPTION", "DATE"]
+    assert got[1] == (default, True, {"ID": 0, "DESCRIPTION": 1, "DATE": 2})
+    assert got[2] == (["DATE", "ID", "DESCRIPTION"], True, {"DATE": 0, "ID": 1, "DESCRIPTION": 2})
+    assert all(got[i][:2] == (default, False) for i in (3, 4, 5, 6, 7, 8))
+    assert got[9][:2] == (["ID"], False) and got[10][:2] == ([], False)
+    failing = spark.createDataFrame([(1, [item_of("fails")] * 4, [])], schema)
+    assert enrich.classify_pages(failing, client).first().labels == [*default, "OTHER"]
+    asked = spark.createDataFrame(rows[:1], schema).select(enrich.question(F.col("header"), enrich.samples(F.col("children")), "h").alias("q")).first().q
+    assert asked == enrich.prompt(["a", "b", "c"], [[f"answer={answers[1]}"]] * 5, "h")
