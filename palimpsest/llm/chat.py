@@ -67,6 +67,7 @@ def maximal_conversations(
 
 
 def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations of the whole table; nulls, ties and empty tables as :func:`maximal_conversations` says."""
     return maximal_conversations(table(spark, sf_dir, "conversations"))
 
 

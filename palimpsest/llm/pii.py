@@ -266,6 +266,8 @@ def digest(spans: Column) -> Column:
 
 
 def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of personal data of every document; nulls, ties and empty tables as
+    :func:`find_personal_data` says."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
     counts = [
         F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}")

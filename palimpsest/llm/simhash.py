@@ -213,4 +213,5 @@ def keep_one_of_each(docs: DataFrame, most: int = 3, text: str = "text", key: st
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; nulls, ties and empty tables as :func:`simhash_groups` says."""
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -74,7 +74,9 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 
 
 def fit(sample: DataFrame) -> Model:
-    """The classifier for (text, toxic). No rows: every score is 0; rows of one class: the constant alone."""
+    """The classifier for (text, toxic): of the n-grams whose log-count ratio has a |z| of LEAST_Z or more the FEATURES
+    with the greatest, ties by number. No rows: every score is 0; rows of one class: the constant alone. Null texts are
+    empty, and repeated rows count each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, len(GRAMS) << BITS), np.int64)
@@ -170,5 +172,6 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
 
 
 def op8_naive_bayes_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; nulls, ties and empty tables as :func:`score_documents` says."""
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit(labelled(docs, table(spark, sf_dir, "labels"))))
