@@ -11,7 +11,6 @@ HIDDEN = r"(?s)<!--.*?-->|<nowiki>.*?</nowiki>|<nowiki */>"
 TOKEN = r"(\[\[|\]\]|\{\{|\}\}|\||[^\[\]{}|]+|.)"
 
 _OPEN = "struct<kind:string,start:int,bars:array<int>>"
-_DONE = "array<struct<start:int,kind:string,bars:array<int>,end:int>>"
 
 
 def shown(text: Column) -> Column:
@@ -32,27 +31,32 @@ def spans(text: Column) -> Column:
     closing pair takes the last open one of its kind; open ones above it are text, and so is a closing pair that finds
     none and what is open at the end. Tokens are looked at once, with the open brackets as a stack.
     """
-    return once(text, _spans)
+    return once(F.regexp_extract_all(text, F.lit("(?s)" + TOKEN), 1), _spans)
 
 
-def _spans(text: Column) -> Column:
+def _spans(tokens: Column) -> Column:
+    """Positions are those of tokens, so that no part is looked for in the whole text."""
     empty = F.array().cast(f"array<{_OPEN}>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("open"), F.array().cast(_DONE).alias("done"))
+    start = F.struct(F.lit(0).alias("at"), empty.alias("open"), F.array().cast("array<string>").alias("done"))
 
     def step(s: Column, token: Column) -> Column:
         at, open_, done = s["at"], s["open"], s["done"]
-        after = (at + F.length(token)).cast("int")
+        after = at + 1
         depth = F.size(open_)
         kind = F.when(token == "]]", "[").otherwise("{")
         closes = F.array_max(F.transform(open_, lambda o, i: F.when(o["kind"] == kind, i)))
         own = F.get(open_, closes)
         top = F.get(open_, depth - 1)
-        opened = F.array_append(open_, F.struct(F.substring(token, 1, 1).alias("kind"), after.alias("start"), F.array().cast("array<int>").alias("bars")))
+        opened = F.array_append(
+            open_, F.struct(F.substring(token, 1, 1).alias("kind"), after.alias("start"), F.array().cast("array<int>").alias("bars")).cast(_OPEN)
+        )
         barred = F.array_append(
             F.slice(open_, F.lit(1), F.greatest(depth - 1, F.lit(0))),
-            F.struct(top["kind"].alias("kind"), top["start"].alias("start"), F.array_append(top["bars"], at).alias("bars")),
+            F.struct(top["kind"].alias("kind"), top["start"].alias("start"), F.array_append(top["bars"], at).alias("bars")).cast(_OPEN),
         )
-        ended = F.array_append(done, F.struct(own["start"].alias("start"), own["kind"].alias("kind"), own["bars"].alias("bars"), at.alias("end")))
+        # As text: an array of structs would be copied struct by struct at every step.
+        numbers = F.concat(F.array(own["start"]), own["bars"], F.array(at))
+        ended = F.array_append(done, F.concat(own["kind"], F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",")))
         is_close = token.isin("]]", "}}") & closes.isNotNull()
         return F.struct(
             after.alias("at"),
@@ -64,15 +68,19 @@ def _spans(text: Column) -> Column:
             F.when(is_close, ended).otherwise(done).alias("done"),
         )
 
-    def parts(d: Column) -> Column:
-        """Between the start, the bars and the end; positions are from 0, and a bar is one character."""
-        froms = F.concat(F.array(d["start"]), F.transform(d["bars"], lambda b: b + 1))
-        tos = F.array_append(d["bars"], d["end"])
-        return F.transform(F.arrays_zip(froms.alias("a"), tos.alias("b")), lambda p: text.substr(p["a"] + 1, p["b"] - p["a"]))
+    def read(d: Column) -> Column:
+        numbers = F.split(d.substr(F.lit(2), F.length(d)), ",").cast("array<int>")
+        return F.struct(F.get(numbers, 0).alias("start"), F.substring(d, 1, 1).alias("kind"), numbers.alias("bounds"))
+
+    def parts(bounds: Column) -> Column:
+        """The tokens between the start, the bars and the end; from the second on without the bar before them."""
+        part = lambda i: F.when(i == 0, F.get(bounds, 0)).otherwise(F.get(bounds, i) + 1)
+        return F.transform(
+            F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.array_join(F.slice(tokens, part(i) + 1, F.get(bounds, i + 1) - part(i)), "")
+        )
 
-    tokens = F.regexp_extract_all(text, F.lit("(?s)" + TOKEN), 1)
-    found = F.array_sort(F.aggregate(tokens, start, step, lambda s: s["done"]))
-    return F.transform(found, lambda d: F.struct(d["start"].alias("start"), d["kind"].alias("kind"), parts(d).alias("parts")))
+    found = F.sort_array(F.transform(F.aggregate(tokens, start, step, lambda s: s["done"]), read))
+    return F.transform(found, lambda d: F.struct(d["start"].alias("start"), d["kind"].alias("kind"), parts(d["bounds"]).alias("parts")))
 
 
 def links(text: Column) -> Column:
