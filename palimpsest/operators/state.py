@@ -40,9 +40,20 @@ def active_tasks(owners: DataFrame, tasks: DataFrame) -> DataFrame:
     return owners.distinct().join(tasks, "task").select("user", "page", "progress", "total", "running")
 
 
+def _tenths(value: Column) -> Column:
+    """A number from 0 in tenths, to the nearest one of what the double holds exactly; of two equally near the even one. Its
+    fraction is a whole number of 57th powers of a half wherever a tie can be, so nothing is rounded on the way."""
+    whole = F.floor(value)
+    part = ((value - whole) * float(1 << 57)).cast("long") * 10
+    down = F.shiftright(part, 57)
+    rest, half = part - F.shiftleft(down, 57), F.lit(1 << 56)
+    return whole * 10 + down + F.when((rest > half) | ((rest == half) & (down % 2 == 1)), 1).otherwise(0)
+
+
 def progress_line(page: Column, progress: Column, total: Column) -> Column:
     """``page 3/4 75.0%``; without a total the percentage is missing."""
-    share = F.format_string("%.1f%%", F.try_divide(progress.cast("double"), total.cast("double")) * 100)
+    tenths = _tenths(F.try_divide(progress * F.lit(100.0), total.cast("double")))
+    share = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
     known = F.concat_ws("/", progress.cast("string"), total.cast("string"))
     return F.concat_ws(" ", page, known, F.when(total > 0, share))
 

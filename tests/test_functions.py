@@ -149,6 +149,15 @@ def test_state(spark):
     assert [r.x for r in order.collect()] == ["a", "A", "b", "É", "f"]
 
 
+def test_progress_is_rounded_as_printf_does(spark):
+    from palimpsest.operators import state
+
+    # Ties that a double holds exactly go to the even tenth; 0.35, 0.05 and 1.15 are no ties, being a little beside.
+    for progress, total in [(5, 16), (3, 16), (7, 2000), (1, 2000), (23, 2000), (1, 3), (0, 7), (7, 7), (9, 8), (1999, 2000), (1, 10**9)]:
+        line = state.progress_line(X(), F.lit(progress), F.lit(total))
+        assert values(spark, line, "p") == [f"p {progress}/{total} {100.0 * progress / total:.1f}%"]
+
+
 def test_formulas(spark):
     from palimpsest.operators import export
 
