@@ -29,6 +29,14 @@ def test_html():
     assert read_html(None)["children"] == [] and read_html("<table class=wikitable><tr><td>x")["children"] == [[{"text": "x", "link": None}]]
 
 
+def test_title_as_it_stands():
+    html = "<html>\n<p>x</p>\n <h1 class='a'>\n a &quot;b&quot; <i>&lt;c</i> d &am</h1><p>e</p>"
+    page = read_html(html)
+    assert page["title_html"] == "\n a &quot;b&quot; <i>&lt;c</i> d &am" and page["title"] == 'a "b" <c d &am'
+    assert read_html("<h1></h1><h1>b &amp</h1><h1>c</h1>")["title_html"] == "b &amp" and read_html("<h1>open &am")["title_html"] == "open &am"
+    assert read_html("<p>x")["title_html"] == "" and read_html("<h1><span class=mw-page-title-main>a</span></h1>")["title"] == "a"
+
+
 def test_html_pages(spark):
     raw = spark.createDataFrame([(1, HTML), (2, None)], "id int, html string")
     got = {r.id: r for r in html_pages(raw).collect()}
