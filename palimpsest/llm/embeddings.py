@@ -9,18 +9,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import components, cut, table, unite
 
 SIMILARITY = 0.93
 #: Blocks that the rotated vectors are split into.
 BLOCKS = 8
-#: Vectors of one label beyond which cells are halved, and home rows of a cell beyond which its tiles are salted.
-CELL = 4096
-#: Vectors that the halving planes are read from; they shape cells only, never the result.
-SAMPLE = 4096
+#: Vectors of one label that a task holds for each side of a tile; a label of more is dealt to tiles of pairs of chunks.
+CHUNK = 32768
+#: Vectors of a tile beyond which the cells of its blocks are halved.
+CELL = 1024
 #: Added to squared distances against rounding; every link is verified by its cosine.
 SLACK = 1e-9
+SINGLE = 1e-5
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -48,7 +50,7 @@ def unit(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _cells(planes: np.ndarray, depth: int, y: np.ndarray, reach: float) -> list[tuple[int, int, bool]]:
+def _cells(planes: np.ndarray, depth: int, y: np.ndarray, reach: float) -> np.recarray:
     """(row, cell, home) of the cells of one block that hold a row or lie within ``reach`` of it. Halving i is by
     coordinate i modulo the width, at that coordinate's quantiles. ``gap`` is a row's distance from its cell's box by
     coordinate; a cell is dropped as soon as all coordinates together are beyond the reach."""
@@ -76,31 +78,41 @@ def _cells(planes: np.ndarray, depth: int, y: np.ndarray, reach: float) -> list[
         c = np.r_[cells[low] * 2, cells[high] * 2 + 1]
         h = np.r_[home[low] & ~own[low], home[high] & own[high]]
         rows, cells, home, gap = r, c, h, np.concatenate(gaps)
-    return list(zip(rows.tolist(), cells.tolist(), home.tolist(), strict=True))
+    return np.rec.fromarrays([rows, cells, home], names="row,cell,home")
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, block: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (in x, in y) of pairs that are first within a budget in ``block`` and reach the cosine."""
+def _pairs(x: np.ndarray, home: np.ndarray, near: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (of a home row, of a near row) of the pairs of unit vectors ``x`` that reach the cosine, each once: in the
+    first block that holds it within its budget. In a block a row's home cell has all rows within the block's reach."""
     dims = x.shape[1]
-    turn, bounds, limits = rotation(dims), blocks_of(dims), budgets(dims, similarity)
-    # Row by row, so that a vector has the same coordinates in every tile.
-    rx, ry = (np.einsum("ij,jk->ik", z, turn, optimize=False) for z in (x, y))
-    a, b = bounds[block]
-    near_x, near_y = rx[:, a:b], ry[:, a:b]
-    sx, sy = (near_x * near_x).sum(1), (near_y * near_y).sum(1)
-    edges = [e for e, _ in bounds]
-    for i in range(0, len(x), 256):
-        apart = sx[i : i + 256, None] + sy[None, :] - 2 * (near_x[i : i + 256] @ near_y.T)
-        rows, cols = np.nonzero(apart <= limits[block] + SLACK)
-        for j in range(0, len(rows), 20_000):
-            r, c = rows[j : j + 20_000] + i, cols[j : j + 20_000]
-            # Elementwise, so that every tile gets the same distances for a pair and one block alone takes it.
-            shares = np.add.reduceat((rx[r] - ry[c]) ** 2, edges, axis=1)
-            within = shares <= limits
-            ok = within[:, block] & ~within[:, :block].any(axis=1)
-            r, c = r[ok], c[ok]
-            ok = np.einsum("ij,ij->i", x[r], y[c]) >= similarity
-            yield r[ok], c[ok]
+    turned, limits = x @ rotation(dims), budgets(dims, similarity)
+    edges = [a for a, _ in blocks_of(dims)]
+    depth = max(0, math.ceil(math.log2(len(x) / CELL)))
+    for block, (a, b) in enumerate(blocks_of(dims)):
+        part = turned[:, a:b]
+        # Planes shape cells only, never the result.
+        at = _cells(np.sort(part, axis=0).T, depth, part, math.sqrt(limits[block]) + SLACK)
+        at = at[np.argsort(at.cell, kind="stable")]
+        # Single precision finds candidates, with slack for its rounding (at most 1e-6 for parts of unit vectors).
+        part = part.astype(np.float32)
+        squares = (part * part).sum(1)
+        limit = np.float32(limits[block] + SINGLE)
+        for held in np.split(at, np.flatnonzero(np.diff(at.cell)) + 1):
+            nears, homes = held.row[near[held.row]], held.row[held.home & home[held.row]]
+            close, most = part[nears], limit - squares[nears]
+            for i in range(0, len(homes), 256):
+                some = homes[i : i + 256]
+                apart = (part[some] * np.float32(-2)) @ close.T
+                apart += squares[some, None]
+                rows, cols = np.divmod(np.flatnonzero(apart <= most), max(1, len(nears)))
+                for j in range(0, len(rows), 20_000):
+                    r, c = some[rows[j : j + 20_000]], nears[cols[j : j + 20_000]]
+                    # Elementwise, so that both directions and all blocks have the same distances for a pair.
+                    within = np.add.reduceat((turned[r] - turned[c]) ** 2, edges, axis=1) <= limits
+                    ok = within[:, block] & ~within[:, :block].any(axis=1) & (r != c)
+                    r, c = r[ok], c[ok]
+                    ok = np.einsum("ij,ij->i", x[r], x[c]) >= similarity
+                    yield r[ok], c[ok]
 
 
 def near_vectors(
@@ -117,11 +129,12 @@ def near_vectors(
     nothing; so do vectors of different lengths. A row without a key has a null component and isn't kept. Rows that
     repeat link with each other. Other columns are ignored; an empty table gives an empty result.
 
-    Equal vectors of a label are one class. Classes are rotated and split into blocks; in each block a class goes to its
-    own cell and to those within the block's reach, and a cell's home rows meet all its rows there. A pair is taken in the
-    first block that holds it, so links need no deduplication. Tiles return counts and a forest, never pairs.
+    Equal vectors of a label are one class. A label's classes are dealt to chunks, and each pair of chunks is a tile, so a
+    class is sent as often as its label has chunks, once up to ``CHUNK`` classes. In a tile vectors are rotated and split
+    into blocks; in each block a vector goes to its own cell and to those within the block's reach, and a cell's home rows
+    meet all its rows there. A pair is taken in the first block that holds it, so links need no deduplication. Tiles
+    return counts and a forest, never pairs.
     """
-    spark = vectors.sparkSession
     v = F.col("v")
     clean = (
         F.col("label").isNotNull()
@@ -130,20 +143,21 @@ def near_vectors(
         & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
         & F.exists(v, lambda c: c != 0)
     )
-    rows = vectors.select(
+    # Floats stay floats until a tile has them: half the bytes of doubles.
+    element = vectors.schema[embedding].dataType.elementType
+    kind = "array<float>" if isinstance(element, FloatType) else "array<double>"
+    told = vectors.select(
         F.col(key).cast("long").alias("id"),
         F.col(label).cast("string").alias("label"),
-        F.col(embedding).cast("array<double>").alias("v"),
+        F.col(embedding).cast(kind).alias("v"),
     )
-    rows = rows.withColumn("clean", F.coalesce(clean, F.lit(False)))
-    rows = cut(
-        rows.withColumn("k1", F.when(F.col("clean"), F.xxhash64("label", "v")))
-        .withColumn("k2", F.when(F.col("clean"), F.xxhash64(F.lit(1), "v", "label")))
-        .drop("clean"),
-        "vectors",
+    told = told.withColumn("clean", F.coalesce(clean, F.lit(False)))
+    told = told.withColumn("k1", F.when(F.col("clean"), F.xxhash64("label", "v"))).withColumn(
+        "k2", F.when(F.col("clean"), F.xxhash64(F.lit(1), "v", "label"))
     )
+    rows = cut(told.select("id", "k1", "k2"), "vectors")
     classes = cut(
-        rows.where("k1 is not null")
+        told.where("k1 is not null")
         .groupBy("k1", "k2")
         .agg(
             F.min("id").alias("id"),
@@ -176,94 +190,40 @@ def near_vectors(
     )
 
 
+def _tiles(classes: DataFrame) -> DataFrame:
+    """Classes by tile: (one, two), one not above two, has the classes of both chunks of a label and width. A class is there
+    once for each chunk of its label; labels of one class are left out."""
+    group = ["label", "width"]
+    classes = classes.withColumn("width", F.size("v"))
+    sizes = cut(classes.groupBy(*group).agg(F.count("*").alias("of_label")).where("of_label > 1"), "labels")
+    placed = classes.join(sizes, group).withColumn("chunks", F.ceil(F.col("of_label") / CHUNK).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "k1", "k2", "id", "copies", *group, "v", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
+    )
+
+
 def _links(classes: DataFrame, similarity: float) -> DataFrame:
     """(k1, k2, id, root, n): for each class of a tile the vectors it links with there, and the smallest id of its tile
     that it is connected with there."""
-    spark = classes.sparkSession
-    dims = [r[0] for r in classes.select(F.size("v")).distinct().limit(2).collect()]
-    sample = [r["v"] for r in classes.orderBy("k1", "k2").select("v").limit(SAMPLE).collect()] if len(dims) == 1 else []
-    planes = np.sort(unit(sample) @ rotation(dims[0]), axis=0).T if sample else np.zeros((0, 0))
-    planes = spark.sparkContext.broadcast(planes)
-    # Vectors of one length get cells; in a mixed table cells would need planes for each length, and labels get one cell.
-    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("of_label") / CELL))) if sample else F.lit(0)
-    sizes = cut(classes.groupBy("label").agg(F.count("*").alias("of_label")), "labels")
-    placed = classes.join(sizes, "label").withColumn("depth", F.least(depth, F.lit(24)).cast("int")).drop("of_label")
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for (width, depth), part in frame.groupby([frame["v"].map(len), "depth"]):
-                x = unit(part["v"].tolist())
-                turned = x @ rotation(width)
-                for block, ((a, b), limit) in enumerate(
-                    zip(blocks_of(width), budgets(width, similarity), strict=True)
-                ):
-                    if depth:
-                        at = _cells(planes.value[a:b], depth, turned[:, a:b], math.sqrt(limit) + SLACK)
-                    else:
-                        at = [(i, 0, True) for i in range(len(part))]
-                    row, cell, home = (np.array(c) for c in zip(*at, strict=True))
-                    out = part.iloc[row].drop(columns=["depth"]).copy()
-                    out["block"], out["cell"], out["home"] = block, cell, home
-                    out["width"] = width
-                    yield out
-
-    schema = "k1 long, k2 long, id long, copies long, label string, v array<double>"
-    cells = placed.select("k1", "k2", "id", "copies", "label", "v", "depth").mapInPandas(
-        deal, f"{schema}, block int, cell long, home boolean, width int"
-    )
-    cell = ["label", "width", "block", "cell"]
-    full = cut(
-        cells.groupBy(*cell).agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * CELL), "full-cells"
-    )
-    if not full.isEmpty():
-        cells = cells.join(full, cell, "left")
-    else:
-        cells = cells.withColumn("rows", F.lit(None).cast("long"))
-    chunks = F.coalesce(F.ceil(F.col("rows") / CELL), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("k1", "k2"), chunks).cast("int")
-    dealt = (
-        cells.withColumn("own", own)
-        .withColumn("chunks", chunks)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    )
-    # Tile (i, j) has the home rows of chunk i and all rows of chunk j.
-    as_home = dealt.where("home").withColumn("tile", F.struct("own", "other")).withColumn("side", F.lit(True))
-    as_near = dealt.withColumn("tile", F.struct(F.col("other").alias("own"), F.col("own").alias("other"))).withColumn(
-        "side", F.lit(False)
-    )
-    # In a cell of one chunk a row is sent once, for both sides.
-    both = dealt.withColumn("tile", F.struct("own", "other")).withColumn("side", F.lit(None).cast("boolean"))
-    tiles = (
-        both.where("chunks = 1")
-        .unionByName(as_home.where("chunks > 1"))
-        .unionByName(as_near.where("chunks > 1"))
-    )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["id", "k1", "k2"], kind="stable").reset_index(drop=True)
-        side = frame["side"].map({True: 1, False: 0}).fillna(2).to_numpy()
-        homes = np.flatnonzero(((side == 2) & frame["home"].to_numpy()) | (side == 1))
-        nears = np.flatnonzero(side != 1)
+        own, one, two = frame["own"].to_numpy(), int(frame["one"].iloc[0]), int(frame["two"].iloc[0])
+        copies = frame["copies"].to_numpy()
         n, root = np.zeros(len(frame), np.int64), np.arange(len(frame))
-        if len(homes) and len(nears):
-            x = unit(frame["v"].tolist())
-            copies = frame["copies"].to_numpy()
-            k1, k2 = frame["k1"].to_numpy(), frame["k2"].to_numpy()
-            # A class on both sides of a tile of two chunks is one position.
-            first = pd.Series(np.arange(len(frame))).groupby([k1, k2]).transform("min").to_numpy()
-            for r, c in _pairs(x[homes], x[nears], int(frame["block"].iloc[0]), similarity):
-                r, c = first[homes[r]], first[nears[c]]
-                other = r != c
-                r, c = r[other], c[other]
-                n += np.bincount(r, copies[c], minlength=len(frame)).astype(np.int64)
-                unite(root, r, c)
+        for r, c in _pairs(unit(frame["v"].tolist()), own == one, own == two, similarity):
+            # A tile of one chunk has each pair in both directions.
+            n += np.bincount(r, copies[c], minlength=len(frame)).astype(np.int64)
+            if one != two:
+                n += np.bincount(c, copies[r], minlength=len(frame)).astype(np.int64)
+            unite(root, r, c)
         keep = (n > 0) | (root != np.arange(len(frame)))
         ids = frame["id"].to_numpy()
-        return pd.DataFrame(
-            {"k1": frame["k1"], "k2": frame["k2"], "id": ids, "root": ids[root], "n": n}
-        )[keep]
+        return pd.DataFrame({"k1": frame["k1"], "k2": frame["k2"], "id": ids, "root": ids[root], "n": n})[keep]
 
-    return tiles.groupBy(*cell, "tile").applyInPandas(compare, "k1 long, k2 long, id long, root long, n long")
+    tiles = _tiles(classes).groupBy("label", "width", "one", "two")
+    return tiles.applyInPandas(compare, "k1 long, k2 long, id long, root long, n long")
 
 
 def op1_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,19 @@ def test_links_match_brute_force(spark, monkeypatch, cell):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("chunk,kind", [(10_000, "float"), (40, "float"), (40, "double")])
+def test_vectors_are_sent_once_a_chunk_of_their_label(spark, monkeypatch, chunk, kind):
+    monkeypatch.setattr(embeddings, "CHUNK", chunk)
+    monkeypatch.setattr(embeddings, "CELL", 16)
+    rows = planted(7)
+    vectors = spark.createDataFrame(rows, SCHEMA).selectExpr("vec_id", f"cast(embedding as array<{kind}>) as embedding", "label", "k1")
+    got = embeddings.near_vectors(vectors).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(rows, 0.93)
+    classes = vectors.selectExpr("vec_id as k1", "label as k2", "vec_id as id", "1L as copies", "cast(label as string) as label", "embedding as v")
+    sizes = [sum(r[2] == label for r in rows) for label in (0, 1, 2)]
+    assert embeddings._tiles(classes).count() == sum(n * -(-n // chunk) for n in sizes)
+
+
 def test_magnitudes_do_not_count(spark):
     x = embeddings.unit([[1e-200, 0.0], [2e200, 1e200], [3.0, 4.0]])
     assert np.allclose(x, [[1, 0], [2 / 5**0.5, 1 / 5**0.5], [0.6, 0.8]])
