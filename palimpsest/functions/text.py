@@ -8,6 +8,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .brackets import once
+
 #: ``en_set`` tells a translation that is missing from one that is set to null.
 TEXT_ITEM = "struct<uk:string,en:string,en_set:boolean>"
 
@@ -149,16 +151,20 @@ def chunk(position: Column, size: int) -> Column:
 
 def unescaped(text: Column) -> Column:
     """Text with its HTML entities, named and numbered, as characters; each is read once, unknown ones stay."""
-    named = F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items()})), "map<string,string>")
-    digits = lambda t: F.regexp_extract(t, "^&#([0-9]+);$", 1)
-    code = lambda t: F.coalesce(digits(t).try_cast("int"), F.conv(F.regexp_extract(t, "^&#[xX]([0-9A-Fa-f]+);$", 1), 16, 10).try_cast("int"))
+    # Entries are looked through from the first one on.
+    common = {k: name2codepoint[k] for k in ("amp", "quot", "lt", "gt", "nbsp")}
+    named = F.from_json(F.lit(json.dumps({k: chr(v) for k, v in (common | name2codepoint).items()})), "map<string,string>")
 
     def plain(t: Column) -> Column:
-        name = F.regexp_extract(t, "^&([A-Za-z][A-Za-z0-9]*);$", 1)
-        number = code(t)
+        body = F.substr(t, F.lit(2), F.length(t) - 2)
+        digits = F.regexp_extract(body, "^#([0-9]+)$", 1).try_cast("int")
+        number = F.coalesce(digits, F.conv(F.regexp_extract(body, "^#[xX]([0-9A-Fa-f]+)$", 1), 16, 10).try_cast("int"))
         # A code point as UTF-8, by its UTF-32 bytes.
-        shown = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        return F.when(name != "", F.coalesce(F.try_element_at(named, name), t)).when(number.between(1, 0x10FFFF), shown).otherwise(t)
+        shown = lambda n: F.when(n.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        # Parts without an entity, most of them, are told by their first character.
+        numbered = F.coalesce(once(number, shown), t)
+        entity = F.when(F.startswith(body, F.lit("#")), numbered).otherwise(F.coalesce(F.try_element_at(named, body), t))
+        return F.when(F.startswith(t, F.lit("&")), entity).otherwise(t)
 
     parts = F.regexp_extract_all(text, F.lit("(?s)(&[#A-Za-z0-9]+;|[^&]+|&)"), 1)
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, plain), "")).otherwise(text)

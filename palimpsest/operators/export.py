@@ -47,11 +47,11 @@ def prototypes(template: DataFrame) -> DataFrame:
     return found.groupBy(F.col("t.modifier").alias("style")).agg(F.max(F.struct("row", "col")).alias("at")).select("style", "at.*")
 
 
-def page_fields(text: str, fields: Column) -> Column:
-    """A text whose tokens are what a page's map of fields has under their names, entities decoded; others stay."""
+def page_fields(text: str, field) -> Column:
+    """A text whose tokens are what ``field`` has, a column, for their names; others stay, as do those it has null for."""
     parts, at = [], 0
     for m in re.finditer(TOKEN, text):
-        parts += [F.lit(text[at : m.start()]), F.coalesce(unescaped(F.try_element_at(fields, F.lit(m[1]))), F.lit(m[0]))]
+        parts += [F.lit(text[at : m.start()]), F.coalesce(field(m[1]), F.lit(m[0]))]
         at = m.end()
     return F.concat(*parts, F.lit(text[at:]))
 
@@ -73,18 +73,29 @@ def grid(template: DataFrame, children: DataFrame, first: int, pages: DataFrame
     down by as many rows as there are children. ``__COL__`` in a formula is the column over all children; a formula in the
     row ``first`` is copied down.
     """
-    numbered = children.withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("ord")) - 1)
-    numbered = numbered.withColumn("n", F.count("*").over(Window.partitionBy("page")).cast("int"))
+    form = [r.asDict() for r in template.orderBy("row", "col").collect()]
+    found = [m for c in form for m in re.finditer(TOKEN, c["text"] or "")]
+    names = {m[1]: f"__field{i}" for i, m in enumerate(found)}
+    labels = {m[2]: f"__place{i}" for i, m in enumerate(found) if m[2] and not m[2].isdigit()}
     nothing = F.lit(None).cast("string")
-    told = {"kind": nothing, "id": nothing, "parent": nothing, "fields": F.lit(None).cast("map<string,string>"), "header": F.lit(None).cast("map<string,int>")}
+    # Entities are decoded once: a child's before its page is told to it, a page's fields before they meet its children.
+    sheets = any(m[3] == "sheetname" for m in found)
+    plain = F.transform("cells", lambda c: c.withField("text", unescaped(c["text"])))
+    numbered = children.select("page", "ord", plain.alias("cells")).withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("ord")) - 1)
+    numbered = numbered.withColumn("n", F.count("*").over(Window.partitionBy("page")).cast("int"))
+    told = pages.columns if pages is not None else []
+    page = {k: F.col(k) if k in told else nothing for k in (["kind", "id", "parent"] if sheets else [])}
+    field = lambda name: F.try_element_at("fields", F.lit(name)) if "fields" in told else nothing
+    page |= {column: unescaped(field(name)) for name, column in names.items()}
+    page["__url"] = field("url")
+    page |= {c: F.try_element_at("header", F.lit(k)) if "header" in told else F.lit(None).cast("int") for k, c in labels.items()}
     if pages is not None:
-        numbered = numbered.join(pages, "page", "left")
-        told = {k: v for k, v in told.items() if k not in pages.columns}
-    numbered = numbered.withColumns(told)
-    form = [r.asDict() for r in template.orderBy("row", "col").collect()]
+        numbered = numbered.join(pages.select("page", *[v.alias(k) for k, v in page.items()]), "page", "left")
+    else:
+        numbered = numbered.withColumns(page)
     empty = lambda c: F.coalesce(c, F.lit(""))
     edits = "edit" in children.schema["cells"].dataType.elementType.fieldNames()
-    fields, nth = F.col("fields"), F.col("nth")
+    nth, shown = F.col("nth"), lambda name: F.col(names[name])
 
     def struct(row: Column, col: int, value: Column, link: Column = nothing, style: Column = nothing) -> Column:
         return F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), value.alias("text"), link.alias("link"), style.alias("style"))
@@ -98,11 +109,11 @@ def grid(template: DataFrame, children: DataFrame, first: int, pages: DataFrame
         if not found and text[:1] == "=":
             return struct(row, col, fill_formula(F.lit(text), F.lit(_letters(col)), F.lit(first), F.col("n")))
         modifiers = {modifier for *_, modifier in found}
-        value = page_fields(text, fields)
+        value = page_fields(text, shown)
         if "date" in modifiers:
             value = F.coalesce(display_day(value), value)
         linked = "linked" in modifiers
-        return struct(row, col, value, F.try_element_at(fields, F.lit("url")) if linked else nothing, F.lit("linked") if linked else nothing)
+        return struct(row, col, value, F.col("__url") if linked else nothing, F.lit("linked") if linked else nothing)
 
     def child_cell(col: int, text: str) -> Column:
         """A cell of the row ``first`` for one child; null where there is none."""
@@ -120,9 +131,9 @@ def grid(template: DataFrame, children: DataFrame, first: int, pages: DataFrame
                 value = F.lit("")
             elif name == "child":
                 if index is not None:
-                    place = F.lit(int(index)) if index.isdigit() else F.try_element_at("header", F.lit(index))
+                    place = F.lit(int(index)) if index.isdigit() else F.col(labels[index])
                     at = F.get("cells", place)
-                    value = empty(unescaped(at["text"]))
+                    value = empty(at["text"])
                     style = F.coalesce(at["edit"], style) if edits else style
                 if modifier in ("linked", "doc_link"):
                     target = url(0 if modifier == "linked" else 1)
@@ -131,10 +142,10 @@ def grid(template: DataFrame, children: DataFrame, first: int, pages: DataFrame
                 elif modifier == "link_status":
                     value = link_status(url(0))
                 elif modifier == "sheetname":
-                    child = empty(unescaped(F.get("cells", F.lit(0))["text"]))
+                    child = empty(F.get("cells", F.lit(0))["text"])
                     value = F.replace(form_text, F.lit(m[0]), sheet_name(F.col("kind"), child, F.col("id"), F.col("parent")))
             else:
-                sub = F.coalesce(unescaped(F.try_element_at(fields, F.lit(name))), F.lit(m[0]))
+                sub = F.coalesce(shown(name), F.lit(m[0]))
                 value = F.when(nth == 0, F.replace(value, F.lit(m[0]), sub)).otherwise(value)
                 form_text = F.replace(form_text, F.lit(m[0]), sub)
         return struct(row, col, value, link, style)

@@ -158,6 +158,21 @@ def test_progress_is_rounded_as_printf_does(spark):
         assert values(spark, line, "p") == [f"p {progress}/{total} {100.0 * progress / total:.1f}%"]
 
 
+def test_grid_decodes_entities_before_pages_meet_children(spark):
+    from palimpsest.operators import export
+
+    form = spark.createDataFrame([(1, 1, "{title} {title}"), (2, 1, "{title}: {child:sheetname}"), (2, 2, "{child[N]}")], "row int, col int, text string")
+    children = spark.sql("select 1 as page, id as ord, array(struct('a &lt;' as text, '/x' as link)) as cells from range(2)")
+    pages = spark.sql("select 1 as page, 'archive' as kind, '1' as id, 'p' as parent, map('title', 'T &amp; &#85; &bad; &') as fields, map('N', 0) as header")
+    grid = export.grid(form, children, 2, pages)
+    title = "T & U &bad; &"
+    want = [(1, 1, f"{title} {title}"), *[x for r in (2, 3) for x in ((r, 1, f"{title}: Fund a <"), (r, 2, "a <"))]]
+    assert sorted((r.row, r.col, r.text) for r in grid.collect()) == want
+    # A row of a child has no entity left to decode when it is made.
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[: plan.index("Join ")]
+
+
 def test_formulas(spark):
     from palimpsest.operators import export
 
