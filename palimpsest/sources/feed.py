@@ -12,8 +12,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..functions.timefmt import MONTHS, from_message
 
-#: Hits of the first page; each page holds twice as many as the one before.
+#: Hits of the first page; each page holds twice as many as the one before, up to LONGEST, which a task reads in pieces.
 BATCH = 50
+LONGEST = 100_000
+PIECE = 10_000
 SCHEMA = "title string, link string, data string"
 
 Place = tuple[str, str]
@@ -98,8 +100,8 @@ class ChangeFeed(DataSource):
 
 class FeedReader(DataSourceStreamReader):
     """Offsets are places in the feed, by value: new hits move all others to greater offsets, never to another place. The
-    driver asks for the last hit of each page, page by page and twice as long each, until one is older than the last
-    batch; the pages' bounds, by value too, are the partitions. A task reads on from its page's offset until it is past
+    driver asks for the last hit of each page, page by page and twice as long each up to LONGEST, until one is older than
+    the last batch; the pages' bounds, by value too, are the partitions. A task reads on from its page's offset until it is past
     its lower bound, so that hits that have moved on meanwhile are found, and a batch that is run again has the same hits."""
 
     def __init__(self, options: dict):
@@ -125,13 +127,13 @@ class FeedReader(DataSourceStreamReader):
                 upper = lower
             elif not last:
                 break
-            offset, limit = offset + limit, 2 * limit
+            offset, limit = offset + limit, min(2 * limit, LONGEST)
         return spans
 
     def read(self, partition: Span) -> Iterator[tuple]:
         offset = partition.offset
         while True:
-            hits = self.feed.page(partition.limit, offset)
+            hits = self.feed.page(min(partition.limit, PIECE), offset)
             for hit in hits:
                 if partition.low < place_of(hit) <= partition.high:
                     yield hit["title"], hit["link"], hit["data"]

@@ -81,6 +81,22 @@ def test_each_hit_is_in_one_partition(tmp_path, count):
     assert sorted(later) == sorted(h["title"] for h in newer)
 
 
+def test_long_pages_are_read_in_pieces(tmp_path, monkeypatch):
+    from palimpsest.sources import feed as module
+
+    monkeypatch.setattr(module, "LONGEST", 100)
+    monkeypatch.setattr(module, "PIECE", 20)
+    hits = sorted((hit(n) for n in range(650)), key=place_of, reverse=True)
+    feed(tmp_path, hits, 30)
+    reader = FeedReader({"path": str(tmp_path), "hits": "30"})
+    spans = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    asked, page = [], reader.feed.page
+    monkeypatch.setattr(reader.feed, "page", lambda limit, offset: asked.append(limit) or page(limit, offset))
+    read = [[r[0] for r in reader.read(s)] for s in spans]
+    assert sorted(sum(read, [])) == sorted(h["title"] for h in hits)
+    assert max(map(len, read)) <= 100 and max(asked) <= 20
+
+
 def test_folder_pages(tmp_path):
     feed(tmp_path, [hit(n) for n in range(25)], 10)
     pages = Folder(f"file:{tmp_path}", 10)
