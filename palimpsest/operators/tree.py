@@ -74,10 +74,13 @@ def deep_lookup(asks: DataFrame, cells: DataFrame) -> DataFrame:
     ``asks``: page, entry; ``cells``: page, ord (long), row_key, link, the page a row leads to. ``place`` are the ``ord`` of
     the rows that lead to the hit; of rows with equal ``ord`` the smaller link comes first. One round for each level: what
     comes after an ask's best hit so far is given up, and so is a page that an earlier place has led to, which ends
-    circles. Asks without a hit and nulls give no row. Rounds are written; a round holds the open places of all asks.
+    circles. Only pages are entered from which a row with the entry can be reached. Asks without a hit and nulls give no row.
+    Rounds are written; a round holds the open places of all asks.
     """
     rows = cells.select(F.col("page").alias("at"), F.struct("ord", "link").alias("step"), "row_key", "link")
     open_ = asks.where("page is not null and entry is not null").distinct().select("page", "entry", F.col("page").alias("at"), F.array().cast(rows.select(F.array("step")).schema[0].dataType).alias("path"))
+    leads = written(_leading(asks, cells), "leads")
+    open_ = open_.join(leads, ["at", "entry"], "left_semi").select("page", "entry", "at", "path")
     seen, best = open_, None
     while True:
         below = open_.join(rows, "at").select("page", "entry", "link", "row_key", F.array_append("path", F.col("step")).alias("path"))
@@ -86,7 +89,7 @@ def deep_lookup(asks: DataFrame, cells: DataFrame) -> DataFrame:
         best = hits if best is None else best.unionByName(hits)
         best = written(best.groupBy("page", "entry").agg(F.min(F.struct("path", "link")).alias("b")).select("page", "entry", "b.*"), "hits")
         first = best.select("page", "entry", F.col("path").alias("limit"))
-        step = below.where("link is not null").groupBy("page", "entry", F.col("link").alias("at")).agg(F.min("path").alias("path"))
+        step = below.where("link is not null").join(leads.withColumnRenamed("at", "link"), ["link", "entry"], "left_semi").groupBy("page", "entry", F.col("link").alias("at")).agg(F.min("path").alias("path"))
         step = step.join(first, ["page", "entry"], "left").where("limit is null or path < limit").drop("limit")
         known = seen.select("page", "entry", "at", F.col("path").alias("known"))
         open_ = written(step.join(known, ["page", "entry", "at"], "left").where("known is null or path < known").drop("known"), "open")
@@ -94,3 +97,17 @@ def deep_lookup(asks: DataFrame, cells: DataFrame) -> DataFrame:
             return best.select("page", "entry", F.transform("path", lambda s: s["ord"]).alias("place"), F.col("link").alias("found"))
         seen = seen.unionByName(open_).groupBy("page", "entry", "at").agg(F.min("path").alias("path"))
         seen = written(seen, "seen")
+
+
+def _leading(asks: DataFrame, cells: DataFrame) -> DataFrame:
+    """(at, entry): the pages from which a row with an entry of the asks as its key can be reached, found upwards from those
+    rows; a round for each level, and each pair is gone on from once."""
+    entries = asks.select("entry").where("entry is not null").distinct()
+    above = cells.where("page is not null and link is not null and page <> link").select(F.col("page").alias("above"), F.col("link").alias("at"))
+    new = cells.where("page is not null").join(entries, F.col("row_key") == F.col("entry")).select(F.col("page").alias("at"), "entry")
+    new = known = written(new.distinct(), "leads")
+    while not new.isEmpty():
+        up = new.join(above, "at").select(F.col("above").alias("at"), "entry").distinct()
+        new = written(up.join(known, ["at", "entry"], "left_anti"), "leads")
+        known = known.unionByName(new)
+    return known

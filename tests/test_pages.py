@@ -116,6 +116,16 @@ def test_deep_lookup(spark):
         assert got == want
 
 
+def test_lookup_enters_only_pages_that_lead_to_the_entry(spark):
+    cells = [("w", 1, "x", "a"), ("w", 2, "x", "b"), ("a", 1, "x", "a1"), ("b", 1, "x", "b1"), ("b1", 1, "k", "w"), ("a1", 1, "x", "a"), ("a1", 2, "y", None), (None, 1, "k", "b")]
+    cells = spark.createDataFrame(cells, "page string, ord long, row_key string, link string")
+    asks = spark.createDataFrame([("w", "k"), ("w", "y"), ("w", "gone"), ("w", None)], "page string, entry string")
+    leads = {(r.at, r.entry) for r in tree._leading(asks, cells).collect()}
+    assert leads == {(p, "k") for p in ("w", "b", "b1")} | {(p, "y") for p in ("w", "a", "a1", "b", "b1")}
+    got = {(r.entry, tuple(r.place), r.found) for r in tree.deep_lookup(asks, cells).collect()}
+    assert got == {("k", (2, 1, 1), "w"), ("y", (1, 1, 2), None)}
+
+
 def test_classify_pages(spark):
     from palimpsest.operators import enrich
 
