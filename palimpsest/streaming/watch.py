@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -27,25 +26,30 @@ def rate_stream(events: DataFrame, ts: str = "ts", late: str = "1 minute", secon
 
 
 class Watched(StatefulProcessor):
-    """What is known of one address: its open change, its resolved changes, and how far it was checked."""
+    """What is known of one address: its open change, its resolved changes, and how far it was checked. Times are
+    microseconds."""
 
-    def __init__(self, cutoff: str, ttl_ms: int | None = None):
-        self.cutoff, self.ttl = pd.Timestamp(cutoff), ttl_ms
+    def __init__(self, cutoff: int, ttl_ms: int | None = None):
+        self.cutoff, self.ttl = cutoff, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        change = "modified timestamp, last_resolved timestamp"
+        change = "modified long, last_resolved long"
         self.open = handle.getValueState("open", change, self.ttl)
         self.resolved = handle.getListState("resolved", change, self.ttl)
-        self.checked = handle.getValueState("checked", "at timestamp", self.ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(rows).sort_values(["ord", "modified"], kind="stable")
-        open_ = self.open.get() if self.open.exists() else None
-        resolved = list(self.resolved.get()) if self.resolved.exists() else []
-        checked = self.checked.get()[0] if self.checked.exists() else self.cutoff
-        known = (open_, list(resolved), checked)
+        self.checked = handle.getValueState("checked", "at long", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Nulls come last; updates always have a time.
+        events = sorted(rows, key=lambda r: (r["ord"] is None, r["ord"] or 0, r["modified"] is None, r["modified"] or 0))
+        # Each question to a state is a message to the JVM, so none is asked whether it exists.
+        open_, resolved, checked = self.open.get(), list(self.resolved.get()), self.checked.get()
+        open_ = open_ and tuple(open_)
+        resolved = [tuple(r) for r in resolved]
+        known = (open_, list(resolved), checked and checked[0])
+        checked = checked[0] if checked else self.cutoff
         removed = False
-        for kind, at in zip(events["kind"], events["modified"], strict=True):
+        for event in events:
+            kind, at = event["kind"], event["modified"]
             if kind == UPDATE:
                 # The same time as the last check counts; one that was resolved at that time or later doesn't.
                 if at >= checked and (not resolved or at > resolved[-1][0]):
@@ -59,32 +63,34 @@ class Watched(StatefulProcessor):
                 open_ = resolved.pop()
             elif kind == REMOVE:
                 open_, resolved, checked, removed = None, [], self.cutoff, True
-        if (open_, resolved, checked) == known and not removed:
+        if (open_, resolved, checked) == (*known[:2], known[2] or self.cutoff) and not removed:
             return
         if removed:
-            for state in (self.open, self.resolved, self.checked):
-                state.clear()
-        else:
+            open_, resolved = None, []
+        # With a life time all is written anew, so that it begins again for all.
+        if open_ != known[0] or self.ttl:
             if open_ is None:
                 self.open.clear()
             else:
                 self.open.update(open_)
+        if resolved != known[1] or self.ttl:
             if resolved:
                 self.resolved.put(resolved)
             else:
                 self.resolved.clear()
+        if removed:
+            self.checked.clear()
+        elif checked != known[2] or self.ttl:
             self.checked.update((checked,))
         shown = open_ or (resolved[-1] if resolved else (None, None))
         status = "removed" if removed else "unresolved" if open_ else "resolved" if resolved else "checked"
-        yield pd.DataFrame(
-            {
-                "address": [key[0]],
-                "status": [status],
-                "modified": pd.Series([shown[0]], dtype="datetime64[us]"),
-                "last_resolved": pd.Series([shown[1]], dtype="datetime64[us]"),
-                "last_checked": pd.Series([None if removed else checked], dtype="datetime64[us]"),
-                "resolutions": pd.Series([len(resolved)], dtype="int32"),
-            }
+        yield Row(
+            address=key[0],
+            status=status,
+            modified=shown[0],
+            last_resolved=shown[1],
+            last_checked=None if removed else checked,
+            resolutions=len(resolved),
         )
 
     def close(self) -> None:
@@ -104,10 +110,12 @@ def watch_changes(events: DataFrame, cutoff: str, ttl_ms: int | None = None) ->
     """
     needed = F.col("modified").isNotNull() | F.col("kind").isin(RESOLVE, UNRESOLVE, REMOVE)
     rows = events.where(F.col("address").isNotNull() & F.col("kind").isNotNull() & needed).select(
-        "address", "kind", F.col("modified").cast("timestamp").alias("modified"), F.col("ord").cast("long").alias("ord")
+        "address", "kind", F.unix_micros(F.col("modified").cast("timestamp")).alias("modified"), F.col("ord").cast("long").alias("ord")
     )
+    start = events.sparkSession.range(1).select(F.unix_micros(F.lit(cutoff).cast("timestamp"))).first()[0]
     mode = "ProcessingTime" if ttl_ms else "None"
-    return rows.groupBy("address").transformWithStateInPandas(Watched(cutoff, ttl_ms), CHANGES, "Update", mode)
+    found = rows.groupBy("address").transformWithState(Watched(start, ttl_ms), CHANGES.replace("timestamp", "long"), "Update", mode)
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("modified", "last_resolved", "last_checked")})
 
 
 def watch_stream(events: DataFrame, path: str, checkpoint: str, cutoff: str, ttl_ms: int | None = None) -> StreamingQuery:

@@ -48,6 +48,27 @@ def test_watch_list_over_batches(spark, folds, tmp_path):
     assert got == {"a": ("unresolved", 4, 1), "b": ("unresolved", 1, 0)}
 
 
+def test_unchanged_states_are_not_written():
+    said = []
+
+    class State:
+        def __init__(self, value):
+            self.value = value
+
+        def __getattr__(self, name):
+            said.append(name)
+            return lambda *new: self.value if name == "get" else None
+
+    heard = watch.Watched(0)
+    heard.open, heard.resolved, heard.checked = State((5, 0)), State([]), State((5,))
+    at = lambda n, kind="update": [{"kind": kind, "modified": n, "ord": 1}]
+    assert list(heard.handleInputRows(("a",), iter(at(3)), None)) == [] and said == ["get"] * 3
+    said.clear()
+    (row,) = heard.handleInputRows(("a",), iter(at(None, "resolve")), None)
+    assert (row.status, row.modified, row.last_checked, row.resolutions) == ("resolved", 5, 5, 1)
+    assert said == ["get"] * 3 + ["clear", "put"]
+
+
 def test_state_with_a_life_time(folds):
     assert folds(("a", "update", day(3), 1), ttl=3_600_000) == {"a": ("unresolved", 3, 0)}
 
