@@ -187,6 +187,37 @@ def test_workbooks_as_a_sink(spark, tmp_path):
     assert read_workbooks(spark, f"file:{tmp_path}/none").count() == 0
 
 
+def test_workbooks_are_moved_and_read_by_few_tasks(spark, tmp_path):
+    from palimpsest.sources import workbook
+
+    grid = spark.range(300).selectExpr("CAST(id AS STRING) AS page", "1 AS row", "1 AS col", "'t' || id AS text", "CAST(NULL AS STRING) AS link", "'linked' AS style")
+    write_workbooks(grid, f"file:{tmp_path}/books")
+    assert sorted(p.name for p in (tmp_path / "books").iterdir()) == sorted([f"{i}.xlsx" for i in range(300)] + ["_SUCCESS"])
+    parts = workbook.WorkbookReader(f"file:{tmp_path}/books").partitions()
+    # A task has its share of the names, and no path with each.
+    assert len(parts) == 1 and sorted(parts[0].names) == sorted(f"{i}.xlsx" for i in range(300))
+    back = read_workbooks(spark, f"file:{tmp_path}/books")
+    assert sorted(map(tuple, back.collect())) == sorted((str(i), 1, 1, f"t{i}", None, "linked") for i in range(300))
+    # The sink alone gives the same files.
+    grid.coalesce(1).write.format("workbooks").mode("append").option("path", f"file:{tmp_path}/alone").save()
+    assert {p.name for p in (tmp_path / "alone").iterdir()} == {p.name for p in (tmp_path / "books").iterdir()}
+
+
+def test_commit_names_folders_not_files(tmp_path):
+    import pyarrow as pa
+
+    from palimpsest.sources.workbook import COLUMNS, WorkbookWriter
+
+    rows = [(str(i), 1, 1, "t", None, None) for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], COLUMNS)
+    writer = WorkbookWriter(f"file:{tmp_path}", "job")
+    message = writer.write(iter([batch]))
+    assert message.files == 50 and not hasattr(message, "names")
+    writer.commit([message, None])
+    assert [p.name for p in tmp_path.iterdir()] == ["_aside-job"]
+    assert {p.name for p in (tmp_path / "_aside-job").iterdir()} == {message.folder.rsplit("/", 1)[-1], "_whole.json"}
+
+
 def test_workbook():
     data = export.write_workbook({"one & two": [(1, 1, "a<b"), (2, 28, "=SUM(A1:A2)")], "empty": []})
     file = zipfile.ZipFile(io.BytesIO(data))
