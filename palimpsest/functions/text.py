@@ -40,12 +40,14 @@ def is_numeric(text: Column) -> Column:
 
 
 def is_ascii(text: Column) -> Column:
-    return text.rlike(r"^\p{ASCII}*$")
+    """Characters of one byte only."""
+    return F.octet_length(text) == F.char_length(text)
 
 
 def text_item(source: Column, translate: bool = False) -> Column:
     """A text item of a source text. Empty, numeric and ASCII texts are their own translation, unless ``translate``."""
-    own = source.isNull() | (source == "") | is_numeric(source) | is_ascii(source)
+    # Patterns come last: most texts are told without them.
+    own = source.isNull() | is_ascii(source) | is_numeric(source)
     own = F.lit(False) if translate else F.coalesce(own, F.lit(True))
     return F.struct(source.alias("uk"), F.when(own, source).alias("en"), own.alias("en_set"))
 

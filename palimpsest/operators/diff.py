@@ -39,6 +39,25 @@ def diff_cells(now: DataFrame, then: DataFrame) -> DataFrame:
     return edits.withColumns({"edit": edit, "link_edit": links}).drop("cells", "__other")
 
 
+def diff_rows(now: DataFrame, then: DataFrame) -> DataFrame:
+    """The same for whole rows (page, row_key, row, cells), cells an array of (col, text, link): ``now``'s rows, each cell with
+    ``edit`` and ``link_edit``. A row is dealt once, not once a cell, and of the older rows of a key only the last."""
+    older = then.groupBy("page", "row_key").agg(F.max_by("cells", "row").alias("__old"))
+    alone = F.col("__old").isNull()
+
+    def edited(cell: Column) -> Column:
+        return once(F.get(F.filter("__old", lambda c: c["col"] == cell["col"]), 0), lambda other: _edited(cell, other, alone))
+
+    return now.join(older, ["page", "row_key"], "left").withColumn("cells", F.transform("cells", edited)).drop("__old")
+
+
+def _edited(cell: Column, other: Column, alone: Column) -> Column:
+    """A cell with its edits, by its partner; ``alone``: its row has none."""
+    edit = F.when(alone, "added").when(other.isNotNull() & ~equal_text(cell["text"], other["text"]), "changed")
+    links = F.when(other.isNotNull(), link_edit(cell["link"], other["link"]))
+    return cell.withField("edit", edit).withField("link_edit", links)
+
+
 def compare_pages(now: DataFrame, then: DataFrame) -> DataFrame:
     """``now``'s pages with what has changed since ``then``, each page one nested row.
 
@@ -58,15 +77,10 @@ def compare_pages(now: DataFrame, then: DataFrame) -> DataFrame:
         def row(child: Column) -> Column:
             at = F.coalesce(F.array_position(old["keys"], key(child)), F.lit(0))
             partner = F.when(at > 0, F.get(old["rows"], (F.size(old["rows"]) - at).cast("int")))
-            return once(partner, lambda other: F.transform(child, lambda cell, i: edited(cell, F.get(other, i), other.isNull())))
+            return once(partner, lambda other: F.transform(child, lambda cell, i: _edited(cell, F.get(other, i), other.isNull())))
 
         return F.transform(children, row)
 
-    def edited(cell: Column, other: Column, alone: Column) -> Column:
-        edit = F.when(alone, "added").when(other.isNotNull() & ~equal_text(cell["text"], other["text"]), "changed")
-        links = F.when(other.isNotNull(), link_edit(cell["link"], other["link"]))
-        return cell.withField("edit", edit).withField("link_edit", links)
-
     def marked(item: Column, other: Column) -> Column:
         return item.withField("edit", F.when(F.col("__old").isNotNull() & ~equal_text(item, other), "changed"))
 
@@ -84,15 +98,19 @@ def compare_pages(now: DataFrame, then: DataFrame) -> DataFrame:
     ).drop("__old")
 
 
+def has_edit(cells: Column) -> Column:
+    """Whether a cell of a row has an edit."""
+    return F.exists(cells, lambda c: c["edit"].isNotNull() | c["link_edit"].isNotNull())
+
+
 def edited_rows(diffed: DataFrame) -> DataFrame:
-    """Keys of rows with an edit."""
-    return diffed.where("edit IS NOT NULL OR link_edit IS NOT NULL").select("page", "row_key", "row").distinct()
+    """Keys of rows with an edit, of rows that ``diff_rows`` gives."""
+    return diffed.where(has_edit(F.col("cells"))).select("page", "row_key", "row").distinct()
 
 
 def any_edit(diffed: DataFrame) -> DataFrame:
-    """Whether each page has an edit in a row."""
-    edited = F.col("edit").isNotNull() | F.col("link_edit").isNotNull()
-    return diffed.groupBy("page").agg(F.max(edited).alias("any_edit"))
+    """Whether each page has an edit in a row, of rows that ``diff_rows`` gives."""
+    return diffed.groupBy("page").agg(F.max(has_edit(F.col("cells"))).alias("any_edit"))
 
 
 def deleted_rows(now: DataFrame, then: DataFrame) -> DataFrame:
