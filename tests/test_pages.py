@@ -113,6 +113,11 @@ def test_page_compare_gathers_rows_not_cells(spark):
 
 
 
+def test_change_report_joins_rows_not_cells(spark):
+    # Only what an edit is told of is dealt to cells, after the join.
+    assert generated(spark, changes.q_change_report) == 1
+
+
 def test_deep_lookup(spark):
     rng = random.Random(8)
     for _ in range(3):
