@@ -118,6 +118,11 @@ def test_change_report_joins_rows_not_cells(spark):
     assert generated(spark, changes.q_change_report) == 1
 
 
+def test_any_edit_is_told_by_rows(spark):
+    assert generated(spark, changes.q_diff_any_edit) == 0
+
+
+
 def test_deep_lookup(spark):
     rng = random.Random(8)
     for _ in range(3):
