@@ -123,6 +123,11 @@ def test_any_edit_is_told_by_rows(spark):
 
 
 
+def test_edited_rows_are_told_by_rows(spark):
+    assert generated(spark, changes.q_diff_rows_only) == 0
+
+
+
 def test_deep_lookup(spark):
     rng = random.Random(8)
     for _ in range(3):
