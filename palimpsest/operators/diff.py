@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.brackets import once
@@ -41,14 +41,36 @@ def diff_cells(now: DataFrame, then: DataFrame) -> DataFrame:
 
 def diff_rows(now: DataFrame, then: DataFrame) -> DataFrame:
     """The same for whole rows (page, row_key, row, cells), cells an array of (col, text, link): ``now``'s rows, each cell with
-    ``edit`` and ``link_edit``. A row is dealt once, not once a cell, and of the older rows of a key only the last."""
+    ``edit`` and ``link_edit``, and whether a cell has one (``edited``). A row is dealt once, not once a cell, and of the older rows of a key only the last."""
     older = then.groupBy("page", "row_key").agg(F.max_by("cells", "row").alias("__old"))
+    return _told(now.join(older, ["page", "row_key"], "left"))
+
+
+def diff_versions(rows: DataFrame) -> DataFrame:
+    """The same for a table of both versions: (page, row_key, row, cells, then), ``then`` the older version's cells; null for
+    a row that a version lacks. One window by page and key instead of a join, so a table that is dealt by page already isn't
+    dealt again; the rows of one key of a page are in one task, which spills them where they are many."""
+    by_key = Window.partitionBy("page", "row_key")
+    last = F.max_by("then", F.when(F.col("then").isNotNull(), F.col("row"))).over(by_key)
+    matched = F.col("page").isNotNull() & F.col("row_key").isNotNull()
+    found = rows.withColumn("__last", last).where(F.col("cells").isNotNull())
+    return _told(found.withColumn("__old", F.when(matched, F.col("__last"))).drop("then", "__last"))
+
+
+def _told(joined: DataFrame) -> DataFrame:
+    """Rows with the edits of their cells, by the cells of ``__old``, and whether there is one (``edited``)."""
     alone = F.col("__old").isNull()
 
-    def edited(cell: Column) -> Column:
-        return once(F.get(F.filter("__old", lambda c: c["col"] == cell["col"]), 0), lambda other: _edited(cell, other, alone))
+    def with_partner(cell: Column, body) -> Column:
+        return once(F.get(F.filter("__old", lambda c: c["col"] == cell["col"]), 0), body)
 
-    return now.join(older, ["page", "row_key"], "left").withColumn("cells", F.transform("cells", edited)).drop("__old")
+    def differs(cell: Column, other: Column) -> Column:
+        return other.isNotNull() & (~equal_text(cell["text"], other["text"]) | link_edit(cell["link"], other["link"]).isNotNull())
+
+    # Where only this is asked for no cell is made, and the first edit of a row is enough.
+    edited = F.exists("cells", lambda c: alone | with_partner(c, lambda other: differs(c, other)))
+    told = F.transform("cells", lambda c: with_partner(c, lambda other: _edited(c, other, alone)))
+    return joined.withColumns({"cells": told, "edited": edited}).drop("__old")
 
 
 def _edited(cell: Column, other: Column, alone: Column) -> Column:
@@ -98,19 +120,14 @@ def compare_pages(now: DataFrame, then: DataFrame) -> DataFrame:
     ).drop("__old")
 
 
-def has_edit(cells: Column) -> Column:
-    """Whether a cell of a row has an edit."""
-    return F.exists(cells, lambda c: c["edit"].isNotNull() | c["link_edit"].isNotNull())
-
-
 def edited_rows(diffed: DataFrame) -> DataFrame:
-    """Keys of rows with an edit, of rows that ``diff_rows`` gives."""
-    return diffed.where(has_edit(F.col("cells"))).select("page", "row_key", "row").distinct()
+    """Keys of rows with an edit, of rows that ``diff_rows`` or ``diff_versions`` gives."""
+    return diffed.where("edited").select("page", "row_key", "row").distinct()
 
 
 def any_edit(diffed: DataFrame) -> DataFrame:
-    """Whether each page has an edit in a row, of rows that ``diff_rows`` gives."""
-    return diffed.groupBy("page").agg(F.max(has_edit(F.col("cells"))).alias("any_edit"))
+    """Whether each page has an edit in a row, of rows that ``diff_rows`` or ``diff_versions`` gives."""
+    return diffed.groupBy("page").agg(F.max("edited").alias("any_edit"))
 
 
 def deleted_rows(now: DataFrame, then: DataFrame) -> DataFrame:

@@ -192,3 +192,35 @@ def test_classify_pages(spark):
     assert enrich.classify_pages(failing, client).first().labels == [*default, "OTHER"]
     asked = spark.createDataFrame(rows[:1], schema).select(enrich.question(F.col("header"), enrich.samples(F.col("children")), "h").alias("q")).first().q
     assert asked == enrich.prompt(["a", "b", "c"], [[f"answer={answers[1]}"]] * 5, "h")
+
+
+def test_diff_of_versions_is_that_of_rows(spark):
+    rng = random.Random(4)
+    cell = lambda c: (c, item(rng.choice("abc"), rng.choice(["-", "x", None])), rng.choice([None, "", "/a", "/b", "/c?redlink=1"]))
+    cells = lambda: rng.choice([None, [], *[[cell(c) for c in rng.choices((1, 2, 3), k=rng.randint(1, 3))] for _ in range(6)]])
+    some = [(rng.choice([*range(8), None]), rng.choice(["k", "l", "m", None]), i, cells(), cells()) for i in range(90)]
+    rows = spark.createDataFrame(some, ROW + ROW[ROW.index(", cells") :].replace("cells", "then"))
+    # Of rows without cells the older version has none as cells.
+    rows = rows.withColumn("then", F.when(F.size("then") > 0, F.col("then")))
+    now = rows.where("cells is not null").drop("then")
+    then = rows.where("then is not null").select("page", "row_key", "row", F.col("then").alias("cells"))
+    got, told = diff.diff_versions(rows), diff.diff_rows(now, then)
+    assert sorted(map(repr, got.select(ROWS).collect())) == sorted(map(repr, told.select(ROWS).collect()))
+    columns = ["page", "row_key", "row", "col", "text", "link", "edit", "link_edit"]
+    want = diff.diff_cells(changes.each_cell(now), changes.each_cell(then))
+    assert sorted(map(repr, changes.each_cell(got).select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+    for r in got.collect():
+        assert r.edited == any(c.edit or c.link_edit for c in r.cells)
+
+
+ROWS = ["page", "row_key", "row", "cells", "edited"]
+
+
+def plan_of(spark, query):
+    return query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_change_report_deals_rows_once(spark):
+    # Both snapshots come from one pass; cells aren't made a first time to see whether there are any.
+    plan = plan_of(spark, changes.q_change_report)
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("posexplode") == 1 and "size(" not in plan
