@@ -141,31 +141,30 @@ def whole_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k1, k2, words) of the classes in ``wanted`` (k1, k2): their words, read again from the texts of their first lines."""
-    places = classes.join(wanted, IDS, "left_semi").select(*IDS, "first.*")
-    asked = places.groupBy("doc_id", "body").agg(F.collect_list(F.struct(*IDS, "line_no")).alias("asked"))
+    """(c, words) of the classes in ``wanted`` (c): their words, read again from the texts of their first lines."""
+    places = classes.join(wanted, "c", "left_semi").select("c", "first.*")
+    asked = places.groupBy("doc_id", "body").agg(F.collect_list(F.struct("c", "line_no")).alias("asked"))
     # Written first: where few are asked for, the texts aren't shuffled.
     asked = cut(asked.withColumnRenamed("doc_id", "d").withColumnRenamed("body", "b"), "asked-lines")
     # Of a text that many documents have only that of the first line's document is met.
     lines = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("t") == F.col("b")))
     lines = lines.select(F.split("t", "\n", -1).alias("lines"), "asked")
     found = F.transform(
-        "asked",
-        lambda a: F.struct(*[a[k].alias(k) for k in IDS], F.array_distinct(split_words(F.get("lines", a["line_no"]))).alias("words")),
+        "asked", lambda a: F.struct(a["c"].alias("c"), F.array_distinct(split_words(F.get("lines", a["line_no"]))).alias("words"))
     )
     # Repeated rows give a set again.
-    return cut(lines.select(F.explode(found).alias("s")).select("s.*").dropDuplicates(IDS), "line-sets")
+    return cut(lines.select(F.explode(found).alias("s")).select("s.*").dropDuplicates(["c"]), "line-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(k1, k2) of the late classes of the pairs (k1, k2, e1, e2) whose words reach the similarity."""
-    early = sets.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("words").alias("early"))
+    """(c) of the late classes of the pairs (c, e) whose words reach the similarity."""
+    early = sets.select(F.col("c").alias("e"), F.col("words").alias("early"))
     enough = F.size(F.array_intersect("words", "early")) >= least_overlap(F.size("words"), F.size("early"))
-    return cut(pairs.join(sets, IDS).join(early, ["e1", "e2"]).where(enough).select(*IDS).distinct(), "late-lines")
+    return cut(pairs.join(sets, "c").join(early, "e").where(enough).select("c").distinct(), "late-lines")
 
 
 def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k1, k2) of the classes that have a similar class before them.
+    """(c) of the classes that have a similar class before them.
 
     Words with more than HOT classes are looked at first: in rounds, each class is compared with the first class of each
     such word, and leaves when the pair passes the filters. Classes that have left aren't compared with each other; all other
@@ -175,63 +174,56 @@ def late_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """
     order = F.struct("first.doc_id", "first.line_no", *IDS).alias("order")
     filters = ["n", "bits", "more"]
-    pair = [*IDS, "e1", "e2"]
     hot = classes.select(F.explode("p").alias("word")).groupBy("word").agg(F.count("*").alias("rows"))
     hot = cut(hot.where(F.col("rows") > HOT).select("word"), "hot-words")
-    guessed = classes.select(*IDS, F.col("k1").alias("e1"), F.col("k2").alias("e2")).limit(0)
+    guessed = classes.select("c", F.col("c").alias("e")).limit(0)
     if not hot.isEmpty():
         for _ in range(ROUNDS):
             # Hot words first, so that no other row is looked up among those that have left.
-            still = classes.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word")).join(hot, "word", "left_semi")
-            still = still.join(guessed.select(*IDS), IDS, "left_anti")
-            lead = F.min(F.struct("order", *[F.col(c).alias(f"{c}y") for c in (*IDS, *filters, "i")]))
+            still = classes.select("c", *filters, order, F.posexplode("p").alias("i", "word")).join(hot, "word", "left_semi")
+            still = still.join(guessed.select("c"), "c", "left_anti")
+            lead = F.min(F.struct("order", *[F.col(x).alias(f"{x}y") for x in ("c", *filters, "i")]))
             leads = cut(still.groupBy("word").agg(lead.alias("lead")).select("word", "lead.*").drop("order"), "leads")
-            other = (F.col("k1") != F.col("k1y")) | (F.col("k2") != F.col("k2y"))
-            near = still.drop("order").join(leads, "word").where(other & may_match("", "y"))
-            best = F.min_by(F.struct("k1y", "k2y"), bits_apart("", "y")).alias("best")
-            found = cut(near.groupBy(*IDS).agg(best).select(*IDS, F.col("best.k1y").alias("e1"), F.col("best.k2y").alias("e2")), "guessed")
+            near = still.drop("order").join(leads, "word").where((F.col("c") != F.col("cy")) & may_match("", "y"))
+            found = cut(near.groupBy("c").agg(F.min_by("cy", F.struct(bits_apart("", "y"), "cy")).alias("e")), "guessed")
             if found.isEmpty():
                 break
             guessed = cut(guessed.unionByName(found), "guessed")
 
     def ends(some: DataFrame) -> DataFrame:
-        both = F.array(F.struct(*IDS), F.struct(F.col("e1").alias("k1"), F.col("e2").alias("k2")))
-        return some.select(F.explode(both).alias("s")).select("s.*").distinct()
+        return some.select(F.explode(F.array("c", "e")).alias("c")).distinct()
 
     # The sign of n tells those that have left.
-    marked = classes.join(guessed.select(*IDS, F.lit(True).alias("done")), IDS, "left")
+    marked = classes.join(guessed.select("c", F.lit(True).alias("done")), "c", "left")
     signed = F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).alias("n")
-    rows = marked.select(*IDS, signed, "bits", "more", F.posexplode("p").alias("i", "word"))
-    a, b = (rows.toDF(f"k1{e}", f"k2{e}", f"s{e}", f"bits{e}", f"more{e}", f"i{e}", "word").withColumn(f"n{e}", F.abs(f"s{e}")) for e in "xy")
-    once = (a["k1x"] < b["k1y"]) | ((a["k1x"] == b["k1y"]) & (a["k2x"] < b["k2y"]))
-    near = once & ((a["sx"] > 0) | (b["sy"] > 0)) & may_match("x", "y")
-    pairs = a.join(b, (a["word"] == b["word"]) & near).select("k1x", "k2x", "k1y", "k2y", bits_apart("x", "y").alias("apart")).distinct()
-    places = classes.select(*IDS, order)
-    one, two = places.toDF("k1x", "k2x", "ox"), places.toDF("k1y", "k2y", "oy")
-    pairs = cut(pairs, "line-pairs").join(one, ["k1x", "k2x"]).join(two, ["k1y", "k2y"])
+    rows = marked.select("c", signed, "bits", "more", F.posexplode("p").alias("i", "word"))
+    a, b = (rows.toDF(f"c{e}", f"s{e}", f"bits{e}", f"more{e}", f"i{e}", "word").withColumn(f"n{e}", F.abs(f"s{e}")) for e in "xy")
+    near = (a["cx"] < b["cy"]) & ((a["sx"] > 0) | (b["sy"] > 0)) & may_match("x", "y")
+    pairs = a.join(b, (a["word"] == b["word"]) & near).select("cx", "cy", bits_apart("x", "y").alias("apart")).distinct()
+    places = classes.select("c", order)
+    one, two = places.toDF("cx", "ox"), places.toDF("cy", "oy")
+    pairs = cut(pairs, "line-pairs").join(one, "cx").join(two, "cy")
     first = F.col("ox") < F.col("oy")
     pairs = pairs.select(
-        *[F.when(first, F.col(f"{k}y")).otherwise(F.col(f"{k}x")).alias(k) for k in IDS],
-        *[F.when(first, F.col(f"{k}x")).otherwise(F.col(f"{k}y")).alias(e) for k, e in zip(IDS, ("e1", "e2"), strict=True)],
-        "apart",
+        F.when(first, F.col("cy")).otherwise(F.col("cx")).alias("c"), F.when(first, F.col("cx")).otherwise(F.col("cy")).alias("e"), "apart"
     )
-    pairs = cut(pairs.join(guessed.select(*IDS), IDS, "left_anti"), "line-pairs")
-    best = pairs.groupBy(*IDS).agg(F.min_by(F.struct("e1", "e2"), F.struct("apart", "e1", "e2")).alias("best")).select(*IDS, "best.*")
+    pairs = cut(pairs.join(guessed.select("c"), "c", "left_anti"), "line-pairs")
+    best = pairs.groupBy("c").agg(F.min_by("e", F.struct("apart", "e")).alias("e"))
     best = cut(best.unionByName(guessed), "best-pairs")
     if best.isEmpty():
-        return classes.select(*IDS).limit(0)
+        return classes.select("c").limit(0)
     # The texts are read once for all candidates.
-    sets = sets_of(ends(best.unionByName(pairs.select(*pair))), classes, texts)
+    sets = sets_of(ends(best.unionByName(pairs.select("c", "e"))), classes, texts)
     sure = verified(best, sets)
-    rest = pairs.select(*pair).join(sure, IDS, "left_anti")
-    failed = cut(guessed.join(sure, IDS, "left_anti").select(*IDS), "failed")
+    rest = pairs.select("c", "e").join(sure, "c", "left_anti")
+    failed = cut(guessed.join(sure, "c", "left_anti").select("c"), "failed")
     if not failed.isEmpty():
-        wide = classes.select(*IDS, *filters, order, F.posexplode("p").alias("i", "word"))
-        before = wide.select("word", *[F.col(c).alias(f"{c}y") for c in (*IDS, *filters, "i", "order")])
+        wide = classes.select("c", *filters, order, F.posexplode("p").alias("i", "word"))
+        before = wide.select("word", *[F.col(x).alias(f"{x}y") for x in ("c", *filters, "i", "order")])
         # Written first: where these are few, the other side isn't shuffled.
-        again = cut(wide.join(failed, IDS, "left_semi"), "failed-rows").join(before, "word").where((F.col("ordery") < F.col("order")) & may_match("", "y"))
-        rest = cut(rest.unionByName(again.select(*IDS, F.col("k1y").alias("e1"), F.col("k2y").alias("e2")).distinct()), "line-pairs")
-        sets = sets.unionByName(sets_of(ends(rest).join(sets, IDS, "left_anti"), classes, texts))
+        again = cut(wide.join(failed, "c", "left_semi"), "failed-rows").join(before, "word").where((F.col("ordery") < F.col("order")) & may_match("", "y"))
+        rest = cut(rest.unionByName(again.select("c", F.col("cy").alias("e")).distinct()), "line-pairs")
+        sets = sets.unionByName(sets_of(ends(rest).join(sets, "c", "left_anti"), classes, texts))
     return sure.unionByName(verified(rest, sets))
 
 
@@ -239,15 +231,14 @@ def line_verdicts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, body, line_no, n_words, kept) for each line with a word."""
     lines = line_table(docs, key, text)
     place = F.struct("doc_id", "line_no", "body")
-    classes = cut(
-        lines.groupBy("k1", "k2").agg(
-            F.min(place).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("more").alias("more"), F.any_value("p").alias("p")
-        ),
-        "line-classes",
+    classes = lines.groupBy(*IDS).agg(
+        F.min(place).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("more").alias("more"), F.any_value("p").alias("p")
     )
+    # One number names a class wherever classes meet; written, so that it stays.
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()), "line-classes")
     late = late_classes(classes, whole_texts(docs, key, text)).withColumn("late", F.lit(True))
-    fates = cut(classes.join(late, IDS, "left").select("k1", "k2", "first", F.col("late").isNotNull().alias("late")), "line-fates")
-    found = lines.select("k1", "k2", "doc_id", "body", "line_no", "n").join(fates, ["k1", "k2"])
+    fates = cut(classes.join(late, "c", "left").select(*IDS, "first", F.col("late").isNotNull().alias("late")), "line-fates")
+    found = lines.select(*IDS, "doc_id", "body", "line_no", "n").join(fates, IDS)
     return found.select(
         "doc_id", "body", "line_no", F.col("n").alias("n_words"), ((place == F.col("first")) & ~F.col("late")).alias("kept")
     )

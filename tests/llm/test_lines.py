@@ -113,3 +113,13 @@ def test_odd_rows(spark):
     )
     empty = spark.createDataFrame([], SCHEMA)
     assert lines.judge_lines(empty).count() == 0 and lines.drop_later_lines(empty).count() == 0
+
+
+def test_classes_meet_by_their_number_alone(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (3, "q r s t u v w x y z")], "doc_id long, text string")
+    lines_ = lines.line_table(docs).withColumn("k1", F.lit(0)).withColumn("k2", F.lit(0))
+    first = F.struct("doc_id", "line_no", "body").alias("first")
+    classes = lines_.select("k1", "k2", first, "n", "bits", "more", "p", F.col("doc_id").alias("c"))
+    assert [r.c for r in lines.late_classes(classes, lines.whole_texts(docs, "doc_id", "text")).collect()] == [2]
