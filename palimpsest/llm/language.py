@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +61,9 @@ def counts_of(texts: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            found: Counter = Counter()
-            for word, n in seen.items():
-                found[word_key(word)] += n
+            found = seen.copy()
+            for word in [w for w in seen if len(w) > LONG]:
+                found[word_key(word)] += found.pop(word)
             return pa.RecordBatch.from_arrays(
                 [pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"]
             )
@@ -182,15 +183,16 @@ def coded(rows: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFrame:
             part = batch.column(3)[0].as_py() if part is None and batch.num_rows else part
             for body in batch.column(2):
                 words = words_of(body.as_py())
-                found = np.fromiter((place.get(w, _NEW) for w in words), np.int32, len(words))
+                found = np.fromiter(map(place.get, words, repeat(_NEW)), np.int32, len(words))
                 rare: dict[bytes, int] = {}
                 at = np.flatnonzero(found == _NEW)
-                for i in at.tolist():
-                    key = words[i] if len(words[i]) <= LONG else word_key(words[i])
-                    # Below -1: the number of the rare word.
-                    found[i] = place.get(key, _NEW) if key is not words[i] else _NEW
-                    if found[i] == _NEW:
-                        found[i] = -2 - rare.setdefault(key, len(rare))
+                keys = [words[i] for i in at.tolist()]
+                if keys and max(map(len, keys)) > LONG:
+                    keys = [word_key(w) for w in keys]
+                    found[at] = [place.get(k, _NEW) for k in keys]
+                    at, keys = at[found[at] == _NEW], [k for k in keys if k not in place]
+                # Below -1: the number of the rare word.
+                found[at] = [-2 - rare.setdefault(k, len(rare)) for k in keys]
                 heads = found[found >= 0]
                 n = counts[heads]
                 out[0].append((part << 33) + number)
